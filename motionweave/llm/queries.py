@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from motionweave.llm import bpe, warc
+from motionweave.llm import bpe, html, warc
 
-_MODULES = (bpe, warc)
+_MODULES = (bpe, html, warc)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
