@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from motionweave.llm import bpe, decontaminate, html, langid, quality_model, quality_rules, simhash, warc
+from motionweave.llm import bpe, decontaminate, html, langid, quality_model, quality_rules, shards, simhash, warc
 
-_MODULES = (bpe, decontaminate, html, langid, quality_model, quality_rules, simhash, warc)
+_MODULES = (shards, decontaminate, simhash, warc, langid, quality_model, quality_rules, bpe, html)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
