@@ -59,7 +59,8 @@ class Words:
         """A 64-bit hash of every word's bytes."""
         eight = np.ndarray((self.size + 1,), "<u8", self.data.data, 0, (1,))
         length = self.ends - self.starts
-        h = mix(eight[self.starts] & _MASK[np.minimum(length, 8)], length.astype(np.uint64) << np.uint64(40))
+        with np.errstate(over="ignore"):
+            h = mix(eight[self.starts] & _MASK[np.minimum(length, 8)], length.astype(np.uint64) * _C)
         at, long = 8, np.flatnonzero(length > 8)
         while len(long):
             h[long] = mix(h[long], eight[self.starts[long] + at] & _MASK[np.minimum(length[long] - at, 8)])
@@ -71,11 +72,11 @@ class Words:
         """Hash of every run of ``n`` words within a document, and the position of its first word."""
         if len(h) < n:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        out = h[: len(h) - n + 1]
+        out = mix(h[: len(h) - n + 1], 5)  # mixed first, so that the order of words counts
         for k in range(1, n):
             out = mix(out, h[k : len(h) - n + 1 + k])
         same = np.flatnonzero(self.doc[: len(h) - n + 1] == self.doc[n - 1 :])
-        return (out if n > 1 else mix(out))[same], same
+        return out[same], same
 
     def per_doc(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each text are marked."""
