@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from motionweave.functions.core import r6
 from motionweave.operators import inference
-from motionweave.plans.adapters import CHANNELS, DIFF, GRPM, SUBJ, differences, group_means, query, subject_edges, table
+from motionweave.plans import drivers
+from motionweave.plans.adapters import CHANNELS, DIFF, GRPM, SUBJ, SUBJECT_KEYS, differences, group_means, query, subject_edges, subject_graphs, table
 from motionweave.plans.matrices import _ARI, _LAG, _MOD, _SCORE, _fit, _lagged, _modularity, _scores
 
 PERMUTATIONS, BOOTSTRAPS = 200, 100
@@ -261,3 +262,9 @@ SELECT label % 2 AS grp, direction, round(avg(q), 6) + 0.0 AS mean, round(stddev
 )
 def modularity_means(spark: SparkSession, sf: str) -> DataFrame:
     return _modularity(spark, sf).groupBy("grp", "direction").agg(r6(F.avg("modularity")).alias("mean"), r6(F.stddev_pop("modularity")).alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+@query("pattern_grid_tests")
+def pattern_grid_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns of all lengths up to 8 from every start, tested and corrected per length."""
+    return drivers.analyse_patterns(subject_graphs(spark, sf), SUBJECT_KEYS, CHANNELS, longest=8)
