@@ -302,7 +302,7 @@ def group_allegiance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _GCOMM = f"""{_ALLEG}, ga AS (SELECT label % 2 AS grp, direction, i, j, avg(w) AS w FROM alleg GROUP BY ALL), ge AS (SELECT grp, direction, i AS a, j AS b FROM ga WHERE w >= 0.6 UNION ALL SELECT grp, direction, j, i FROM ga WHERE w >= 0.6),
-greach AS (SELECT g.grp, d.direction, m AS a, m AS b FROM range(2) g(grp), range(3) d(direction), range(21) n(m) UNION SELECT r.grp, r.direction, r.a, e.b FROM greach r JOIN ge e ON e.grp = r.grp AND e.direction = r.direction AND e.a = r.b),
+greach AS (SELECT g.grp, d.direction, m AS a, m AS b FROM (SELECT x::INTEGER AS grp FROM range(2) t(x)) g, range(3) d(direction), range(21) n(m) UNION SELECT r.grp, r.direction, r.a, e.b FROM greach r JOIN ge e ON e.grp = r.grp AND e.direction = r.direction AND e.a = r.b),
 gcomm AS (SELECT grp, direction, a AS node, min(b) AS community FROM greach GROUP BY ALL),
 se AS (SELECT label, direction, i AS a, j AS b FROM alleg WHERE w >= 0.6 UNION ALL SELECT label, direction, j, i FROM alleg WHERE w >= 0.6),
 sreach AS (SELECT label, direction, m AS a, m AS b FROM (SELECT DISTINCT label, direction FROM alleg), range(21) n(m) UNION SELECT r.label, r.direction, r.a, e.b FROM sreach r JOIN se e ON e.label = r.label AND e.direction = r.direction AND e.a = r.b),
@@ -474,7 +474,7 @@ def path_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 _GPAT = f"""WITH RECURSIVE {SGRAPH}, {_walk(_STRONG, 6, '(SELECT 0::BIGINT AS m)')}, steps AS (SELECT label % 2 AS grp, label, direction, path[k] AS u, path[k + 1] AS v FROM walk, range(1, 6) t(k) WHERE len(path) = 6),
 mean AS (SELECT s.grp, u, v, avg(w) AS w FROM steps s JOIN sym e ON e.label = s.label AND e.direction = s.direction AND e.a = u AND e.b = v GROUP BY ALL),
-gw AS (SELECT grp, [0::BIGINT] AS path FROM range(2) t(grp) UNION ALL SELECT grp, path FROM (SELECT w.grp, list_append(w.path, e.v) AS path, row_number() OVER (PARTITION BY w.grp ORDER BY round(abs(e.w), 9) DESC, e.v) AS k
+gw AS (SELECT x::INTEGER AS grp, [0::BIGINT] AS path FROM range(2) t(x) UNION ALL SELECT grp, path FROM (SELECT w.grp, list_append(w.path, e.v) AS path, row_number() OVER (PARTITION BY w.grp ORDER BY round(abs(e.w), 9) DESC, e.v) AS k
   FROM gw w JOIN mean e ON e.grp = w.grp AND e.u = w.path[len(w.path)] WHERE len(w.path) < 6 AND NOT list_contains(w.path, e.v)) WHERE k = 1),
 gpat AS (SELECT grp AS pattern_grp, path FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY len(path) DESC) AS k FROM gw) WHERE k = 1)"""
 
