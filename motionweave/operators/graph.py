@@ -54,20 +54,26 @@ def clustering(edges: DataFrame, keys: list[str], nodes: DataFrame) -> DataFrame
     return joined.select(*keys, "node", F.when(k >= 2, F.coalesce("t2", F.lit(0)) / (k * (k - 1)).cast("double")).otherwise(F.lit(0.0)).alias("coefficient"))
 
 
-def components(edges: DataFrame, keys: list[str], graphs: DataFrame, n: int) -> DataFrame:
-    """(keys, node, component) with the smallest node as label; isolated nodes stand alone.
+def components(edges: DataFrame, keys: list[str], n: int, thresholds: list[float] | None = None) -> DataFrame:
+    """(keys[, threshold], node, component) with the smallest node as label; isolated nodes stand alone.
 
-    Each edge merges two labels in an array of n, so one pass over a graph's edges is exact.
+    A graph's edges are gathered once; each threshold filters that array, and each edge
+    merges two labels in an array of n, so one pass over the edges is exact.  No join, and
+    no row per edge and threshold.
     """
-    listed = edges.groupBy(*keys).agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))).alias("_e"))
-    start = F.sequence(F.lit(0), F.lit(n - 1))
+    cells = F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "w"))
+    packed = edges.groupBy(*keys).agg(cells.alias("_e"))
+    linked, out = F.col("_e"), list(keys)
+    if thresholds is not None:
+        packed, out = packed.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))), [*keys, "threshold"]
+        linked = F.filter("_e", lambda e: e["w"] >= F.col("threshold"))
 
     def merge(labels: Column, e: Column) -> Column:
         a, b = F.get(labels, e["i"]), F.get(labels, e["j"])
         return F.transform(labels, lambda x: F.when(x == F.greatest(a, b), F.least(a, b)).otherwise(x))
 
-    labels = F.aggregate(F.coalesce("_e", F.array().cast("array<struct<i:int,j:int>>")), start, merge)
-    return graphs.select(*keys).distinct().join(listed, keys, "left").select(*keys, F.posexplode(labels).alias("node", "component"))
+    labels = F.aggregate(linked, F.sequence(F.lit(0), F.lit(n - 1)), merge)
+    return packed.select(*out, F.posexplode(labels).alias("node", "component"))
 
 
 def component_sizes(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,12 +141,16 @@ def community_density(edges: DataFrame, members: DataFrame, keys: list[str]) ->
 
 
 def adjusted_rand(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    """Adjusted Rand index of two labelings of the same nodes; 1 if it is not defined."""
-    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    """Adjusted Rand index of two labelings of the same nodes; 1 if it is not defined.
+
+    The pairs within a row total n_a are the sum of n (n_a - 1) / 2 over its cells, so the
+    contingency table is read once, with windows instead of joins.
+    """
     cell = pairs.groupBy(*keys, a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rows = cell.groupBy(*keys, a).agg(F.sum("n").alias("n")).groupBy(*keys).agg(two("n").alias("ra"), F.sum("n").alias("total"))
-    cols = cell.groupBy(*keys, b).agg(F.sum("n").alias("n")).groupBy(*keys).agg(two("n").alias("rb"))
-    both = cell.groupBy(*keys).agg(two("n").alias("index")).join(rows, keys).join(cols, keys)
+    total = lambda *c: F.sum("n").over(Window.partitionBy(*keys, *c))
+    cell = cell.withColumns({"_a": total(a), "_b": total(b)})
+    two = lambda m: F.sum(F.col("n") * (F.col(m) - 1) / 2)
+    both = cell.groupBy(*keys).agg(two("n").alias("index"), two("_a").alias("ra"), two("_b").alias("rb"), F.sum("n").alias("total"))
     expected = F.try_divide(F.col("ra") * F.col("rb"), F.nullif(F.col("total") * (F.col("total") - 1) / 2, F.lit(0.0)))
     most = (F.col("ra") + F.col("rb")) / 2
     return both.select(*keys, F.coalesce(F.try_divide(F.col("index") - expected, F.nullif(most - expected, F.lit(0.0))), F.lit(1.0)).alias("ari"))

@@ -161,7 +161,7 @@ def modular_organisation(edges: DataFrame, graph_keys: list[str], n: int, *, run
     mean = own.groupBy("grp", *shared, "i", "j").agg(F.avg("w").alias("w"))
 
     def communities(e: DataFrame, k: list[str]) -> DataFrame:
-        return graph.components(e.filter(F.col("w") >= threshold), k, e, n).withColumnRenamed("component", "community")
+        return graph.components(e, k, n, [threshold]).drop("threshold").withColumnRenamed("component", "community")
 
     group_c, subject_c = communities(mean, ["grp", *shared]), communities(own, ["grp", *keys])
     spread = own.select("grp", *keys).distinct().join(group_c, ["grp", *shared])

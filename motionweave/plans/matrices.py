@@ -231,10 +231,10 @@ _THR = _thr(THRESHOLDS)
 _TKEYS = [*EDGE_KEYS, "threshold"]
 
 
-def _thresholds(spark: SparkSession, sf: str, values: list[float] = THRESHOLDS) -> tuple[DataFrame, DataFrame]:
+def _thresholds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     g = shifted_graphs(spark, sf)
-    all_ = g.select(*EDGE_KEYS).distinct().withColumn("threshold", F.explode(F.array(*map(F.lit, values))))
-    return graph.at_thresholds(g, values), all_
+    all_ = g.select(*EDGE_KEYS).distinct().withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
+    return graph.at_thresholds(g, THRESHOLDS), all_
 
 
 @query(
@@ -262,8 +262,7 @@ _COMP = _comp(THRESHOLDS)
 
 
 def _communities(spark: SparkSession, sf: str, values: list[float] = THRESHOLDS) -> DataFrame:
-    e, all_ = _thresholds(spark, sf, values)
-    return graph.components(e, _TKEYS, all_, CHANNELS)
+    return graph.components(shifted_graphs(spark, sf), EDGE_KEYS, CHANNELS, values)
 
 
 @query("threshold_communities", f"{_COMP} SELECT * FROM comp")
@@ -313,7 +312,7 @@ def _group_communities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFra
     """Subject allegiance, subject communities and group communities, at a threshold of 0.6."""
     a = _allegiance(spark, sf).withColumn("grp", F.col("label") % 2)
     mean = a.groupBy("grp", "direction", "i", "j").agg(F.avg("w").alias("w"))
-    of = lambda e, k: graph.components(e.filter("w >= 0.6"), k, e, CHANNELS).withColumnRenamed("component", "community")
+    of = lambda e, k: graph.components(e, k, CHANNELS, [0.6]).drop("threshold").withColumnRenamed("component", "community")
     return a, of(a, ["grp", *SUBJECT_KEYS]), of(mean, ["grp", "direction"])
 
 

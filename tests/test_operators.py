@@ -107,7 +107,7 @@ def test_greedy_path_and_prefix(spark):
 
 def test_components_and_clustering(spark):
     e = edges_of(spark, [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (3, 4, 1.0)])
-    c = {r.node: r.component for r in graph.components(e, ["g"], e, 6).collect()}
+    c = {r.node: r.component for r in graph.components(e, ["g"], 6).collect()}
     assert c == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
     k = {r.node: r.coefficient for r in graph.clustering(e, ["g"], graph.nodes_of(e, ["g"], 6)).collect()}
     assert k == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
