@@ -26,10 +26,11 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionweave.llm.common import column, record, slices, table
+from motionweave.llm.common import column, materialise, record, slices, table
 from motionweave.llm.tokens import mix
 
 WINDOW, PERCENT, SHORT, LEAST = 13, 80, 8, 5
@@ -133,25 +134,40 @@ class Benchmark:
         return (place, window, best) if best >= least else None
 
 
-def blocks(benchmark: DataFrame) -> list[Benchmark]:
-    """The benchmark in blocks of about ``BLOCK_CHARS`` characters; none of them is left out."""
+def count_blocks(benchmark: DataFrame) -> int:
+    """How many blocks of about ``BLOCK_CHARS`` characters the benchmark has."""
+    return -(-(benchmark.select("text").distinct().agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
+
+
+def blocks(benchmark: DataFrame, n: int) -> Iterator[Benchmark]:
+    """The benchmark's ``n`` blocks, one after the other; no item is left out."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // BLOCK_CHARS)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n or 1))
-    return [Benchmark([tuple(r) for r in items.filter(block == k).orderBy("item_id", "text").collect()]) for k in range(n)]
+    for k in range(n):
+        yield Benchmark([tuple(r) for r in items.filter(block == k).orderBy("item_id", "text").collect()])
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_token", pa.int64()), ("n_aligned", pa.int32()), ("n_equal", pa.int32())])
 
 
+_DDL = "doc_id long, item_id long, doc_token long, n_aligned int, n_equal int"
+
+
+def _block_step(docs: DataFrame, block: Benchmark, several: bool, step: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
+    """``step`` with one block.  A single block stays lazy; of several, each is written and its
+    broadcast freed before the next one is sent, so memory does not grow with their number."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    out = step(docs, shared)
+    if several:
+        out = materialise(out, "benchmark-block")
+        shared.destroy()
+    return out
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that overlap, with the best window."""
-    context = docs.sparkSession.sparkContext
-
-    def search(block: Benchmark) -> DataFrame:
-        shared = context.broadcast(block)
 
+    def search(docs: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench = shared.value
             for whole in batches:
@@ -163,32 +179,33 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         doc_token=[r[2] for r in rows], n_aligned=[r[3] for r in rows], n_equal=[r[4] for r in rows],
                     )
 
-        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, doc_token long, n_aligned int, n_equal int")
+        return docs.select("doc_id", "text").mapInArrow(run, _DDL)
 
-    parts = [search(b) for b in blocks(benchmark)] or [docs.sparkSession.createDataFrame([], "doc_id long, item_id long, doc_token long, n_aligned int, n_equal int")]
+    n = count_blocks(benchmark)
+    parts = [_block_step(docs, b, n > 1, search) for b in blocks(benchmark, n)]
+    found = reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], _DDL)
     best = F.max(F.struct("n_equal", (-F.col("doc_token")).alias("at"), "n_aligned")).alias("b")
-    found = reduce(DataFrame.union, parts).groupBy("doc_id", "item_id").agg(best)
+    found = found.groupBy("doc_id", "item_id").agg(best)
     return found.select("doc_id", "item_id", (-F.col("b.at")).alias("doc_token"), F.col("b.n_aligned").alias("n_aligned"), F.col("b.n_equal").alias("n_equal"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no item, with all their columns; nothing is shuffled."""
-    for block in blocks(benchmark):
-        docs = _without(docs, block)
-    return docs
-
 
-def _without(docs: DataFrame, block: Benchmark) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    def without(docs: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    clean = np.ones(batch.num_rows, bool)
+                    clean[[r[0] for r in shared.value.overlaps(column(batch, "text").to_pylist())]] = False
+                    yield batch.filter(pa.array(clean))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                clean = np.ones(batch.num_rows, bool)
-                clean[[r[0] for r in shared.value.overlaps(column(batch, "text").to_pylist())]] = False
-                yield batch.filter(pa.array(clean))
+        return docs.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    n = count_blocks(benchmark)
+    for block in blocks(benchmark, n):
+        docs = _block_step(docs, block, n > 1, without)
+    return docs
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
