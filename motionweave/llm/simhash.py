@@ -196,8 +196,9 @@ def components(fps: DataFrame) -> DataFrame:
     groups = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints")
     roots = connected(links(groups, groups.count()))
     named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.filter("root is not null").groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("rows"))
-    several = named.select("fp", "root").join(smallest.filter("rows > 1"), "root").select("fp", "component_id")
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("rows")).filter("rows > 1")
+    # Written first, so that the join has exchanges of its own and a large component can be split.
+    several = named.select("fp", "root").join(materialise(smallest, "components"), "root").select("fp", "component_id")
     joined = fps.join(several.withColumn("grouped", F.lit(True)), "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
