@@ -197,9 +197,11 @@ def components(fps: DataFrame) -> DataFrame:
     roots = connected(links(groups, groups.count()))
     named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("rows")).filter("rows > 1")
-    # Written first, so that the join has exchanges of its own and a large component can be split.
+    # Both are written first, so that each join has exchanges of its own and a large
+    # component, or a frequent fingerprint, can be split.
     several = named.select("fp", "root").join(materialise(smallest, "components"), "root").select("fp", "component_id")
-    joined = fps.join(several.withColumn("grouped", F.lit(True)), "fp", "left")
+    several = materialise(several.withColumn("grouped", F.lit(True)), "groups")
+    joined = fps.join(several, "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
