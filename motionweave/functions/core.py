@@ -24,7 +24,7 @@ def safe_corr(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
 
 
-def poisoned_avg(c: str, of: str = "*") -> Column:
+def poisoned_avg(c: str) -> Column:
     """Mean that is NULL as soon as one value is (numpy's mean over NaN)."""
     return F.when(F.count(F.lit(1)) == F.count(c), F.avg(c))
 

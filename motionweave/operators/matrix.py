@@ -114,7 +114,7 @@ def full_grid(edges: DataFrame, keys: list[str], value: str, diagonal: Column, n
     return cells.unionByName(own)
 
 
-def summarise_regions(grid: DataFrame, keys: list[str], value: str, region: Column | None = None, per_node: int = 4) -> DataFrame:
+def summarise_regions(grid: DataFrame, keys: list[str], value: str, per_node: int = 4) -> DataFrame:
     """Mean of the cells of every pair of regions (``per_node`` neighbours make a region)."""
     of = lambda c: F.floor(F.col(c) / per_node).cast("long")
     return grid.groupBy(*keys, of("a").alias("region_a"), of("b").alias("region_b")).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("cells"))
