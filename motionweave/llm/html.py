@@ -29,7 +29,9 @@ from motionweave.llm.common import column, materialise, record, table
 BROADCAST_BYTES = 16 << 20
 DECAY = 0.8
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: A quote opens a value only after an equals sign, so that a stray one swallows no text.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>|<[!?/][^>]*>""", re.S)
+_OPEN_COMMENT = re.compile(r"<!--.*()()()\Z", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,40 +62,48 @@ _P_ENDS = frozenset(
 
 
 class Page:
-    """A parsed page: elements in document order, and runs of text that name their element."""
+    """A parsed page: elements in document order, and runs of text that name their element.
 
-    __slots__ = ("tags", "parents", "dropped", "paths", "runs")
+    Equal paths share a number and know only their last step, so memory and time grow
+    with the page and not with its depth.
+    """
+
+    __slots__ = ("tags", "parents", "dropped", "in_article", "path", "steps", "runs", "_numbers", "_open_tags")
 
     def __init__(self, source: str) -> None:
-        self.tags, self.parents, self.dropped, self.paths = ["#root"], [-1], [False], [""]
+        self.tags, self.parents, self.dropped, self.in_article, self.path = ["#root"], [-1], [False], [False], [0]
+        #: Of every path: the number of its parent's, its last step and its length in characters.
+        self.steps: list[tuple[int, str, int]] = [(-1, "", 0)]
+        self._numbers: dict[tuple[int, str], int] = {}
+        self._open_tags: dict[str, int] = {}
         #: (element, text); text None is a boundary between blocks.
         self.runs: list[tuple[int, str | None]] = []
-        stack, at, end = [0], 0, len(source)
+        stack, at, end, last = [0], 0, len(source), source.rfind(">")
         while at < end:
-            m = _TAG.search(source, at)
+            # Past the last ">" only an unclosed comment is markup.
+            m = _TAG.search(source, at) if at <= last else _OPEN_COMMENT.search(source, at)
             if m is None:
                 self.runs.append((stack[-1], source[at:]))
                 break
             if m.start() > at:
                 self.runs.append((stack[-1], source[at : m.start()]))
             at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            if not m[2]:
                 continue
-            name = name.lower()
+            name = m[2].lower()
             if name not in _INLINE:
                 self.runs.append((stack[-1], None))
-            if m[1] or m[4]:
+            if m[1]:
                 self._close(stack, name)
                 continue
             self._imply(stack, name)
-            attrs = m[3] if m[2] else m[6]
-            node = self._open(stack[-1], name, attrs)
+            node = self._open(stack[-1], name, m[3])
             if name in _RAW_END:
                 e = _RAW_END[name].search(source, at)
                 at = e.end() if e else end
-            elif name not in _VOID and not attrs.endswith("/"):
+            elif name not in _VOID and not m[3].endswith("/"):
                 stack.append(node)
+                self._open_tags[name] = self._open_tags.get(name, 0) + 1
 
     def _open(self, parent: int, name: str, attrs: str) -> int:
         kind, drop = "", name in _DROP or self.dropped[parent]
@@ -110,25 +120,38 @@ class Page:
                 if name in ("body", "html", "article", "main"):
                     drop = bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", kind)) and name == "article"
         if name == "header" and not drop:
-            drop = not self._inside(parent, "article")
+            drop = not self.in_article[parent]
         step = name + "." + _DIGITS.sub("N", kind.split()[0].lower()) if kind else name
         self.tags.append(name)
         self.parents.append(parent)
         self.dropped.append(drop)
-        self.paths.append(f"{self.paths[parent]}/{step}" if parent else step)
+        self.in_article.append(name == "article" or self.in_article[parent])
+        up = self.path[parent]
+        number = self._numbers.setdefault((up, step), len(self.steps))
+        if number == len(self.steps):
+            self.steps.append((up, step, self.steps[up][2] + len(step) + (up > 0)))
+        self.path.append(number)
         return len(self.tags) - 1
 
-    def _inside(self, node: int, tag: str) -> bool:
-        while node >= 0:
-            if self.tags[node] == tag:
-                return True
-            node = self.parents[node]
-        return False
+    def path_name(self, number: int) -> str:
+        """A path as text, such as ``html/body/div.post-N``; that of the root is empty."""
+        steps = []
+        while number > 0:
+            number, step, _ = self.steps[number]
+            steps.append(step)
+        return "/".join(reversed(steps))
+
+    def _pop(self, stack: list[int], k: int) -> None:
+        for node in stack[k:]:
+            self._open_tags[self.tags[node]] -= 1
+        del stack[k:]
 
     def _close(self, stack: list[int], name: str) -> None:
+        if not self._open_tags.get(name):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tags[stack[k]] == name:
-                del stack[k:]
+                self._pop(stack, k)
                 return
             if name in _INLINE and self.tags[stack[k]] in _CONTAINER:
                 return
@@ -140,10 +163,15 @@ class Page:
             ends, stops = _CLOSES[name]
         else:
             return
+        for tag in ends:
+            if self._open_tags.get(tag):
+                break
+        else:
+            return
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[k]]
             if tag in ends:
-                del stack[k:]
+                self._pop(stack, k)
                 if name != "tr":
                     return
             elif tag in stops:
@@ -169,37 +197,40 @@ class Page:
                 words[up] += DECAY * words[k]
                 links[up] += DECAY * links[k]
         best: dict[int, float] = {}
+        homes = self._homes()
         for k in range(n):
             if owner[k] == k and words[k] > 0 and not self.dropped[k]:
                 score = words[k] - links[k]
                 if score > 0:
-                    home = self._home(k)
-                    best[home] = max(best.get(home, 0.0), score)
+                    best[homes[k]] = max(best.get(homes[k], 0.0), score)
         top = max(best.values(), default=0.0)
         found: dict[str, int] = {}
         for k, v in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:3]:
-            found.setdefault(self.paths[k], int(1000 * v / top))
+            found.setdefault(self.path_name(self.path[k]), int(1000 * v / top))
         return list(found.items())
 
-    def _home(self, node: int) -> int:
-        """The article (or else the main element) around a container, or the container itself."""
-        home, k = node, node
-        while k > 0:
-            if self.tags[k] == "article" and not self.dropped[k]:
-                return k
-            if self.tags[k] == "main" and not self.dropped[k]:
-                home = k
-            k = self.parents[k]
-        return home
+    def _homes(self) -> list[int]:
+        """Of every element: the nearest article around it, or else the outermost main element, or itself."""
+        article, main = [-1], [-1]
+        for k in range(1, len(self.tags)):
+            up, kept = self.parents[k], not self.dropped[k]
+            article.append(k if kept and self.tags[k] == "article" else article[up])
+            main.append(k if kept and self.tags[k] == "main" and main[up] < 0 else main[up])
+        return [a if a >= 0 else m if m >= 0 else k for k, (a, m) in enumerate(zip(article, main))]
+
+    def _on(self, path: str) -> list[bool]:
+        """Which elements are on ``path``."""
+        same = {n for n, (_, _, size) in enumerate(self.steps) if size == len(path) and self.path_name(n) == path}
+        return [n in same for n in self.path]
 
     def text(self, path: str | None) -> str:
         """Text of the elements on ``path``; of the best own container if there is none."""
-        inside = [p == path for p in self.paths] if path is not None else []
+        inside = self._on(path) if path is not None else []
         if not any(inside) or not (out := self._text(inside)):
             own = self.votes()
             if not own:
                 return ""
-            out = self._text([p == own[0][0] for p in self.paths])
+            out = self._text(self._on(own[0][0]))
         return out
 
     def _text(self, inside: list[bool]) -> str:

@@ -162,6 +162,21 @@ def test_html_drops_what_is_not_text():
     assert Page("").text(None) == "" and Page("<p>").text("html/body") == ""
 
 
+def test_html_odd_markup():
+    assert Page("<p title=don't>one isn't</p> two").text(None) == "one isn't two"
+    assert Page('<div class="a>b" id=\'x"y\'>text</div>').text(None) == "text"
+    assert Page("a b<p>c<!-- gone").text(None) == "a b c"
+    page = Page("<div>" * 50_000 + "deep" + "</i>" * 50_000)
+    assert page.text(None) == "deep" and len(page.steps) == 50_001
+    assert Page("<a " * 100_000).text(None).startswith("<a <a")
+
+
+def test_html_paths():
+    page = Page("<html><body><div class='post-7 wide'>one</div><div class='w-1/2'><p>two</p></div><div class='post-8'>three</div></body></html>")
+    assert page.text("html/body/div.post-N") == "one three" and page.text("html/body/div.w-N/N") == "two"
+    assert [page.path_name(n) for n in page.path][-1] == "html/body/div.post-N"
+
+
 def test_compaction_plan_and_conflict(spark, tmp_path):
     root = f"file://{tmp_path}/t"
     t = shards.ShardTable(spark, root)
