@@ -12,17 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = b" \t\n\x0b\x0c\r"
+_OWN_DIR = "spark.motionweave.sharedDir"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local folder is set.
+    Only where that is unset and all runs on one machine (tests), a temporary folder is
+    made, once a session; its name is kept in a setting of our own, since Spark lets no
+    running session change ``spark.checkpoint.dir``.  A cluster must name its folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_DIR, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="motionweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.conf.set(_OWN_DIR, path)
     return path.rstrip("/")
 
 

@@ -8,7 +8,7 @@ import pytest
 import zstandard
 from pyarrow import fs
 
-from motionweave.llm import bpe, decontaminate, elias_fano, golay, quality_model, shards, simhash, warc
+from motionweave.llm import bpe, common, decontaminate, elias_fano, golay, quality_model, shards, simhash, warc
 from motionweave.llm.components import connected, stars
 from motionweave.llm.html import Page
 
@@ -207,3 +207,26 @@ def test_pairwise_model_needs_its_pairs():
     fresh = rng.uniform(-1, 1, (1000, 3))
     assert ((m.score(fresh) > 0.5) == ((fresh[:, 0] > 0) ^ (fresh[:, 1] > 0))).mean() > 0.9
     assert quality_model.fit(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
+
+
+class _Session:
+    """The parts of a session that the shared folder needs."""
+
+    def __init__(self, master, **settings):
+        self.conf, self.settings = self, settings
+        self.sparkContext = type("Context", (), {"master": master})
+
+    def get(self, key, default):
+        return self.settings.get(key.replace(".", "_"), default)
+
+    def set(self, key, value):
+        assert key != "spark.checkpoint.dir"  # Spark refuses that in a running session
+        self.settings[key.replace(".", "_")] = value
+
+
+def test_shared_folder():
+    assert common.shared_dir(_Session("yarn", spark_checkpoint_dir="hdfs://n/shared/")) == "hdfs://n/shared"
+    alone = _Session("local[2]")
+    assert common.shared_dir(alone).startswith("file://") and common.shared_dir(alone) == common.shared_dir(alone)
+    with pytest.raises(ValueError):
+        common.shared_dir(_Session("spark://host:7077"))
