@@ -6,6 +6,7 @@ building a matrix needs one aggregation and no join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from motionweave.functions import kernels
 from motionweave.functions.core import poisoned_avg, poisoned_std, safe_corr
 
+#: Distances held at once by the kernel of distance correlations.
+BLOCK_CELLS = 4_000_000
+
 
 def expand_pairs(df: DataFrame, keys: list[str], values: str, n: int) -> DataFrame:
     """One row per sample and pair i < j: i, j, x, y."""
@@ -62,11 +66,24 @@ def lagged(df: DataFrame, keys: list[str], order: str, values: str) -> DataFrame
 
 
 def distance_correlations(df: DataFrame, keys: list[str], order: str, values: str) -> DataFrame:
-    """Distance correlation of every pair i <= j."""
+    """Distance correlation of every pair i <= j.
+
+    All pairs come from one product of the centred distances, in blocks of rows, so memory
+    does not grow with the square of the samples.
+    """
 
     def f(m: np.ndarray) -> list[tuple]:
-        centred = [kernels.centred_distances(m[:, k]) for k in range(m.shape[1])]
-        return [(i, j, kernels.distance_correlation(centred[i], centred[j])) for i in range(m.shape[1]) for j in range(i, m.shape[1])]
+        n, k = m.shape
+        step = max(1, BLOCK_CELLS // (n * k))
+        blocks = [slice(at, at + step) for at in range(0, n, step)]
+        rows = np.concatenate([np.abs(m[b, None] - m[None]).mean(1) for b in blocks])
+        gram = np.zeros((k, k))
+        for b in blocks:
+            a = (np.abs(m[b, None] - m[None]) - rows[b, None] - rows[None] + rows.mean(0)).reshape(-1, k)
+            gram += a.T @ a
+        gram /= n * n
+        own = np.diag(gram)
+        return [(i, j, 0.0 if own[i] * own[j] <= 0 else math.sqrt(max(0.0, gram[i, j]) / math.sqrt(own[i] * own[j]))) for i in range(k) for j in range(i, k)]
 
     return _pair_kernel(df, keys, order, values, key_schema(df, keys) + ", i long, j long, dcor double", f)
 

@@ -71,6 +71,12 @@ def distance_corr(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.distance_correlations(x, ["label"], "frame", "v").withColumn("dcor", r6("dcor"))
 
 
+@query("distance_corr_all")
+def distance_corr_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of channels of every subject, cycle and direction; ``distance_corr`` is the part that its SQL checks."""
+    return matrix.distance_correlations(directed_samples(spark, sf), EDGE_KEYS, "frame", "v").withColumn("dcor", r6("dcor"))
+
+
 _SIDE = f"""{SUBJ}, {DEMO}, side AS (SELECT id AS label, CASE WHEN upper_right > upper_left THEN 'right' WHEN upper_right < upper_left THEN 'left' WHEN handedness = 1 THEN 'right' ELSE 'left' END AS u,
   CASE WHEN lower_right > lower_left THEN 'right' WHEN lower_right < lower_left THEN 'left' WHEN handedness = 1 THEN 'right' ELSE 'left' END AS l FROM demo),
 map AS (SELECT label, o AS old, CASE WHEN o = 20 THEN 20 WHEN (o < 14 AND u = 'left') OR (o >= 14 AND l = 'left') THEN o + 1 - 2 * (o % 2) ELSE o END AS new FROM side, range(21) t(o))"""
