@@ -1,33 +1,40 @@
 """Quality rules: base counts, then a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed word unigrams and bigrams are counted over *all*
-documents: one over the whole corpus, one over the trusted target (documents labelled
-as of good quality).  A document's score is the mean, over its n-grams, of
-log(P_target / P_raw); it is kept if the base rules pass and the score is at least a
-fixed threshold.  The ratio table is rounded to integers (millionths), so sums do not
-depend on order and every run gives the same verdicts.
-
-Null and empty texts have no words and fail the base rules.  With no trusted document
-the ratios are all zero and only the base rules decide.  Repeated rows are judged alike
-(each counts in the corpus); only doc_id and text are read, so extra columns do not
-matter.
+documents of a language: one over all of them, one over the trusted target (documents
+labelled as of good quality).  The language is op6's prediction, so like is compared with
+like and a verdict does not hang on how labels are spread over languages.  A document's
+score is the mean, over its n-grams, of log(P_target / P_raw); it is kept if the base rules
+pass and the score is at least a fixed threshold.  The ratio tables are rounded to integers
+(millionths), so sums do not depend on order and every run gives the same verdicts.
+
+In a language whose trusted documents have fewer than ``BUCKETS`` n-grams (fewer than the
+pseudo-counts they are smoothed by) the ratios are zero and only the base rules decide.
+
+Null and empty texts have no words and fail the base rules.  Repeated rows are judged alike
+(each counts in the corpus); only doc_id, text and (to learn the languages) lang are read,
+so extra columns do not matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motionweave.llm import langid
 from motionweave.llm.common import column, record, slices, table, text_bytes
 from motionweave.llm.tokens import Words, mix
 
 BUCKETS = 1 << 16
 #: Mean log ratio in millionths below which a document is rejected.
 THRESHOLD = -200_000
+#: Text bytes judged at once; their languages take most of the memory.
+SLICE = 1 << 20
 #: Trusted ids are broadcast up to this many; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 MIN_WORDS, REPEAT_PERCENT = 10, 20
@@ -43,31 +50,46 @@ def buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return grams.astype(np.int64), np.concatenate([w.doc, w.doc[at]])
 
 
-def count_grams(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(target, raw) counts of every bucket over all documents.
+@dataclass
+class Ratios:
+    """The languages, and log(P_target / P_raw) in millionths of every bucket in each of them (the last row: none)."""
 
-    A task sends one row per bucket at most, so what reaches the driver is bounded by
-    ``BUCKETS`` rows.
+    model: langid.Model
+    table: np.ndarray
+
+
+def language_rows(texts: pa.Array, model: langid.Model) -> np.ndarray:
+    """Row of each text's language; the last one for texts of none."""
+    code = {x: k for k, x in enumerate(model.languages)}
+    return np.array([code.get(x, len(code)) for x in model.predict(texts.to_pylist())[0]], np.int64)
+
+
+def count_grams(docs: DataFrame, trusted: DataFrame, model: langid.Model) -> tuple[np.ndarray, np.ndarray]:
+    """(target, raw) counts of every language and bucket over all documents.
+
+    A task sends one row per language and bucket at most, and so does the driver get.
     """
     marked = docs.select("doc_id", "text").join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left").select("text", "trusted")
     out = pa.schema([("bucket", pa.int32()), ("target", pa.int64()), ("raw", pa.int64())])
+    shared, n = docs.sparkSession.sparkContext.broadcast(model), (len(model.languages) + 1) * BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        target, raw = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 good = np.array([bool(x) for x in column(batch, "trusted").to_pylist()])
                 grams, doc = buckets(Words(column(batch, "text")))
-                raw += np.bincount(grams, minlength=BUCKETS)
-                target += np.bincount(grams[good[doc]], minlength=BUCKETS)
+                grams = grams + BUCKETS * language_rows(column(batch, "text"), shared.value)[doc]
+                raw += np.bincount(grams, minlength=n)
+                target += np.bincount(grams[good[doc]], minlength=n)
         at = np.flatnonzero(raw)
         yield record(out, bucket=at.astype(np.int32), target=target[at], raw=raw[at])
 
-    sums = marked.mapInArrow(run, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
-    target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for r in sums.collect():
-        target[r.bucket], raw[r.bucket] = r.target, r.raw
-    return target, raw
+    sums = marked.mapInArrow(run, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
+    target, raw = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at = sums["bucket"].to_numpy()
+    target[at], raw[at] = sums["target"].to_numpy(), sums["raw"].to_numpy()
+    return target.reshape(-1, BUCKETS), raw.reshape(-1, BUCKETS)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -76,21 +98,23 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """log(P_target / P_raw) of every bucket in millionths.
+def fit(docs: DataFrame, labels: DataFrame) -> Ratios:
+    """log(P_target / P_raw) of every bucket within each language.
 
     The raw multinomial has add-one smoothing; the target is smoothed towards the raw one
     by ``BUCKETS`` pseudo-counts, so a bucket with little evidence stays near zero.
     """
-    target, raw = count_grams(docs, trusted_ids(labels))
-    if not target.any():
-        return np.zeros(BUCKETS, np.int64)
-    q = (raw + 1) / (raw.sum() + BUCKETS)
-    p = (target + BUCKETS * q) / (target.sum() + BUCKETS)
-    return np.rint(1e6 * np.log(p / q)).astype(np.int64)
+    model = langid.train(docs)
+    ratios = np.zeros((len(model.languages) + 1, BUCKETS), np.int64)
+    for k, (target, raw) in enumerate(zip(*count_grams(docs, trusted_ids(labels), model))):
+        if target.sum() >= BUCKETS:
+            q = (raw + 1) / (raw.sum() + BUCKETS)
+            p = (target + BUCKETS * q) / (target.sum() + BUCKETS)
+            ratios[k] = np.rint(1e6 * np.log(p / q))
+    return Ratios(model, ratios)
 
 
-def rate(texts: pa.Array, ratios: np.ndarray) -> dict[str, np.ndarray]:
+def rate(texts: pa.Array, ratios: Ratios) -> dict[str, np.ndarray]:
     """Base counts, score (millionths) and verdicts of a column of texts."""
     w = Words(texts)
     n = w.counts
@@ -113,7 +137,7 @@ def rate(texts: pa.Array, ratios: np.ndarray) -> dict[str, np.ndarray]:
     repeats = np.bincount(w.doc[cover[:-1] > 0], minlength=w.rows)
     grams, doc = buckets(w)
     # Exact: integers below 2^53 in every document of under 10^9 n-grams.
-    total = np.bincount(doc, ratios[grams].astype(np.float64), minlength=w.rows)
+    total = np.bincount(doc, ratios.table[language_rows(texts, ratios.model)[doc], grams].astype(np.float64), minlength=w.rows)
     score = np.floor(total / np.maximum(np.bincount(doc, minlength=w.rows), 1)).astype(np.int64)
     failed = (n < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * n)
     return {
@@ -129,25 +153,25 @@ _OUT = pa.schema(
 _DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 
-def judge(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+def judge(docs: DataFrame, ratios: Ratios) -> DataFrame:
     """One row per document with counts, verdict and score."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 yield record(_OUT, doc_id=column(batch, "doc_id").cast(pa.int64()), **rate(column(batch, "text"), shared.value))
 
     return docs.select("doc_id", "text").mapInArrow(run, _DDL)
 
 
-def keep(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+def keep(docs: DataFrame, ratios: Ratios) -> DataFrame:
     """The documents that pass, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 yield batch.filter(pa.array(rate(column(batch, "text"), shared.value)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
