@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +106,89 @@ def longest_path(edges: DataFrame, keys: list[str], n: int) -> DataFrame:
     return near.select(*keys, F.aggregate(F.sequence(F.lit(2), F.lit(n)), first, grow)["best"].alias("path"))
 
 
+#: Nodes of a component that the exact search takes (four bytes for each of 2^n node sets).
+MOST_NODES = 24
+#: Steps of the walk that looks for a path over a whole component, before the search over node sets.
+WALK_STEPS = 20_000
+
+
+def longest_in(near: dict[int, list[int]]) -> list[int]:
+    """Longest simple path of a connected graph (sorted neighbours by node); the first by node order on a tie.
+
+    A depth-first walk in node order ends at once where it covers all nodes.  If it does not
+    within ``WALK_STEPS``, a table over node sets (of every set, the nodes from which a path
+    covers just that set) gives the same answer; neither holds paths.
+    """
+    nodes = sorted(near)
+    n, steps = len(nodes), 0
+    for start in nodes:
+        path, used, left = [start], {start}, [iter(near[start])]
+        while path and steps <= WALK_STEPS:
+            if len(path) == n:
+                return path
+            steps += 1
+            k = next((k for k in left[-1] if k not in used), None)
+            if k is None:
+                used.discard(path.pop())
+                left.pop()
+            else:
+                path.append(k)
+                used.add(k)
+                left.append(iter(near[k]))
+    if n > MOST_NODES:
+        raise ValueError(f"a component of {n} nodes; the exact search takes {MOST_NODES}")
+    at = {v: k for k, v in enumerate(nodes)}
+    adjacent = [sum(1 << at[x] for x in near[v]) for v in nodes]
+    sets = np.arange(1 << n, dtype=np.uint32)
+    size = np.bitwise_count(sets)
+    order = np.argsort(size, kind="stable")
+    cuts = np.searchsorted(size[order], np.arange(n + 2))
+    begin = np.zeros(1 << n, np.uint32)
+    begin[1 << np.arange(n)] = 1 << np.arange(n)
+    for c in range(2, n + 1):
+        layer = sets[order[cuts[c] : cuts[c + 1]]]
+        for k in range(n):
+            bit = np.uint32(1 << k)
+            own = layer[(layer & bit) != 0]
+            begin[own] |= np.where((begin[own ^ bit] & np.uint32(adjacent[k])) != 0, bit, np.uint32(0))
+    longest = int(size[begin != 0].max())
+    live = sets[(size == longest) & (begin != 0)]
+    path, allowed = [], (1 << n) - 1
+    for _ in range(longest):
+        k = next(k for k in range(n) if allowed >> k & 1 and ((begin[live] & np.uint32(1 << k)) != 0).any())
+        live = live[(begin[live] & np.uint32(1 << k)) != 0] ^ np.uint32(1 << k)
+        path.append(nodes[k])
+        allowed = adjacent[k]
+    return path
+
+
+def longest_path_exact(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Longest simple path of whole graphs, dense or sparse; the first one by node order on a tie."""
+    head = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        near: dict[int, set[int]] = {}
+        for a, b in zip(t["i"].to_pylist(), t["j"].to_pylist()):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        found, seen = [], set()
+        for v in near:
+            if v in seen:
+                continue
+            part, todo = {v}, [v]
+            while todo:
+                fresh = near[todo.pop()] - part
+                part |= fresh
+                todo += fresh
+            seen |= part
+            found.append(longest_in({k: sorted(near[k]) for k in part}))
+        best = min(found, key=lambda p: (-len(p), p))
+        yield pa.RecordBatch.from_arrays([pa.array([t[k][0].as_py()], t[k].type) for k in keys] + [pa.array([best], pa.list_(pa.int64()))], names=[*keys, "path"])
+
+    return edges.select(*keys, "i", "j").groupBy(*keys).applyInArrow(run, f"{head}, path array<bigint>")
+
+
 def linear_layout(nodes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Positions (t, 1 - t) along a diagonal, by rank."""
     w = Window.partitionBy(*keys)

@@ -528,6 +528,13 @@ def longest_simple_path(spark: SparkSession, sf: str) -> DataFrame:
     return paths.longest_path(sparse, SUBJECT_KEYS, 7).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "-"))
 
 
+@query("longest_simple_path_all")
+def longest_simple_path_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Longest path of every subject's whole graph at each threshold; ``longest_simple_path`` is the part that its SQL checks."""
+    g = graph.at_thresholds(subject_graphs(spark, sf), THRESHOLDS)
+    return paths.longest_path_exact(g, [*SUBJECT_KEYS, "threshold"]).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "-"))
+
+
 @query(
     "linear_positions",
     f"WITH {_RANK} SELECT direction, node, round((rank - 1) / 20, 6) + 0.0 AS x, round(1 - (rank - 1) / 20, 6) + 0.0 AS y FROM rk",

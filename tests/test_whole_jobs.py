@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from motionweave.operators import paths
 from motionweave.plans import registry
 
 
@@ -54,3 +55,43 @@ def test_op8_keeps_clean_documents_of_a_thinly_labelled_language(spark, tmp_path
     # Where there is evidence, the ratio still decides.
     junk = [k for k, _, lang, bad in rows if bad and lang == "en"]
     assert not any(got[k].kept for k in junk)
+
+
+def _longest(near):
+    """By trying all paths."""
+    best = []
+
+    def walk(path):
+        nonlocal best
+        best = min(best, list(path), key=lambda p: (-len(p), p))
+        for k in near[path[-1]]:
+            if k not in path:
+                walk(path + [k])
+
+    for v in sorted(near):
+        walk([v])
+    return best
+
+
+def test_longest_path_of_whole_graphs(spark, monkeypatch):
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for g in range(12):
+        edges = [(i, j) for i in range(8) for j in range(i + 1, 8) if rng.random() < 0.1 + 0.05 * g] or [(0, 7)]
+        near = {v: sorted({b for a, b in edges if a == v} | {a for a, b in edges if b == v}) for e in edges for v in e}
+        rows, want[g] = rows + [(g, i, j, 0.5) for i, j in edges], _longest(near)
+        part = {want[g][0]}
+        while more := {k for v in part for k in near[v]} - part:
+            part |= more
+        for steps in (0, paths.WALK_STEPS):
+            with monkeypatch.context() as m:
+                m.setattr(paths, "WALK_STEPS", steps)
+                assert paths.longest_in({k: near[k] for k in part}) == want[g]
+    found = paths.longest_path_exact(spark.createDataFrame(rows, "g long, i long, j long, w double"), ["g"])
+    assert {r.g: list(r.path) for r in found.collect()} == want
+    star = {0: list(range(1, 21))} | {k: [0] for k in range(1, 21)}
+    assert paths.longest_in(star) == [1, 0, 2]
+
+
+def test_longest_path_sees_all_nodes(spark, recordings):
+    rows = registry.QUERIES["longest_simple_path_all"](spark, recordings[0]).collect()
+    assert len({(r.label, r.direction) for r in rows}) == 12 and max(int(k) for r in rows for k in r.path.split("-")) > 6
