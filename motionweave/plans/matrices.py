@@ -58,6 +58,26 @@ def lag_group_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return _lagged(spark, sf).groupBy((F.col("label") % 2).alias("grp"), "i", "j").agg(r6(F.avg("lag_pct")).alias("mean"), r6(F.stddev_pop("lag_pct")).alias("std"))
 
 
+def _lagged_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Lags of every pair of channels of every subject, cycle and direction."""
+    return matrix.lagged(directed_samples(spark, sf), EDGE_KEYS, "frame", "v")
+
+
+def _subject_lags(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean lag over the cycles of every subject and direction."""
+    return _lagged_all(spark, sf).groupBy((F.col("label") % 2).alias("grp"), *SUBJECT_KEYS, "i", "j").agg(F.avg("lag_pct").alias("lag_pct"))
+
+
+@query("lagged_xcorr_all")
+def lagged_xcorr_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _lagged_all(spark, sf).withColumns({"r": r6("r"), "lag_pct": F.col("lag_pct") + F.lit(0.0)})
+
+
+@query("lag_group_statistics_all")
+def lag_group_statistics_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _subject_lags(spark, sf).groupBy("grp", "direction", "i", "j").agg(r6(F.avg("lag_pct")).alias("mean"), r6(F.stddev_pop("lag_pct")).alias("std"))
+
+
 @query(
     "distance_corr",
     f"""WITH {S}, x AS (SELECT label, frame, m, v FROM lng WHERE direction = 0 AND cycle = 0 AND m < 5),

@@ -9,7 +9,7 @@ from motionweave.functions.core import r6
 from motionweave.operators import inference
 from motionweave.plans import drivers
 from motionweave.plans.adapters import CHANNELS, DIFF, GRPM, SUBJ, SUBJECT_KEYS, differences, group_means, query, subject_edges, subject_graphs, table
-from motionweave.plans.matrices import _ARI, _LAG, _MOD, _SCORE, _fit, _lagged, _modularity, _scores
+from motionweave.plans.matrices import _ARI, _LAG, _MOD, _SCORE, _fit, _lagged, _modularity, _scores, _subject_lags
 
 PERMUTATIONS, BOOTSTRAPS = 200, 100
 
@@ -214,15 +214,20 @@ def time_lag_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("i", "j", r6(F.col("mean1") - F.col("mean2")).alias("mean_diff"), r6("t").alias("t"), r6("cohens_d").alias("cohens_d"))
 
 
+@query("time_lag_statistics_all")
+def time_lag_statistics_all(spark: SparkSession, sf: str) -> DataFrame:
+    w = inference.welch(inference.two_group_moments(_subject_lags(spark, sf), ["direction", "i", "j"], "grp", "lag_pct", 0, 1))
+    return w.select("direction", "i", "j", r6(F.col("mean1") - F.col("mean2")).alias("mean_diff"), r6("t").alias("t"), r6("cohens_d").alias("cohens_d"))
+
+
 @query("time_lag_tests")
 def time_lag_tests(spark: SparkSession, sf: str) -> DataFrame:
-    """Welch tests of every pair with p, adjusted per base marker, significance and bands."""
-    lags = _lagged(spark, sf).withColumn("grp", F.col("label") % 2)
-    w = inference.welch(inference.two_group_moments(lags, ["i", "j"], "grp", "lag_pct", 0, 1))
+    """Welch tests of every pair and direction with p, adjusted per base marker, significance and bands."""
+    w = inference.welch(inference.two_group_moments(_subject_lags(spark, sf), ["direction", "i", "j"], "grp", "lag_pct", 0, 1))
     p = w.withColumn("p_value", inference.p_welch(F.col("t"), F.col("df"))).filter("p_value is not null")
-    out = inference.benjamini_hochberg(p, "p_value", ["i"], "j")
+    out = inference.benjamini_hochberg(p, "p_value", ["direction", "i"], "j")
     band = F.when(F.col("p_adjusted") < 0.01, "below 0.01").when(F.col("p_adjusted") < 0.05, "0.01 to 0.05").otherwise("0.05 and above")
-    return out.select("i", "j", "p_value", "cohens_d", (F.col("mean1") - F.col("mean2")).alias("mean_diff"), "mean1", "mean2", "p_adjusted", (F.col("p_adjusted") < 0.05).alias("significant"), band.alias("band"))
+    return out.select("direction", "i", "j", "p_value", "cohens_d", (F.col("mean1") - F.col("mean2")).alias("mean_diff"), "mean1", "mean2", "p_adjusted", (F.col("p_adjusted") < 0.05).alias("significant"), band.alias("band"))
 
 
 @query("pattern_group_test")

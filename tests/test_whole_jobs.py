@@ -95,3 +95,31 @@ def test_longest_path_of_whole_graphs(spark, monkeypatch):
 def test_longest_path_sees_all_nodes(spark, recordings):
     rows = registry.QUERIES["longest_simple_path_all"](spark, recordings[0]).collect()
     assert len({(r.label, r.direction) for r in rows}) == 12 and max(int(k) for r in rows for k in r.path.split("-")) > 6
+
+
+def test_lags_of_all_pairs(spark, recordings):
+    folder, v = recordings
+    lags = {}
+    for label, cycle, direction in np.ndindex(4, 3, 3):
+        x = v[label, 4 * cycle : 4 * cycle + 4, direction]
+        x = x - x.mean(0)
+        for i in range(21):
+            for j in range(i + 1, 21):
+                norm = np.sqrt((x[:, i] ** 2).sum() * (x[:, j] ** 2).sum())
+                r = np.correlate(x[:, i], x[:, j], "full") / norm if norm > 0 else np.zeros(7)
+                lags[label, cycle, direction, i, j] = int(np.abs(r).round(9).argmax()) - 3 if norm > 0 else 0
+    rows = registry.QUERIES["lagged_xcorr_all"](spark, folder).collect()
+    assert {(r.label, r.cycle, r.direction, r.i, r.j): r.lag for r in rows} == lags and len(rows) == len(lags)
+    mean = {k: np.mean([lags[k[0], c, *k[1:]] * 25 for c in range(3)]) for k in {(a, *b) for a, _, *b in lags}}
+    groups = registry.QUERIES["lag_group_statistics_all"](spark, folder).collect()
+    assert len(groups) == 2 * 630
+    for r in groups:
+        assert r["mean"] == pytest.approx(np.mean([mean[k, r.direction, r.i, r.j] for k in (r.grp, r.grp + 2)]), abs=2e-6)
+    found = registry.QUERIES["time_lag_statistics_all"](spark, folder).collect()
+    assert len(found) == 630
+    tests = registry.QUERIES["time_lag_tests"](spark, folder).toPandas()
+    assert set(tests.direction) == {0, 1, 2} and tests.j.max() > 5
+    for _, t in tests.groupby(["direction", "i"]):
+        p = np.sort(t.p_value.to_numpy())
+        want = np.minimum(1, np.minimum.accumulate((p * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1])
+        assert np.sort(t.p_adjusted.to_numpy()) == pytest.approx(want)
