@@ -208,6 +208,14 @@ def pivot_edge_table(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.pivot_edges(rows, ["label"], "edge", "avg", names)
 
 
+@query("pivot_edge_table_all")
+def pivot_edge_table_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every edge of every subject and direction; ``pivot_edge_table`` is the part that its SQL checks."""
+    names = [f"e{i}_{j}" for i in range(CHANNELS) for j in range(i + 1, CHANNELS)]
+    rows = subject_edges(spark, sf).withColumn("edge", F.format_string("e%d_%d", "i", "j"))
+    return catalog.pivot_edges(rows, SUBJECT_KEYS, "edge", "avg", names)
+
+
 # --- graphs -----------------------------------------------------------------------------
 
 

@@ -312,7 +312,7 @@ def resample_lerp(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("butter_lowpass")
 def butter_lowpass(spark: SparkSession, sf: str) -> DataFrame:
-    rows = channel_rows(spark, sf).filter("m < 3").select("label", "direction", "m", "frame", "value")
+    rows = channel_rows(spark, sf).select("label", "direction", "m", "frame", "value")
     return signal.low_pass(rows, ["label", "direction", "m"], "frame", "value", 6.0, 200.0).withColumn("value", r6("value"))
 
 

@@ -100,7 +100,7 @@ def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
 
 def pivot_edges(edges: DataFrame, keys: list[str], columns: str, value: str, names: list[str]) -> DataFrame:
     """One row per key with a column for each edge, at two decimals, 'nan' where it is missing."""
-    wide = edges.groupBy(*keys).pivot(columns, names).agg(F.first(F.format_string("%.2f", F.round(value, 2))))
+    wide = edges.groupBy(*keys).pivot(columns, names).agg(F.first(F.when(F.col(value).isNotNull(), F.format_string("%.2f", F.round(value, 2)))))
     return wide.fillna("nan", names)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from motionweave.functions import kernels
 from motionweave.operators import paths
 from motionweave.plans import registry
 
@@ -123,3 +124,24 @@ def test_lags_of_all_pairs(spark, recordings):
         p = np.sort(t.p_value.to_numpy())
         want = np.minimum(1, np.minimum.accumulate((p * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1])
         assert np.sort(t.p_adjusted.to_numpy()) == pytest.approx(want)
+
+
+def test_low_pass_of_all_channels(spark, recordings):
+    rows = registry.QUERIES["butter_lowpass"](spark, recordings[0]).collect()
+    assert len(rows) == 4 * 12 * 63 and {(r.direction, r.m) for r in rows} == {(d, m) for d in range(3) for m in range(21)}
+    v = recordings[1]
+    for direction, m in ((0, 2), (1, 3), (2, 20)):
+        got = [r.value for r in sorted((r for r in rows if (r.label, r.direction, r.m) == (1, direction, m)), key=lambda r: r.frame)]
+        assert got == pytest.approx(kernels.filtfilt(v[1, :, direction, m], 6.0, 200.0), abs=2e-6)
+
+
+def test_pivot_of_all_edges(spark, recordings):
+    folder, v = recordings
+    rows = registry.QUERIES["pivot_edge_table_all"](spark, folder).collect()
+    assert len(rows) == 12 and len(rows[0]) == 2 + 210
+    for r in rows:
+        x = v[r.label, :, r.direction].reshape(3, 4, 21)
+        for i, j in ((0, 1), (5, 17), (18, 19)):
+            want = np.mean([np.corrcoef(x[c, :, i], x[c, :, j])[0, 1] for c in range(3)])
+            assert float(r[f"e{i}_{j}"]) == pytest.approx(want, abs=0.0051)
+        assert r.e0_20 == ("nan" if r.direction == 0 else r.e0_20)
