@@ -271,5 +271,5 @@ def modularity_means(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pattern_grid_tests")
 def pattern_grid_tests(spark: SparkSession, sf: str) -> DataFrame:
-    """Patterns of all lengths up to 8 from every start, tested and corrected per length."""
-    return drivers.analyse_patterns(subject_graphs(spark, sf), SUBJECT_KEYS, CHANNELS, longest=8)
+    """Patterns of all lengths up to 20 from every start, tested and corrected per length."""
+    return drivers.analyse_patterns(subject_graphs(spark, sf), SUBJECT_KEYS, CHANNELS, longest=20)

@@ -1,5 +1,7 @@
 """Queries that do the whole job, against brute force on small tables of their own."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,8 @@ from motionweave.functions import kernels
 from motionweave.operators import paths
 from motionweave.plans import registry
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 @pytest.fixture(scope="module")
 def recordings(tmp_path_factory):
@@ -145,3 +149,9 @@ def test_pivot_of_all_edges(spark, recordings):
             want = np.mean([np.corrcoef(x[c, :, i], x[c, :, j])[0, 1] for c in range(3)])
             assert float(r[f"e{i}_{j}"]) == pytest.approx(want, abs=0.0051)
         assert r.e0_20 == ("nan" if r.direction == 0 else r.e0_20)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+def test_pattern_grid_has_all_lengths(spark):
+    rows = registry.QUERIES["pattern_grid_tests"](spark, SF).select("length").distinct().collect()
+    assert sorted(r.length for r in rows) == list(range(2, 21))
