@@ -1,12 +1,22 @@
 """Byte-level BPE encoding and decoding with a local tiktoken rank file.
 
 ``encode`` turns texts into token ids, ``decode`` turns ids back into raw bytes.
-A text longer than ``PIECE`` characters is cut first, only at a single space
-between two word characters.  No alternative of the split pattern reaches from a
-word character over white space, and none looks behind, so a match always ends
-before such a space: the pieces give the ids of the whole text.
-
-Null texts count as empty (no tokens); any other column is ignored.
+A text longer than ``PIECE`` characters is cut first.  The split pattern must match runs
+of white space by its last two alternatives alone (``\\s+(?!\\S)|\\s+``), which is checked.
+Then there are two kinds of safe cuts:
+
+* A run of over ``RUN`` white-space characters: no match reaches into it from the left, and
+  the pattern takes it as one match, less its last character if text follows (which then
+  begins the next match).  That match is encoded by itself, without the pattern, since the
+  library's matcher goes back over such a run with a stack that a million characters exceed.
+* A single space between two word characters: no alternative reaches from a word character
+  over white space, and none looks behind, so a match always ends before such a space.
+
+So the pieces give the ids of the whole text, whatever its length and make-up.
+
+Null texts count as empty (no tokens) and so do not fail; repeated rows get equal results;
+an empty table gives no rows; only the id and text columns are read, so others may have any
+name.  Ids may be null.
 """
 
 from __future__ import annotations
@@ -24,20 +34,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from motionweave.llm.common import column, record, slices, table
 
-PIECE = 1 << 16
+PIECE, RUN = 1 << 16, 1 << 12
 _SAFE = re.compile(r"(?<=\w) (?=\w)")
+_WHITE_TAIL = r"|\s+(?!\S)|\s+"
+#: White space as the library's patterns have it (Unicode White_Space).
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 @lru_cache(maxsize=4)
 def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
     """The encoding of a rank file; kept for the life of a Python worker."""
+    head = pattern.removesuffix(_WHITE_TAIL)
+    if head == pattern or r"\s" in head.replace(r"[^\s", "["):
+        raise ValueError("the split pattern must match white space by its last two alternatives only")
     with open(rank_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def safe_pieces(text: str, limit: int = PIECE) -> Iterator[str]:
-    """Cut ``text`` at safe boundaries into pieces of ``limit`` characters or a little more."""
+    """Cut ``text`` at safe spaces into pieces of ``limit`` characters or a little more."""
     start = 0
     while len(text) - start > limit:
         m = _SAFE.search(text, start + limit)
@@ -48,12 +64,28 @@ def safe_pieces(text: str, limit: int = PIECE) -> Iterator[str]:
     yield text[start:]
 
 
+def parts(text: str, run: int = RUN) -> Iterator[tuple[str, bool]]:
+    """(part, whether it is one match of the pattern): long runs of white space, and what is between them."""
+    start = 0
+    for m in re.finditer(f"{_WHITE}{{{run + 1},}}", text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        yield text[start : m.start()], False
+        yield text[m.start() : stop], True
+        start = stop
+    yield text[start:], False
+
+
 def encode_text(text: str, enc: tiktoken.Encoding) -> list[int]:
+    """Ids of a text of any length."""
     if len(text) <= PIECE:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for piece in safe_pieces(text):
-        ids += enc.encode_ordinary(piece)
+    for part, single in parts(text):
+        if single:
+            ids += enc._encode_single_piece(part.encode())
+        else:
+            for piece in safe_pieces(part):
+                ids += enc.encode_ordinary(piece)
     return ids
 
 

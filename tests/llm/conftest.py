@@ -53,7 +53,7 @@ def odd(tmp_path_factory):
     rng, folder = random.Random(8), tmp_path_factory.mktemp("odd")
     extra = [pa.field(c, pa.string()) for c in ("score", "held_out", "lang_pred", "kept", "fp", "features", "trusted", "rank", "ids", "grp", "bucket", "rows", "n", "root", "node", "a", "b", "host", "path")]
     long = " ".join(sentence(rng, "en", 1000) + f" w{k}" for k in range(60))
-    texts = [None, "", " \n\t ", "x", "..", "É", long, "y" * 200_000, "a b c d", "a b c d", None, "\x00 zero", "ab\n\nab\nab", "😀 emoji 漢字 text", sentence(rng, "de", 50), sentence(rng, "fr", 50)]
+    texts = [None, "", " \n\t ", "x", "..", "É", long, "y" * 200_000, "a b c d", "a b c d", None, "\x00 zero", "ab\n\nab\nab", "😀 emoji 漢字 text", "start" + " " * 1_000_000 + "end" + "\n" * 700_000, sentence(rng, "de", 50), sentence(rng, "fr", 50)]
     rows = [(k, t, (None, "en", "de")[k % 3], None if k % 4 == 0 else "s", None) for k, t in enumerate(texts)]
     rows += [rows[6], rows[8], rows[8], (None, "no id here at all", None, None, None), (None, None, None, None, None)]
     write(folder, "documents", pa.schema([*DOCS, *extra]), [r + tuple("clash" for _ in extra) for r in rows])

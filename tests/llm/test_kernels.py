@@ -130,6 +130,30 @@ def test_bpe_pieces_give_the_same_ids():
         assert [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def linear_ids(text, enc):
+    """Every match of the pattern by another matcher, encoded by itself."""
+    import public_tokenizers
+    import regex
+
+    return [i for m in regex.finditer(public_tokenizers.PATTERN, text) for i in enc._encode_single_piece(m.group().encode())]
+
+
+def test_bpe_white_space_of_any_length():
+    import public_tokenizers
+
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for text in (" " * 10**6, "\n" * 10**6 + "x", "x" + " " * 10**6, "ab" + "\n \t" * 400_000 + "'s " + "\u2003" * 9000 + " word", "\x1c" * 200_000 + "y"):
+        ids = bpe.encode_text(text, enc)
+        assert ids == linear_ids(text, enc) and enc.decode_bytes(ids) == text.encode()
+    rng = random.Random(9)
+    for run in (1, 2, 5):
+        text = "".join(rng.choice([" ", "\n", "\t", "\xa0", "a", "é", "1", "'s", "!", " " * rng.randrange(40)]) for _ in range(3000))
+        ids = [i for part, single in bpe.parts(text, run) for i in (enc._encode_single_piece(part.encode()) if single else enc.encode_ordinary(part))]
+        assert ids == enc.encode_ordinary(text) and "".join(p for p, _ in bpe.parts(text, run)) == text
+    with pytest.raises(ValueError):
+        bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), r"\s*[\r\n]+|\s+(?!\S)|\s+")
+
+
 def test_bundle_is_seekable(tmp_path):
     writer = warc.BundleWriter(f"file://{tmp_path}/b.warc.zst", frame_bytes=500)
     plain = b""
