@@ -222,6 +222,82 @@ def test_compaction_plan_and_conflict(spark, tmp_path):
     assert t.vacuum() >= len(before) and t.read().count() == 2000
 
 
+def test_every_way_to_publish_refuses_a_version_that_exists(spark, tmp_path):
+    t = shards.ShardTable(spark, f"file://{tmp_path}/t")
+    assert t._link(["a"], "manifests/v0000000001") and not t._link(["b"], "manifests/v0000000001")
+    for way in (t._rename, t._create):
+        name = f"manifests/v{way.__name__}"
+        way(["a"], name)
+        with pytest.raises(Exception, match="AlreadyExists"):
+            way(["b"], name)
+        assert (tmp_path / "t" / name).read_text() == "a"
+    assert not [p for p in (tmp_path / "t" / "manifests").iterdir() if "tmp" in p.name and "crc" not in p.name]
+
+
+def test_concurrent_writers_and_vacuum(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = shards.ShardTable(spark, f"file://{tmp_path}/t")
+    t.append(spark.range(100), shard_bytes=200)
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: t.append(spark.range(100 * k, 100 * k + 100), shard_bytes=200), range(1, 5)))
+    assert sorted(versions) == [2, 3, 4, 5] and sorted(r.id for r in t.read().collect()) == list(range(500))
+    # A vacuum, and then another writer, between a writer's files and its commit.
+    commit, calls = shards.ShardTable.commit, []
+
+    def late(self, *args):
+        if not calls:
+            calls.append(1)
+            assert t.vacuum() == 0
+            t.append(spark.range(600, 700))
+        return commit(self, *args)
+
+    monkeypatch.setattr(shards.ShardTable, "commit", late)
+    assert t.append(spark.range(500, 600)) == 7
+    # The same for a compaction, against an append and against another compaction.
+    calls.clear()
+    t.compact(target=10_000)
+    assert sorted(r.id for r in t.read().collect()) == sorted([*range(700), *range(600, 700)])
+    monkeypatch.setattr(shards.ShardTable, "commit", commit)
+    replace, calls = shards.ShardTable._replace, []
+
+    def other_first(self, *args):
+        if not calls:
+            calls.append(1)
+            shards.ShardTable(spark, t.root).compact(target=100_000)
+        return replace(self, *args)
+
+    monkeypatch.setattr(shards.ShardTable, "_replace", other_first)
+    for k in range(3):
+        t.append(spark.range(1000 + k, 1001 + k))
+    before = sorted(r.id for r in t.read().collect())
+    t.compact(target=100_000)
+    assert calls and sorted(r.id for r in t.read().collect()) == before
+    # What a writer that failed has left goes, and nothing else.
+    (tmp_path / "t" / "intents" / "dead").write_text("")
+    (tmp_path / "t" / "data" / "dead-1.parquet").write_text("")
+    assert (tmp_path / "t" / "data" / "dead-1.parquet").exists() and t.vacuum() > 0
+    assert (tmp_path / "t" / "data" / "dead-1.parquet").exists()
+    t.vacuum(stale=0)
+    assert not (tmp_path / "t" / "data" / "dead-1.parquet").exists() and sorted(r.id for r in t.read().collect()) == before
+
+
+def test_shards_of_several_schemas(spark, tmp_path):
+    t = shards.ShardTable(spark, f"file://{tmp_path}/t")
+    t.append(spark.createDataFrame([(1, "a")], "id long, text string"))
+    t.append(spark.createDataFrame([("b", 2, [1.5])], "Text string, id long, more array<double>"))
+    t.append(spark.createDataFrame([(3,)], "id long"))
+    want = [(1, "a", None), (2, "b", [1.5]), (3, None, None)]
+    assert t.read().columns == ["id", "text", "more"] and sorted(map(tuple, t.read().collect())) == want
+    t.compact()
+    assert len(t.manifest()[1]) == 1 and sorted(map(tuple, t.read().collect())) == want
+    files = len(list((tmp_path / "t" / "data").iterdir()))
+    for bad in ("id string", "id long, x int, X int"):
+        with pytest.raises(shards.SchemaConflict):
+            t.append(spark.createDataFrame([], bad))
+    assert len(list((tmp_path / "t" / "data").iterdir())) == files and not list((tmp_path / "t" / "intents").iterdir())
+
+
 def test_pairwise_model_needs_its_pairs():
     rng = np.random.default_rng(0)
     x = rng.uniform(-1, 1, (3000, 3))
