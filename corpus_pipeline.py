@@ -4,9 +4,9 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 ``documents``.  ``run`` writes each stage's rows below the shared folder and rereads them,
 so a lost executor costs at most the current stage and no lineage grows.
 
-Null texts and texts without letters go at the first stage; rows without an id are kept
-by the stages that judge texts alone, and never count as a copy of another row.  An empty
-table stays empty.  Repeated rows with the same id count as copies: one stays.
+Null texts and texts without letters go at the first stage; rows without an id are judged
+like others.  An empty table stays empty.  Repeated rows are copies: one stays; rows that
+share an id and differ in text are judged each by itself.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ stay proportional to the fingerprints.  Components come from the forests.
 
 Null texts are empty; texts without words have fingerprint zero and are linked like
 others.  Rows without an id take part, but only ids that are there can name a
-component (null if there is none).  Repeated rows get equal results.
+component (null if there is none).  Repeated rows get equal results; an empty table gives
+none.  Extra columns do not matter, but for the two names in ``_FP`` and ``_ROW``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motionweave.llm import golay
 from motionweave.llm.common import column, materialise, record, slices, table, text_bytes
@@ -38,6 +40,8 @@ _SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Key rows that a joining task should get; they take 16 bytes each.
 TASK_ROWS = 2_000_000
 _BLOCK = 1 << 20
+#: Columns that a row gets on its way; any other name is free for the table's own columns.
+_FP, _ROW = "_simhash_fp", "_simhash_row"
 
 
 def fingerprint(text: bytes) -> int:
@@ -191,11 +195,15 @@ def links(fps: DataFrame, n: int) -> DataFrame:
     return fps.select("fp").mapInArrow(pack, "part int, blob binary").repartition(parts, "part").mapInArrow(verify, "a long, b long")
 
 
+def linked(groups: DataFrame) -> DataFrame:
+    """``groups`` (fp, n, ...; one row per fingerprint) with ``root``, the smallest fingerprint of its component."""
+    roots = connected(links(groups, groups.count()))
+    return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def components(fps: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row of ``fps`` (doc_id, fp)."""
-    groups = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints")
-    roots = connected(links(groups, groups.count()))
-    named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = linked(materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("rows")).filter("rows > 1")
     # Both are written first, so that each join has exchanges of its own and a large
     # component, or a frequent fingerprint, can be split.
@@ -211,15 +219,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_fingerprints(docs: DataFrame) -> DataFrame:
+    """``docs`` with a last column for the fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                fps = np.array([fingerprint(t) for t in text_bytes(column(batch, "text"))], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, _FP])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(_FP, T.LongType())]))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component (the smallest id), with all its columns.
+    """One row of each component, with all its columns: that of the smallest id.
 
-    Rows without an id stay: they cannot be named as copies of another document.
+    Rows are judged by themselves and not by their ids, so rows that share an id and
+    differ in text lose nothing.  Ids come before null; between rows of one id the smallest
+    fingerprint stays, and between equal fingerprints the smallest hash of the text.
     """
-    found = components(materialise(fingerprints(docs), "simhash"))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"])
-    return named.union(docs.filter("doc_id is null"))
+    stamped = materialise(_with_fingerprints(docs).withColumn(_ROW, F.monotonically_increasing_id()), "stamped")
+    rows = stamped.select(F.col(_FP).alias("fp"), F.col(_ROW).alias("row"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(_FP), F.xxhash64("text"), F.col(_ROW).alias("row")).alias("first"))
+    groups = materialise(rows.groupBy("fp").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    named = linked(groups)
+    winners = named.groupBy("root").agg(F.min("first")["row"].alias("stays"), F.sum("n").alias("rows")).filter("rows > 1")
+    several = named.select("fp", "root").join(materialise(winners, "components"), "root").select("fp", "stays")
+    gone = rows.select("fp", "row").join(materialise(several, "groups"), "fp").filter("row <> stays").select(F.col("row").alias(_ROW))
+    return stamped.join(materialise(gone, "gone"), _ROW, "left_anti").select(docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
