@@ -2,8 +2,9 @@
 
 A sequence of n values below ``universe`` keeps the low bits of each value packed, and the
 high bits in unary: one set bit per value, one clear bit after each high part.  Every
-eighth set and clear bit has its position sampled, so ``get`` and ``find`` need a few array
-operations for a whole batch of queries.
+fourth set bit (for ``get``) or clear bit (for ``successor``) has its position sampled, as a
+small offset from that of its block, so a whole batch of queries needs a few array
+operations.  A sequence keeps the samples of the queries it is made for.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 
-_STEP = 3
+_STEP, _BLOCK = 2, 7
 _1, _6, _63 = np.uint64(1), np.uint64(6), np.uint64(63)
 
 
@@ -27,7 +28,15 @@ def _pack_bits(bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
+def _sample(bits: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """Positions of every fourth set bit: those of blocks, and offsets from them."""
+    at = np.flatnonzero(bits)[:: 1 << _STEP]
+    first = at[:: 1 << (_BLOCK - _STEP)]
+    offset = at - np.repeat(first, 1 << (_BLOCK - _STEP))[: len(at)]
+    return {f"{name}_at": first.astype(np.int64), name: offset.astype(np.uint16 if int(offset.max(initial=0)) < 1 << 16 else np.int64)}
+
+
+def encode(values: np.ndarray, universe: int, for_get: bool = True, for_successor: bool = True) -> dict[str, np.ndarray]:
     """Arrays of the code of sorted unsigned ``values``, all below ``universe``."""
     values = np.asarray(values, np.uint64)
     n = len(values)
@@ -46,20 +55,22 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         "meta": np.array([n, width], np.int64),
         "low": low,
         "high": _pack_bits(ones),
-        "ones": np.flatnonzero(ones)[:: 1 << _STEP].astype(np.int64 if len(ones) >> 31 else np.int32),
-        "zeros": np.flatnonzero(~ones)[:: 1 << _STEP].astype(np.int64 if len(ones) >> 31 else np.int32),
+        **(_sample(ones, "ones") if for_get else {}),
+        **(_sample(~ones, "zeros") if for_successor else {}),
     }
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]) -> None:
         self.n, self.width = (int(x) for x in arrays["meta"])
-        self.low, self.high, self.ones, self.zeros = (arrays[k] for k in ("low", "high", "ones", "zeros"))
+        self.low, self.high = arrays["low"], arrays["high"]
+        self.ones, self.zeros = ((arrays[f"{k}_at"], arrays[k]) if k in arrays else None for k in ("ones", "zeros"))
         self.mask = np.uint64((1 << self.width) - 1)
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Position of the k-th set (or clear) bit."""
-        at = (self.ones if ones else self.zeros)[k >> _STEP].astype(np.int64)
+        first, offset = self.ones if ones else self.zeros
+        at = first[k >> _BLOCK] + offset[k >> _STEP]
         left = k & ((1 << _STEP) - 1)
         word = at >> 6
         w = self.high[word] if ones else ~self.high[word]
@@ -151,4 +162,4 @@ def nested(prefix: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def pick(prefix: str, arrays: dict[str, np.ndarray]) -> EliasFano:
-    return EliasFano({k: arrays[f"{prefix}.{k}"] for k in ("meta", "low", "high", "ones", "zeros")})
+    return EliasFano({k.removeprefix(prefix + "."): v for k, v in arrays.items() if k.startswith(prefix + ".")})

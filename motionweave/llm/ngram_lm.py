@@ -1,9 +1,7 @@
 """N-gram language model in a sharded Elias-Fano trie.
 
-Counting takes one pass over the corpus per order.  Tasks count their own n-grams first
-and send them on packed; n-grams of two and more words are kept from ``MIN_COUNT`` on,
-which only needs those whose shorter n-grams are kept (so each pass looks its n-grams up
-in the levels that are there).
+Counting takes one pass over the corpus per order and keeps every n-gram.  Tasks count
+their own n-grams first and send them on packed.
 
 Level 1 holds the word hashes in Elias-Fano code and the exact counts.  A node of level
 n > 1 is the pair (id of its first n-1 words, id of its last n-1 words) in level n-1: the
@@ -11,44 +9,55 @@ successor of a context is named by its own id in the shorter context.  Each shar
 level codes its sorted contexts, the monotone pointers to their successors, and the
 successors (made monotone by adding the context's rank times the universe); a query
 finds the context, takes the pointer range and searches the successor in it.  Shards are
-dealt by a hash of the whole n-gram, so a frequent context is spread over all of them.
+dealt by a hash of the context; contexts that occur ``HOT`` times or more (their number
+is bounded by the tokens over ``HOT``) are dealt by the whole n-gram, so a frequent one is
+spread over all shards.  Where shards are is a written table, which workers read; neither
+the driver nor a task's closure holds a row per shard.
 
 Probabilities are smoothed by interpolated absolute discounting,
-``p(w|h) = max(c(hw) - D, 0) / c(h) + gamma(h) p(w|h')`` with ``gamma(h) = 1 - sum of kept
-(c - D) / c(h)``, down to ``(c + 1) / (N + V + 1)`` for single words, known or not; they sum to
-one.  Their logarithms are quantised to 16 bits, so a text's score is an exact integer
-sum, whatever the order.
+``p(w|h) = max(c(hw) - D, 0) / c(h) + gamma(h) p(w|h')`` with ``gamma(h) = D n(h) / c(h)`` for the
+n(h) different successors of h, down to ``(c + 1) / (N + V + 1)`` for single words, known or
+not; they sum to one.  Their logarithms are quantised to 16 bits, so a text's score is an
+exact integer sum, whatever the order.
 
 Texts are lower-cased (A-Z); the end of a text is a token.  Null texts are empty and have
-the end alone.  With no training text N = V = 0 and every token has probability 1.
+the end alone.  Repeated rows count as often as they occur and get equal scores.  Rows without an id are
+training rows and are scored.  With no training text N = V = 0 and every token has
+probability 1; an empty table gives no rows.  Only doc_id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
+from dataclasses import dataclass, replace
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionweave.llm.common import column, fresh_dir, is_held_out, materialise, record, slices, table
+from motionweave.llm.common import column, fresh_dir, is_held_out, record, remove, slices, table, written
 from motionweave.llm.elias_fano import encode, load, nested, pick, save
 from motionweave.llm.tokens import Words, mix
 
-ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.5
+ORDER, DISCOUNT = 3, 0.75
 #: Text bytes per shard of a level, and rows that a counting task holds before it sends them on.
 SHARD_TEXT, HELD_ROWS = 16 << 20, 3_000_000
+#: Occurrences from which a context is spread over all shards, and shuffle partitions at most (each then takes several shards, one after the other).
+HOT, MAX_PARTS = 1 << 20, 1 << 14
+#: Shards that a worker keeps open.
+OPEN_SHARDS = 1 << 12
 END = np.uint64(0x454E442D4F462D54)
 #: log10 probabilities are coded in 65,536 steps from 0 down to -LOWEST.
 LOWEST = 16.0
-_PART = "kind int, shard int, path string, n long, total long, blob binary"
-_PART_PA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("blob", pa.binary())])
+_PART = "kind int, shard int, suffix string, n long, total long, blob binary"
+_PART_PA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("suffix", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("blob", pa.binary())])
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -105,29 +114,41 @@ def _merge(a: np.ndarray, b: np.ndarray | None, v: np.ndarray) -> tuple[np.ndarr
 # --- the model --------------------------------------------------------------------------
 
 
-@dataclass
-class Level:
-    """Where a level's shards are; ids run through them in order."""
+@dataclass(frozen=True)
+class Model:
+    """Where the levels are: ``folder/level-k`` is the table of level k's shards."""
 
-    paths: list[str | None]
-    sizes: list[int]
-    gammas: list[str | None] = field(default_factory=list)
+    folder: str
+    levels: int
+    shards: int  # a power of two
+    total: int  # N
+    vocabulary: int  # V
+    #: Of each level, whether some of its contexts are spread over all shards.
+    spread: tuple[bool, ...] = (False,)
 
-    @property
-    def offsets(self) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
 
+def _read(uri: str) -> pa.Table:
+    where, path = fs.FileSystem.from_uri(uri)
+    return pyarrow.dataset.dataset(path, filesystem=where, format="parquet").to_table()
 
-@dataclass
-class Model:
-    name: str
-    levels: list[Level]
-    total: int  # N
-    order: int = ORDER
 
-    @property
-    def vocabulary(self) -> int:
-        return sum(self.levels[0].sizes) if self.levels else 0
+class _Level:
+    """The table of a level's shards, as a worker holds it."""
+
+    def __init__(self, model: Model, level: int) -> None:
+        t = _read(f"{model.folder}/level-{level}").select(["shard", "suffix", "n", "blob"])
+        shard = t["shard"].to_numpy()
+        self.prefix, self.suffix = f"{model.folder}/shard-{level}-", np.full(model.shards, "", "U8")
+        self.suffix[shard] = t["suffix"].to_numpy(zero_copy_only=False).astype("U8")
+        sizes = np.zeros(model.shards, np.int64)
+        sizes[shard] = t["n"].to_numpy()
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+        #: Ids of the nodes that are frequent contexts, in order.
+        found = [_unpack(b, 1)[0].astype(np.int64) + self.offsets[s] for s, b in zip(shard.tolist(), t["blob"].to_pylist()) if b is not None]
+        self.hot = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+
+    def path(self, shard: int) -> str | None:
+        return f"{self.prefix}{shard}-{self.suffix[shard]}" if self.suffix[shard] else None
 
 
 class Reader:
@@ -135,113 +156,137 @@ class Reader:
 
     def __init__(self, model: Model) -> None:
         self.model, self.open = model, {}
-        self.offsets = [lv.offsets for lv in model.levels]
+        self.levels = [_Level(model, k) for k in range(model.levels)]
 
-    def _arrays(self, level: int, shard: int, what: str = "paths") -> dict[str, np.ndarray] | None:
-        key = (level, shard, what)
+    def _arrays(self, level: int, shard: int) -> dict | None:
+        """A shard's arrays and codes; None if it has no node."""
+        key = (level, shard)
         if key not in self.open:
-            names = getattr(self.model.levels[level], what)
-            path = names[shard] if shard < len(names) else None
-            self.open[key] = load(path) if path else None
+            if len(self.open) >= OPEN_SHARDS:
+                self.open.clear()
+            path = self.levels[level].path(shard)
+            arrays = load(path) if path else None
+            self.open[key] = arrays and arrays | {p: pick(p, arrays) for p in ("words", "contexts", "pointers", "successors") if f"{p}.meta" in arrays}
         return self.open[key]
 
-    def _code(self, level: int, shard: int, part: str):
-        key = (level, shard, part)
-        if key not in self.open:
-            arrays = self._arrays(level, shard)
-            self.open[key] = pick(part, arrays) if arrays else None
-        return self.open[key]
+    @cached_property
+    def hot_gamma(self) -> dict[int, np.ndarray]:
+        """Quantised back-off weights of each level's spread contexts, in the order of their ids."""
+        out = {}
+        for level in range(1, self.model.levels):
+            ids = self.levels[level - 1].hot
+            if len(ids):
+                t = _read(f"{self.model.folder}/hot-{level}")
+                n = np.zeros(len(ids))
+                n[np.searchsorted(ids, t["id"].to_numpy())] = t["n"].to_numpy()
+                out[level] = quantise(DISCOUNT * n / self.counts(level - 1, ids))
+        return out
 
-    def words(self, hashes: np.ndarray) -> np.ndarray:
-        """Id of every word hash, -1 if unknown."""
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id (-1 if unknown) and count of every word hash."""
         asked, where = np.unique(hashes, return_inverse=True)
-        out = np.full(len(asked), -1, np.int64)
-        shards = len(self.model.levels[0].sizes)
+        ids, count = np.full(len(asked), -1, np.int64), np.zeros(len(asked), np.int64)
+        shards, offsets = self.model.shards, self.levels[0].offsets
         shift = np.uint64(64 - (shards.bit_length() - 1))
-        cuts = np.searchsorted(asked, np.arange(1, shards, dtype=np.uint64) << shift) if shards > 1 else []
+        cuts = np.searchsorted(asked, np.arange(1, shards, dtype=np.uint64) << shift)
         for s, (a, z) in enumerate(zip([0, *cuts], [*cuts, len(asked)])):
-            if z > a and (code := self._code(0, s, "words")):
-                at, same = code.successor(asked[a:z] - (np.uint64(s) << shift if shards > 1 else np.uint64(0)))
-                out[a:z] = np.where(same, at + self.offsets[0][s], -1)
-        return out[where]
-
-    def nodes(self, level: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Id in ``level`` (from 1 on) of the nodes (first, last), -1 if there is none."""
-        out = np.full(len(first), -1, np.int64)
-        shards = len(self.model.levels[level].sizes)
-        shard = node_shard(first, last, shards)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        universe = np.uint64(self.offsets[level - 1][-1])
+            if z > a and (arrays := self._arrays(0, s)):
+                at, same = arrays["words"].successor(asked[a:z] - (np.uint64(s) << shift))
+                ids[a:z][same] = at[same] + offsets[s]
+                count[a:z][same] = arrays["counts"][at[same]]
+        return ids[where], count[where]
+
+    def nodes(self, level: int, first: np.ndarray, last: np.ndarray, codes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the nodes (first, last) of ``level`` (from 1 on): id (-1 if there is none) and, with
+        ``codes``, quantised log probability and the context's back-off weight (0: no such context)."""
+        out, code, gamma = np.full(len(first), -1, np.int64), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        hot, offsets = self.levels[level - 1].hot, self.levels[level].offsets
+        order, cuts = _dealt(node_shard(first, last, self.model.shards, hot), self.model.shards)
+        universe = np.uint64(self.levels[level - 1].offsets[-1])
         for s in np.flatnonzero(np.diff(cuts)):
-            contexts = self._code(level, s, "contexts")
-            if contexts is None:
+            arrays = self._arrays(level, s)
+            if arrays is None:
                 continue
             at = order[cuts[s] : cuts[s + 1]]
-            rank, known = contexts.successor(first[at].astype(np.uint64))
+            rank, known = arrays["contexts"].successor(first[at].astype(np.uint64))
             at, rank = at[known], rank[known]
             if not len(at):
                 continue
-            pointers = self._code(level, s, "pointers")
-            low, high = pointers.get(rank).astype(np.int64), pointers.get(rank + 1).astype(np.int64)
-            place, same = self._code(level, s, "successors").successor(rank.astype(np.uint64) * universe + last[at].astype(np.uint64))
+            low, high = (arrays["pointers"].get(rank + k).astype(np.int64) for k in (0, 1))
+            place, same = arrays["successors"].successor(rank.astype(np.uint64) * universe + last[at].astype(np.uint64))
             same &= (place >= low) & (place < high)
-            out[at[same]] = place[same] + self.offsets[level][s]
-        return out
-
-    def values(self, level: int, ids: np.ndarray, name: str, what: str = "paths", default: int = 0) -> np.ndarray:
-        """A stored value of every node."""
-        out = np.full(len(ids), default, np.int64)
-        shard = np.searchsorted(self.offsets[level], ids, "right") - 1
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(len(self.offsets[level])))
+            out[at[same]] = place[same] + offsets[s]
+            if codes:
+                code[at[same]] = arrays["codes"][place[same]]
+                gamma[at] = arrays["gamma"][rank]
+        if codes and len(hot):
+            at, spread = _among(first, hot)
+            gamma[spread] = self.hot_gamma[level][at[spread]]
+        return out, code, gamma
+
+    def _stored(self, level: int, ids: np.ndarray, name: str) -> np.ndarray:
+        out, offsets = np.zeros(len(ids), np.int64), self.levels[level].offsets
+        order, cuts = _dealt(np.searchsorted(offsets, ids, "right") - 1, self.model.shards)
         for s in np.flatnonzero(np.diff(cuts)):
-            if arrays := self._arrays(level, s, what):
-                at = order[cuts[s] : cuts[s + 1]]
-                out[at] = arrays[name][ids[at] - self.offsets[level][s]]
+            at = order[cuts[s] : cuts[s + 1]]
+            out[at] = self._arrays(level, s)[name][ids[at] - offsets[s]]
         return out
 
+    def counts(self, level: int, ids: np.ndarray) -> np.ndarray:
+        return self._stored(level, ids, "counts")
+
     def codes(self, level: int, ids: np.ndarray) -> np.ndarray:
-        """Quantised log probability of nodes; in level 0 it comes from the count (0 for id -1)."""
-        if level:
-            return self.values(level, ids, "codes")
-        known = ids >= 0
-        count = np.zeros(len(ids), np.int64)
-        count[known] = self.values(0, ids[known], "counts")
+        """Quantised log probability of nodes."""
+        return self._stored(level, ids, "codes") if level else self.word_codes(self.counts(0, ids))
+
+    def word_codes(self, count: np.ndarray) -> np.ndarray:
+        """The same of single words, from their counts (0 for unknown ones)."""
         return quantise((count + 1) / (self.model.total + self.model.vocabulary + 1)).astype(np.int64)
 
-    def paths(self, w: Words, upto: int) -> list[np.ndarray]:
-        """For each level below ``upto``, the id of the n-gram that ends at each token, or -1."""
-        ids = [self.words(token_hashes(w))]
-        start = token_starts(w)
+    def ends(self, w: Words, upto: int) -> np.ndarray:
+        """Id of the n-gram of ``upto`` words that ends at each token, or -1."""
+        ids, start = self.words(token_hashes(w))[0], token_starts(w)
         for level in range(1, upto):
-            below, out = ids[-1], np.full(len(ids[0]), -1, np.int64)
-            at = np.flatnonzero((below[:-1] >= 0) & (below[1:] >= 0) & ~start[1:]) + 1
-            out[at] = self.nodes(level, below[at - 1], below[at])
-            ids.append(out)
+            ids = self.longer(level, ids, start)[0]
         return ids
 
+    def longer(self, level: int, below: np.ndarray, start: np.ndarray, codes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the ids of the n-grams that end at each token, those one word longer, as ``nodes`` has them.
+
+        Where only the context is known, its weight is there; contexts end one token before."""
+        out = np.full(len(below), -1, np.int64), np.zeros(len(below), np.int64), np.zeros(len(below), np.int64)
+        # An unknown last part still needs the context's weight; its number is beyond all ids.
+        at = np.flatnonzero((below[:-1] >= 0) & ~start[1:] & ((below[1:] >= 0) | codes)) + 1
+        last = below[at]
+        for whole, part in zip(out, self.nodes(level, below[at - 1], np.where(last >= 0, last, self.levels[level - 1].offsets[-1] - 1), codes)):
+            whole[at] = part
+        out[0][at[last < 0]] = -1
+        return out
 
-@lru_cache(maxsize=2)
-def _reader(name: str, holder: "_Holder") -> Reader:
-    return Reader(holder.model)
 
+@lru_cache(maxsize=2)
+def _reader(model: Model) -> Reader:
+    return Reader(model)
 
-class _Holder:
-    """Hashable by the model's name, so that a Python worker opens a model once."""
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
+def _dealt(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by shard, and the bounds of every shard in it (short numbers sort in linear time)."""
+    shard = shard.astype(np.uint16) if shards <= 1 << 16 else shard
+    return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
-    def __hash__(self) -> int:
-        return hash(self.model.name)
 
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Holder) and other.model.name == self.model.name
+def _among(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value in the sorted ``ids``, and whether it is there."""
+    at = np.minimum(np.searchsorted(ids, values), max(0, len(ids) - 1))
+    return at, ids[at] == values if len(ids) else np.zeros(len(values), bool)
 
 
-def node_shard(first: np.ndarray, last: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(first.astype(np.uint64), last.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) & (shards - 1)
+def node_shard(first: np.ndarray, last: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
+    h = mix(first.astype(np.uint64), 3)
+    if len(hot):
+        spread = np.flatnonzero(_among(first.astype(np.int64), hot)[1])
+        h[spread] = mix(h[spread], last[spread].astype(np.uint64))
+    return (h >> np.uint64(40)).astype(np.int64) & (shards - 1)
 
 
 def token_starts(w: Words) -> np.ndarray:
@@ -263,14 +308,13 @@ def token_hashes(w: Words) -> np.ndarray:
 class _Counts:
     """Rows of one task, added up now and then; ``rows`` gives them packed for each shard."""
 
-    def __init__(self, pairs: bool) -> None:
-        self.pairs, self.held, self.size = pairs, [], 0
+    def __init__(self, pairs: bool, shards: int) -> None:
+        self.pairs, self.shards, self.held, self.size = pairs, shards, [], 0
 
     def add(self, a: np.ndarray, b: np.ndarray | None = None) -> bool:
         """True when it is time to send."""
-        part = _merge(a, b, np.ones(len(a), np.int64))
-        self.held.append(part)
-        self.size += len(part[0])
+        self.held.append((a, b, np.ones(len(a), np.int64)))
+        self.size += len(a)
         if self.size >= HELD_ROWS:
             self._fold()
         return self.size >= HELD_ROWS // 2
@@ -285,43 +329,54 @@ class _Counts:
             return
         self._fold()
         a, b, v = self.held[0]
-        shard = shard_of(a, b)
-        order = np.argsort(shard, kind="stable")
-        for s, at in zip(*_runs(shard, order)):
-            cols = (a[at], b[at], v[at]) if self.pairs else (a[at], v[at])
-            yield _part(0, s, blob=_pack(*cols))
+        order, cuts = _dealt(shard_of(a, b), self.shards)
+        for s in np.flatnonzero(np.diff(cuts)):
+            at = order[cuts[s] : cuts[s + 1]]
+            yield _part(0, s, blob=_pack(*((a[at], b[at], v[at]) if self.pairs else (a[at], v[at]))))
         self.held, self.size = [], 0
 
 
-def _runs(shard: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    s = shard[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    return s[first].tolist(), np.split(order, first[1:]) if len(s) else []
+def _part(kind: int, shard: int, suffix: str | None = None, n: int = 0, total: int = 0, blob: bytes | None = None) -> pa.RecordBatch:
+    return record(_PART_PA, kind=[kind], shard=[int(shard)], suffix=[suffix], n=[int(n)], total=[int(total)], blob=[blob])
 
 
-def _part(kind: int, shard: int, path: str | None = None, n: int = 0, total: int = 0, blob: bytes | None = None) -> pa.RecordBatch:
-    return record(_PART_PA, kind=[kind], shard=[int(shard)], path=[path], n=[int(n)], total=[int(total)], blob=[blob])
+def _by_shard(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """All rows of each shard, columns put together; a task's rows come sorted by shard, so it holds one at a time."""
 
+    def whole(blobs: list[bytes]) -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*(_unpack(b, n_columns) for b in blobs))]
 
-def _by_shard(batches: Iterator[pa.RecordBatch], n_columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """All rows of each shard that a task got, columns put together."""
-    blobs: dict[int, list[bytes]] = {}
+    shard, blobs = None, []
     for batch in batches:
         for s, b in zip(column(batch, "shard").to_pylist(), column(batch, "blob").to_pylist()):
-            blobs.setdefault(s, []).append(b)
-    for s in sorted(blobs):
-        parts = [_unpack(b, n_columns) for b in blobs.pop(s)]
-        yield s, [np.concatenate(c) for c in zip(*parts)]
+            if s != shard and blobs:
+                yield shard, whole(blobs)
+                blobs = []
+            shard = s
+            blobs.append(b)
+    if blobs:
+        yield shard, whole(blobs)
 
 
-def _count_words(docs: DataFrame, shards: int, out: str) -> tuple[Level, int]:
-    shift = np.uint64(64 - (shards.bit_length() - 1))
+def _to_shards(packed: DataFrame, shards: int) -> DataFrame:
+    parts = min(shards, MAX_PARTS)
+    return packed.repartitionById(parts, F.col("shard") % F.lit(parts)).sortWithinPartitions("shard")
+
+
+def _narrow(c: np.ndarray) -> np.ndarray:
+    return c.astype(np.uint32 if int(c.max(initial=0)) < 1 << 32 else np.uint64)
+
+
+def _frequent(c: np.ndarray, hot: int) -> bytes | None:
+    at = np.flatnonzero(c >= hot)
+    return _pack(at.astype(np.uint64)) if len(at) else None
 
-    def shard_of(a: np.ndarray, _: None) -> np.ndarray:
-        return (a >> shift).astype(np.int64) if shards > 1 else np.zeros(len(a), np.int64)
+
+def _count_words(docs: DataFrame, shards: int, out: str, hot: int) -> None:
+    shift = np.uint64(64 - (shards.bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Counts(False)
+        held, shard_of = _Counts(False, shards), lambda a, _: (a >> shift).astype(np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
                 if held.add(token_hashes(Words(column(batch, "text"), lower=True))):
@@ -331,120 +386,102 @@ def _count_words(docs: DataFrame, shards: int, out: str) -> tuple[Level, int]:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, (h, c) in _by_shard(batches, 2):
             h, _, c = _merge(h, None, c.astype(np.int64))
-            base = np.uint64(s) << shift if shards > 1 else np.uint64(0)
-            path = f"{out}/words-{s:05d}-{uuid.uuid4().hex[:8]}"
-            counts = c.astype(np.uint32 if int(c.max()) < 1 << 32 else np.uint64)
-            save(path, nested("words", encode(h - base, 1 << int(shift) if shards > 1 else 1 << 64)) | {"counts": counts})
-            yield _part(0, s, path, len(h), int(c.sum()))
+            suffix = uuid.uuid4().hex[:8]
+            save(f"{out}/shard-0-{s}-{suffix}", nested("words", encode(h - (np.uint64(s) << shift), 1 << int(shift), for_get=False)) | {"counts": _narrow(c)})
+            yield _part(0, s, suffix, len(h), int(c.sum()), _frequent(c, hot))
 
-    rows = docs.select("text").mapInArrow(count, _PART).repartition(shards, "shard").mapInArrow(build, _PART).drop("blob").collect()
-    by = {r.shard: r for r in rows}
-    level = Level([by[s].path if s in by else None for s in range(shards)], [by[s].n if s in by else 0 for s in range(shards)])
-    return level, sum(r.total for r in rows)
+    _to_shards(docs.select("text").mapInArrow(count, _PART), shards).mapInArrow(build, _PART).write.parquet(f"{out}/level-0")
 
 
-def _count_nodes(docs: DataFrame, model: Model, shards: int, out: str) -> None:
-    """Add the next level to ``model``, and the back-off weights to the one below."""
-    level, holder, below = len(model.levels), _Holder(model), model.levels[-1].offsets
-
-    def shard_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return node_shard(a, b, shards)
+def _count_nodes(docs: DataFrame, model: Model, last: bool, frequent: int) -> Model:
+    """Add the next level; the last one needs no counts."""
+    level, shards, out, spark = model.levels, model.shards, model.folder, docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held = _reader(model.name, holder), _Counts(True)
+        reader, held = _reader(model), _Counts(True, shards)
+        hot = reader.levels[-1].hot
+        shard_of = lambda a, b: node_shard(a, b, shards, hot)
         for whole in batches:
             for batch in slices(whole, "text"):
                 w = Words(column(batch, "text"), lower=True)
-                ids, start = reader.paths(w, level)[-1], token_starts(w)
-                if level == 1:
-                    seen = np.zeros(len(ids), bool)
-                    at = np.flatnonzero(ids >= 0)
-                    seen[at] = reader.values(0, ids[at], "counts") >= MIN_COUNT
-                else:
-                    seen = ids >= 0
-                at = np.flatnonzero(seen[:-1] & seen[1:] & ~start[1:])
+                ids, start = reader.ends(w, level), token_starts(w)
+                at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & ~start[1:])
                 if len(at) and held.add(ids[at].astype(np.uint64), ids[at + 1].astype(np.uint64)):
                     yield from held.rows(shard_of)
         yield from held.rows(shard_of)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = _reader(model).levels[-1].hot
         for s, (a, b, c) in _by_shard(batches, 3):
             a, b, c = _merge(a, b.astype(np.uint64), c.astype(np.int64))
-            kept = c >= MIN_COUNT
-            a, b, c = a[kept], b[kept], c[kept]
-            if not len(a):
-                continue
-            path = f"{out}/raw-{level}-{s:05d}-{uuid.uuid4().hex[:8]}"
-            save(path, {"a": a, "b": b, "c": c})
-            yield _part(0, s, path, len(a), int(c.sum()))
-            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            mass = np.add.reduceat(c - DISCOUNT, first)
-            home = np.searchsorted(below, a[first].astype(np.int64), "right") - 1
-            for t, at in zip(*_runs(home, np.argsort(home, kind="stable"))):
-                yield _part(1, t, blob=_pack(a[first][at], mass[at]))
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(model.name, holder)
-        for s, (a, mass) in _by_shard(batches, 2):
-            counts = reader._arrays(level - 1, s)["counts"]
-            share = np.bincount(a.astype(np.int64) - below[s], mass, len(counts)) / counts
-            path = f"{out}/gamma-{level - 1}-{s:05d}-{uuid.uuid4().hex[:8]}"
-            save(path, {"gamma": quantise(np.clip(1 - share, 1e-15, 1))})
-            yield _part(0, s, path, len(counts))
-
-    parts = materialise(docs.select("text").mapInArrow(count, _PART).repartition(shards, "shard").mapInArrow(collect, _PART), "lm-counts")
-    raw = {r.shard: r for r in parts.filter("kind = 0").select("shard", "path", "n").collect()}
-    weights = parts.filter("kind = 1").repartition(len(below) - 1, "shard").mapInArrow(weigh, _PART).select("shard", "path").collect()
-    lower = dict((r.shard, r.path) for r in weights)
-    model.levels[-1].gammas = [lower.get(s) for s in range(len(below) - 1)]
-    model.name += f"+{level}"
-    holder = _Holder(model)
-    universe = int(below[-1])
+            yield _part(0, s, n=len(a), blob=_pack(a, b, c))
+            spread = _among(a.astype(np.int64), hot)[1]
+            if spread.any():
+                ids, n = np.unique(a[spread], return_counts=True)
+                yield _part(1, s, blob=_pack(ids, n))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in column(batch, "blob").to_pylist():
+                ids, n = _unpack(blob, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n.astype(np.int64))], names=["id", "n"])
+
+    raw = f"{out}/raw-{level}"
+    parts = written(_to_shards(docs.select("text").mapInArrow(count, _PART), shards).mapInArrow(collect, _PART), raw)
+    if model.spread[-1]:
+        parts.filter("kind = 1").select("blob").mapInArrow(partial, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).write.parquet(f"{out}/hot-{level}")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(model.name, holder)
+        reader = _reader(model)
+        hot, universe = reader.levels[-1].hot, int(reader.levels[-1].offsets[-1])
+        spread_n = None
+        if len(hot):
+            t = _read(f"{out}/hot-{level}")
+            spread_n = np.zeros(len(hot), np.int64)
+            spread_n[np.searchsorted(hot, t["id"].to_numpy())] = t["n"].to_numpy()
         for batch in batches:
-            for s, source in zip(column(batch, "shard").to_pylist(), column(batch, "path").to_pylist()):
-                rows = load(source)
-                a, b, c = rows["a"], rows["b"], rows["c"].astype(np.float64)
+            for s, blob in zip(column(batch, "shard").to_pylist(), column(batch, "blob").to_pylist()):
+                a, b, c = _unpack(blob, 3)
                 first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
                 size = np.diff(np.append(first, len(a)))
-                context = a[first].astype(np.int64)
-                whole = np.repeat(reader.values(level - 1, context, "counts"), size)
-                gamma = np.repeat(restore(reader.values(level - 1, context, "gamma", "gammas")), size)
-                p = (c - DISCOUNT) / whole + gamma * restore(reader.codes(level - 1, b.astype(np.int64)))
-                rank = np.repeat(np.arange(len(first), dtype=np.uint64), size)
-                path = f"{out}/nodes-{level}-{s:05d}-{uuid.uuid4().hex[:8]}"
+                context, n = a[first].astype(np.int64), size
+                if spread_n is not None:
+                    at, spread = _among(context, hot)
+                    n = np.where(spread, spread_n[at], size)
+                count = reader.counts(level - 1, context)
+                gamma = quantise(DISCOUNT * n / count)
+                p = (c - DISCOUNT) / np.repeat(count, size) + np.repeat(restore(gamma), size) * restore(reader.codes(level - 1, b.astype(np.int64)))
+                rank, suffix = np.repeat(np.arange(len(first), dtype=np.uint64), size), uuid.uuid4().hex[:8]
                 save(
-                    path,
-                    nested("contexts", encode(a[first], universe))
-                    | nested("pointers", encode(np.append(first, len(a)), len(a) + 1))
-                    | nested("successors", encode(rank * np.uint64(universe) + b, len(first) * universe))
-                    | {"codes": quantise(np.minimum(p, 1)), "counts": rows["c"].astype(np.uint32 if int(c.max()) < 1 << 32 else np.uint64)},
+                    f"{out}/shard-{level}-{s}-{suffix}",
+                    nested("contexts", encode(a[first], universe, for_get=False))
+                    | nested("pointers", encode(np.append(first, len(a)), len(a) + 1, for_successor=False))
+                    | nested("successors", encode(rank * np.uint64(universe) + b, len(first) * universe, for_get=False))
+                    | {"codes": quantise(np.minimum(p, 1)), "gamma": gamma}
+                    | ({} if last else {"counts": _narrow(c)}),
                 )
-                yield _part(0, s, path, len(a))
+                yield _part(0, s, suffix, len(a), 0, None if last else _frequent(c, frequent))
 
-    if raw:
-        spark = docs.sparkSession
-        todo = spark.createDataFrame([(s, r.path) for s, r in raw.items()], "shard int, path string").repartition(len(raw))
-        made = {r.shard: r for r in todo.mapInArrow(build, _PART).select("shard", "path", "n").collect()}
-    else:
-        made = {}
-    model.levels.append(Level([made[s].path if s in made else None for s in range(shards)], [made[s].n if s in made else 0 for s in range(shards)]))
-    model.name += "."
+    parts.filter("kind = 0").select("shard", "blob").mapInArrow(build, _PART).write.parquet(f"{out}/level-{level}")
+    remove(spark, raw)
+    spread = bool(spark.read.parquet(f"{out}/level-{level}").filter("blob is not null").head(1))
+    return replace(model, levels=level + 1, spread=(*model.spread, spread))
 
 
-def train(docs: DataFrame, order: int = ORDER, shard_text: int = SHARD_TEXT) -> Model:
+def train(docs: DataFrame, order: int = ORDER, shard_text: int = SHARD_TEXT, hot: int = HOT) -> Model:
     """Count all of ``docs`` (column text) and write the model below the shared folder."""
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 << max(2, (size // shard_text).bit_length())
-    out = fresh_dir(docs.sparkSession, "lm")
+    out = fresh_dir(spark, "lm")
     where, path = fs.FileSystem.from_uri(out)
     where.create_dir(path)
-    level, total = _count_words(docs, shards, out)
-    model = Model(out, [level], total, order)
-    for _ in range(1, order):
-        _count_nodes(docs, model, shards, out)
+    _count_words(docs, shards, out, hot)
+    level = spark.read.parquet(f"{out}/level-0")
+    sums = level.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("blob").alias("hot")).first()
+    model = Model(out, 1, shards, sums.total or 0, sums.n or 0, (sums.hot > 0,))
+    for n in range(1, order):
+        model = _count_nodes(docs, model, n == order - 1, hot)
     return model
 
 
@@ -454,20 +491,12 @@ def train(docs: DataFrame, order: int = ORDER, shard_text: int = SHARD_TEXT) ->
 def score_words(w: Words, reader: Reader) -> dict[str, np.ndarray]:
     """n_tokens, n_known, base_score and score of every row."""
     model, start = reader.model, token_starts(w)
-    ids = reader.paths(w, len(model.levels))
-    known = ids[0] >= 0
-    count = np.zeros(len(known), np.int64)
-    count[known] = reader.values(0, ids[0][known], "counts")
-    code = reader.codes(0, ids[0])
-    for level in range(1, len(ids)):
+    ids, count = reader.words(token_hashes(w))
+    known, code = ids >= 0, reader.word_codes(count)
+    for level in range(1, model.levels):
         # From lower to higher order: the node itself, or the context's weight on what is there.
-        here = ids[level]
-        found = here >= 0
-        context = np.full(len(here), -1, np.int64)
-        context[1:] = np.where(start[1:], -1, ids[level - 1][:-1])
-        back = np.flatnonzero(~found & (context >= 0))
-        code[back] += reader.values(level - 1, context[back], "gamma", "gammas")
-        code[found] = reader.values(level, here[found], "codes")
+        ids, stored, gamma = reader.longer(level, ids, start, codes=True)
+        code = np.where(ids >= 0, stored, code + gamma)
     first = np.flatnonzero(start)
     add = (lambda v: np.add.reduceat(v, first)) if w.rows else (lambda v: np.zeros(0))
     base = np.log10((count + 1) / (model.total + model.vocabulary + 1))
@@ -476,11 +505,10 @@ def score_words(w: Words, reader: Reader) -> dict[str, np.ndarray]:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    holder = _Holder(model)
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(model.name, holder)
+        reader = _reader(model)
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = score_words(Words(column(batch, "text"), lower=True), reader)

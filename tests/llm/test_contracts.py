@@ -4,7 +4,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -13,7 +13,8 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from motionweave.llm import bpe, queries
+from motionweave.llm import bpe, ngram_lm, queries
+from motionweave.llm.common import table
 from tests.llm.test_kernels import linear_ids
 from tests.oracle import rows_of, spark_rows
 
@@ -48,44 +49,62 @@ def test_sql(spark, request, name, where):
     assert got == (sorted(columns), rows_of(columns, found))
 
 
+class Smoothed:
+    """Interpolated absolute discounting over all n-grams, by plain counters."""
+
+    def __init__(self, texts, d=ngram_lm.DISCOUNT):
+        self.c = Counter(w for t in texts for w in t)
+        self.b = Counter(x for t in texts for x in zip(t, t[1:]))
+        self.t = Counter(x for t in texts for x in zip(t, t[1:], t[2:]))
+        self.after1, self.after2 = Counter(x for x, _ in self.b), Counter((x, y) for x, y, _ in self.t)
+        self.n, self.v, self.d = sum(self.c.values()), len(self.c), d
+
+    def p1(self, w):
+        return (self.c.get(w, 0) + 1) / (self.n + self.v + 1)
+
+    def p2(self, x, y):
+        if not self.after1[x]:
+            return self.p1(y)
+        return max(self.b[x, y] - self.d, 0) / self.c[x] + self.d * self.after1[x] / self.c[x] * self.p1(y)
+
+    def p3(self, x, y, z):
+        if not self.after2[x, y]:
+            return self.p2(y, z)
+        return max(self.t[x, y, z] - self.d, 0) / self.b[x, y] + self.d * self.after2[x, y] / self.b[x, y] * self.p2(y, z)
+
+    def score(self, w):
+        return sum(math.log10(self.p1(x) if k == 0 else self.p2(w[0], x) if k == 1 else self.p3(w[k - 2], w[k - 1], x)) for k, x in enumerate(w))
+
+
+def tokens_of(documents):
+    return {i: WORD.findall(lower(t)) + ["</s>"] for i, t in zip(documents.doc_id, documents.text)}
+
+
 def test_op2_is_the_smoothed_model(spark, small, documents):
     got = result(spark, "op2_ngram_lm", small).set_index("doc_id")
-    toks = {i: WORD.findall(lower(t)) + ["</s>"] for i, t in zip(documents.doc_id, documents.text)}
-    train = [i for i in toks if crc(i, 7) != 2]
-    c = Counter(w for i in train for w in toks[i])
-    n, v, d = sum(c.values()), len(c), 0.5
-    b = Counter((x, y) for i in train for x, y in zip(toks[i], toks[i][1:]) if c[x] > 1 and c[y] > 1)
-    b = {k: x for k, x in b.items() if x > 1}
-    t = Counter((x, y, z) for i in train for x, y, z in zip(toks[i], toks[i][1:], toks[i][2:]) if (x, y) in b and (y, z) in b)
-    t = {k: x for k, x in t.items() if x > 1}
-    g1, g2 = defaultdict(float), defaultdict(float)
-    for (x, y), k in b.items():
-        g1[x] += (k - d) / c[x]
-    for (x, y, z), k in t.items():
-        g2[x, y] += (k - d) / b[x, y]
-
-    def p1(w):
-        return (c.get(w, 0) + 1) / (n + v + 1)
-
-    def p2(x, y):
-        seen = (b[x, y] - d) / c[x] if (x, y) in b else 0
-        return seen + (1 - g1[x]) * p1(y)
-
-    def p3(x, y, z):
-        if (x, y) not in b:
-            return p2(y, z)
-        seen = (t[x, y, z] - d) / b[x, y] if (x, y, z) in t else 0
-        return seen + (1 - g2[x, y]) * p2(y, z)
-
+    toks = tokens_of(documents)
+    m = Smoothed([toks[i] for i in toks if crc(i, 7) != 2])
     # A proper distribution: over all known words and the unknown one it sums to one.
-    for h in [("the", "of"), ("der", "die")]:
-        assert sum(p3(*h, w) for w in [*c, "never seen"]) == pytest.approx(1)
+    for h in [("the", "of"), ("der", "die"), ("never seen", "of")]:
+        assert sum(m.p3(*h, w) for w in [*m.c, "never seen"]) == pytest.approx(1)
     for i, w in toks.items():
         r = got.loc[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(i, 7) == 2, len(w), sum(x in c for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10(p1(x)) for x in w), abs=1e-9)
-        want = sum(math.log10(p1(x) if k == 0 else p2(w[0], x) if k == 1 else p3(w[k - 2], w[k - 1], x)) for k, x in enumerate(w))
-        assert r.score == pytest.approx(want, abs=5e-4 * len(w))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(i, 7) == 2, len(w), sum(x in m.c for x in w), m.n)
+        assert r.base_score == pytest.approx(sum(math.log10(m.p1(x)) for x in w), abs=1e-9)
+        assert r.score == pytest.approx(m.score(w), abs=5e-4 * len(w))
+
+
+def test_op2_spreads_frequent_contexts(spark, small, documents):
+    docs = table(spark, small, "documents")
+    model = ngram_lm.train(docs.filter("doc_id % 3 > 0"), shard_text=4000, hot=12)
+    assert model.shards > 8 and model.spread[0] and model.spread[1] and not model.spread[2]
+    toks = tokens_of(documents)
+    m = Smoothed([w for i, w in toks.items() if i % 3])
+    for r in ngram_lm.score(docs, model).collect():
+        assert r.score == pytest.approx(m.score(toks[r.doc_id]), abs=5e-4 * len(toks[r.doc_id]))
+    four = ngram_lm.train(docs.filter("doc_id % 3 > 0"), order=4)
+    better = {r.doc_id: r.score for r in ngram_lm.score(docs, four).collect()}
+    assert sum(better[i] for i in toks if i % 3) > sum(m.score(w) for i, w in toks.items() if i % 3)
 
 
 def test_op3_finds_the_planted_passage(spark, small):
@@ -174,8 +193,6 @@ def test_op9_round_trip(spark, request, where):
 
 
 def test_op9_encode_then_decode(spark, small, documents):
-    from motionweave.llm.common import table
-
     args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(table(spark, small, "documents"), *args)
     back = {r.doc_id: bytes(r.bytes).decode() for r in bpe.decode(ids, *args).collect()}
