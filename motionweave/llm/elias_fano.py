@@ -2,7 +2,7 @@
 
 A sequence of n values below ``universe`` keeps the low bits of each value packed, and the
 high bits in unary: one set bit per value, one clear bit after each high part.  Every
-fourth set bit (for ``get``) or clear bit (for ``successor``) has its position sampled, as a
+other set bit (for ``get``) or clear bit (for ``successor``) has its position sampled, as a
 small offset from that of its block, so a whole batch of queries needs a few array
 operations.  A sequence keeps the samples of the queries it is made for.
 """
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 
-_STEP, _BLOCK = 2, 7
+_STEP, _BLOCK = 1, 7
 _1, _6, _63 = np.uint64(1), np.uint64(6), np.uint64(63)
 
 
@@ -29,7 +29,7 @@ def _pack_bits(bits: np.ndarray) -> np.ndarray:
 
 
 def _sample(bits: np.ndarray, name: str) -> dict[str, np.ndarray]:
-    """Positions of every fourth set bit: those of blocks, and offsets from them."""
+    """Positions of every other set bit: those of blocks, and offsets from them."""
     at = np.flatnonzero(bits)[:: 1 << _STEP]
     first = at[:: 1 << (_BLOCK - _STEP)]
     offset = at - np.repeat(first, 1 << (_BLOCK - _STEP))[: len(at)]
@@ -60,6 +60,11 @@ def encode(values: np.ndarray, universe: int, for_get: bool = True, for_successo
     }
 
 
+def _place(word: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Position of the lowest set bit of ``w`` in its word."""
+    return (word << 6) + np.bitwise_count((w & (~w + _1)) - _1)
+
+
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]) -> None:
         self.n, self.width = (int(x) for x in arrays["meta"])
@@ -67,25 +72,30 @@ class EliasFano:
         self.ones, self.zeros = ((arrays[f"{k}_at"], arrays[k]) if k in arrays else None for k in ("ones", "zeros"))
         self.mask = np.uint64((1 << self.width) - 1)
 
-    def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """Position of the k-th set (or clear) bit."""
+    def _ahead(self, word: np.ndarray, w: np.ndarray, ones: bool) -> None:
+        """Move on from used-up words, in place, to the next one with a set (or clear) bit."""
+        go = np.flatnonzero(w == 0)
+        while len(go):
+            word[go] += 1
+            w[go] = self.high[word[go]] if ones else ~self.high[word[go]]
+            go = go[w[go] == 0]
+
+    def _find(self, k: np.ndarray, ones: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Word of the k-th set (or clear) bit, and what is left of it from that bit on."""
         first, offset = self.ones if ones else self.zeros
         at = first[k >> _BLOCK] + offset[k >> _STEP]
-        left = k & ((1 << _STEP) - 1)
         word = at >> 6
         w = self.high[word] if ones else ~self.high[word]
         w &= ~np.uint64(0) << (at.astype(np.uint64) & _63)
-        count = np.bitwise_count(w).astype(np.int64)
-        go = np.flatnonzero(left >= count)
-        while len(go):
-            left[go] -= count[go]
-            word[go] += 1
-            w[go] = self.high[word[go]] if ones else ~self.high[word[go]]
-            count[go] = np.bitwise_count(w[go])
-            go = go[left[go] >= count[go]]
-        for t in range(int(left.max(initial=0))):
+        left = k & ((1 << _STEP) - 1)
+        for t in range((1 << _STEP) - 1):
             w = np.where(left > t, w & (w - _1), w)
-        return (word << 6) + np.bitwise_count((w & (~w + _1)) - _1)
+            self._ahead(word, w, ones)
+        return word, w
+
+    def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """Position of the k-th set (or clear) bit."""
+        return _place(*self._find(k, ones))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -99,6 +109,16 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return (self._select(i, True) - i).astype(np.uint64) << np.uint64(self.width) | self._low(i)
 
+    def get_pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at positions ``i`` and ``i + 1``, which is cheaper than two queries."""
+        i = np.asarray(i, np.int64)
+        word, w = self._find(i, True)
+        first = _place(word, w)
+        w &= w - _1
+        self._ahead(word, w, True)
+        high = first - i, _place(word, w) - i - 1
+        return tuple(h.astype(np.uint64) << np.uint64(self.width) | self._low(i + k) for k, h in enumerate(high))
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of the first value that is not below each ``x``, and whether it equals ``x``."""
         x = np.asarray(x, np.uint64)

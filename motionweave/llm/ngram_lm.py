@@ -94,21 +94,28 @@ def _unpack(blob: bytes, n_columns: int) -> list[np.ndarray]:
     return out
 
 
+def _sorted(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows (a, b), and a mask of the first ones of equal rows in that order."""
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    if b is not None and int(a.max()) < 1 << 32 and int(b.max()) < 1 << 32:
+        a, b = a << np.uint64(32) | b, None
+    order = np.argsort(a) if b is None else np.lexsort((b, a))
+    a = a[order]
+    new = a[1:] != a[:-1]
+    if b is not None:
+        b = b[order]
+        new |= b[1:] != b[:-1]
+    return order, np.concatenate([[True], new])
+
+
 def _merge(a: np.ndarray, b: np.ndarray | None, v: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """Sort rows by (a, b) and add up ``v`` of equal ones."""
     if not len(a):
         return a, b, v
-    if b is None:
-        order = np.argsort(a)
-        a = a[order]
-        new = np.concatenate([[True], a[1:] != a[:-1]])
-    else:
-        narrow = int(a.max()) < 1 << 32 and int(b.max()) < 1 << 32
-        order = np.argsort(a << np.uint64(32) | b) if narrow else np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    first = np.flatnonzero(new)
-    return a[first], None if b is None else b[first], np.add.reduceat(v[order], first)
+    order, new = _sorted(a, b)
+    once = order[new]
+    return a[once], None if b is None else b[once], np.add.reduceat(v[order], np.flatnonzero(new))
 
 
 # --- the model --------------------------------------------------------------------------
@@ -198,7 +205,16 @@ class Reader:
 
     def nodes(self, level: int, first: np.ndarray, last: np.ndarray, codes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the nodes (first, last) of ``level`` (from 1 on): id (-1 if there is none) and, with
-        ``codes``, quantised log probability and the context's back-off weight (0: no such context)."""
+        ``codes``, quantised log probability and the context's back-off weight (0: no such context).
+
+        Equal nodes are looked up once, and in order, so that neighbours meet the same pages."""
+        order, new = _sorted(first.astype(np.uint64), last.astype(np.uint64))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        once = order[new]
+        return tuple(v[place] for v in self._nodes(level, first[once], last[once], codes))
+
+    def _nodes(self, level: int, first: np.ndarray, last: np.ndarray, codes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out, code, gamma = np.full(len(first), -1, np.int64), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         hot, offsets = self.levels[level - 1].hot, self.levels[level].offsets
         order, cuts = _dealt(node_shard(first, last, self.model.shards, hot), self.model.shards)
@@ -212,7 +228,7 @@ class Reader:
             at, rank = at[known], rank[known]
             if not len(at):
                 continue
-            low, high = (arrays["pointers"].get(rank + k).astype(np.int64) for k in (0, 1))
+            low, high = (v.astype(np.int64) for v in arrays["pointers"].get_pair(rank))
             place, same = arrays["successors"].successor(rank.astype(np.uint64) * universe + last[at].astype(np.uint64))
             same &= (place >= low) & (place < high)
             out[at[same]] = place[same] + offsets[s]

@@ -22,6 +22,8 @@ def test_elias_fano(tmp_path, n, u):
     e = elias_fano.pick("a", elias_fano.load(uri))
     if n:
         assert (e.get(np.arange(n)) == v).all()
+        low, high = e.get_pair(np.arange(n - 1))
+        assert (low == v[:-1]).all() and (high == v[1:]).all()
     q = np.concatenate([rng.integers(0, u, 500, dtype=np.uint64), v])
     at, same = e.successor(q)
     want = np.searchsorted(v, q)
