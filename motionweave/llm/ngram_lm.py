@@ -426,14 +426,16 @@ def _count_nodes(docs: DataFrame, model: Model, last: bool, frequent: int) -> Mo
                     yield from held.rows(shard_of)
         yield from held.rows(shard_of)
 
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for s, (a, b, c) in _by_shard(batches, 3):
+            yield s, *_merge(a, b.astype(np.uint64), c.astype(np.int64))
+
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = _reader(model).levels[-1].hot
-        for s, (a, b, c) in _by_shard(batches, 3):
-            a, b, c = _merge(a, b.astype(np.uint64), c.astype(np.int64))
+        for s, a, b, c in add_up(batches):
             yield _part(0, s, n=len(a), blob=_pack(a, b, c))
-            spread = _among(a.astype(np.int64), hot)[1]
-            if spread.any():
-                ids, n = np.unique(a[spread], return_counts=True)
+            ids, n = np.unique(a[_among(a.astype(np.int64), hot)[1]], return_counts=True)
+            if len(ids):
                 yield _part(1, s, blob=_pack(ids, n))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,45 +444,48 @@ def _count_nodes(docs: DataFrame, model: Model, last: bool, frequent: int) -> Mo
                 ids, n = _unpack(blob, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n.astype(np.int64))], names=["id", "n"])
 
-    raw = f"{out}/raw-{level}"
-    parts = written(_to_shards(docs.select("text").mapInArrow(count, _PART), shards).mapInArrow(collect, _PART), raw)
-    if model.spread[-1]:
-        parts.filter("kind = 1").select("blob").mapInArrow(partial, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).write.parquet(f"{out}/hot-{level}")
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         reader = _reader(model)
         hot, universe = reader.levels[-1].hot, int(reader.levels[-1].offsets[-1])
-        spread_n = None
         if len(hot):
             t = _read(f"{out}/hot-{level}")
             spread_n = np.zeros(len(hot), np.int64)
             spread_n[np.searchsorted(hot, t["id"].to_numpy())] = t["n"].to_numpy()
-        for batch in batches:
-            for s, blob in zip(column(batch, "shard").to_pylist(), column(batch, "blob").to_pylist()):
-                a, b, c = _unpack(blob, 3)
-                first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                size = np.diff(np.append(first, len(a)))
-                context, n = a[first].astype(np.int64), size
-                if spread_n is not None:
-                    at, spread = _among(context, hot)
-                    n = np.where(spread, spread_n[at], size)
-                count = reader.counts(level - 1, context)
-                gamma = quantise(DISCOUNT * n / count)
-                p = (c - DISCOUNT) / np.repeat(count, size) + np.repeat(restore(gamma), size) * restore(reader.codes(level - 1, b.astype(np.int64)))
-                rank, suffix = np.repeat(np.arange(len(first), dtype=np.uint64), size), uuid.uuid4().hex[:8]
-                save(
-                    f"{out}/shard-{level}-{s}-{suffix}",
-                    nested("contexts", encode(a[first], universe, for_get=False))
-                    | nested("pointers", encode(np.append(first, len(a)), len(a) + 1, for_successor=False))
-                    | nested("successors", encode(rank * np.uint64(universe) + b, len(first) * universe, for_get=False))
-                    | {"codes": quantise(np.minimum(p, 1)), "gamma": gamma}
-                    | ({} if last else {"counts": _narrow(c)}),
-                )
-                yield _part(0, s, suffix, len(a), 0, None if last else _frequent(c, frequent))
-
-    parts.filter("kind = 0").select("shard", "blob").mapInArrow(build, _PART).write.parquet(f"{out}/level-{level}")
-    remove(spark, raw)
-    spread = bool(spark.read.parquet(f"{out}/level-{level}").filter("blob is not null").head(1))
+        for s, a, b, c in rows:
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            size = np.diff(np.append(first, len(a)))
+            context, n = a[first].astype(np.int64), size
+            if len(hot):
+                at, spread = _among(context, hot)
+                n = np.where(spread, spread_n[at], size)
+            count = reader.counts(level - 1, context)
+            gamma = quantise(DISCOUNT * n / count)
+            p = (c - DISCOUNT) / np.repeat(count, size) + np.repeat(restore(gamma), size) * restore(reader.codes(level - 1, b.astype(np.int64)))
+            rank, suffix = np.repeat(np.arange(len(first), dtype=np.uint64), size), uuid.uuid4().hex[:8]
+            save(
+                f"{out}/shard-{level}-{s}-{suffix}",
+                nested("contexts", encode(a[first], universe, for_get=False))
+                | nested("pointers", encode(np.append(first, len(a)), len(a) + 1, for_successor=False))
+                | nested("successors", encode(rank * np.uint64(universe) + b, len(first) * universe, for_get=False))
+                | {"codes": quantise(np.minimum(p, 1)), "gamma": gamma}
+                | ({} if last else {"counts": _narrow(c)}),
+            )
+            yield _part(0, s, suffix, len(a), 0, None if last else _frequent(c, frequent))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((s, *_unpack(b, 3)) for batch in batches for s, b in zip(column(batch, "shard").to_pylist(), column(batch, "blob").to_pylist()))
+        yield from build(rows)
+
+    counted, target = _to_shards(docs.select("text").mapInArrow(count, _PART), shards), f"{out}/level-{level}"
+    if not model.spread[-1]:  # every context is whole in its shard
+        counted.mapInArrow(lambda batches: build(add_up(batches)), _PART).write.parquet(target)
+    else:  # the successors of contexts that are spread are counted over all shards first
+        raw = f"{out}/raw-{level}"
+        parts = written(counted.mapInArrow(collect, _PART), raw)
+        parts.filter("kind = 1").select("blob").mapInArrow(partial, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).write.parquet(f"{out}/hot-{level}")
+        parts.filter("kind = 0").select("shard", "blob").mapInArrow(unpacked, _PART).write.parquet(target)
+        remove(spark, raw)
+    spread = bool(spark.read.parquet(target).filter("blob is not null").head(1))
     return replace(model, levels=level + 1, spread=(*model.spread, spread))
 
 
