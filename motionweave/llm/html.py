@@ -1,22 +1,33 @@
 """Main-text extraction by consensus host paths.
 
-1. Every page is parsed and its containers are scored by their running text, less
-   link text and boilerplate (``page_votes``).
-2. Pages vote, per host, on generalised tag-class paths such as
-   ``html/body/div.post-N`` (``host_paths``; integer votes, so sums do not depend on
-   order).
-3. Every page is extracted again from the elements on its host's winning path
-   (``extract``); a page without such an element, or without a host, uses its own best
-   container.
+1. Every page is parsed, and each of its containers is rated by how well it holds the
+   page's running text (paragraphs, headings and other blocks that are not mostly links):
+   the F-measure of the share of the running text that it holds and the share of its own
+   text that is running.  The smallest container of all the text wins; a lead block beside
+   the body, or a wrapper with menus, loses (``page_votes``).
+2. All containers vote, per host, on generalised tag-class paths such as
+   ``html/body/div.post-N``; a path's rating is its mean over the pages that have it
+   (integer sums, so they do not depend on order).  Paths travel as 64-bit hashes.
+3. Every page is extracted again from the elements on the host's best-rated path that it
+   has (``extract``); a page without any, or without a host, uses its own best container.
+
+Menus, footers, forms, scripts and the like go by their tag or role.  Blocks go by name
+(class or id) alone only if the whole name says so, such as ``ad``, ``cookie-notice`` or
+``comment-list``; a name that merely holds such a word (``share-price``) is a weak signal and
+counts only if the block is mostly links, or if its text repeats on ``REPEAT_PAGES`` or more
+and ``SHARE`` of the host's pages.
 
 Null html counts as empty and gives an empty text; a page of plain text gives that
-text.  Ties between paths go to the path that sorts first.
+text.  Ties between paths go to the one on more pages, then to the smaller hash.  Very long
+or deep pages take memory and time in proportion to their size.  Repeated rows give equal
+results, an empty table none.  Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from hashlib import blake2b
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,7 +38,10 @@ from motionweave.llm.common import column, materialise, record, table
 
 #: Winning paths are broadcast up to this many bytes; beyond it they are joined by host.
 BROADCAST_BYTES = 16 << 20
-DECAY = 0.8
+#: Paths and repeated blocks of a host count from this share of its pages on, so their lists are short.
+SHARE, REPEAT_PAGES = 0.01, 3
+#: Votes are millionths.
+UNIT = 1_000_000
 
 #: A quote opens a value only after an equals sign, so that a stray one swallows no text.
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>|<[!?/][^>]*>""", re.S)
@@ -39,12 +53,20 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _CONTAINER = frozenset("#root body article main section div td center".split())
 _DROP = frozenset("head script style noscript iframe template nav footer aside form button select textarea svg canvas object dialog menu title xmp".split())
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_DROP_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menus?|breadcrumbs?|sidebars?|widgets?"
-    r"|footer|masthead|site-header|page-header|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|share|sharing|social"
-    r"|related|recommended|comments?|commentlist|respond|disqus|repl(?:y|ies)|pagination|pager|login|search(?:form|box)?)(?:$|[\s_-])",
-    re.I,
+#: Words of names that mark boilerplate, and words that say nothing beside them.
+_MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promos promotion promotions banner nav navbar navigation menu menus breadcrumb breadcrumbs"
+    " sidebar sidebars widget widgets footer masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup share sharing social related recommended"
+    " comment comments commentlist respond disqus reply replies pagination pager login searchform searchbox".split()
 )
+_PLAIN = frozenset(
+    "area aside bar block body bottom box btn button buttons card cell col column container content count desktop element fixed footer form global group head header icon icons inline inner item items"
+    " js label left links link list main mobile module outer overlay page panel post posts primary right row secondary section site slot small sticky text title toggle top unit user wrap wrapper".split()
+)
+_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Blocks whose text is running text at any length, and the length from which others are.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption".split())
+MIN_RUNNING = 25
 _DIGITS = re.compile(r"\d+")
 #: A start tag in the first set ends an open element of the second.
 _CLOSES = {
@@ -61,19 +83,39 @@ _P_ENDS = frozenset(
 )
 
 
+def mark_of(names: str) -> int:
+    """2 if one of the names says boilerplate as a whole, 1 if one holds such a word, else 0."""
+    out = 0
+    for name in names.split():
+        parts = [x.lower() for x in _NAME_PART.findall(name)]
+        if not _MARKS.isdisjoint(parts) or {"header"} < set(parts) <= {"site", "page", "header"}:
+            out = max(out, 2 if all(x in _MARKS or x in _PLAIN for x in parts) else 1)
+    return out
+
+
+def _signed(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def path_hash(path: str) -> int:
+    return _signed(blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+
+
 class Page:
     """A parsed page: elements in document order, and runs of text that name their element.
 
-    Equal paths share a number and know only their last step, so memory and time grow
-    with the page and not with its depth.
+    Equal paths share a number; a path's hash continues its parent's, so memory and time
+    grow with the page and not with its depth.
     """
 
-    __slots__ = ("tags", "parents", "dropped", "in_article", "path", "steps", "runs", "_numbers", "_open_tags")
+    __slots__ = ("tags", "parents", "dropped", "weak", "in_article", "path", "hashes", "runs", "_hashers", "_numbers", "_open_tags")
 
     def __init__(self, source: str) -> None:
         self.tags, self.parents, self.dropped, self.in_article, self.path = ["#root"], [-1], [False], [False], [0]
-        #: Of every path: the number of its parent's, its last step and its length in characters.
-        self.steps: list[tuple[int, str, int]] = [(-1, "", 0)]
+        #: Elements with a name that is a weak signal; hashes of all paths by number.
+        self.weak: list[int] = []
+        self._hashers = [blake2b(digest_size=8)]
+        self.hashes = [path_hash("")]
         self._numbers: dict[tuple[int, str], int] = {}
         self._open_tags: dict[str, int] = {}
         #: (element, text); text None is a boundary between blocks.
@@ -104,21 +146,26 @@ class Page:
             elif name not in _VOID and not m[3].endswith("/"):
                 stack.append(node)
                 self._open_tags[name] = self._open_tags.get(name, 0) + 1
+        self._drop_link_blocks()
 
     def _open(self, parent: int, name: str, attrs: str) -> int:
         kind, drop = "", name in _DROP or self.dropped[parent]
         if attrs and not attrs.isspace():
             found = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attrs)}
             kind = found.get("class", "").strip()
-            if not drop:
+            mark = max(mark_of(kind), mark_of(found.get("id", "")))
+            if name in ("body", "html", "article", "main"):
+                drop = drop or (name == "article" and mark == 2 and "comment" in kind.lower())
+                mark = 0
+            elif not drop:
                 drop = (
-                    bool(_DROP_NAME.search(kind) or _DROP_NAME.search(found.get("id", "")))
+                    mark == 2
                     or found.get("role", "").lower() in _DROP_ROLE
                     or found.get("aria-hidden", "").lower() == "true"
                     or "display:none" in found.get("style", "").replace(" ", "").lower()
                 )
-                if name in ("body", "html", "article", "main"):
-                    drop = bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", kind)) and name == "article"
+            if mark == 1 and not drop:
+                self.weak.append(len(self.tags))
         if name == "header" and not drop:
             drop = not self.in_article[parent]
         step = name + "." + _DIGITS.sub("N", kind.split()[0].lower()) if kind else name
@@ -127,19 +174,60 @@ class Page:
         self.dropped.append(drop)
         self.in_article.append(name == "article" or self.in_article[parent])
         up = self.path[parent]
-        number = self._numbers.setdefault((up, step), len(self.steps))
-        if number == len(self.steps):
-            self.steps.append((up, step, self.steps[up][2] + len(step) + (up > 0)))
+        number = self._numbers.setdefault((up, step), len(self.hashes))
+        if number == len(self.hashes):
+            hasher = self._hashers[up].copy()
+            hasher.update((("/" if up else "") + step).encode("utf-8", "surrogatepass"))
+            self._hashers.append(hasher)
+            self.hashes.append(_signed(hasher.digest()))
         self.path.append(number)
         return len(self.tags) - 1
 
-    def path_name(self, number: int) -> str:
-        """A path as text, such as ``html/body/div.post-N``; that of the root is empty."""
-        steps = []
-        while number > 0:
-            number, step, _ = self.steps[number]
-            steps.append(step)
-        return "/".join(reversed(steps))
+    def _drop(self, nodes: set[int]) -> None:
+        """Leave out these elements and all within them."""
+        for k in range(min(nodes, default=len(self.tags)), len(self.tags)):
+            self.dropped[k] = self.dropped[k] or k in nodes or (k > 0 and self.dropped[self.parents[k]])
+
+    def _drop_link_blocks(self) -> None:
+        """Leave out the weakly named elements that are mostly links."""
+        if self.weak:
+            text, links = self._sizes()
+            self._drop({k for k in self.weak if 2 * links[k] >= text[k]})
+            self.weak = [k for k in self.weak if not self.dropped[k]]
+
+    def _sizes(self) -> tuple[list[int], list[int]]:
+        """Characters, and those of links, within every element."""
+        n = len(self.tags)
+        text, links, linked = [0] * n, [0] * n, self._linked()
+        for node, run in self.runs:
+            if run is not None and not self.dropped[node]:
+                size = len(run.strip())
+                text[node] += size
+                links[node] += size if linked[node] else 0
+        for k in range(n - 1, 0, -1):
+            text[self.parents[k]] += text[k]
+            links[self.parents[k]] += links[k]
+        return text, links
+
+    def _linked(self) -> list[bool]:
+        out: list[bool] = []
+        for k, up in enumerate(self.parents):
+            out.append(self.tags[k] == "a" or (up >= 0 and out[up]))
+        return out
+
+    def weak_blocks(self) -> dict[int, int]:
+        """Hash of the text of every weakly named element that is kept."""
+        if not self.weak:
+            return {}
+        inside: list[list[str]] = [[] for _ in self.weak]
+        at = {k: i for i, k in enumerate(self.weak)}
+        owner: list[int] = []  # the outermost weak element around each
+        for k, up in enumerate(self.parents):
+            owner.append(owner[up] if up >= 0 and owner[up] >= 0 else at.get(k, -1))
+        for node, run in self.runs:
+            if run is not None and owner[node] >= 0 and not self.dropped[node]:
+                inside[owner[node]].append(run)
+        return {k: path_hash(" ".join(" ".join(x).split())) for k, x in zip(self.weak, inside) if x}
 
     def _pop(self, stack: list[int], k: int) -> None:
         for node in stack[k:]:
@@ -177,37 +265,50 @@ class Page:
             elif tag in stops:
                 return
 
-    def votes(self) -> list[tuple[str, int]]:
-        """The best containers' paths with their shares of the page's best score, in thousandths."""
-        n = len(self.tags)
-        words, links, owner, linked = [0.0] * n, [0.0] * n, [0] * n, [False] * n
-        for k in range(n):
-            up = self.parents[k]
-            owner[k] = k if self.tags[k] in _CONTAINER or up < 0 else owner[up]
-            linked[k] = self.tags[k] == "a" or (up >= 0 and linked[up])
-        for node, text in self.runs:
-            if text is not None and not self.dropped[node]:
-                size = len(text.strip())
-                words[owner[node]] += size
-                if linked[node]:
-                    links[owner[node]] += size
+    def votes(self) -> dict[int, int]:
+        """Rating (millionths) of the path of every container that holds running text, by its hash."""
+        n, linked = len(self.tags), self._linked()
+        text, running = [0] * n, [0] * n
+        block: list[tuple[int, int, bool]] = []
+        total = any_text = 0
+
+        def close() -> None:
+            nonlocal total, any_text
+            size = sum(x for _, x, _ in block)
+            if 2 * sum(x for _, x, a in block if a) <= size and (size >= MIN_RUNNING or any(self._in_prose(k) for k, _, _ in block)):
+                for k, x, _ in block:
+                    running[k] += x
+                total += size
+            for k, x, _ in block:
+                text[k] += x
+            any_text += size
+            block.clear()
+
+        for node, run in self.runs:
+            if run is None:
+                close()
+            elif not self.dropped[node] and (size := len(run.strip())):
+                block.append((node, size, linked[node]))
+        close()
+        if not total:  # only scraps or links: all text counts
+            running, total = list(text), any_text
         for k in range(n - 1, 0, -1):
-            if owner[k] == k:
-                up = owner[self.parents[k]]
-                words[up] += DECAY * words[k]
-                links[up] += DECAY * links[k]
-        best: dict[int, float] = {}
+            text[self.parents[k]] += text[k]
+            running[self.parents[k]] += running[k]
         homes = self._homes()
+        held: dict[int, list[int]] = {}
         for k in range(n):
-            if owner[k] == k and words[k] > 0 and not self.dropped[k]:
-                score = words[k] - links[k]
-                if score > 0:
-                    best[homes[k]] = max(best.get(homes[k], 0.0), score)
-        top = max(best.values(), default=0.0)
-        found: dict[str, int] = {}
-        for k, v in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:3]:
-            found.setdefault(self.path_name(self.path[k]), int(1000 * v / top))
-        return list(found.items())
+            if running[k] and homes[k] == k and self.tags[k] in _CONTAINER:
+                sums = held.setdefault(self.path[k], [0, 0])
+                sums[0] += running[k]
+                sums[1] += text[k]
+        # F-measure: 2 r / (all running text + all text of the container).
+        return {self.hashes[p]: 2 * UNIT * r // (total + t) for p, (r, t) in held.items()}
+
+    def _in_prose(self, node: int) -> bool:
+        while self.tags[node] in _INLINE:
+            node = self.parents[node]
+        return self.tags[node] in _PROSE
 
     def _homes(self) -> list[int]:
         """Of every element: the nearest article around it, or else the outermost main element, or itself."""
@@ -218,20 +319,24 @@ class Page:
             main.append(k if kept and self.tags[k] == "main" and main[up] < 0 else main[up])
         return [a if a >= 0 else m if m >= 0 else k for k, (a, m) in enumerate(zip(article, main))]
 
-    def _on(self, path: str) -> list[bool]:
-        """Which elements are on ``path``."""
-        same = {n for n, (_, _, size) in enumerate(self.steps) if size == len(path) and self.path_name(n) == path}
-        return [n in same for n in self.path]
-
-    def text(self, path: str | None) -> str:
-        """Text of the elements on ``path``; of the best own container if there is none."""
-        inside = self._on(path) if path is not None else []
-        if not any(inside) or not (out := self._text(inside)):
-            own = self.votes()
-            if not own:
-                return ""
-            out = self._text(self._on(own[0][0]))
-        return out
+    def _on(self, path: int) -> list[bool]:
+        """Which elements are on the path with that hash."""
+        return [self.hashes[n] == path for n in self.path]
+
+    def text(self, paths: list[int] | str | None = None, repeated: list[int] = ()) -> str:
+        """Text of the elements on the first of ``paths`` that has any; of the best own container if none has.
+
+        ``repeated`` are the hashes of blocks that the host repeats; a path may be given by name.
+        """
+        if self.weak and repeated:
+            known = set(repeated)
+            self._drop({k for k, h in self.weak_blocks().items() if h in known})
+        here = set(self.hashes)
+        for path in [path_hash(paths)] if isinstance(paths, str) else paths or ():
+            if path in here and (out := self._text(self._on(path))):
+                return out
+        own = self.votes()
+        return self._text(self._on(min(own, key=lambda h: (-own[h], h)))) if own else ""
 
     def _text(self, inside: list[bool]) -> str:
         for k in range(1, len(inside)):
@@ -246,47 +351,60 @@ def host_of(url: str | Column) -> Column:
     return F.when(host != "", host)
 
 
+_VOTES = pa.schema([("host", pa.string()), ("kind", pa.int32()), ("hash", pa.int64()), ("votes", pa.int64())])
+PAGE, PATH, BLOCK = 0, 1, 2
+
+
 def page_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes) of the best containers of every page that has a host."""
-    out = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.int64())])
+    """(host, kind, hash, votes) of every page that has a host: one row for itself, one for
+    the path of each container, and one for each weakly named block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for host, source in zip(column(batch, "host").to_pylist(), column(batch, "html")):
-                rows += [(host, p, v) for p, v in Page(source.as_py() or "").votes()]
-            yield record(out, host=[r[0] for r in rows], path=[r[1] for r in rows], votes=[r[2] for r in rows])
+                page = Page(source.as_py() or "")
+                rows.append((host, PAGE, 0, 0))
+                rows += [(host, PATH, h, v) for h, v in page.votes().items()]
+                rows += [(host, BLOCK, h, 0) for h in set(page.weak_blocks().values())]
+            yield record(_VOTES, host=[r[0] for r in rows], kind=[r[1] for r in rows], hash=[r[2] for r in rows], votes=[r[3] for r in rows])
 
-    return pages.select(host_of("url").alias("host"), "html").filter("host is not null").mapInArrow(run, "host string, path string, votes long")
+    return pages.select(host_of("url").alias("host"), "html").filter("host is not null").mapInArrow(run, "host string, kind int, hash long, votes long")
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """One row per host: the path with most votes."""
-    sums = page_votes(pages).groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    # The smallest of (-votes, path) is the path with most votes that sorts first.
-    best = sums.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "path")).alias("best"))
-    return best.select("host", F.col("best.path").alias("path"))
+    """One row per host: its paths, best first, and the hashes of the blocks that it repeats."""
+    sums = page_votes(pages).groupBy("host", "kind", "hash").agg(F.sum("votes").alias("votes"), F.count(F.lit(1)).alias("pages"))
+    sums = materialise(sums, "host-votes")
+    sizes = sums.filter(F.col("kind") == PAGE).select("host", F.col("pages").alias("of"))
+    known = sums.filter(F.col("kind") != PAGE).join(sizes, "host").filter(F.col("pages") >= F.lit(SHARE) * F.col("of"))
+    # Integer division: ratings are compared in millionths on every machine alike.
+    path = F.when(F.col("kind") == PATH, F.struct((-F.expr("votes div pages")).alias("rating"), (-F.col("pages")).alias("pages"), "hash"))
+    block = F.when((F.col("kind") == BLOCK) & (F.col("pages") >= REPEAT_PAGES), F.col("hash"))
+    lists = known.groupBy("host").agg(F.array_sort(F.collect_list(path)).alias("paths"), F.collect_list(block).alias("repeated"))
+    return lists.select("host", F.transform("paths", lambda p: p["hash"]).alias("paths"), "repeated")
 
 
 def extract(pages: DataFrame, paths: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page, from its host's path in ``paths``."""
+    """page_id, url, text and n_chars of every page, from its host's row in ``paths``."""
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(s.as_py() or "").text(p) for s, p in zip(column(batch, "html"), column(batch, "path").to_pylist())]
+            rows = zip(column(batch, "html"), column(batch, "paths").to_pylist(), column(batch, "repeated").to_pylist())
+            texts = [Page(s.as_py() or "").text(p or (), r or ()) for s, p, r in rows]
             yield record(out, page_id=column(batch, "page_id").cast(pa.int64()), url=column(batch, "url"), text=texts, n_chars=[len(t) for t in texts])
 
     # Pages without a host get keys of their own, so that they never share a partition.
     key = F.coalesce(host_of("url"), F.concat(F.lit("?"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
     joined = pages.select("page_id", "url", "html", key.alias("host")).join(paths, "host", "left")
-    return joined.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "paths", "repeated").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """The whole method.  The winning paths are broadcast only if their bytes are few."""
+    """The whole method.  The hosts' lists are broadcast only if their bytes are few."""
     paths = materialise(host_paths(pages), "host-paths")
-    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    size = paths.agg(F.sum(F.octet_length("host") + 8 * (F.size("paths") + F.size("repeated")) + 96)).first()[0] or 0
     return extract(pages, F.broadcast(paths) if size <= BROADCAST_BYTES else paths)
 
 

@@ -2,19 +2,23 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
 
 from motionweave.llm import bpe, ngram_lm, queries
 from motionweave.llm.common import table
+from tests.llm.conftest import write
 from tests.llm.test_kernels import linear_ids
 from tests.oracle import rows_of, spark_rows
 
@@ -208,6 +212,66 @@ def test_op10_main_text(spark, small):
     assert got.text[30] == "" and got.text[31] == "a & b"
 
 
+class _Divs(HTMLParser):
+    """Text, running text and path of every element of a well-formed page of body, div, p and a."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.stack, self.nodes = [], []
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        up = self.stack[-1]["path"] + "/" if self.stack else ""
+        node = {"path": up + tag + (f".{dict(attrs)['class']}" if attrs and "class" in dict(attrs) else ""), "all": 0, "run": 0, "out": [], "tag": tag}
+        self.nodes.append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        running = self.stack[-1]["tag"] == "p" or (self.stack[-1]["tag"] == "div" and len(data) >= 25)
+        for node in self.stack:
+            node["all"] += len(data)
+            node["run"] += len(data) if running else 0
+            node["out"].append(data)
+
+
+def test_op10_votes_of_a_host_with_several_templates(spark, tmp_path):
+    rng, pages = random.Random(4), []
+
+    def prose(n):
+        return " ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(n)) + "."
+
+    for k in range(60):
+        lead, text, talk = prose(8), prose(rng.randrange(60, 90)), prose(rng.choice([6, 6, 6, 6, 300]))
+        if k % 2:
+            html = f"<body><div class='bar'><a>home page</a></div><div class='story'><div class='lead'>{lead}</div><div class='copy'><p>{text}</p></div></div><div class='extra'><p>{talk}</p></div></body>"
+        else:
+            html = f"<body><div class='shell'><div class='bar'><a>home</a></div><div class='copy'><p>{text}</p><p>{lead}</p></div></div><div class='extra'>{talk}</div></body>"
+        pages.append((k, f"http://{'one' if k < 40 else 'two'}.example.org/{k}", html))
+    pages += [(100 + k, "http://three.example.org/", f"<body><div class='copy'><p>{prose(40)}</p><div class='share-tip'>the very same tip on every page of it</div></div></body>") for k in range(3)]
+    columns = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
+    write(str(tmp_path), "pages", columns, pages)
+    rates, parsed = {}, {}
+    for k, url, html in pages:
+        nodes = parsed[k] = _Divs(html.replace("<div class='share-tip'>the very same tip on every page of it</div>", "")).nodes
+        total = nodes[0]["run"]
+        for n in nodes:
+            if n["tag"] in ("body", "div") and n["run"]:
+                rates.setdefault((url.split("/")[2], n["path"]), []).append(2_000_000 * n["run"] // (total + n["all"]))
+    got = result(spark, "op10_main_text", tmp_path).set_index("page_id")
+    changed = 0
+    for k, url, _ in pages:
+        host, here = url.split("/")[2], [n for n in parsed[k] if (url.split("/")[2], n["path"]) in rates]
+        rating = lambda n, host=host: -(sum(rates[host, n["path"]]) // len(rates[host, n["path"]]))
+        best = min(here, key=rating)
+        own = max(here, key=lambda n: 2 * n["run"] / (parsed[k][0]["run"] + n["all"]))
+        changed += best["path"] != own["path"]
+        assert got.text[k] == " ".join(" ".join(best["out"]).split())
+    assert changed > 5
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_odd_rows(spark, odd, name):
     rows = queries.QUERIES[name](spark, odd).collect()

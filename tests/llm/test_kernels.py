@@ -10,7 +10,7 @@ from pyarrow import fs
 
 from motionweave.llm import bpe, common, decontaminate, elias_fano, golay, quality_model, shards, simhash, warc
 from motionweave.llm.components import connected, stars
-from motionweave.llm.html import Page
+from motionweave.llm.html import Page, mark_of, path_hash
 
 
 @pytest.mark.parametrize("n,u", [(0, 10), (1, 1), (1, 1 << 40), (5, 6), (1000, 1000), (1000, 1 << 62), (20000, 90000)])
@@ -193,14 +193,31 @@ def test_html_odd_markup():
     assert Page('<div class="a>b" id=\'x"y\'>text</div>').text(None) == "text"
     assert Page("a b<p>c<!-- gone").text(None) == "a b c"
     page = Page("<div>" * 50_000 + "deep" + "</i>" * 50_000)
-    assert page.text(None) == "deep" and len(page.steps) == 50_001
+    assert page.text(None) == "deep" and len(page.hashes) == 50_001
     assert Page("<a " * 100_000).text(None).startswith("<a <a")
 
 
 def test_html_paths():
     page = Page("<html><body><div class='post-7 wide'>one</div><div class='w-1/2'><p>two</p></div><div class='post-8'>three</div></body></html>")
     assert page.text("html/body/div.post-N") == "one three" and page.text("html/body/div.w-N/N") == "two"
-    assert [page.path_name(n) for n in page.path][-1] == "html/body/div.post-N"
+    assert page.hashes[page.path[-1]] == path_hash("html/body/div.post-N")
+
+
+def test_html_names_are_weak_signals():
+    body = "<article><p>{0} one two three.</p><div class='share-price'>Share price 40 today, up from 38 yesterday</div>{1}<p>four</p></article>"
+    kept = "long text one two three. Share price 40 today, up from 38 yesterday"
+    page = body.format("long text", "<div class='ad'>buy</div><div id=cookieNotice>we use</div><ul class='adTop'><li>x</ul><div class='notice-box'>n</div><div class='cookie-recipe'><a href=x>only links</a></div>")
+    assert Page(page).text() == kept + " four"
+    # A weakly named block goes where its text repeats on the host.
+    again = next(iter(Page(page).weak_blocks().values()))
+    assert Page(page).text(None, [again]) == "long text one two three. four"
+    assert mark_of("ad") == mark_of("main comment-list") == mark_of("adSlot2") == 2 and mark_of("share-price") == 1 and mark_of("shadow lead header") == 0
+
+
+def test_html_takes_the_whole_article_of_a_page_of_divs():
+    page = "<body><div class=top><a href=/>home</a><a href=/b>b</a></div><div class=post><h1>Title</h1><div class=lead>{}</div><div class=text>{}</div></div><div class=end>(c) 2020</div></body>"
+    lead, text = "A lead of a hundred characters. " * 3, "<p>" + "The body of the article goes on. " * 30 + "</p><p>End.</p>"
+    assert Page(page.format(lead, text)).text() == " ".join(f"Title {lead} {text}".replace("<p>", " ").replace("</p>", " ").split())
 
 
 def test_compaction_plan_and_conflict(spark, tmp_path):
