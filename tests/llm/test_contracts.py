@@ -243,12 +243,13 @@ def test_op10_votes_of_a_host_with_several_templates(spark, tmp_path):
     def prose(n):
         return " ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(n)) + "."
 
+    links = " ".join(["home page"] * 40)
     for k in range(60):
         lead, text, talk = prose(8), prose(rng.randrange(60, 90)), prose(rng.choice([6, 6, 6, 6, 300]))
         if k % 2:
-            html = f"<body><div class='bar'><a>home page</a></div><div class='story'><div class='lead'>{lead}</div><div class='copy'><p>{text}</p></div></div><div class='extra'><p>{talk}</p></div></body>"
+            html = f"<body><div class='bar'><a>{links}</a></div><div class='story'><div class='lead'>{lead}</div><div class='copy'><p>{text}</p></div></div><div class='extra'><p>{talk}</p></div></body>"
         else:
-            html = f"<body><div class='shell'><div class='bar'><a>home</a></div><div class='copy'><p>{text}</p><p>{lead}</p></div></div><div class='extra'>{talk}</div></body>"
+            html = f"<body><div class='shell'><div class='bar'><a>{links}</a></div><div class='copy'><p>{text}</p><p>{lead}</p></div></div><div class='extra'>{talk}</div></body>"
         pages.append((k, f"http://{'one' if k < 40 else 'two'}.example.org/{k}", html))
     pages += [(100 + k, "http://three.example.org/", f"<body><div class='copy'><p>{prose(40)}</p><div class='share-tip'>the very same tip on every page of it</div></div></body>") for k in range(3)]
     columns = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
