@@ -84,7 +84,7 @@ def test_masks_hit_every_allowed_window():
 def test_decontamination_equals_brute_force():
     rng = random.Random(4)
     vocab = [f"w{k}" for k in range(30)]
-    items = [(k, " ".join(rng.choices(vocab, k=rng.choice([3, 5, 7, 9, 14, 30])))) for k in range(25)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.choice([1, 2, 3, 4, 5, 7, 9, 14, 30])))) for k in range(25)]
     texts = [None, ""]
     for _ in range(60):
         w = rng.choice(items)[1].split()
@@ -100,12 +100,12 @@ def test_decontamination_equals_brute_force():
         w = decontaminate.tokens(t)
         for k, x in items:
             x = x.split()
-            if len(x) < decontaminate.LEAST:
-                continue
             n, least = decontaminate.rule(len(x))
             if any(sum(0 <= s + j < len(w) and w[s + j] == x[j] for j in range(q, q + n)) >= least for s in range(-len(x), len(w)) for q in range(len(x) - n + 1)):
                 want.add((r, k))
     assert got == want and want
+    short = {(r, bench.items[k][0]) for r, k, _, n, _ in bench.overlaps(texts) if n < decontaminate.LEAST}
+    assert short == {(r, k) for r, k in want if len(items[k][1].split()) < 5} and short
 
 
 def test_decontamination_in_blocks(spark, small, monkeypatch):
