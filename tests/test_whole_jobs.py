@@ -39,29 +39,6 @@ def test_distance_correlation_of_all_pairs(spark, recordings):
         assert dcor == pytest.approx(want, abs=2e-6)
 
 
-def test_op8_keeps_clean_documents_of_a_thinly_labelled_language(spark, tmp_path):
-    quality_rules = pytest.importorskip("motionweave.llm.quality_rules")
-    rng, rows = np.random.default_rng(5), []
-    words = {
-        "en": "the of and in that with was for river stone light garden morning winter letter window".split(),
-        "de": "der die und das nicht mit für fluß stein licht garten morgen winter brief fenster straße".split(),
-    }
-    junk = "click here buy cheap now offer win cash prize deal".split()
-    for k in range(900):
-        lang, bad = "de" if k >= 700 else "en", k % 7 == 0
-        text = " ".join(rng.choice(junk if bad else words[lang], 90))
-        rows.append((k, text if not bad else " ".join([*words[lang], text]), lang, bad))
-    pd.DataFrame([r[:3] for r in rows], columns=["doc_id", "text", "lang"]).to_parquet(f"{tmp_path}/documents.parquet")
-    labels = [(k, int(not bad)) for k, _, lang, bad in rows if k % 4 and (lang == "en" or k % 40 == 1)]
-    pd.DataFrame(labels, columns=["doc_id", "quality"]).astype({"quality": "int32"}).to_parquet(f"{tmp_path}/labels.parquet")
-    got = {r.doc_id: r for r in quality_rules.op8_quality_rules(spark, str(tmp_path)).collect()}
-    clean = [k for k, _, _, bad in rows if not bad and not got[k].base_failed]
-    assert sum(rows[k][2] == "de" for k in clean) > 100 and all(got[k].kept for k in clean)
-    # Where there is evidence, the ratio still decides.
-    junk = [k for k, _, lang, bad in rows if bad and lang == "en"]
-    assert not any(got[k].kept for k in junk)
-
-
 def _longest(near):
     """By trying all paths."""
     best = []
