@@ -8,11 +8,17 @@ temperature, fitted on a fifth of the sample that training does not see, calibra
 probabilities.
 
 The model is fitted on a bounded sample: at most ``MAX_TRAIN`` documents with a language
-(equal shares, chosen by a hash of the id; texts of over ``LONG`` characters only where a
-language has too few others).  Its inverse document frequencies are part of that fit.
+(equal shares, one document at least, chosen by a hash of the id; texts of over ``LONG``
+characters only where a language has too few others).  Its inverse document frequencies are
+part of that fit.  The weights have ``CELLS`` cells at most: with many languages n-grams share
+fewer buckets (65,536 for up to 512 languages), so memory stays bounded for any number of
+them; over ``MAX_LANGUAGES`` is an error, as the column then holds something else.
+
 Null texts and texts without letters are ``und`` with score 0; without any labelled
-document every text is.  Ties go to the language that sorts first.  lang, source and
-doc_id are never inputs of a prediction; labels must be few (at most ``MAX_LANGUAGES``).
+document every text is.  Very long texts are read whole, in pieces of bounded memory.  Ties
+go to the language that sorts first.  Repeated rows get equal results; an empty table gives
+none.  lang, source and doc_id are never inputs of a prediction, and other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,7 +35,9 @@ from pyspark.sql import functions as F
 from motionweave.llm.common import column, is_held_out, record, slices, table
 
 ORDERS, BUCKETS, SCALE = (1, 2, 3), 1 << 16, 20.0
-MAX_TRAIN, LONG, MAX_LANGUAGES = 4000, 20_000, 500
+MAX_TRAIN, LONG, MAX_LANGUAGES = 4000, 20_000, 5000
+#: Cells of the weights, and of those that are gathered at once for the n-grams of a piece.
+CELLS, GATHER = 1 << 25, 1 << 22
 #: FTRL-Proximal: learning rate, its offset, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 3
 MIN_SCORE = 0.4
@@ -76,19 +84,21 @@ def has_letters(texts: list[str | None]) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    #: (BUCKETS x languages) weight times inverse document frequency, and the bias.
+    #: (buckets x languages) weight times inverse document frequency, and the bias.
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        sums, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        for bucket, row in ngrams(texts):
-            if not len(row):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            sums[row[first]] += np.add.reduceat(self.weights[bucket], first, axis=0, dtype=np.float64)
-            total += np.bincount(row, minlength=len(texts))
+        k, mask = len(self.languages), len(self.weights) - 1
+        sums, total = np.zeros((len(texts), k)), np.zeros(len(texts))
+        step = max(1, GATHER // k)
+        for buckets, rows in ngrams(texts):
+            total += np.bincount(rows, minlength=len(texts))
+            for at in range(0, len(rows), step):
+                bucket, row = buckets[at : at + step], rows[at : at + step]
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                sums[row[first]] += np.add.reduceat(self.weights[bucket & mask], first, axis=0, dtype=np.float64)
         return SCALE * sums / np.maximum(total, 1)[:, None] + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -104,19 +114,34 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def bucket_count(languages: int) -> int:
+    """A power of two, so that the weights have at most ``CELLS`` cells."""
+    return min(BUCKETS, 1 << (CELLS // max(1, languages)).bit_length() - 1)
+
+
+def _shared(b: np.ndarray, c: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts when n-grams share fewer buckets."""
+    if buckets == BUCKETS:
+        return b, c
+    once, at = np.unique(b & (buckets - 1), return_inverse=True)
+    return once, np.bincount(at, c, len(once))
+
+
 def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], languages: list[str]) -> Model:
     """Train on (language, buckets, counts) rows; every fifth row calibrates the temperature."""
     k = len(languages)
     if not k:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    buckets = bucket_count(k)
+    samples = [(x, *_shared(b, c, buckets)) for x, b, c in samples]
     spare = [s for i, s in enumerate(samples) if i % 5 == 4]
     train = [s for i, s in enumerate(samples) if i % 5 != 4]
-    df = np.zeros(BUCKETS)
+    df = np.zeros(buckets)
     for _, b, _ in train:
         df[b] += 1
     idf = np.log((1 + len(train)) / (1 + df)) + 1
     code = {x: i for i, x in enumerate(languages)}
-    z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))  # the last row is the bias
+    z, n = np.zeros((buckets + 1, k)), np.zeros((buckets + 1, k))  # the last row is the bias
 
     def solve(at: np.ndarray | slice) -> np.ndarray:
         return np.where(np.abs(z[at]) <= L1, 0.0, -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
@@ -126,7 +151,7 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], languages: list[str])
 
     for _ in range(EPOCHS):
         for lang, b, c in train:
-            at, x = np.append(b, BUCKETS), np.append(features(b, c), 1.0)
+            at, x = np.append(b, buckets), np.append(features(b, c), 1.0)
             w = solve(at)
             p = softmax(x @ w)
             p[code[lang]] -= 1
@@ -157,9 +182,10 @@ def train(docs: DataFrame) -> Model:
     if not sizes:
         return fit([], [])
     share = max(1, MAX_TRAIN // len(sizes))
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * share / n + 20 / n))])
+    rates = [(lang, min(1.0, 2 * share / n + 20 / n) * 1_000_000) for lang, n in sizes.items()]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, rate double"))  # at most MAX_LANGUAGES rows
     draw = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("langid"))
-    thinned = labelled.withColumn("draw", draw).filter(F.pmod("draw", F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
+    thinned = labelled.select("text", "lang", draw.alias("draw")).join(rates, "lang").filter(F.pmod("draw", F.lit(1_000_000)) < F.col("rate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -9,7 +9,9 @@ vectorised and every term can be read off.
 It is fitted on a bounded sample: at most ``MAX_TRAIN`` labelled documents, chosen by a
 hash of the id; the ids of that sample (bounded by the same number) are broadcast, so no
 text is shuffled.  Conflicting labels of an id count as the lowest.  labels, lang, source
-and doc_id are never inputs of a score.  Null texts are empty and get a score like any
+and doc_id are never inputs of a score, and other columns are not read.  An id that several
+documents have trains with one of them.  Repeated rows get equal scores; empty tables give
+no rows, and very long texts are read whole.  Null texts are empty and get a score like any
 other; with no labelled document every score is 0.5, with one class all are the smoothed
 share of that class.
 """
@@ -220,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     """Fit on at most ``max_train`` labelled documents."""
     known = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000))
-    rate = min(1.0, 1.5 * max_train / max(1, known.count()))
+    rate = min(1.0, 1.5 * max_train / max(1, known.select("doc_id").distinct().count()) + 0.001)
     thinned = known.withColumn("draw", draw).filter(F.col("draw") < rate * 1_000_000)
     chosen = thinned.groupBy("doc_id", "draw").agg(F.min("quality").alias("quality")).orderBy("draw", "doc_id").limit(max_train).drop("draw")
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

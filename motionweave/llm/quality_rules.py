@@ -11,7 +11,7 @@ pass and the score is at least a fixed threshold.  The ratio tables are rounded
 In a language whose trusted documents have fewer than ``BUCKETS`` n-grams (fewer than the
 pseudo-counts they are smoothed by) the ratios are zero and only the base rules decide.
 
-Null and empty texts have no words and fail the base rules.  Repeated rows are judged alike
+Very long texts are judged whole; an empty table gives no rows.  Null and empty texts have no words and fail the base rules.  Repeated rows are judged alike
 (each counts in the corpus); only doc_id, text and (to learn the languages) lang are read,
 so extra columns do not matter.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionweave.llm import langid
-from motionweave.llm.common import column, record, slices, table, text_bytes
+from motionweave.llm.common import column, materialise, record, slices, table, text_bytes
 from motionweave.llm.tokens import Words, mix
 
 BUCKETS = 1 << 16
@@ -35,8 +35,8 @@ BUCKETS = 1 << 16
 THRESHOLD = -200_000
 #: Text bytes judged at once; their languages take most of the memory.
 SLICE = 1 << 20
-#: Trusted ids are broadcast up to this many; beyond it they are joined.
-BROADCAST_IDS = 2_000_000
+#: Trusted ids are broadcast up to this many bytes (64 for each); beyond it they are joined.
+BROADCAST_BYTES, ID_BYTES = 16 << 20, 64
 MIN_WORDS, REPEAT_PERCENT = 10, 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -52,50 +52,50 @@ def buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Ratios:
-    """The languages, and log(P_target / P_raw) in millionths of every bucket in each of them (the last row: none)."""
+    """log(P_target / P_raw) in millionths of every bucket, in the languages with enough evidence.
+
+    ``row`` is each language's row in ``table`` (the last entry: texts of no language); row 0 is zero.
+    """
 
     model: langid.Model
+    row: np.ndarray
     table: np.ndarray
 
 
 def language_rows(texts: pa.Array, model: langid.Model) -> np.ndarray:
-    """Row of each text's language; the last one for texts of none."""
+    """Number of each text's language; the last one for texts of none."""
     code = {x: k for k, x in enumerate(model.languages)}
     return np.array([code.get(x, len(code)) for x in model.predict(texts.to_pylist())[0]], np.int64)
 
 
-def count_grams(docs: DataFrame, trusted: DataFrame, model: langid.Model) -> tuple[np.ndarray, np.ndarray]:
-    """(target, raw) counts of every language and bucket over all documents.
-
-    A task sends one row per language and bucket at most, and so does the driver get.
-    """
+def count_grams(docs: DataFrame, trusted: DataFrame, model: langid.Model) -> DataFrame:
+    """(language, bucket, target, raw) counts over all documents; a task sends one row per cell at most."""
     marked = docs.select("doc_id", "text").join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left").select("text", "trusted")
-    out = pa.schema([("bucket", pa.int32()), ("target", pa.int64()), ("raw", pa.int64())])
-    shared, n = docs.sparkSession.sparkContext.broadcast(model), (len(model.languages) + 1) * BUCKETS
+    out = pa.schema([("language", pa.int32()), ("bucket", pa.int32()), ("target", pa.int64()), ("raw", pa.int64())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, raw = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        sums: dict[int, np.ndarray] = {}
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 good = np.array([bool(x) for x in column(batch, "trusted").to_pylist()])
                 grams, doc = buckets(Words(column(batch, "text")))
-                grams = grams + BUCKETS * language_rows(column(batch, "text"), shared.value)[doc]
-                raw += np.bincount(grams, minlength=n)
-                target += np.bincount(grams[good[doc]], minlength=n)
-        at = np.flatnonzero(raw)
-        yield record(out, bucket=at.astype(np.int32), target=target[at], raw=raw[at])
+                language = language_rows(column(batch, "text"), shared.value)
+                for k in np.unique(language).tolist():
+                    held, mine = sums.setdefault(k, np.zeros((2, BUCKETS), np.int64)), language[doc] == k
+                    held[0] += np.bincount(grams[mine & good[doc]], minlength=BUCKETS)
+                    held[1] += np.bincount(grams[mine], minlength=BUCKETS)
+        for k, (target, raw) in sums.items():
+            at = np.flatnonzero(raw)
+            yield record(out, language=np.full(len(at), k, np.int32), bucket=at.astype(np.int32), target=target[at], raw=raw[at])
 
-    sums = marked.mapInArrow(run, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
-    target, raw = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    at = sums["bucket"].to_numpy()
-    target[at], raw[at] = sums["target"].to_numpy(), sums["raw"].to_numpy()
-    return target.reshape(-1, BUCKETS), raw.reshape(-1, BUCKETS)
+    return marked.mapInArrow(run, "language int, bucket int, target long, raw long").groupBy("language", "bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids labelled as of good quality by every label they have; broadcast only if few."""
     ids = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ID_BYTES * ids.count() <= BROADCAST_BYTES else ids
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Ratios:
@@ -105,13 +105,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ratios:
     by ``BUCKETS`` pseudo-counts, so a bucket with little evidence stays near zero.
     """
     model = langid.train(docs)
-    ratios = np.zeros((len(model.languages) + 1, BUCKETS), np.int64)
-    for k, (target, raw) in enumerate(zip(*count_grams(docs, trusted_ids(labels), model))):
-        if target.sum() >= BUCKETS:
-            q = (raw + 1) / (raw.sum() + BUCKETS)
-            p = (target + BUCKETS * q) / (target.sum() + BUCKETS)
-            ratios[k] = np.rint(1e6 * np.log(p / q))
-    return Ratios(model, ratios)
+    counts = materialise(count_grams(docs, trusted_ids(labels), model), "grams")
+    known = [r.language for r in counts.groupBy("language").agg(F.sum("target").alias("n")).filter(F.col("n") >= BUCKETS).orderBy("language").collect()]
+    row, ratios = np.zeros(len(model.languages) + 1, np.int64), np.zeros((len(known) + 1, BUCKETS), np.int32)
+    row[known] = np.arange(1, len(known) + 1)
+    for k in known:  # one language at a time: BUCKETS rows
+        found = counts.filter(F.col("language") == k).toArrow()
+        target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        at = found["bucket"].to_numpy()
+        target[at], raw[at] = found["target"].to_numpy(), found["raw"].to_numpy()
+        q = (raw + 1) / (raw.sum() + BUCKETS)
+        p = (target + BUCKETS * q) / (target.sum() + BUCKETS)
+        ratios[row[k]] = np.rint(1e6 * np.log(p / q))
+    return Ratios(model, row, ratios)
 
 
 def rate(texts: pa.Array, ratios: Ratios) -> dict[str, np.ndarray]:
@@ -137,7 +143,7 @@ def rate(texts: pa.Array, ratios: Ratios) -> dict[str, np.ndarray]:
     repeats = np.bincount(w.doc[cover[:-1] > 0], minlength=w.rows)
     grams, doc = buckets(w)
     # Exact: integers below 2^53 in every document of under 10^9 n-grams.
-    total = np.bincount(doc, ratios.table[language_rows(texts, ratios.model)[doc], grams].astype(np.float64), minlength=w.rows)
+    total = np.bincount(doc, ratios.table[ratios.row[language_rows(texts, ratios.model)][doc], grams].astype(np.float64), minlength=w.rows)
     score = np.floor(total / np.maximum(np.bincount(doc, minlength=w.rows), 1)).astype(np.int64)
     failed = (n < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * n)
     return {

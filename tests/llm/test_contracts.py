@@ -16,8 +16,9 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from motionweave.llm import bpe, ngram_lm, queries
+from motionweave.llm import bpe, langid, ngram_lm, quality_rules, queries
 from motionweave.llm.common import table
+from motionweave.llm.tokens import Words
 from tests.llm.conftest import write
 from tests.llm.test_kernels import linear_ids
 from tests.oracle import rows_of, spark_rows
@@ -182,6 +183,67 @@ def test_op8_base_counts(spark, request, where):
         assert got[got.doc_id % 6 != 5].kept[lambda k: ~got.base_failed].all()
 
 
+def test_op8_keeps_clean_documents_of_a_thinly_labelled_language(spark, tmp_path):
+    rng, rows = np.random.default_rng(5), []
+    words = {
+        "en": "the of and in that with was for river stone light garden morning winter letter window".split(),
+        "de": "der die und das nicht mit für fluß stein licht garten morgen winter brief fenster straße".split(),
+    }
+    junk = "click here buy cheap now offer win cash prize deal".split()
+    for k in range(900):
+        lang, bad = "de" if k >= 700 else "en", k % 7 == 0
+        text = " ".join(rng.choice(junk if bad else words[lang], 90))
+        rows.append((k, text if not bad else " ".join([*words[lang], text]), lang, bad))
+    pd.DataFrame([r[:3] for r in rows], columns=["doc_id", "text", "lang"]).to_parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, int(not bad)) for k, _, lang, bad in rows if k % 4 and (lang == "en" or k % 40 == 1)]
+    pd.DataFrame(labels, columns=["doc_id", "quality"]).astype({"quality": "int32"}).to_parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in quality_rules.op8_quality_rules(spark, str(tmp_path)).collect()}
+    clean = [k for k, _, _, bad in rows if not bad and not got[k].base_failed]
+    assert sum(rows[k][2] == "de" for k in clean) > 100 and all(got[k].kept for k in clean)
+    # Where there is evidence, the ratio still decides.
+    junk = [k for k, _, lang, bad in rows if bad and lang == "en"]
+    assert not any(got[k].kept for k in junk)
+    # Score and verdict by plain counting, one text at a time, within op6's languages.
+    docs, grams = table(spark, str(tmp_path), "documents"), {}
+    model = langid.train(docs)
+    for k, text, _, _ in rows:
+        b = quality_rules.buckets(Words(pa.array([text])))[0].tolist()
+        grams[k] = (model.predict([text])[0][0], b)
+    good = {k for k, q in labels if q == 1}
+    raw, target = {}, {}
+    for k, (lang, b) in grams.items():
+        raw.setdefault(lang, Counter()).update(b)
+        target.setdefault(lang, Counter()).update(b if k in good else [])
+    size = quality_rules.BUCKETS
+    for k, (lang, b) in grams.items():
+        r, t = raw[lang], target[lang]
+        nr, nt = sum(r.values()), sum(t.values())
+
+        def ratio(x):
+            q = (r[x] + 1) / (nr + size)
+            return round(1e6 * math.log((t[x] + size * q) / (nt + size) / q)) if nt >= size else 0
+
+        score = math.floor(sum(map(ratio, b)) / len(b))
+        assert abs(got[k].score * 1e6 - score) <= 1 and got[k].kept == (not got[k].base_failed and round(got[k].score * 1e6) >= quality_rules.THRESHOLD)
+
+
+def test_op6_many_languages_share_buckets():
+    assert langid.bucket_count(4) == langid.bucket_count(512) == 1 << 16 and langid.bucket_count(2000) == 1 << 14
+    rng, texts = random.Random(3), []
+    names = [f"l{k:03d}" for k in range(700)]
+    for name in names:
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)]
+        texts += [(name, " ".join(rng.choices(words, k=12))) for _ in range(4)]
+    samples = []
+    for name, text in texts:
+        b, c = np.unique(np.concatenate([x for x, _ in langid.ngrams([text])]), return_counts=True)
+        samples.append((name, b, c))
+    model = langid.fit(samples, names)
+    assert model.weights.shape == (1 << 15, 700)
+    long = " ".join(t for n, t in texts[:4] for _ in range(9000))
+    assert len(long) > 1 << 20 and model.predict([long, None])[0] == [names[0], "und"]
+
+
 @pytest.mark.parametrize("where", ["small", "odd"])
 def test_op9_round_trip(spark, request, where):
     folder = request.getfixturevalue(where)
