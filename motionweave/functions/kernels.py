@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -14,9 +15,10 @@ def butterworth(cutoff: float, fs: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array([k * k * n, 2 * k * k * n, k * k * n]), np.array([1.0, 2 * (k * k - 1) * n, (1 - math.sqrt(2) * k + k * k) * n])
 
 
-def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: tuple[float, float]) -> np.ndarray:
-    out, (s, t) = np.empty(len(x)), state
-    for i, v in enumerate(x.tolist()):
+def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Columns of ``x`` through the filter, one step for all of them at a time."""
+    out, (s, t) = np.empty_like(x), state
+    for i, v in enumerate(x):
         y = b[0] * v + s
         s, t = b[1] * v - a[1] * y + t, b[2] * v - a[2] * y
         out[i] = y
@@ -24,21 +26,24 @@ def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: tuple[float, flo
 
 
 def filtfilt(x: np.ndarray, cutoff: float, fs: float, pad: int = 9) -> np.ndarray:
-    """Forward and backward filtering with odd extension and steady initial state.
+    """Forward and backward filtering with odd extension and steady initial state, of every column.
 
     Signals of up to ``pad`` samples are too short for the extension and come back unchanged;
-    so do signals with missing values.
+    so do columns with missing values.
     """
-    if len(x) <= pad or np.isnan(x).any():
-        return x.copy()
-    b, a = butterworth(cutoff, fs)
-    # State of a constant input of one.
-    t = b[2] - a[2]
-    s = b[1] - a[1] + t
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    for _ in range(2):
-        ext = _filter(b, a, ext, (s * ext[0], t * ext[0]))[::-1]
-    return ext[pad:-pad]
+    whole = x if x.ndim == 2 else x[:, None]
+    out, good = whole.astype(float).copy(), ~np.isnan(whole).any(0)
+    if len(whole) > pad and good.any():
+        b, a = butterworth(cutoff, fs)
+        # State of a constant input of one.
+        t = b[2] - a[2]
+        s = b[1] - a[1] + t
+        v = out[:, good]
+        ext = np.concatenate([2 * v[0] - v[pad:0:-1], v, 2 * v[-1] - v[-2 : -pad - 2 : -1]])
+        for _ in range(2):
+            ext = _filter(b, a, ext, np.stack([s * ext[0], t * ext[0]]))[::-1]
+        out[:, good] = ext[pad:-pad]
+    return out if x.ndim == 2 else out[:, 0]
 
 
 def cross_correlation(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
@@ -55,6 +60,58 @@ def cross_correlation(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
     return k - (len(b) - 1), float(r[k])
 
 
+def digest_ranking(seed: str, iteration: int, items: list) -> list[int]:
+    """Order of ``items`` by the md5 of (seed, iteration, item), as the relational tables have it."""
+    return sorted(range(len(items)), key=lambda k: (hashlib.md5(f"{seed}:{iteration}:{items[k]}".encode()).hexdigest(), items[k]))
+
+
+def permutations(seed: str, iterations: range, blocks: list[int]) -> np.ndarray:
+    """(iterations x nodes) new label of every node; labels move within their block only."""
+    members: dict[int, list[int]] = {}
+    for node, block in enumerate(blocks):
+        members.setdefault(block, []).append(node)
+    out = np.empty((len(iterations), len(blocks)), np.int64)
+    for row, k in enumerate(iterations):
+        for nodes in members.values():
+            out[row, nodes] = [nodes[q] for q in digest_ranking(seed, k, nodes)]
+    return out
+
+
+def average_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks of every row, ties at their mean."""
+    x = np.atleast_2d(x)
+    order = np.argsort(x, axis=1, kind="stable")
+    y, n = np.take_along_axis(x, order, 1), x.shape[1]
+    new = np.ones(y.shape, bool)
+    new[:, 1:] = y[:, 1:] != y[:, :-1]
+    at = np.arange(n)[None, :]
+    first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+    stop = np.ones(y.shape, bool)
+    stop[:, :-1] = new[:, 1:]
+    last = np.minimum.accumulate(np.where(stop, at, n)[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, 1)
+    return out
+
+
+def spearman_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rank correlation of every row of x and y over the cells that both have; NaN where one side is constant."""
+    x, y = np.broadcast_arrays(np.atleast_2d(x), np.atleast_2d(y))
+    gap = np.isnan(x) | np.isnan(y)
+    out = np.full(len(x), np.nan)
+    for rows in (np.flatnonzero(~gap.any(1)), *([k] for k in np.flatnonzero(gap.any(1)))):
+        if not len(rows):
+            continue
+        keep = ~gap[rows[0]]
+        a, b = average_ranks(x[rows][:, keep]), average_ranks(y[rows][:, keep])
+        if not a.shape[1]:
+            continue
+        a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+        norm = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+        out[rows] = np.divide((a * b).sum(1), norm, out=np.full(len(a), np.nan), where=norm > 0)
+    return out
+
+
 def centred_distances(x: np.ndarray) -> np.ndarray:
     d = np.abs(x[:, None] - x[None, :])
     return d - d.mean(0) - d.mean(1)[:, None] + d.mean()

@@ -95,6 +95,13 @@ def allegiance(memberships: DataFrame, keys: list[str], run: str, n: int) -> Dat
     return flat.groupBy(*keys, F.col("_p.i").alias("i"), F.col("_p.j").alias("j")).agg(F.avg(same).alias("w"))
 
 
+def group_allegiance(own: DataFrame, keys: list[str], group: list[str], n: int) -> DataFrame:
+    """Mean and deviation of the subjects' allegiance; matrices that lack cells or have no value are left out."""
+    w = Window.partitionBy(*keys)
+    valid = own.withColumns({"_n": F.count(F.lit(1)).over(w), "_v": F.count("w").over(w)}).filter((F.col("_n") == n * (n - 1) // 2) & (F.col("_v") > 0))
+    return valid.groupBy(*group, "i", "j").agg(F.avg("w").alias("w"), F.stddev_pop("w").alias("std"))
+
+
 def louvain_memberships(edges: DataFrame, keys: list[str], n: int, runs: int) -> DataFrame:
     """(keys, run, node, community) of seeded Louvain runs: seeds come from the graph's key."""
 
@@ -103,7 +110,7 @@ def louvain_memberships(edges: DataFrame, keys: list[str], n: int, runs: int) ->
         w = np.zeros((n, n))
         i, j = t["i"].to_numpy(), t["j"].to_numpy()
         w[i, j] = w[j, i] = np.nan_to_num(t["w"].to_numpy(zero_copy_only=False).astype(float))
-        out = [kernels.louvain(w, np.random.default_rng(abs(hash((t["_seed"][0].as_py(), k))))) for k in range(runs)]
+        out = [kernels.louvain(w, np.random.default_rng([t["_seed"][0].as_py() & (1 << 63) - 1, k])) for k in range(runs)]
         size = runs * n
         yield pa.RecordBatch.from_arrays(
             [pa.array([t[k][0].as_py()] * size, t[k].type) for k in keys]
@@ -115,8 +122,11 @@ def louvain_memberships(edges: DataFrame, keys: list[str], n: int, runs: int) ->
     return seeded.groupBy(*keys).applyInArrow(run, key_schema(edges, keys) + ", run long, node long, community long")
 
 
-def modularity(edges: DataFrame, members: DataFrame, keys: list[str], self_loop: float = 1.0) -> DataFrame:
-    """Newman modularity; a self-loop counts once in a community's weight and twice in degrees."""
+def modularity(edges: DataFrame, members: DataFrame, keys: list[str], self_loop: float = 1.0, alone: bool = False) -> DataFrame:
+    """Newman modularity; a self-loop counts once in a community's weight and twice in degrees.
+
+    NULL where all nodes are one community, unless ``alone`` asks for that score too.
+    """
     a = members.select(*keys, F.col("node").alias("i"), F.col("community").alias("_a"))
     b = members.select(*keys, F.col("node").alias("j"), F.col("community").alias("_b"))
     ends = edges.join(a, [*keys, "i"]).join(b, [*keys, "j"])
@@ -128,7 +138,7 @@ def modularity(edges: DataFrame, members: DataFrame, keys: list[str], self_loop:
     all_ = all_.withColumns({"degree": F.col("degree") + 2 * self_loop * F.col("size"), "inside": F.col("inside") + self_loop * F.col("size")})
     m = F.sum("degree").over(Window.partitionBy(*keys)) / 2
     term = F.col("inside") / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)
-    return all_.withColumn("m", m).groupBy(*keys).agg(F.sum(term).alias("modularity"), F.count(F.lit(1)).alias("communities"))
+    return all_.withColumn("m", m).groupBy(*keys).agg(F.when((F.count(F.lit(1)) > 1) | F.lit(alone), F.sum(term)).alias("modularity"), F.count(F.lit(1)).alias("communities"))
 
 
 def community_density(edges: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:

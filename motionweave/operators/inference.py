@@ -2,21 +2,27 @@
 
 Random tables are made by ranking md5 digests of (seed, iteration, item): the same on any
 engine and any cluster, without a driver loop.  Moments and statistics are aggregations;
-only tail probabilities run as Arrow-batched kernels.
+permutations and bootstraps run as matrices in Arrow kernels, as do tail probabilities.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionweave.functions import special
+from motionweave.functions import kernels, special
 from motionweave.functions.core import safe_corr
 
 
+#: Iterations of a random table that one kernel call takes as a matrix.
+BLOCK = 500
+
+
 def average_rank(value: str, keys: list[str]) -> Column:
     """Rank with ties at their mean."""
     w = Window.partitionBy(*keys)
@@ -45,21 +51,118 @@ def permutation_table(nodes: DataFrame, iterations: int, seed: str, block: str =
     return left.join(right, ["iter", block, "k"]).select("iter", "old", "new")
 
 
-def sample_table(items: DataFrame, keys: list[str], iterations: int, share: float, seed: str, item: str = "subject") -> DataFrame:
-    """(iter, keys, item): per key max(1, floor(n * share)) items without replacement."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = items.withColumn("_n", n).withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    order = Window.partitionBy("iter", *keys).orderBy(digest_order(seed, "iter", item), item)
-    take = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= take).select("iter", *keys, item)
+def _cells(pairs: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row per key with its edges as an array (at most n squared of them)."""
+    return pairs.groupBy(*keys).agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), *[F.col(v).cast("double").alias(v) for v in values])).alias("_e"))
+
+
+def _blocks(packed: DataFrame, iterations: int) -> DataFrame:
+    """Every key's row once per block of iterations, dealt over the tasks."""
+    rows = packed.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // BLOCK))))
+    return rows.repartition(F.col("_b"))
 
 
-def permute_edges(edges: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Edges of every iteration under permuted labels."""
-    a = table.select("iter", F.col("old").alias("i"), F.col("new").alias("_i"))
-    b = table.select("iter", F.col("old").alias("j"), F.col("new").alias("_j"))
-    moved = edges.join(a, "i").join(b, ["iter", "j"])
-    return moved.select(*keys, "iter", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), value)
+def _dense(cells: list[dict], n: int, value: str) -> np.ndarray:
+    m = np.full((n, n), np.nan)
+    for c in cells:
+        v = c[value]
+        m[c["i"], c["j"]] = m[c["j"], c["i"]] = np.nan if v is None else v
+    return m
+
+
+def _moved(m: np.ndarray, to: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """(iterations x edges) values that lie on each edge (i, j) after the nodes move to ``to``."""
+    back = np.argsort(to, axis=1)
+    return m[back[:, i], back[:, j]]
+
+
+def permutation_test(pairs: DataFrame, keys: list[str], blocks: list[int], iterations: int, seed: str) -> DataFrame:
+    """(keys, rho, p_value): rank correlation of x and y over edges, and its permutation p.
+
+    p is (#{|observed| <= |permuted|} + 1) / (iterations + 1) at 9 decimals, with the labels of
+    x shuffled within ``blocks`` (one for each node).  A key's edges travel as one array; a
+    block of iterations is one matrix, so no edge is repeated per iteration.
+    """
+    head = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for batch in batches:
+            out = []
+            for cells, b in zip(batch.column("_e").to_pylist(), batch.column("_b").to_pylist()):
+                first = b * BLOCK + 1
+                if b not in tables:
+                    tables[b] = kernels.permutations(seed, range(first, min(first + BLOCK, iterations + 1)), blocks)
+                x, y = (_dense(cells, len(blocks), v) for v in "xy")
+                i, j = (np.array([c[v] for c in cells]) for v in "ij")
+                rho = kernels.spearman_rows(x[i, j], y[i, j])[0]
+                moved = kernels.spearman_rows(_moved(x, tables[b], i, j), y[i, j])
+                out.append((None if np.isnan(rho) else float(rho), int((np.round(abs(rho), 9) <= np.round(np.abs(moved), 9)).sum())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int64())], names=[*keys, "rho", "hits"])
+
+    found = _blocks(_cells(pairs, keys, ["x", "y"]), iterations).mapInArrow(run, f"{head}, rho double, hits long")
+    return found.groupBy(*keys).agg(F.max("rho").alias("rho"), ((F.sum("hits") + 1) / F.lit(iterations + 1)).alias("p_value"))
+
+
+def edge_permutation_test(edges: DataFrame, keys: list[str], value: str, blocks: list[int], iterations: int, seed: str) -> DataFrame:
+    """(keys, i, j, value, p_value): share of the permutations whose value on the edge is as large, in absolute terms."""
+    head = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (cells, b) in enumerate(zip(batch.column("_e").to_pylist(), batch.column("_b").to_pylist())):
+                first = b * BLOCK + 1
+                to = kernels.permutations(seed, range(first, min(first + BLOCK, iterations + 1)), blocks)
+                m = _dense(cells, len(blocks), value)
+                i, j = (np.array([c[v] for c in cells]) for v in "ij")
+                moved = _moved(m, to, i, j)
+                hits = (np.round(np.abs(moved), 9) >= np.round(np.abs(m[i, j]), 9)).sum(0)
+                size = len(cells)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(k)[row].as_py()] * size, batch.column(k).type) for k in keys]
+                    + [pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array([c[value] for c in cells], pa.float64()), pa.array(hits.astype(np.int64)), pa.array((~np.isnan(moved)).sum(0).astype(np.int64))],
+                    names=[*keys, "i", "j", value, "hits", "of"],
+                )
+
+    found = _blocks(_cells(edges, keys, [value]), iterations).mapInArrow(run, f"{head}, i long, j long, {value} double, hits long, of long")
+    return found.groupBy(*keys, "i", "j").agg(F.max(value).alias(value), F.try_divide(F.sum("hits"), F.sum("of").cast("double")).alias("p_value"))
+
+
+def bootstrap(vectors: DataFrame, keys: list[str], group: str, item: str, groups: tuple, size: int, iterations: int, share: float, seed: str, shares: list[float] | None = None) -> DataFrame:
+    """(keys, [share,] iter, rho): rank correlation of two groups' means over samples of their items.
+
+    ``vectors`` has keys, group, item and ``v`` (an array of ``size`` values).  Which iterations
+    draw an item is one array per item, so neither values nor items are repeated per
+    iteration; a key's items stream through a kernel that holds the sums of all iterations.
+    With ``shares`` every share is sampled anew.
+    """
+    every = shares or [share]
+    who = vectors.select(group, item).distinct().withColumn("_share", F.explode(F.array(*[F.lit(x) for x in every])))
+    n = F.count(F.lit(1)).over(Window.partitionBy("_share", group))
+    rows = who.withColumn("_n", n).withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    parts = ("iter", "_share", item) if shares else ("iter", item)
+    order = Window.partitionBy("iter", "_share", group).orderBy(digest_order(seed, *parts), item)
+    drawn = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("_share"))))
+    picks = drawn.groupBy("_share", group, item).agg(F.collect_list("iter").alias("_its"))
+    joined = vectors.join(picks, [group, item])
+    head = ", ".join(f"{k} {vectors.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, first = np.zeros((2, iterations, size)), np.zeros((2, iterations, size), np.int32), None
+        for batch in batches:
+            first = first or [batch.column(k)[0].as_py() for k in [*keys, "_share"]]
+            for g, v, its in zip(batch.column(group).to_pylist(), batch.column("v").to_pylist(), batch.column("_its")):
+                if g in groups:
+                    v, at, side = np.array(v, float), its.values.to_numpy() - 1, groups.index(g)
+                    sums[side][at] += np.nan_to_num(v)
+                    counts[side][at] += ~np.isnan(v)
+        with np.errstate(all="ignore"):
+            rho = kernels.spearman_rows(*(np.where(counts > 0, sums / counts, np.nan)))
+        columns = [pa.array([f] * iterations, batch.column(k).type) for k, f in zip([*keys, "_share"], first)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(1, iterations + 1)), pa.array(rho, from_pandas=True)], names=[*keys, "share", "iter", "rho"])
+
+    out = joined.select(*keys, "_share", group, "v", "_its").groupBy(*keys, "_share").applyInArrow(run, f"{head}, share double, iter long, rho double")
+    return out if shares else out.drop("share")
 
 
 def two_group_moments(df: DataFrame, keys: list[str], group: str, value: str, first, second) -> DataFrame:
@@ -133,6 +236,16 @@ def p_welch(t: Column, df: Column) -> Column:
     return tail(t, df)
 
 
+def lag_tests(lags: DataFrame, keys: list[str], group: str, value: str, first, second) -> DataFrame:
+    """Welch tests of every pair (i, j) per ``keys``: p, adjusted per base marker i, significance and bands."""
+    w = welch(two_group_moments(lags, [*keys, "i", "j"], group, value, first, second))
+    p = w.withColumn("p_value", p_welch(F.col("t"), F.col("df"))).filter("p_value is not null")
+    out = benjamini_hochberg(p, "p_value", [*keys, "i"], "j")
+    band = F.when(F.col("p_adjusted") < 0.01, "below 0.01").when(F.col("p_adjusted") < 0.05, "0.01 to 0.05").otherwise("0.05 and above")
+    gap = (F.col("mean1") - F.col("mean2")).alias("mean_diff")
+    return out.select(*keys, "i", "j", "p_value", "cohens_d", gap, "mean1", "mean2", "p_adjusted", (F.col("p_adjusted") < 0.05).alias("significant"), band.alias("band"))
+
+
 _TEST = "n1 long, n2 long, mean1 double, mean2 double, normal boolean, test string, statistic double, p_value double, effect_size double"
 
 
@@ -174,13 +287,6 @@ def compare_groups(
     return df.select(*keys, group, value).groupBy(*keys).applyInPandas(run, schema)
 
 
-def permutation_p(observed: DataFrame, permuted: DataFrame, keys: list[str], column: str = "rho") -> DataFrame:
-    """(#{|observed| <= |permuted|} + 1) / (n + 1), with values compared at 9 decimals."""
-    both = permuted.withColumnRenamed(column, "_perm").join(observed, keys)
-    hit = F.round(F.abs(F.col(column)), 9) <= F.round(F.abs(F.col("_perm")), 9)
-    return both.groupBy(*keys).agg(F.max(column).alias(column), ((F.count_if(hit) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
-
-
 def summary(df: DataFrame, keys: list[str], value: str, observed: str | Column) -> DataFrame:
     """Mean, population deviation, coefficient of variation in percent, bias and n."""
     m, s = F.avg(value), F.stddev_pop(value)

@@ -1,7 +1,7 @@
 """Association matrices as edge tables (i < j), and their algebra.
 
-A sample is a row with an array of channel values; pairs are expanded inside the row, so
-building a matrix needs one aggregation and no join.
+A sample is a row with an array of channel values.  A group's samples stream through a
+kernel that holds pairwise sums, so building a matrix shuffles the samples once and no pairs.
 """
 
 from __future__ import annotations
@@ -16,22 +16,96 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionweave.functions import kernels
-from motionweave.functions.core import poisoned_avg, poisoned_std, safe_corr
+from motionweave.functions.core import poisoned_avg, poisoned_std
 
 #: Distances held at once by the kernel of distance correlations.
 BLOCK_CELLS = 4_000_000
 
 
-def expand_pairs(df: DataFrame, keys: list[str], values: str, n: int) -> DataFrame:
-    """One row per sample and pair i < j: i, j, x, y."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(n) for j in range(i + 1, n)])
-    rows = df.select(*keys, F.col(values).alias("_v"), F.explode(pairs).alias("_p"))
-    return rows.select(*keys, F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), F.get("_v", F.col("_p.i")).alias("x"), F.get("_v", F.col("_p.j")).alias("y"))
+class _Moments:
+    """Running pairwise moments of channels around a shift, over batches of samples with gaps."""
 
+    def __init__(self, k: int) -> None:
+        self.shift = np.full(k, np.nan)
+        self.sums = np.zeros((4, k, k))  # of pairs: how many, x, x squared, x times y
 
-def pearson(df: DataFrame, keys: list[str], values: str, n: int) -> DataFrame:
-    """Pearson correlation of every pair of channels per ``keys``, over complete samples."""
-    return expand_pairs(df, keys, values, n).groupBy(*keys, "i", "j").agg(safe_corr("x", "y").alias("w"))
+    def add(self, x: np.ndarray) -> None:
+        for c in np.flatnonzero(np.isnan(self.shift) & ~np.isnan(x).all(0)):
+            self.shift[c] = x[~np.isnan(x[:, c]), c][0]
+        there = ~np.isnan(x)
+        d, w = np.where(there, x - self.shift, 0.0), there.astype(float)
+        self.sums += np.stack([w.T @ w, d.T @ w, (d * d).T @ w, d.T @ d])
+
+    def merge(self, shift: np.ndarray, sums: np.ndarray) -> None:
+        """Add moments that were taken around another shift."""
+        self.shift = np.where(np.isnan(self.shift), shift, self.shift)
+        d = np.nan_to_num(shift - self.shift)
+        n, x, xx, xy = sums
+        xy = xy + d[None, :] * x + d[:, None] * x.T + d[:, None] * d[None, :] * n
+        self.sums += np.stack([n, x + d[:, None] * n, xx + 2 * d[:, None] * x + d[:, None] ** 2 * n, xy])
+
+    def correlations(self) -> np.ndarray:
+        n, x, xx, xy = self.sums
+        with np.errstate(all="ignore"):
+            cov, var = xy / n - x * x.T / n**2, xx / n - (x / n) ** 2
+            spread = np.sqrt(np.where(var > 0, var, np.nan))
+            return cov / (spread * spread.T)
+
+
+def _rows(column: pa.ChunkedArray | pa.Array, k: int) -> np.ndarray:
+    """A list column of ``k`` values each as a matrix; NULL is NaN, and so is a row that has no list."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if flat.null_count:
+        flat = pa.array([v if v is not None else [None] * k for v in flat.to_pylist()], pa.list_(pa.float64()))
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)
+
+
+def pearson(df: DataFrame, keys: list[str], values: str, n: int, salt: int = 1) -> DataFrame:
+    """Pearson correlation of every pair of channels per ``keys``, over samples that have both.
+
+    A group's samples stream through in batches and only pairwise sums are held, so memory
+    does not grow with a group.  With ``salt`` a frequent key is dealt over that many tasks,
+    whose sums are then merged.
+    """
+    cells = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    left, right = (np.array(c, np.int32) for c in zip(*cells)) if cells else (np.zeros(0, np.int32),) * 2
+    edge_schema = key_schema(df, keys) + ", i int, j int, w double"
+
+    def edges_of(head: list[pa.Array], m: _Moments) -> pa.RecordBatch:
+        w = pa.array(m.correlations()[left, right], from_pandas=True)
+        return pa.RecordBatch.from_arrays([pa.array([h[0].as_py()] * len(left), h.type) for h in head] + [pa.array(left), pa.array(right), w], names=[*keys, "i", "j", "w"])
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.Array], _Moments]:
+        m, head = _Moments(n), []
+        for batch in batches:
+            head = head or [batch.column(k) for k in keys]
+            m.add(_rows(batch.column(values), n))
+        return head, m
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield edges_of(*sums_of(batches))
+
+    rows = df.select(*keys, F.col(values).cast("array<double>").alias(values))
+    if salt <= 1:
+        return rows.groupBy(*keys).applyInArrow(whole, edge_schema)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, m = sums_of(batches)
+        packed = pa.array([m.shift.tobytes() + m.sums.tobytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays([h.slice(0, 1) for h in head] + [packed], names=[*keys, "_m"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, head = _Moments(n), []
+        for batch in batches:
+            head = head or [batch.column(k) for k in keys]
+            for blob in batch.column("_m").to_pylist():
+                v = np.frombuffer(blob)
+                m.merge(v[:n], v[n:].reshape(4, n, n))
+        yield edges_of(head, m)
+
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt)))
+    parts = salted.groupBy(*keys, "_salt").applyInArrow(part, key_schema(df, keys) + ", _m binary")
+    return parts.groupBy(*keys).applyInArrow(merge, edge_schema)
 
 
 def _pair_kernel(df: DataFrame, keys: list[str], order: str, values: str, schema: str, f) -> DataFrame:
@@ -131,15 +205,35 @@ def full_grid(edges: DataFrame, keys: list[str], value: str, diagonal: Column, n
     return cells.unionByName(own)
 
 
-def summarise_regions(grid: DataFrame, keys: list[str], value: str, per_node: int = 4) -> DataFrame:
-    """Mean of the cells of every pair of regions (``per_node`` neighbours make a region)."""
-    of = lambda c: F.floor(F.col(c) / per_node).cast("long")
-    return grid.groupBy(*keys, of("a").alias("region_a"), of("b").alias("region_b")).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("cells"))
+def _mapped(grid: DataFrame, keys: list[str], value: str, names: dict[int, str], a: str, b: str) -> DataFrame:
+    """Mean of the cells of every pair of names (missing if one is); nodes without a name are left out."""
+    name = F.create_map(*[F.lit(v) for k in sorted(names) for v in (k, names[k])])
+    cells = grid.select(*keys, name[F.col("a").cast("int")].alias(a), name[F.col("b").cast("int")].alias(b), value).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return cells.groupBy(*keys, a, b).agg(poisoned_avg(value).alias(value), F.count(F.lit(1)).alias("cells"))
 
 
-def symmetric_pairs(grid: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Left and right nodes (2k, 2k+1) merged: mean of the four cells; a last odd node is alone."""
-    return grid.groupBy(*keys, F.floor(F.col("a") / 2).cast("long").alias("a"), F.floor(F.col("b") / 2).cast("long").alias("b")).agg(F.avg(value).alias(value))
+def summarise_regions(grid: DataFrame, keys: list[str], value: str, markers: list[str], regions: dict[str, list[str]]) -> DataFrame:
+    """Mean of the cells within and between regions, which are lists of marker names.
+
+    ``markers`` names the nodes in order; markers of no region are left out.
+    """
+    of = {m: r for r, members in regions.items() for m in members}
+    return _mapped(grid, keys, value, {k: of[m] for k, m in enumerate(markers) if m in of}, "region_a", "region_b")
+
+
+def merged_sides(markers: list[str]) -> list[str]:
+    """Name after merging sides: ``avg_x`` for l_x and r_x where both are there, else the marker itself."""
+    there = set(markers)
+    other = {"l_": "r_", "r_": "l_"}
+    return [f"avg_{m[2:]}" if m[:2] in other and other[m[:2]] + m[2:] in there else m for m in markers]
+
+
+def symmetric_pairs(grid: DataFrame, keys: list[str], value: str, markers: list[str]) -> DataFrame:
+    """Left and right markers merged by name: the mean of their four cells; solo markers stand alone.
+
+    The mean of a solo marker's cells counts each once, which equals counting it on both sides.
+    """
+    return _mapped(grid, keys, value, dict(enumerate(merged_sides(markers))), "a", "b").drop("cells")
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
@@ -156,8 +250,11 @@ def merge_cycles(df: DataFrame, keys: list[str], order: str, value: str) -> Data
 
 
 def to_frame(edges: DataFrame, n: int) -> pd.DataFrame:
-    """One graph's edges as a dense matrix on the driver (for exports of a single matrix)."""
+    """One graph's edges as a dense matrix on the driver (for exports of a single matrix of ``n`` nodes)."""
+    rows = edges.select("i", "j", "w").limit(n * n + 1).collect()
+    if len(rows) > n * n:
+        raise ValueError(f"more than one matrix of {n} nodes")
     m = np.eye(n)
-    for r in edges.select("i", "j", "w").collect():
+    for r in rows:
         m[r.i, r.j] = m[r.j, r.i] = np.nan if r.w is None else r.w
     return pd.DataFrame(m)

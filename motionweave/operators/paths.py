@@ -82,30 +82,6 @@ def most_frequent(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def longest_path(edges: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Longest simple path of sparse graphs of few nodes; the first one by node order on a tie.
-
-    Paths grow by one node per step inside an array, so the walk needs no driver loop.
-    """
-    near = dense(edges, keys, n)
-    starts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.array(k))
-
-    def grow(state: Column, _: Column) -> Column:
-        more = F.flatten(
-            F.transform(
-                state["open"],
-                lambda path: F.transform(
-                    F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(F.get("matrix", F.element_at(path, -1)), k).isNotNull() & ~F.array_contains(path, k)),
-                    lambda k: F.concat(path, F.array(k)),
-                ),
-            )
-        )
-        return F.struct(more.alias("open"), F.when(F.size(more) > 0, F.get(F.array_sort(more), F.lit(0))).otherwise(state["best"]).alias("best"))
-
-    first = F.struct(starts.alias("open"), F.array(F.lit(0)).alias("best"))
-    return near.select(*keys, F.aggregate(F.sequence(F.lit(2), F.lit(n)), first, grow)["best"].alias("path"))
-
-
 #: Nodes of a component that the exact search takes (four bytes for each of 2^n node sets).
 MOST_NODES = 24
 #: Steps of the walk that looks for a path over a whole component, before the search over node sets.

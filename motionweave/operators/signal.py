@@ -2,11 +2,12 @@
 
 Frames are numbered within a trial (``keys``).  All windows of one trial share the same
 partitioning, so Spark sorts a trial once.  The recurrences that SQL has no form for (the
-zero-phase filter) run as an Arrow kernel per channel.
+zero-phase filter) run as an Arrow kernel per trial.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -142,12 +143,23 @@ def resample(segments: DataFrame, keys: list[str], position: str, value: str, po
     return grouped.select(*keys, F.posexplode(curve).alias("k", value))
 
 
-def low_pass(df: DataFrame, keys: list[str], order: str, value: str, cutoff: float, fs: float) -> DataFrame:
-    """Zero-phase second-order Butterworth low-pass of every channel (Arrow kernel per group)."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, order, value).schema)
+def low_pass(df: DataFrame, keys: list[str], order: str, value: str, cutoff: float, fs: float, channel: list[str] | None = None) -> DataFrame:
+    """Zero-phase second-order Butterworth low-pass of every channel.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(**{value: kernels.filtfilt(pdf[value].to_numpy(float), cutoff, fs)})
+    A kernel call takes a trial (``keys``); its channels of equal length go through the filter as
+    the columns of one matrix.
+    """
+    channel = channel or []
+    names = [*keys, *channel, order, value]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema)
 
-    return df.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*channel, order], ignore_index=True)
+        size = pdf.groupby(channel, dropna=False, sort=False).size().to_numpy() if channel else np.array([len(pdf)])
+        first, out = np.cumsum(size) - size, pdf[value].to_numpy(float).copy()
+        for n in np.unique(size):
+            at = first[size == n][None, :] + np.arange(n)[:, None]
+            out[at] = kernels.filtfilt(out[at], cutoff, fs)
+        return pdf.assign(**{value: out})
+
+    return df.select(*names).groupBy(*keys).applyInPandas(run, schema)

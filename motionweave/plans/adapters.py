@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from motionweave.operators import graph, matrix
 
 CHANNELS, DIRECTIONS, CYCLES = 21, 3, 3
+#: Names of the channels: right and left in turn, the last one alone; and the block that its labels are shuffled in.
+PAIRED = "sho elbl wrist hand asis psis th sk ank toe".split()
+MARKERS = [side + m for m in PAIRED for side in ("r_", "l_")] + ["m_ster"]
+BLOCKS = [int(k >= 14) for k in range(CHANNELS)]
 EDGE_KEYS = ["label", "cycle", "direction"]
 SUBJECT_KEYS = ["label", "direction"]
 

@@ -8,14 +8,18 @@ columns, so one plan covers them all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motionweave.functions.core import safe_corr
-from motionweave.operators import graph, inference, matrix, paths, signal
+from motionweave.functions.core import poisoned_avg, poisoned_std
+from motionweave.operators import cohort, graph, inference, matrix, paths, signal
+from motionweave.sources import catalog
 
 TRIAL = ["sub_id", "task", "run"]
 AXES = ("x", "y", "z")
+METHODS = ("pears", "cross", "dcor")
 #: Marker patterns of the clusters that become one midpoint each.
 CLUSTERS = (
     (r"^([lr])_th\d+$", "_th"), (r"^([lr])_sk\d+$", "_sk"), (r"^m_ster\d+$", "m_ster"), (r"^[lr][bf]_hd$", "hd"), (r"^([lr])_wr[ru]$", "_wrist"),
@@ -41,14 +45,14 @@ def preprocess(motion: DataFrame, events: DataFrame, kinematics: str = "acc", *,
     cut = signal.trim(motion, events, TRIAL, "start", "stop")
     mid = signal.cluster_means(cut, [*TRIAL, "frame", "axis"], cluster_of(F.col("marker"))).withColumnRenamed("cluster", "marker")
     filled = signal.fill_gaps(mid, channel, "frame", "value", max_gap)
-    smooth = signal.low_pass(filled, channel, "frame", "value", 6.0, fs)
+    smooth = signal.low_pass(filled, TRIAL, "frame", "value", 6.0, fs, ["marker", "axis"])
     if rotate:
         smooth = rotate_trials(smooth)
     if kinematics == "pos":
         return signal.number_frames(smooth, channel, ["frame"], "pos")
     v = complete_frames(_difference(smooth, channel, fs / 1000))
     if kinematics == "acc":
-        v = signal.low_pass(complete_frames(_difference(v, channel, fs)), channel, "frame", "value", 4.0, fs)
+        v = signal.low_pass(complete_frames(_difference(v, channel, fs)), TRIAL, "frame", "value", 4.0, fs, ["marker", "axis"])
     return signal.number_frames(v, channel, ["frame"], "pos")
 
 
@@ -89,12 +93,16 @@ def gait_cycles(events: DataFrame, frames: DataFrame) -> DataFrame:
     return signal.cycles_right_left_left(rows, TRIAL)
 
 
-def build_matrices(signals: DataFrame, events: DataFrame, markers: list[str], *, interpol: bool = True, points: int = 500, full: bool = False) -> DataFrame:
-    """Correlation matrices of every gait cycle: (trial, start, stop[, direction], i, j, w).
+def build_matrices(signals: DataFrame, events: DataFrame, markers: list[str], *, method: str = "pears", interpol: bool = True, points: int = 500, full: bool = False) -> DataFrame:
+    """Association matrices of every gait cycle: (trial, start, stop[, direction], i, j, w).
 
-    A cycle that lacks one of ``markers`` is left out.  With ``full`` channels of all
-    directions form one matrix (index marker * 3 + direction).
+    ``method`` is pears (Pearson), cross (largest lagged cross-correlation, with its lag in
+    percent as ``lag_pct``) or dcor (distance correlation; also the diagonal).  A cycle that
+    lacks one of ``markers`` is left out.  With ``full`` channels of all directions form one
+    matrix (index marker * 3 + direction).
     """
+    if method not in METHODS:
+        raise ValueError(f"method is one of {', '.join(METHODS)}")
     number = F.create_map(*[F.lit(v) for k, m in enumerate(markers) for v in (m, k)])
     rows = signals.withColumns({"m": number[F.col("marker")], "direction": F.array_position(F.array(*map(F.lit, AXES)), F.col("axis")) - 1}).filter("m IS NOT NULL")
     cut = signal.segment(rows, gait_cycles(events, signals), TRIAL, "pos")
@@ -106,8 +114,28 @@ def build_matrices(signals: DataFrame, events: DataFrame, markers: list[str], *,
     size = len(markers) * (3 if full else 1)
     packed = cut.groupBy(*group, "pos").agg(F.map_from_entries(F.collect_list(F.struct(index.cast("int").alias("k"), "value"))).alias("_m"), F.count(F.lit(1)).alias("_n"))
     whole = packed.filter(F.col("_n") == size)
-    array = whole.select(*group, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.try_element_at("_m", k)).alias("v"))
-    return matrix.expand_pairs(array, group, "v", size).groupBy(*group, "i", "j").agg(safe_corr("x", "y").alias("w"))
+    array = whole.select(*group, "pos", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.try_element_at("_m", k)).alias("v"))
+    if method == "cross":
+        return matrix.lagged(array, group, "pos", "v").withColumnRenamed("r", "w").drop("lag")
+    if method == "dcor":
+        return matrix.distance_correlations(array, group, "pos", "v").withColumnRenamed("dcor", "w")
+    return matrix.pearson(array, group, "v", size)
+
+
+def calculate_matrices(motion: DataFrame, events: DataFrame, markers: list[str], path: str, *, kinematics: list[str] = ["acc"], method: str = "pears", interpol: bool = True, points: int = 500, full: bool = False, **options) -> None:
+    """From recordings to a matrix table at ``path``, partitioned by condition; one plan for each kind of kinematics."""
+    parts = []
+    for kin in kinematics:
+        edges = build_matrices(preprocess(motion, events, kin, **options), events, markers, method=method, interpol=interpol, points=points, full=full)
+        condition = {"kin": kin, "method": method, "full": "full" if full else "split", "interpol": "yes" if interpol else "no"}
+        parts.append(edges.withColumns({k: F.lit(v) for k, v in condition.items()}))
+    catalog.write_matrices(reduce(DataFrame.unionByName, parts), path)
+
+
+def grouped(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edge tables with the subjects' groups (``groups``: sub_id, grp) and a number for each cycle."""
+    w = Window.partitionBy("sub_id", "task", "run", *[c for c in ("kin", "direction") if c in edges.columns], "i", "j")
+    return edges.join(groups, "sub_id").withColumn("cycle", F.row_number().over(w.orderBy("start")) - 1)
 
 
 def pattern_grid(graphs: DataFrame, keys: list[str], n: int, longest: int = 20, starts: list[int] | None = None) -> DataFrame:
@@ -138,27 +166,67 @@ def analyse_patterns(graphs: DataFrame, keys: list[str], n: int, *, longest: int
     return tests.withColumn("p_adjusted", inference.bonferroni("p_value", ["length"]))
 
 
-def compare_between_groups(edges: DataFrame, keys: list[str], nodes: DataFrame, *, value: str = "avg", first=0, second=1, permutations: int = 10_000, seed: str = "permute") -> DataFrame:
-    """Rank correlation of two groups' mean (or deviation) matrices with its permutation p, per ``keys``."""
-    stats = matrix.cycle_statistics(edges, ["grp", "sub_id", *keys])
-    means = stats.groupBy("grp", *keys, "i", "j").agg(F.avg(value).alias("avg"))
+def expand_blocks(blocks: list[int], full: bool) -> list[int]:
+    """Blocks of nodes to shuffle; in a full matrix each marker has three nodes, one per direction."""
+    return [b for b in blocks for _ in range(3 if full else 1)]
+
+
+def _sides(means: DataFrame, keys: list[str], first, second) -> DataFrame:
     side = lambda g: F.max(F.when(F.col("grp") == g, F.col("avg")))
-    pairs = means.groupBy(*keys, "i", "j").agg(side(first).alias("x"), side(second).alias("y"))
-    moved = inference.permute_edges(pairs.select(*keys, "i", "j", "x"), inference.permutation_table(nodes, permutations, seed), keys, "x")
-    permuted = inference.spearman(moved.join(pairs.select(*keys, "i", "j", "y"), [*keys, "i", "j"]), [*keys, "iter"])
-    return inference.permutation_p(inference.spearman(pairs, keys), permuted, keys)
+    return means.groupBy(*keys, "i", "j").agg(side(first).alias("x"), side(second).alias("y"))
 
 
-def modular_organisation(edges: DataFrame, graph_keys: list[str], n: int, *, runs: int = 100, threshold: float = 0.6) -> dict[str, DataFrame]:
-    """Louvain allegiance per subject, communities of subjects and groups, fit, modularity and density.
+def compare_between_groups(
+    edges: DataFrame, keys: list[str], blocks: list[int], *, value: str = "avg", first=0, second=1, permutations: int = 10_000, bootstraps: int = 5_000, share: float = 0.8,
+    shares: list[float] | None = None, full: bool = False, seed: str = "compare",
+) -> dict[str, DataFrame]:
+    """Rank correlation of two groups' mean (or deviation) matrices, per ``keys``.
 
-    ``edges`` has grp, sub_id, the graph keys (one of them ``cycle``) and i, j, w.
+    ``permutation`` has rho with its permutation p, ``bootstrap`` the summary over samples of
+    ``share`` of each group's subjects, and ``sweep`` (with ``shares``) that for every share.
+    ``blocks`` has one entry for each marker; ``full`` matrices have three nodes for each.
+    """
+    nodes = expand_blocks(blocks, full)
+    stats = matrix.cycle_statistics(edges, ["grp", "sub_id", *keys])
+    pairs = _sides(stats.groupBy("grp", *keys, "i", "j").agg(F.avg(value).alias("avg")), keys, first, second)
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", F.col(value).alias("v"))))
+    vectors = stats.groupBy("grp", "sub_id", *keys).agg(F.transform(cells, lambda c: c["v"]).alias("v"))
+    size = len(nodes) * (len(nodes) - 1) // 2
+    observed = inference.spearman(pairs, keys).withColumnRenamed("rho", "obs")
+
+    def samples(shares: list[float] | None) -> DataFrame:
+        rho = inference.bootstrap(vectors.filter(F.size("v") == size), keys, "grp", "sub_id", (first, second), size, bootstraps, share, seed, shares)
+        return inference.summary(rho.join(observed, keys), [*keys, "share"] if shares else keys, "rho", "obs")
+
+    out = {"permutation": inference.permutation_test(pairs, keys, nodes, permutations, seed), "bootstrap": samples(None)}
+    return out | ({"sweep": samples(shares)} if shares else {})
+
+
+def time_lags(edges: DataFrame, keys: list[str], *, first=0, second=1) -> dict[str, DataFrame]:
+    """Lag matrices (column ``lag_pct`` per cycle): means of subjects and groups, and the tests between groups."""
+    subjects = edges.groupBy("grp", "sub_id", *keys, "i", "j").agg(poisoned_avg("lag_pct").alias("avg"), poisoned_std("lag_pct").alias("std"))
+    groups = subjects.groupBy("grp", *keys, "i", "j").agg(F.avg("avg").alias("avg"), F.stddev_pop("avg").alias("std"))
+    return {"subjects": subjects, "groups": groups, "tests": inference.lag_tests(subjects, keys, "grp", "avg", first, second)}
+
+
+def modular_organisation(
+    edges: DataFrame, graph_keys: list[str], n: int, path: str, *, runs: int = 100, threshold: float = 0.6, first=1, second=0, blocks: list[int] | None = None, permutations: int = 5_000
+) -> dict[str, DataFrame]:
+    """Louvain allegiance per subject, communities, fit, modularity and density, with their tests.
+
+    ``edges`` has grp, sub_id, the graph keys (one of them ``cycle``) and i, j, w.  The
+    allegiance is built once, as a table at ``path`` that later calls read; all else comes
+    from it.  With ``blocks`` the groups' matrices are also compared by permutation.
     """
     keys = [k for k in graph_keys if k != "cycle"]
-    members = graph.louvain_memberships(graph.shifted(edges, ["grp", *graph_keys]), ["grp", *graph_keys], n, runs)
-    own = graph.allegiance(members.withColumn("_run", F.struct("cycle", "run")), ["grp", *keys], "_run", n)
+
+    def build() -> DataFrame:
+        members = graph.louvain_memberships(graph.shifted(edges, ["grp", *graph_keys]), ["grp", *graph_keys], n, runs)
+        return graph.allegiance(members.withColumn("_run", F.struct("cycle", "run")), ["grp", *keys], "_run", n)
+
+    own = catalog.cached_table(edges.sparkSession, path, build)
     shared = [k for k in keys if k != "sub_id"]
-    mean = own.groupBy("grp", *shared, "i", "j").agg(F.avg("w").alias("w"))
+    mean = graph.group_allegiance(own, ["grp", *keys], ["grp", *shared], n)
 
     def communities(e: DataFrame, k: list[str]) -> DataFrame:
         return graph.components(e, k, n, [threshold]).drop("threshold").withColumnRenamed("component", "community")
@@ -166,10 +234,48 @@ def modular_organisation(edges: DataFrame, graph_keys: list[str], n: int, *, run
     group_c, subject_c = communities(mean, ["grp", *shared]), communities(own, ["grp", *keys])
     spread = own.select("grp", *keys).distinct().join(group_c, ["grp", *shared])
     labels = subject_c.withColumnRenamed("community", "a").join(group_c.withColumnRenamed("community", "b"), ["grp", *shared, "node"])
-    return {
+    fit, scores = graph.adjusted_rand(labels, ["grp", *keys]), graph.modularity(own, spread, ["grp", *keys])
+    out = {
         "allegiance": own,
+        "group_allegiance": mean,
         "group_communities": group_c,
-        "fit": graph.adjusted_rand(labels, ["grp", *keys]),
-        "modularity": graph.modularity(own, spread, ["grp", *keys]),
+        "subject_communities": subject_c,
+        "fit": fit,
+        "fit_tests": inference.compare_groups(fit, shared, "grp", "ari", first, second, gate_n=0, equal_gate=False, less=True),
+        "modularity": scores,
+        "group_modularity": graph.modularity(mean.select("grp", *shared, "i", "j", "w"), group_c, ["grp", *shared], alone=True),
+        "modularity_tests": inference.compare_groups(scores, shared, "grp", "modularity", first, second, gate_n=0, equal_gate=False),
         "density": graph.community_density(own, spread, ["grp", *keys]),
+        "group_density": graph.community_density(mean.select("grp", *shared, "i", "j", "w"), group_c, ["grp", *shared]),
     }
+    if blocks:
+        pairs = _sides(mean.withColumnRenamed("w", "avg"), shared, first, second)
+        out["permutation"] = inference.permutation_test(pairs, shared, blocks, permutations, "allegiance")
+    return out
+
+
+def analyse(
+    spark: SparkSession, recordings: str, logs: str, demographics: str, markers: list[str], out: str, *, diagnosis: str = "diagnosis_parkinson", run: str = "on", kinematics: str = "acc",
+    task: str | None = None, direction: int | None = None, points: int = 500, longest: int = 20, two_stage: bool = False, **options,
+) -> dict[str, DataFrame]:
+    """The whole analysis: recordings to matrices, written below ``out``, to patterns that are tested and corrected.
+
+    ``task`` and ``direction`` choose the condition that is tested (all of it without them).
+    Returns the matrices (as they were written and read back), the groups, and the tests.
+    """
+    motion = catalog.file_keys(catalog.read_motion(spark, recordings)).drop("start", "stop")
+    events = catalog.read_events(spark, logs).drop("start", "stop")
+    motion, events = (d.withColumn("run", F.coalesce("run", F.lit(""))) for d in (motion, events))
+    calculate_matrices(motion, events, markers, f"{out}/matrices", kinematics=[kinematics], points=points, **options)
+    matrices = catalog.read_matrices(spark, f"{out}/matrices", kin=kinematics, method="pears")
+    people = catalog.read_demographics(spark, demographics)
+    patients = cohort.select_subjects(people, [diagnosis], run).count()  # as many controls; demographics are a small table
+    groups = cohort.define_groups(people, diagnosis, run, patients).select("sub_id", F.when(F.col("grp") == "control", 0).otherwise(1).alias("grp"))
+    chosen = F.lit(True)
+    for c, v in (("task", task), ("direction", direction)):
+        chosen = chosen & (F.col(c) == v) if v is not None else chosen
+    edges, keys = grouped(matrices.filter(chosen), groups), ["sub_id", "task", "direction"]
+    mean = matrix.cycle_statistics(edges, ["grp", *keys]).select("grp", *keys, "i", "j", F.col("avg").alias("w"))
+    tests = analyse_patterns(graph.shifted(mean, ["grp", *keys]), keys, len(markers), longest=longest, two_stage=two_stage)
+    catalog.write_csv(tests, f"{out}/pattern-tests")
+    return {"matrices": matrices, "groups": groups, "tests": tests}

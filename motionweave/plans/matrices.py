@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from motionweave.functions.core import r6
 from motionweave.operators import cohort, graph, matrix, paths
 from motionweave.plans.adapters import (
-    CHANNELS, DEMO, DIFF, E, EDGE_KEYS, GRPM, S, SGRAPH, SHIFT, SUBJ, SUBJECT_KEYS, demographics, differences, directed_samples, edges, group_means, query, samples,
+    CHANNELS, DEMO, DIFF, E, EDGE_KEYS, GRPM, MARKERS, S, SGRAPH, SHIFT, SUBJ, SUBJECT_KEYS, demographics, differences, directed_samples, edges, group_means, query, samples,
     shifted_graphs, subject_edges, subject_graphs,
 )
 from motionweave.sources import catalog
@@ -36,64 +36,44 @@ def pearson_matrix_full(spark: SparkSession, sf: str) -> DataFrame:
     return _ij(matrix.pearson(samples(spark, sf), ["label"], "v", 63)).withColumn("w", r6("w"))
 
 
-_LAG = f"""{S}, x AS (SELECT label, frame, m, v - avg(v) OVER (PARTITION BY label, m) AS v, count(*) OVER (PARTITION BY label, m) AS n FROM lng WHERE direction = 0 AND m < 6),
-nrm AS (SELECT label, m, sum(v * v) AS q FROM x GROUP BY ALL),
-r AS (SELECT a.label, a.m AS i, b.m AS j, a.n, a.frame - b.frame AS lag, sum(a.v * b.v) AS c FROM x a JOIN x b ON a.label = b.label AND a.m < b.m GROUP BY ALL),
-k AS (SELECT r.label, i, j, n, lag, c / sqrt(p.q * q.q) AS r FROM r JOIN nrm p ON p.label = r.label AND p.m = i JOIN nrm q ON q.label = r.label AND q.m = j WHERE p.q * q.q > 0),
-lagged AS (SELECT label, i, j, lag, r, round_even(lag / n * 100, 0) AS lag_pct FROM (SELECT *, row_number() OVER (PARTITION BY label, i, j ORDER BY round(abs(r), 9) DESC, lag) AS rk FROM k) WHERE rk = 1)"""
+_LAG = f"""{S}, x AS (SELECT label, cycle, direction, frame, m, v - avg(v) OVER w AS v, count(*) OVER w AS n FROM lng WINDOW w AS (PARTITION BY label, cycle, direction, m)),
+nrm AS (SELECT label, cycle, direction, m, sum(v * v) AS q FROM x GROUP BY ALL),
+r AS (SELECT a.label, a.cycle, a.direction, a.m AS i, b.m AS j, a.n, a.frame - b.frame AS lag, sum(a.v * b.v) AS c FROM x a JOIN x b ON a.label = b.label AND a.cycle = b.cycle AND a.direction = b.direction AND a.m < b.m GROUP BY ALL),
+k AS (SELECT r.label, r.cycle, r.direction, i, j, n, lag, c / sqrt(p.q * q.q) AS r FROM r JOIN nrm p ON p.label = r.label AND p.cycle = r.cycle AND p.direction = r.direction AND p.m = i
+  JOIN nrm q ON q.label = r.label AND q.cycle = r.cycle AND q.direction = r.direction AND q.m = j WHERE p.q * q.q > 0),
+lagged AS (SELECT label, cycle, direction, i, j, lag, r, round_even(lag / n * 100, 0) AS lag_pct FROM (SELECT *, row_number() OVER (PARTITION BY label, cycle, direction, i, j ORDER BY round(abs(r), 9) DESC, lag) AS rk FROM k) WHERE rk = 1),
+slag AS (SELECT label, direction, i, j, avg(lag_pct) AS lag_pct FROM lagged GROUP BY ALL)"""
 
 
 def _lagged(spark: SparkSession, sf: str) -> DataFrame:
-    x = directed_samples(spark, sf).filter("direction = 0").withColumn("v", F.slice("v", 1, 6))
-    return matrix.lagged(x, ["label"], "frame", "v")
-
-
-@query("lagged_xcorr", f"WITH {_LAG} SELECT label, i, j, lag, round(r, 6) + 0.0 AS r, lag_pct + 0.0 AS lag_pct FROM lagged")
-def lagged_xcorr(spark: SparkSession, sf: str) -> DataFrame:
-    return _lagged(spark, sf).withColumns({"r": r6("r"), "lag_pct": F.col("lag_pct") + F.lit(0.0)})
-
-
-@query("lag_group_statistics", f"WITH {_LAG} SELECT label % 2 AS grp, i, j, round(avg(lag_pct), 6) + 0.0 AS mean, round(stddev_pop(lag_pct), 6) + 0.0 AS std FROM lagged GROUP BY ALL")
-def lag_group_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return _lagged(spark, sf).groupBy((F.col("label") % 2).alias("grp"), "i", "j").agg(r6(F.avg("lag_pct")).alias("mean"), r6(F.stddev_pop("lag_pct")).alias("std"))
-
-
-def _lagged_all(spark: SparkSession, sf: str) -> DataFrame:
     """Lags of every pair of channels of every subject, cycle and direction."""
     return matrix.lagged(directed_samples(spark, sf), EDGE_KEYS, "frame", "v")
 
 
 def _subject_lags(spark: SparkSession, sf: str) -> DataFrame:
     """Mean lag over the cycles of every subject and direction."""
-    return _lagged_all(spark, sf).groupBy((F.col("label") % 2).alias("grp"), *SUBJECT_KEYS, "i", "j").agg(F.avg("lag_pct").alias("lag_pct"))
+    return _lagged(spark, sf).groupBy((F.col("label") % 2).alias("grp"), *SUBJECT_KEYS, "i", "j").agg(F.avg("lag_pct").alias("lag_pct"))
 
 
-@query("lagged_xcorr_all")
-def lagged_xcorr_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _lagged_all(spark, sf).withColumns({"r": r6("r"), "lag_pct": F.col("lag_pct") + F.lit(0.0)})
+@query("lagged_xcorr", f"WITH {_LAG} SELECT label, cycle, direction, i, j, lag, round(r, 6) + 0.0 AS r, lag_pct + 0.0 AS lag_pct FROM lagged")
+def lagged_xcorr(spark: SparkSession, sf: str) -> DataFrame:
+    return _lagged(spark, sf).withColumns({"r": r6("r"), "lag_pct": F.col("lag_pct") + F.lit(0.0)})
 
 
-@query("lag_group_statistics_all")
-def lag_group_statistics_all(spark: SparkSession, sf: str) -> DataFrame:
+@query("lag_group_statistics", f"WITH {_LAG} SELECT label % 2 AS grp, direction, i, j, round(avg(lag_pct), 6) + 0.0 AS mean, round(stddev_pop(lag_pct), 6) + 0.0 AS std FROM slag GROUP BY ALL")
+def lag_group_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return _subject_lags(spark, sf).groupBy("grp", "direction", "i", "j").agg(r6(F.avg("lag_pct")).alias("mean"), r6(F.stddev_pop("lag_pct")).alias("std"))
 
 
 @query(
     "distance_corr",
-    f"""WITH {S}, x AS (SELECT label, frame, m, v FROM lng WHERE direction = 0 AND cycle = 0 AND m < 5),
-d AS (SELECT a.label, a.m, a.frame AS f, b.frame AS g, abs(a.v - b.v) AS d FROM x a JOIN x b ON a.label = b.label AND a.m = b.m),
-c AS (SELECT label, m, f, g, d - avg(d) OVER (PARTITION BY label, m, f) - avg(d) OVER (PARTITION BY label, m, g) + avg(d) OVER (PARTITION BY label, m) AS a FROM d),
-p AS (SELECT x.label, x.m AS i, y.m AS j, avg(x.a * y.a) AS xy, avg(x.a * x.a) AS xx, avg(y.a * y.a) AS yy FROM c x JOIN c y ON x.label = y.label AND x.f = y.f AND x.g = y.g AND x.m <= y.m GROUP BY ALL)
-SELECT label, i, j, round(CASE WHEN xx * yy > 0 THEN sqrt(greatest(xy, 0.0) / sqrt(xx * yy)) ELSE 0.0 END, 6) + 0.0 AS dcor FROM p""",
+    f"""WITH {S}, x AS (SELECT label, cycle, direction, frame, m, v FROM lng),
+d AS (SELECT a.label, a.cycle, a.direction, a.m, a.frame AS f, b.frame AS g, abs(a.v - b.v) AS d FROM x a JOIN x b ON a.label = b.label AND a.cycle = b.cycle AND a.direction = b.direction AND a.m = b.m),
+c AS (SELECT label, cycle, direction, m, f, g, d - avg(d) OVER (PARTITION BY label, cycle, direction, m, f) - avg(d) OVER (PARTITION BY label, cycle, direction, m, g) + avg(d) OVER (PARTITION BY label, cycle, direction, m) AS a FROM d),
+p AS (SELECT x.label, x.cycle, x.direction, x.m AS i, y.m AS j, avg(x.a * y.a) AS xy, avg(x.a * x.a) AS xx, avg(y.a * y.a) AS yy FROM c x JOIN c y ON x.label = y.label AND x.cycle = y.cycle AND x.direction = y.direction AND x.f = y.f AND x.g = y.g AND x.m <= y.m GROUP BY ALL)
+SELECT label, cycle, direction, i, j, round(CASE WHEN xx * yy > 0 THEN sqrt(greatest(xy, 0.0) / sqrt(xx * yy)) ELSE 0.0 END, 6) + 0.0 AS dcor FROM p""",
 )
 def distance_corr(spark: SparkSession, sf: str) -> DataFrame:
-    x = directed_samples(spark, sf).filter("direction = 0 AND cycle = 0").withColumn("v", F.slice("v", 1, 5))
-    return matrix.distance_correlations(x, ["label"], "frame", "v").withColumn("dcor", r6("dcor"))
-
-
-@query("distance_corr_all")
-def distance_corr_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every pair of channels of every subject, cycle and direction; ``distance_corr`` is the part that its SQL checks."""
     return matrix.distance_correlations(directed_samples(spark, sf), EDGE_KEYS, "frame", "v").withColumn("dcor", r6("dcor"))
 
 
@@ -159,14 +139,38 @@ def _grid(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.full_grid(differences(spark, sf), ["direction"], "d", F.lit(0.0), CHANNELS)
 
 
-@query("region_summary", f"WITH {_GRID} SELECT direction, a // 4 AS region_a, b // 4 AS region_b, round(avg(d), 7) + 0.0 AS d, count(*) AS cells FROM grid GROUP BY ALL")
+#: Anatomical regions by marker (fixed values); sides are named as right and left here.
+REGIONS = {
+    "trunk": ["head", "m_ster"],
+    "pelvis": ["l_psis", "r_psis", "l_asis", "r_asis"],
+    "left arm": ["l_sho", "l_elbl", "l_wrist", "l_hand"],
+    "right arm": ["r_sho", "r_elbl", "r_wrist", "r_hand"],
+    "left leg": ["l_th", "l_sk", "l_ank", "l_toe"],
+    "right leg": ["r_th", "r_sk", "r_ank", "r_toe"],
+}
+_NAMES = f"{_GRID}, names AS (SELECT row_number() OVER () - 1 AS node, name FROM (SELECT unnest({MARKERS}) AS name))"
+
+
+@query(
+    "region_summary",
+    f"""WITH {_NAMES}, reg AS (SELECT node, CASE WHEN name IN ('head', 'm_ster') THEN 'trunk' WHEN name[3:] IN ('psis', 'asis') THEN 'pelvis' WHEN name[3:] IN ('sho', 'elbl', 'wrist', 'hand') THEN if(name[:1] = 'l', 'left', 'right') || ' arm'
+  WHEN name[3:] IN ('th', 'sk', 'ank', 'toe') THEN if(name[:1] = 'l', 'left', 'right') || ' leg' END AS region FROM names)
+SELECT direction, p.region AS region_a, q.region AS region_b, round(avg(d), 7) + 0.0 AS d, count(*) AS cells FROM grid JOIN reg p ON p.node = a JOIN reg q ON q.node = b WHERE p.region IS NOT NULL AND q.region IS NOT NULL GROUP BY ALL""",
+)
 def region_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.summarise_regions(_grid(spark, sf), ["direction"], "d").withColumn("d", F.round("d", 7))
+    return matrix.summarise_regions(_grid(spark, sf), ["direction"], "d", MARKERS, REGIONS).withColumn("d", F.round("d", 7))
 
 
-@query("symmetric_pair_average", f"WITH {_GRID} SELECT direction, a // 2 AS a, b // 2 AS b, round(avg(d), 6) + 0.0 AS d FROM grid GROUP BY 1, 2, 3")
+@query(
+    "symmetric_pair_average",
+    f"""WITH {_NAMES}, side AS (SELECT l.node AS l, r.node AS r, 'avg_' || l.name[3:] AS name FROM names l JOIN names r ON l.name[:2] = 'l_' AND r.name = 'r_' || l.name[3:]),
+ends AS (SELECT name, l AS one, r AS two FROM side UNION ALL SELECT name, node, node FROM names WHERE node NOT IN (SELECT l FROM side UNION ALL SELECT r FROM side)),
+v AS (SELECT direction, a AS x, b AS y, d FROM grid)
+SELECT p.direction, m.name AS a, n.name AS b, round((p.d + q.d + s.d + t.d) / 4, 6) + 0.0 AS d FROM ends m, ends n JOIN v p ON p.x = m.one AND p.y = n.one JOIN v q ON q.direction = p.direction AND q.x = m.one AND q.y = n.two
+JOIN v s ON s.direction = p.direction AND s.x = m.two AND s.y = n.one JOIN v t ON t.direction = p.direction AND t.x = m.two AND t.y = n.two""",
+)
 def symmetric_pair_average(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.symmetric_pairs(_grid(spark, sf), ["direction"], "d").withColumn("d", r6("d"))
+    return matrix.symmetric_pairs(_grid(spark, sf), ["direction"], "d", MARKERS).withColumn("d", r6("d"))
 
 
 @query(
@@ -199,21 +203,15 @@ def expanded_markers(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("marker", F.col("direction").cast("long").alias("direction"), name.alias("name"), (F.col("marker") * 3 + F.col("direction")).alias("idx"))
 
 
-@query("pivot_edge_table", "SELECT label, " + ", ".join(
-    f"coalesce(max(CASE WHEN i = {i} AND j = {j} THEN printf('%.2f', round(avg, 2)) END), 'nan') AS e{i}_{j}" for i in range(3) for j in range(i + 1, 4)
-) + f" FROM (WITH {SUBJ} SELECT * FROM subj) WHERE direction = 0 GROUP BY label")
-def pivot_edge_table(spark: SparkSession, sf: str) -> DataFrame:
-    names = [f"e{i}_{j}" for i in range(3) for j in range(i + 1, 4)]
-    rows = subject_edges(spark, sf).filter("direction = 0 AND j < 4").withColumn("edge", F.format_string("e%d_%d", "i", "j"))
-    return catalog.pivot_edges(rows, ["label"], "edge", "avg", names)
+_EDGES = [(i, j) for i in range(CHANNELS) for j in range(i + 1, CHANNELS)]
 
 
-@query("pivot_edge_table_all")
-def pivot_edge_table_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every edge of every subject and direction; ``pivot_edge_table`` is the part that its SQL checks."""
-    names = [f"e{i}_{j}" for i in range(CHANNELS) for j in range(i + 1, CHANNELS)]
+@query("pivot_edge_table", "SELECT label, direction, " + ", ".join(
+    f"coalesce(max(CASE WHEN i = {i} AND j = {j} THEN printf('%.2f', round(avg, 2) + 0.0) END), 'nan') AS e{i}_{j}" for i, j in _EDGES
+) + f" FROM (WITH {SUBJ} SELECT * FROM subj) GROUP BY label, direction")
+def pivot_edge_table(spark: SparkSession, sf: str) -> DataFrame:
     rows = subject_edges(spark, sf).withColumn("edge", F.format_string("e%d_%d", "i", "j"))
-    return catalog.pivot_edges(rows, SUBJECT_KEYS, "edge", "avg", names)
+    return catalog.pivot_edges(rows, SUBJECT_KEYS, "edge", "avg", [f"e{i}_{j}" for i, j in _EDGES])
 
 
 # --- graphs -----------------------------------------------------------------------------
@@ -370,13 +368,29 @@ def _modularity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "modularity_score",
-    f"""{_MOD} SELECT dg.label % 2 AS grp, dg.label, dg.direction, round(sum(inn.l / m.m - power(dg.deg / (2 * m.m), 2)), 6) + 0.0 AS modularity, count(*) AS communities
+    f"""{_MOD} SELECT dg.label % 2 AS grp, dg.label, dg.direction, round(CASE WHEN count(*) > 1 THEN sum(inn.l / m.m - power(dg.deg / (2 * m.m), 2)) END, 6) + 0.0 AS modularity, count(*) AS communities
 FROM dg JOIN inn USING (label, direction, community) JOIN m USING (label, direction) GROUP BY ALL""",
 )
 def modularity_score(spark: SparkSession, sf: str) -> DataFrame:
     return _modularity(spark, sf).withColumn("modularity", r6("modularity"))
 
 
+@query(
+    "group_modularity",
+    f"""WITH RECURSIVE {_GCOMM.removeprefix("WITH RECURSIVE ")}, cells AS (SELECT grp, direction, i, j, w FROM ga UNION ALL SELECT grp, direction, m, m, 1.0 FROM (SELECT DISTINCT grp, direction FROM ga), range(21) n(m)),
+c AS (SELECT x.grp, x.direction, a.community AS ca, b.community AS cb, w FROM cells x JOIN gcomm a ON a.grp = x.grp AND a.direction = x.direction AND a.node = x.i JOIN gcomm b ON b.grp = x.grp AND b.direction = x.direction AND b.node = x.j),
+m AS (SELECT grp, direction, sum(w) AS m FROM c GROUP BY ALL),
+dg AS (SELECT grp, direction, community, sum(w) AS deg FROM (SELECT grp, direction, ca AS community, w FROM c UNION ALL SELECT grp, direction, cb, w FROM c) GROUP BY ALL),
+inn AS (SELECT grp, direction, ca AS community, sum(w) AS l FROM c WHERE ca = cb GROUP BY ALL)
+SELECT grp, direction, round(sum(inn.l / m.m - power(dg.deg / (2 * m.m), 2)), 6) + 0.0 AS modularity, count(*) AS communities FROM dg JOIN inn USING (grp, direction, community) JOIN m USING (grp, direction) GROUP BY ALL""",
+)
+def group_modularity(spark: SparkSession, sf: str) -> DataFrame:
+    """The score of a group's own mean matrix, whatever the number of its communities."""
+    a, _, g = _group_communities(spark, sf)
+    mean = a.groupBy("grp", "direction", "i", "j").agg(F.avg("w").alias("w"))
+    return graph.modularity(mean, g, ["grp", "direction"], alone=True).withColumn("modularity", r6("modularity"))
+
+
 @query(
     "community_density",
     f"""{_GCOMM}, p AS (SELECT x.label, x.direction, a.community, avg(w) AS d FROM alleg x JOIN gcomm a ON a.grp = x.label % 2 AND a.direction = x.direction AND a.node = x.i
@@ -545,20 +559,9 @@ def weakest_link_mode(spark: SparkSession, sf: str) -> DataFrame:
     return paths.most_frequent(_scores(spark, sf), ["pattern_grp"], "weakest_link")
 
 
-@query(
-    "longest_simple_path",
-    f"""WITH RECURSIVE {SGRAPH}, t AS (SELECT label, direction, a, b FROM sym WHERE a < 7 AND b < 7 AND (a + b) % 3 = 0), lp AS (SELECT label, direction, [m] AS path FROM (SELECT DISTINCT label, direction FROM t), range(7) n(m)
-  UNION ALL SELECT l.label, l.direction, list_append(l.path, t.b) FROM lp l JOIN t ON t.label = l.label AND t.direction = l.direction AND t.a = l.path[len(l.path)] WHERE NOT list_contains(l.path, t.b))
-SELECT label, direction, array_to_string(path, '-') AS path FROM (SELECT *, row_number() OVER (PARTITION BY label, direction ORDER BY len(path) DESC, path) AS k FROM lp) WHERE k = 1""",
-)
+@query("longest_simple_path")
 def longest_simple_path(spark: SparkSession, sf: str) -> DataFrame:
-    sparse = subject_graphs(spark, sf).filter("i < 7 AND j < 7 AND (i + j) % 3 = 0")
-    return paths.longest_path(sparse, SUBJECT_KEYS, 7).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "-"))
-
-
-@query("longest_simple_path_all")
-def longest_simple_path_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Longest path of every subject's whole graph at each threshold; ``longest_simple_path`` is the part that its SQL checks."""
+    """Longest path of every subject's whole graph at each threshold."""
     g = graph.at_thresholds(subject_graphs(spark, sf), THRESHOLDS)
     return paths.longest_path_exact(g, [*SUBJECT_KEYS, "threshold"]).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "-"))
 

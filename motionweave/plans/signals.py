@@ -302,24 +302,27 @@ def cycle_segment_shifted(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "resample_lerp",
     f"""WITH {CYC}, p AS (SELECT user_id, start, row_number() OVER (PARTITION BY user_id, start ORDER BY frame) - 1 AS p, count(*) OVER (PARTITION BY user_id, start) AS n, value FROM ev JOIN cyc USING (user_id) WHERE frame >= start AND frame < stop),
-k AS (SELECT DISTINCT user_id, start, n, k, k::DOUBLE * (n - 1) / 19 AS t FROM p, range(20) r(k)), q AS (SELECT *, floor(t)::BIGINT AS lo, least(floor(t)::BIGINT + 1, n - 1) AS hi FROM k)
+k AS (SELECT DISTINCT user_id, start, n, k, k::DOUBLE * (n - 1) / 499 AS t FROM p, range(500) r(k)), q AS (SELECT *, floor(t)::BIGINT AS lo, least(floor(t)::BIGINT + 1, n - 1) AS hi FROM k)
 SELECT q.user_id, q.start, k, round(a.value + (b.value - a.value) * (t - lo), 6) + 0.0 AS value FROM q JOIN p a ON a.user_id = q.user_id AND a.start = q.start AND a.p = lo JOIN p b ON b.user_id = q.user_id AND b.start = q.start AND b.p = hi""",
 )
 def resample_lerp(spark: SparkSession, sf: str) -> DataFrame:
-    out = signal.resample(_segments(spark, sf), ["user_id", "start"], "frame", "value", 20)
+    out = signal.resample(_segments(spark, sf), ["user_id", "start"], "frame", "value", 500)
     return out.select("user_id", "start", F.col("k").cast("long").alias("k"), r6("value").alias("value"))
 
 
 @query("butter_lowpass")
 def butter_lowpass(spark: SparkSession, sf: str) -> DataFrame:
     rows = channel_rows(spark, sf).select("label", "direction", "m", "frame", "value")
-    return signal.low_pass(rows, ["label", "direction", "m"], "frame", "value", 6.0, 200.0).withColumn("value", r6("value"))
+    return signal.low_pass(rows, ["label"], "frame", "value", 6.0, 200.0, ["direction", "m"]).withColumn("value", r6("value"))
 
 
 @query("preprocess_acceleration")
 def preprocess_acceleration(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole chain on one channel: gap filling, low-pass, two derivatives, low-pass."""
-    filled = signal.fill_gaps(supply_frames(spark, sf).select("l_suppkey", "frame", "q"), ["l_suppkey"], "frame", "q", 271).filter("q is not null")
-    smooth = signal.low_pass(filled, ["l_suppkey"], "frame", "q", 6.0, 200.0)
-    a = signal.acceleration(smooth, ["l_suppkey"], ["frame"], ["q"], 200.0)
-    return signal.low_pass(a, ["l_suppkey"], "frame", "q", 4.0, 200.0).withColumn("q", F.round("q", 4))
+    """The whole chain on all channels: gap filling, low-pass, two derivatives of complete frames, low-pass."""
+    names, key = ["q", "p", "d", "t"], ["l_suppkey"]
+    long = supply_frames(spark, sf).select(*key, "frame", *names).unpivot([*key, "frame"], names, "channel", "value")
+    filled = signal.fill_gaps(long, [*key, "channel"], "frame", "value", 271).filter("value is not null")
+    smooth = signal.low_pass(filled, key, "frame", "value", 6.0, 200.0, ["channel"])
+    wide = smooth.groupBy(*key, "frame").pivot("channel", names).agg(F.first("value"))
+    a = signal.acceleration(wide, key, ["frame"], names, 200.0).unpivot([*key, "frame"], names, "channel", "value")
+    return signal.low_pass(a, key, "frame", "value", 4.0, 200.0, ["channel"]).withColumn("value", F.round("value", 4))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from motionweave.functions.core import r6
 from motionweave.operators import inference
 from motionweave.plans import drivers
-from motionweave.plans.adapters import CHANNELS, DIFF, GRPM, SUBJ, SUBJECT_KEYS, differences, group_means, query, subject_edges, subject_graphs, table
-from motionweave.plans.matrices import _ARI, _LAG, _MOD, _SCORE, _fit, _lagged, _modularity, _scores, _subject_lags
+from motionweave.plans.adapters import BLOCKS, CHANNELS, DIFF, GRPM, SUBJ, SUBJECT_KEYS, differences, group_means, query, subject_edges, subject_graphs, table
+from motionweave.plans.matrices import _ARI, _LAG, _MOD, _SCORE, _fit, _modularity, _scores, _subject_lags
 
-PERMUTATIONS, BOOTSTRAPS = 200, 100
+PERMUTATIONS, BOOTSTRAPS, SWEEP = 10_000, 5_000, 1_000
+SHARES = [k / 10 for k in range(1, 10)]
 
 _PAIRS = f"{GRPM}, pr AS (SELECT a.direction, a.i, a.j, a.avg AS x, b.avg AS y FROM grpm a JOIN grpm b ON a.direction = b.direction AND a.i = b.i AND a.j = b.j AND a.grp = 0 AND b.grp = 1)"
 
@@ -55,9 +56,7 @@ SELECT o.direction, round(max(o.rho), 6) + 0.0 AS rho, round((count(*) FILTER (r
 )
 def permutation_p(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _group_pairs(group_means(spark, sf), ["direction"])
-    moved = inference.permute_edges(pairs.select("direction", "i", "j", "x"), _permutations(spark), ["direction"], "x")
-    permuted = inference.spearman(moved.join(pairs.select("direction", "i", "j", "y"), ["direction", "i", "j"]), ["direction", "iter"])
-    out = inference.permutation_p(inference.spearman(pairs, ["direction"]), permuted, ["direction"])
+    out = inference.permutation_test(pairs, ["direction"], BLOCKS, PERMUTATIONS, "perm")
     return out.select("direction", r6("rho").alias("rho"), r6("p_value").alias("p_value"))
 
 
@@ -67,58 +66,53 @@ def permutation_p(spark: SparkSession, sf: str) -> DataFrame:
 SELECT direction, i, j, round(max(d), 6) + 0.0 AS d, round(avg(CASE WHEN round(abs(pd), 9) >= round(abs(d), 9) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p_value FROM m JOIN diff USING (direction, i, j) GROUP BY ALL""",
 )
 def difference_permutation(spark: SparkSession, sf: str) -> DataFrame:
-    d = differences(spark, sf)
-    moved = inference.permute_edges(d, _permutations(spark), ["direction"], "d").withColumnRenamed("d", "pd")
-    hit = (F.round(F.abs("pd"), 9) >= F.round(F.abs("d"), 9)).cast("double")
-    out = moved.join(d, ["direction", "i", "j"]).groupBy("direction", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
-    return out.agg(r6(F.max("d")).alias("d"), r6(F.avg(hit)).alias("p_value"))
+    out = inference.edge_permutation_test(differences(spark, sf), ["direction"], "d", BLOCKS, PERMUTATIONS, "perm")
+    return out.select("direction", "i", "j", r6("d").alias("d"), r6("p_value").alias("p_value"))
 
 
-def _boot(share: str = "0.8") -> str:
-    return f"""{SUBJ}, who AS (SELECT DISTINCT grp, label FROM subj), pick AS (SELECT iter, grp, label FROM (SELECT it AS iter, grp, label, row_number() OVER (PARTITION BY it, grp ORDER BY md5('boot:' || it || ':' || label), label) AS k,
-  count(*) OVER (PARTITION BY it, grp) AS n FROM who, range(1, {BOOTSTRAPS + 1}) r(it)) WHERE k <= greatest(1, floor(n * {share}))),
-bm AS (SELECT iter, grp, direction, i, j, avg(avg) AS a FROM subj JOIN pick USING (grp, label) GROUP BY ALL), bp AS (SELECT iter, direction, i, j, max(a) FILTER (grp = 0) AS x, max(a) FILTER (grp = 1) AS y FROM bm GROUP BY ALL),
+def _boot(iterations: int, seed: str, shares: list[float], digest: str = "it") -> str:
+    return f"""{SUBJ}, who AS (SELECT DISTINCT grp, label FROM subj), shares AS (SELECT unnest({shares})::DOUBLE AS share),
+pick AS (SELECT iter, share, grp, label FROM (SELECT it AS iter, share, grp, label, row_number() OVER (PARTITION BY it, share, grp ORDER BY md5('{seed}:' || {digest} || ':' || label), label) AS k,
+  count(*) OVER (PARTITION BY it, share, grp) AS n FROM who, shares, range(1, {iterations + 1}) r(it)) WHERE k <= greatest(1, floor(n * share))),
+bm AS (SELECT iter, share, grp, direction, i, j, avg(avg) AS a FROM subj JOIN pick USING (grp, label) GROUP BY ALL), bp AS (SELECT iter, share, direction, i, j, max(a) FILTER (grp = 0) AS x, max(a) FILTER (grp = 1) AS y FROM bm GROUP BY ALL),
 om AS (SELECT direction, i, j, avg(avg) FILTER (grp = 0) AS x, avg(avg) FILTER (grp = 1) AS y FROM subj GROUP BY ALL)"""
 
 
-def _bootstrap(spark: SparkSession, sf: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(rho of every iteration, observed rho), one join and one aggregation keyed by iteration."""
-    s = subject_edges(spark, sf).select("grp", "label", "direction", "i", "j", "avg")
-    pick = inference.sample_table(s.select("grp", "label").distinct(), ["grp"], BOOTSTRAPS, share, "boot", "label")
-    means = s.join(pick, ["grp", "label"]).groupBy("iter", "grp", "direction", "i", "j").agg(F.avg("avg").alias("avg"))
-    observed = s.groupBy("grp", "direction", "i", "j").agg(F.avg("avg").alias("avg"))
-    return inference.spearman(_group_pairs(means, ["iter", "direction"]), ["iter", "direction"]), inference.spearman(_group_pairs(observed, ["direction"]), ["direction"])
+def _summary_sql(keys: str) -> str:
+    return f"""SELECT {keys}, round(max(obs), 4) + 0.0 AS observed, round(avg(rho), 4) + 0.0 AS mean, round(stddev_pop(rho), 4) + 0.0 AS std, round(stddev_pop(rho) / nullif(avg(rho), 0) * 100, 4) + 0.0 AS cv_percent,
+  round(avg(rho) - max(obs), 4) + 0.0 AS bias, count(rho) AS n FROM b JOIN o USING (direction) GROUP BY ALL"""
 
 
-@query("bootstrap_rho", f"WITH {_boot()}, b AS ({_rho('bp', 'iter, direction')}) SELECT iter, direction, round(rho, 6) + 0.0 AS rho FROM b")
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Edge weights of a subject and direction as one array."""
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", "avg")))
+    return subject_edges(spark, sf).groupBy("grp", "label", "direction").agg(F.transform(cells, lambda c: c["avg"]).alias("v"))
+
+
+def _bootstrap(spark: SparkSession, sf: str, iterations: int, share: float, seed: str, shares: list[float] | None = None) -> DataFrame:
+    return inference.bootstrap(_vectors(spark, sf), ["direction"], "grp", "label", (0, 1), CHANNELS * (CHANNELS - 1) // 2, iterations, share, seed, shares)
+
+
+def _observed(spark: SparkSession, sf: str) -> DataFrame:
+    means = subject_edges(spark, sf).groupBy("grp", "direction", "i", "j").agg(F.avg("avg").alias("avg"))
+    return inference.spearman(_group_pairs(means, ["direction"]), ["direction"]).withColumnRenamed("rho", "obs")
+
+
+@query("bootstrap_rho", f"WITH {_boot(BOOTSTRAPS, 'boot', [0.8])}, b AS ({_rho('bp', 'iter, direction')}) SELECT iter, direction, round(rho, 6) + 0.0 AS rho FROM b")
 def bootstrap_rho(spark: SparkSession, sf: str) -> DataFrame:
-    return _bootstrap(spark, sf)[0].select(F.col("iter").cast("long").alias("iter"), "direction", r6("rho").alias("rho"))
+    return _bootstrap(spark, sf, BOOTSTRAPS, 0.8, "boot").select("iter", "direction", r6("rho").alias("rho"))
 
 
-@query(
-    "bootstrap_summary",
-    f"""WITH {_boot()}, b AS ({_rho('bp', 'iter, direction')}), o AS ({_rho('om', 'direction', 'obs')})
-SELECT direction, round(max(obs), 4) + 0.0 AS observed, round(avg(rho), 4) + 0.0 AS mean, round(stddev_pop(rho), 4) + 0.0 AS std, round(stddev_pop(rho) / nullif(avg(rho), 0) * 100, 4) + 0.0 AS cv_percent,
-  round(avg(rho) - max(obs), 4) + 0.0 AS bias, count(rho) AS n FROM b JOIN o USING (direction) GROUP BY ALL""",
-)
+@query("bootstrap_summary", f"WITH {_boot(BOOTSTRAPS, 'boot', [0.8])}, b AS ({_rho('bp', 'iter, direction')}), o AS ({_rho('om', 'direction', 'obs')}) {_summary_sql('direction')}")
 def bootstrap_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rho, observed = _bootstrap(spark, sf)
-    return inference.summary(rho.join(observed.withColumnRenamed("rho", "obs"), "direction"), ["direction"], "rho", "obs")
+    return inference.summary(_bootstrap(spark, sf, BOOTSTRAPS, 0.8, "boot").join(_observed(spark, sf), "direction"), ["direction"], "rho", "obs")
 
 
-@query("sample_size_sweep")
+@query("sample_size_sweep", f"""WITH {_boot(SWEEP, 'sweep', SHARES, "it || ':' || share")}, b AS ({_rho('bp', 'share, iter, direction')}), o AS ({_rho('om', 'direction', 'obs')}) {_summary_sql('share, direction')}""")
 def sample_size_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Bootstrap summaries over sampling shares 0.2 .. 0.8, as one plan with a share dimension."""
-    s = subject_edges(spark, sf).select("grp", "label", "direction", "i", "j", "avg")
-    who = s.select("grp", "label").distinct().withColumn("share", F.explode(F.array(*[F.lit(k / 10) for k in range(2, 9, 2)])))
-    n = F.count(F.lit(1)).over(inference.Window.partitionBy("share", "grp"))
-    rows = who.withColumn("n", n).withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(30))))
-    order = inference.Window.partitionBy("iter", "share", "grp").orderBy(inference.digest_order("sweep", "iter", "share", "label"), "label")
-    pick = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.col("share")))).select("iter", "share", "grp", "label")
-    means = s.join(pick, ["grp", "label"]).groupBy("share", "iter", "grp", "direction", "i", "j").agg(F.avg("avg").alias("avg"))
-    rho = inference.spearman(_group_pairs(means, ["share", "iter", "direction"]), ["share", "iter", "direction"])
-    observed = inference.spearman(_group_pairs(s.groupBy("grp", "direction", "i", "j").agg(F.avg("avg").alias("avg")), ["direction"]), ["direction"])
-    return inference.summary(rho.join(observed.withColumnRenamed("rho", "obs"), "direction"), ["share", "direction"], "rho", "obs")
+    """Bootstrap summaries over all nine sampling shares, as one plan with a share dimension."""
+    rho = _bootstrap(spark, sf, SWEEP, 0.0, "sweep", SHARES)
+    return inference.summary(rho.join(_observed(spark, sf), "direction"), ["share", "direction"], "rho", "obs")
 
 
 # --- group tests ------------------------------------------------------------------------
@@ -201,21 +195,14 @@ def two_stage_correction(spark: SparkSession, sf: str) -> DataFrame:
     return inference.two_stage(_p_values(spark, sf), "p", ["family"]).select("family", "test", r6("p_adjusted").alias("p_adjusted"))
 
 
-_LT = f"""{_LAG}, lm AS (SELECT i, j, count(*) FILTER (label % 2 = 0) AS n1, avg(lag_pct) FILTER (label % 2 = 0) AS mean1, var_samp(lag_pct) FILTER (label % 2 = 0) AS var1, count(*) FILTER (label % 2 = 1) AS n2, avg(lag_pct) FILTER (label % 2 = 1) AS mean2, var_samp(lag_pct) FILTER (label % 2 = 1) AS var2 FROM lagged GROUP BY ALL)"""
+_LT = f"""{_LAG}, lm AS (SELECT direction, i, j, count(*) FILTER (label % 2 = 0) AS n1, avg(lag_pct) FILTER (label % 2 = 0) AS mean1, var_samp(lag_pct) FILTER (label % 2 = 0) AS var1, count(*) FILTER (label % 2 = 1) AS n2, avg(lag_pct) FILTER (label % 2 = 1) AS mean2, var_samp(lag_pct) FILTER (label % 2 = 1) AS var2 FROM slag GROUP BY ALL)"""
 
 
 @query(
     "time_lag_statistics",
-    f"""WITH {_LT} SELECT i, j, round(mean1 - mean2, 6) + 0.0 AS mean_diff, round((mean1 - mean2) / nullif(sqrt(var1 / n1 + var2 / n2), 0), 6) + 0.0 AS t, round(coalesce((mean1 - mean2) / nullif(sqrt((var1 + var2) / 2), 0), 0), 6) + 0.0 AS cohens_d FROM lm""",
+    f"""WITH {_LT} SELECT direction, i, j, round(mean1 - mean2, 6) + 0.0 AS mean_diff, round((mean1 - mean2) / nullif(sqrt(var1 / n1 + var2 / n2), 0), 6) + 0.0 AS t, round(coalesce((mean1 - mean2) / nullif(sqrt((var1 + var2) / 2), 0), 0), 6) + 0.0 AS cohens_d FROM lm""",
 )
 def time_lag_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    lags = _lagged(spark, sf).withColumn("grp", F.col("label") % 2)
-    w = inference.welch(inference.two_group_moments(lags, ["i", "j"], "grp", "lag_pct", 0, 1))
-    return w.select("i", "j", r6(F.col("mean1") - F.col("mean2")).alias("mean_diff"), r6("t").alias("t"), r6("cohens_d").alias("cohens_d"))
-
-
-@query("time_lag_statistics_all")
-def time_lag_statistics_all(spark: SparkSession, sf: str) -> DataFrame:
     w = inference.welch(inference.two_group_moments(_subject_lags(spark, sf), ["direction", "i", "j"], "grp", "lag_pct", 0, 1))
     return w.select("direction", "i", "j", r6(F.col("mean1") - F.col("mean2")).alias("mean_diff"), r6("t").alias("t"), r6("cohens_d").alias("cohens_d"))
 
@@ -223,11 +210,7 @@ def time_lag_statistics_all(spark: SparkSession, sf: str) -> DataFrame:
 @query("time_lag_tests")
 def time_lag_tests(spark: SparkSession, sf: str) -> DataFrame:
     """Welch tests of every pair and direction with p, adjusted per base marker, significance and bands."""
-    w = inference.welch(inference.two_group_moments(_subject_lags(spark, sf), ["direction", "i", "j"], "grp", "lag_pct", 0, 1))
-    p = w.withColumn("p_value", inference.p_welch(F.col("t"), F.col("df"))).filter("p_value is not null")
-    out = inference.benjamini_hochberg(p, "p_value", ["direction", "i"], "j")
-    band = F.when(F.col("p_adjusted") < 0.01, "below 0.01").when(F.col("p_adjusted") < 0.05, "0.01 to 0.05").otherwise("0.05 and above")
-    return out.select("direction", "i", "j", "p_value", "cohens_d", (F.col("mean1") - F.col("mean2")).alias("mean_diff"), "mean1", "mean2", "p_adjusted", (F.col("p_adjusted") < 0.05).alias("significant"), band.alias("band"))
+    return inference.lag_tests(_subject_lags(spark, sf), ["direction"], "grp", "lag_pct", 0, 1)
 
 
 @query("pattern_group_test")
@@ -262,11 +245,12 @@ def modularity_test(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "modularity_means",
-    f"""{_MOD}, q AS (SELECT dg.label, dg.direction, sum(inn.l / m.m - power(dg.deg / (2 * m.m), 2)) AS q FROM dg JOIN inn USING (label, direction, community) JOIN m USING (label, direction) GROUP BY ALL)
-SELECT label % 2 AS grp, direction, round(avg(q), 6) + 0.0 AS mean, round(stddev_pop(q), 6) + 0.0 AS std, count(*) AS n FROM q GROUP BY ALL""",
+    f"""{_MOD}, q AS (SELECT dg.label, dg.direction, sum(inn.l / m.m - power(dg.deg / (2 * m.m), 2)) AS q, count(*) AS c FROM dg JOIN inn USING (label, direction, community) JOIN m USING (label, direction) GROUP BY ALL HAVING count(*) > 1),
+all_ AS (SELECT DISTINCT s.label, s.direction, q.q FROM (SELECT DISTINCT label, direction FROM alleg) s LEFT JOIN q ON q.label = s.label AND q.direction = s.direction)
+SELECT label % 2 AS grp, direction, round(avg(q), 6) + 0.0 AS mean, round(stddev_pop(q), 6) + 0.0 AS std, count(q) AS n FROM all_ GROUP BY ALL""",
 )
 def modularity_means(spark: SparkSession, sf: str) -> DataFrame:
-    return _modularity(spark, sf).groupBy("grp", "direction").agg(r6(F.avg("modularity")).alias("mean"), r6(F.stddev_pop("modularity")).alias("std"), F.count(F.lit(1)).alias("n"))
+    return _modularity(spark, sf).groupBy("grp", "direction").agg(r6(F.avg("modularity")).alias("mean"), r6(F.stddev_pop("modularity")).alias("std"), F.count("modularity").alias("n"))
 
 
 @query("pattern_grid_tests")

@@ -7,6 +7,9 @@ files instead of filtering names.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,25 +47,36 @@ def pick_matrices(files: DataFrame, task: str, tracksys: str, kin: str, method:
     return keyed.filter(ok & (F.col("run") == run if run else F.col("run").isNull()))
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A tab-separated file with a header; the schema is given, so nothing is read twice."""
-    return spark.read.csv(path, sep="\t", header=True, schema=schema, nanValue="NaN", nullValue="")
+def read_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """Tab-separated files with a header, which must be that of the schema."""
+    return spark.read.csv(path, sep="\t", header=True, schema=schema, enforceSchema=False, nanValue="NaN", nullValue="")
 
 
-def header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.text(path).first()[0].split("\t")
+def layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their header line, the one line that names positions."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.col("value").contains("_POS_"))
+    return {r.value: sorted(r.files) for r in lines.groupBy("value").agg(F.collect_set("file").alias("files")).orderBy("value").collect()}
 
 
 def read_motion(spark: SparkSession, path: str) -> DataFrame:
-    """Wide recordings of one layout as (name, frame, marker, axis, value); NaN becomes NULL."""
-    columns = header(spark, path)
-    wide = read_tsv(spark, path, T.StructType([T.StructField(c, T.DoubleType()) for c in columns]))
-    wide = wide.withColumns({"name": F.col("_metadata.file_name"), "_at": F.monotonically_increasing_id()})
-    wide = wide.withColumn("frame", F.row_number().over(Window.partitionBy("name").orderBy("_at")) - 1)
-    kept = [c for c in columns if not c.endswith("_err") and not c.startswith(("start_", "end_"))]
-    long = wide.unpivot(["name", "frame"], kept, "column", "value")
-    key = F.regexp_extract("column", r"^(.*)_POS_([xyz])$", 1), F.regexp_extract("column", r"^(.*)_POS_([xyz])$", 2)
-    return long.select("name", "frame", key[0].alias("marker"), key[1].alias("axis"), F.when(~F.isnan("value"), F.col("value")).alias("value"))
+    """Wide recordings as (name, frame, marker, axis, value); NaN becomes NULL.
+
+    Files may differ in their columns and in the order of them.  Frames are numbered by the
+    place in the file, whatever splits it is read in.
+    """
+    parts = []
+    for head, files in layouts(spark, path).items():
+        columns = head.rstrip("\r").split("\t")
+        wide = read_tsv(spark, files, T.StructType([T.StructField(c, T.DoubleType()) for c in columns]))
+        wide = wide.withColumns({"name": F.col("_metadata.file_name"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+        wide = wide.withColumn("frame", F.row_number().over(Window.partitionBy("name").orderBy("_block", "_at")) - 1)
+        kept = [c for c in columns if not c.endswith("_err") and not c.startswith(("start_", "end_"))]
+        long = wide.unpivot(["name", "frame"], kept, "column", "value")
+        key = F.regexp_extract("column", r"^(.*)_POS_([xyz])$", 1), F.regexp_extract("column", r"^(.*)_POS_([xyz])$", 2)
+        parts.append(long.select("name", "frame", key[0].alias("marker"), key[1].alias("axis"), F.when(~F.isnan("value"), F.col("value")).alias("value")))
+    if not parts:
+        return spark.createDataFrame([], "name string, frame int, marker string, axis string, value double")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +86,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_demographics(spark: SparkSession, path: str) -> DataFrame:
-    """Demographics as CSV or Parquet (Spark has no reader for workbooks)."""
+    """Demographics as CSV, Parquet or a workbook (a small table, which pandas reads on the driver)."""
+    if path.endswith((".xlsx", ".xls")):
+        return spark.createDataFrame(pd.read_excel(path))
     return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
 
 

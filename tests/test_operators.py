@@ -88,6 +88,32 @@ def test_pearson_guards_constants(spark):
     assert w[0, 2] is None and w[1, 2] is None
 
 
+def test_pearson_with_gaps_and_salt(spark):
+    rng = np.random.default_rng(4)
+    x = 1e6 + rng.normal(size=(300, 4)).cumsum(0)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 3] = 7.0
+    rows = [(k % 2, None if k == 5 else [None if np.isnan(v) else float(v) for v in r]) for k, r in enumerate(x)]
+    x[5] = np.nan
+    df = spark.createDataFrame(rows, "k long, v array<double>").repartition(7)
+    for salt in (1, 5):
+        w = {(r.k, r.i, r.j): r.w for r in matrix.pearson(df, ["k"], "v", 4, salt).collect()}
+        for k in (0, 1):
+            want = pd.DataFrame(x[k::2]).corr()
+            assert len(w) == 12 and all(w[k, i, 3] is None for i in range(3))
+            assert all(w[k, i, j] == pytest.approx(want[i][j], abs=1e-9) for i in range(3) for j in range(i + 1, 3))
+
+
+def test_regions_and_sides_by_name(spark):
+    names = ["l_a", "r_a", "m_b", "l_c", "x"]
+    grid = spark.createDataFrame([(1, a, b, float(10 * a + b)) for a in range(5) for b in range(5)], "k long, a int, b int, d double")
+    got = {(r.region_a, r.region_b): (r.d, r.cells) for r in matrix.summarise_regions(grid, ["k"], "d", names, {"A": ["l_a", "r_a"], "B": ["m_b", "gone"]}).collect()}
+    assert got == {("A", "A"): (5.5, 4), ("A", "B"): (7.0, 2), ("B", "A"): (20.5, 2), ("B", "B"): (22.0, 1)}
+    assert matrix.merged_sides(names) == ["avg_a", "avg_a", "m_b", "l_c", "x"]
+    got = {(r.a, r.b): r.d for r in matrix.symmetric_pairs(grid, ["k"], "d", names).collect()}
+    assert len(got) == 16 and got["avg_a", "l_c"] == 8.0 and got["x", "avg_a"] == 40.5
+
+
 def edges_of(spark, rows):
     return spark.createDataFrame([(1, i, j, w) for i, j, w in rows], "g long, i int, j int, w double")
 

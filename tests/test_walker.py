@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from motionweave.operators import graph
 from motionweave.plans import drivers
 
 MARKERS = ["l_sho", "r_sho", "m_ster", "l_asis", "r_asis", "l_th"]
@@ -57,22 +58,91 @@ def test_chain(spark, recording):
     assert drivers.build_matrices(acc, events, [*MARKERS, "absent"], points=50).count() == 0
 
 
-def test_group_comparison_and_modules(spark):
-    rng = np.random.default_rng(0)
-    rows = []
+def test_methods_of_the_matrix(spark, recording):
+    motion, events = recording
+    acc = drivers.preprocess(motion, events, "acc").cache()
+    cross = drivers.build_matrices(acc, events, MARKERS, method="cross", points=60).toPandas()
+    dcor = drivers.build_matrices(acc, events, MARKERS, method="dcor", points=60).toPandas()
+    pears = drivers.build_matrices(acc, events, MARKERS, points=60).toPandas()
+    keys = ["sub_id", "start", "direction", "i", "j"]
+    both = pears.merge(cross, on=keys).merge(dcor, on=keys, suffixes=("", "_dcor"))
+    assert len(both) == len(pears) == len(cross) and len(dcor) == len(pears) // 15 * 21
+    assert (both.w_y.abs() >= both.w_x.abs() - 1e-6).all() and (both.w.dropna() >= 0).all()
+    assert (both.lag_pct.abs() < 100).all() and (both.lag_pct != 0).any()
+    with pytest.raises(ValueError):
+        drivers.build_matrices(acc, events, MARKERS, method="none")
+
+
+def _edges(spark, n=8):
+    rng, rows = np.random.default_rng(0), []
     for grp in (0, 1):
         for s in range(3):
             for c in range(2):
-                for i in range(8):
-                    for j in range(i + 1, 8):
-                        w = (0.8 if (i < 4) == (j < 4) else -0.4) + rng.normal(0, 0.02)
-                        rows.append((grp, f"pp{grp}{s}", c, 0, i, j, float(w)))
-    edges = spark.createDataFrame(rows, "grp int, sub_id string, cycle int, direction int, i int, j int, w double")
-    nodes = spark.createDataFrame([(k, 0) for k in range(8)], "node int, block int")
-    r = drivers.compare_between_groups(edges, ["direction"], nodes, permutations=50).first()
+                for i in range(n):
+                    for j in range(i + 1, n):
+                        w = (0.8 if (i < n // 2) == (j < n // 2) else -0.4) + rng.normal(0, 0.02)
+                        rows.append((grp, f"pp{grp}{s}", c, 0, i, j, float(w), float(round(10 * w * (grp + 1)))))
+    return spark.createDataFrame(rows, "grp int, sub_id string, cycle int, direction int, i int, j int, w double, lag_pct double")
+
+
+def test_group_comparison(spark):
+    out = drivers.compare_between_groups(_edges(spark), ["direction"], [0] * 8, permutations=50, bootstraps=40, shares=[0.5, 1.0])
+    r = out["permutation"].first()
     assert r.rho > 0.5 and r.p_value < 0.2
-    out = drivers.modular_organisation(edges, ["sub_id", "cycle", "direction"], 8, runs=5)
+    b = out["bootstrap"].first()
+    assert b.n == 40 and b.observed == pytest.approx(r.rho, abs=1e-4) and 0 < b["mean"] <= 1
+    sweep = {r.share: r for r in out["sweep"].collect()}
+    assert set(sweep) == {0.5, 1.0} and sweep[1.0]["std"] == 0 and sweep[1.0].bias == 0
+    assert drivers.expand_blocks([0, 1], True) == [0, 0, 0, 1, 1, 1]
+    full = drivers.compare_between_groups(_edges(spark, 6), ["direction"], [0, 0], permutations=20, bootstraps=10, full=True)
+    assert full["permutation"].first().rho > 0.3
+
+
+def test_time_lags(spark):
+    out = drivers.time_lags(_edges(spark), ["direction"])
+    mean = _edges(spark).groupBy("grp", "sub_id", "i", "j").avg("lag_pct").toPandas().groupby(["grp", "i", "j"])["avg(lag_pct)"].mean()
+    for r in out["groups"].collect():
+        assert r.avg == pytest.approx(mean[r.grp, r.i, r.j])
+    tests = out["tests"].toPandas()
+    assert 0 < len(tests) <= 28 and (tests.p_adjusted >= tests.p_value - 1e-12).all()
+
+
+def test_modules(spark, tmp_path):
+    call = lambda: drivers.modular_organisation(_edges(spark), ["sub_id", "cycle", "direction"], 8, f"file://{tmp_path}/allegiance", runs=5, blocks=[0] * 8, permutations=30)
+    out = call()
     assert {r.community for r in out["group_communities"].collect()} == {0, 4}
     assert all(r.ari == 1 for r in out["fit"].collect())
-    assert all(r.modularity > 0.2 for r in out["modularity"].collect())
+    assert all(r.modularity > 0.2 for r in out["modularity"].collect() + out["group_modularity"].collect())
     assert all(r.density > 0.9 for r in out["density"].collect())
+    assert out["fit_tests"].count() <= 1 and out["modularity_tests"].count() <= 1 and out["permutation"].first().p_value <= 1
+    before = {p.name for p in (tmp_path / "allegiance").iterdir()}
+    call()
+    assert {p.name for p in (tmp_path / "allegiance").iterdir()} == before
+
+
+def test_modularity_of_one_community_is_missing(spark):
+    e = spark.createDataFrame([(1, 0, 1, 0.5)], "g long, i int, j int, w double")
+    m = spark.createDataFrame([(1, 0, 0), (1, 1, 0)], "g long, node int, community int")
+    assert graph.modularity(e, m, ["g"]).first().modularity is None
+    assert graph.modularity(e, m, ["g"], alone=True).first().modularity == pytest.approx(0)
+
+
+def test_whole_analysis_from_files(spark, tmp_path):
+    t, raw = np.arange(600) / 200, ["l_sho", "r_sho", "m_ster1", "m_ster2", "l_asis", "r_asis", "l_psis", "r_psis", "l_th1", "l_th2"]
+    rng = np.random.default_rng(1)
+    for s in range(8):
+        wide = {}
+        for k, m in enumerate(raw):
+            for a, axis in enumerate("xyz"):
+                wide[f"{m}_POS_{axis}"] = (10 + k) * np.sin(2 * np.pi * t + 0.3 * k * (s % 3) + a) + 300 * t * (a < 2) * (1 + a) + rng.normal(0, 0.3, 600)
+        frame = pd.DataFrame(wide)[sorted(wide, reverse=bool(s % 2))]  # two orders of columns
+        frame.round(4).to_csv(tmp_path / f"sub-pp{s:03d}_task-walk_run-on_tracksys-omc_motion.tsv", sep="\t", index=False)
+        e = [(50, "start"), (550, "stop")] + [(x, "initial_contact_right") for x in (60, 260, 460)] + [(x, "initial_contact_left") for x in (160, 360, 540)]
+        pd.DataFrame(e, columns=["onset", "event_type"]).to_csv(tmp_path / f"sub-pp{s:03d}_task-walk_run-on_events.tsv", sep="\t", index=False)
+    people = pd.DataFrame({"id": range(8), "age": range(60, 68), "med_state": "on", "diagnosis_parkinson": [1] * 4 + [0] * 4, "diagnosis_old": [0] * 4 + [1] * 4, "diagnosis_young": 0})
+    people.to_csv(tmp_path / "people.csv", index=False)
+    out = drivers.analyse(spark, f"{tmp_path}/*motion.tsv", f"{tmp_path}/*events.tsv", f"{tmp_path}/people.csv", MARKERS, f"file://{tmp_path}/out", task="walk", direction=0, points=60, longest=4)
+    assert out["matrices"].select("sub_id", "start").distinct().count() == 16
+    assert {(r.sub_id, r.grp) for r in out["groups"].collect()} == {(f"pp{k:03d}", int(k < 4)) for k in range(8)}
+    tests = spark.read.csv(f"file://{tmp_path}/out/pattern-tests", header=True, inferSchema=True)
+    assert {r.length for r in tests.collect()} <= {2, 3, 4} and tests.count() == out["tests"].count() > 0

@@ -25,7 +25,7 @@ def recordings(tmp_path_factory):
 
 def test_distance_correlation_of_all_pairs(spark, recordings):
     folder, v = recordings
-    got = {(r.label, r.cycle, r.direction, r.i, r.j): r.dcor for r in registry.QUERIES["distance_corr_all"](spark, folder).collect()}
+    got = {(r.label, r.cycle, r.direction, r.i, r.j): r.dcor for r in registry.QUERIES["distance_corr"](spark, folder).collect()}
     assert len(got) == 4 * 3 * 3 * 231
 
     def centred(x):
@@ -75,7 +75,7 @@ def test_longest_path_of_whole_graphs(spark, monkeypatch):
 
 
 def test_longest_path_sees_all_nodes(spark, recordings):
-    rows = registry.QUERIES["longest_simple_path_all"](spark, recordings[0]).collect()
+    rows = registry.QUERIES["longest_simple_path"](spark, recordings[0]).collect()
     assert len({(r.label, r.direction) for r in rows}) == 12 and max(int(k) for r in rows for k in r.path.split("-")) > 6
 
 
@@ -90,14 +90,14 @@ def test_lags_of_all_pairs(spark, recordings):
                 norm = np.sqrt((x[:, i] ** 2).sum() * (x[:, j] ** 2).sum())
                 r = np.correlate(x[:, i], x[:, j], "full") / norm if norm > 0 else np.zeros(7)
                 lags[label, cycle, direction, i, j] = int(np.abs(r).round(9).argmax()) - 3 if norm > 0 else 0
-    rows = registry.QUERIES["lagged_xcorr_all"](spark, folder).collect()
+    rows = registry.QUERIES["lagged_xcorr"](spark, folder).collect()
     assert {(r.label, r.cycle, r.direction, r.i, r.j): r.lag for r in rows} == lags and len(rows) == len(lags)
     mean = {k: np.mean([lags[k[0], c, *k[1:]] * 25 for c in range(3)]) for k in {(a, *b) for a, _, *b in lags}}
-    groups = registry.QUERIES["lag_group_statistics_all"](spark, folder).collect()
+    groups = registry.QUERIES["lag_group_statistics"](spark, folder).collect()
     assert len(groups) == 2 * 630
     for r in groups:
         assert r["mean"] == pytest.approx(np.mean([mean[k, r.direction, r.i, r.j] for k in (r.grp, r.grp + 2)]), abs=2e-6)
-    found = registry.QUERIES["time_lag_statistics_all"](spark, folder).collect()
+    found = registry.QUERIES["time_lag_statistics"](spark, folder).collect()
     assert len(found) == 630
     tests = registry.QUERIES["time_lag_tests"](spark, folder).toPandas()
     assert set(tests.direction) == {0, 1, 2} and tests.j.max() > 5
@@ -118,7 +118,7 @@ def test_low_pass_of_all_channels(spark, recordings):
 
 def test_pivot_of_all_edges(spark, recordings):
     folder, v = recordings
-    rows = registry.QUERIES["pivot_edge_table_all"](spark, folder).collect()
+    rows = registry.QUERIES["pivot_edge_table"](spark, folder).collect()
     assert len(rows) == 12 and len(rows[0]) == 2 + 210
     for r in rows:
         x = v[r.label, :, r.direction].reshape(3, 4, 21)
