@@ -42,6 +42,8 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
 SOLID = tuple(tuple(range(n)) for n in range(1, LEAST))
 #: Characters of benchmark text in a block that is sent to all workers.
 BLOCK_CHARS = 32_000_000
+#: Text bytes whose tokens are held at once (one text at least).
+SLICE = 1 << 20
 _WORD = re.compile(r"\w+")
 _PAD = 16
 
@@ -187,7 +189,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench = shared.value
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", SLICE):
                     ids = column(batch, "doc_id").to_pylist()
                     rows = bench.overlaps(column(batch, "text").to_pylist())
                     yield record(
@@ -211,7 +213,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def without(docs: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", SLICE):
                     clean = np.ones(batch.num_rows, bool)
                     clean[[r[0] for r in shared.value.overlaps(column(batch, "text").to_pylist()) if r[3] >= LEAST]] = False
                     yield batch.filter(pa.array(clean))

@@ -38,6 +38,8 @@ ORDERS, BUCKETS, SCALE = (1, 2, 3), 1 << 16, 20.0
 MAX_TRAIN, LONG, MAX_LANGUAGES = 4000, 20_000, 5000
 #: Cells of the weights, and of those that are gathered at once for the n-grams of a piece.
 CELLS, GATHER = 1 << 25, 1 << 22
+#: Text bytes that are taken apart at once (one text at least).
+SLICE = 1 << 20
 #: FTRL-Proximal: learning rate, its offset, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 3
 MIN_SCORE = 0.4
@@ -74,7 +76,7 @@ def ngrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         same = row[: len(c) - n + 1] == row[n - 1 :]
         if n == 1:
             same &= c != 32
-        yield (h[same] >> np.uint32(16)).astype(np.int64), row[: len(c) - n + 1][same]
+        yield (h[same] >> np.uint32(16)).astype(np.int32), row[: len(c) - n + 1][same]
 
 
 def has_letters(texts: list[str | None]) -> np.ndarray:
@@ -189,10 +191,9 @@ def train(docs: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 texts = column(batch, "text").to_pylist()
-                found = list(ngrams(texts))
-                cells, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(r.astype(np.int64) * BUCKETS + b for b, r in found)]), return_counts=True)
+                cells, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(r.astype(np.int64) * BUCKETS + b for b, r in ngrams(texts))]), return_counts=True)
                 cuts = np.searchsorted(cells, np.arange(len(texts) + 1) * BUCKETS)
                 rows = [((cells[a:z] % BUCKETS).astype("<i4").tobytes(), counts[a:z].astype("<i4").tobytes()) for a, z in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -213,7 +214,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SLICE):
                 lang, score = shared.value.predict(column(batch, "text").to_pylist())
                 yield record(out, doc_id=column(batch, "doc_id").cast(pa.int64()), lang_pred=lang, score=score)
 
@@ -226,7 +227,7 @@ def keep(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SLICE):
                 lang, score = shared.value.predict(column(batch, "text").to_pylist())
                 yield batch.filter(pa.array([a != UNKNOWN and b >= min_score for a, b in zip(lang, score)], pa.bool_()))
 
