@@ -37,7 +37,7 @@ from motionweave.llm.common import column, is_held_out, record, slices, table
 ORDERS, BUCKETS, SCALE = (1, 2, 3), 1 << 16, 20.0
 MAX_TRAIN, LONG, MAX_LANGUAGES = 4000, 20_000, 5000
 #: Cells of the weights, and of those that are gathered at once for the n-grams of a piece.
-CELLS, GATHER = 1 << 25, 1 << 22
+CELLS, GATHER = 1 << 25, 1 << 19
 #: Text bytes that are taken apart at once (one text at least).
 SLICE = 1 << 20
 #: FTRL-Proximal: learning rate, its offset, L1 and L2 penalties, passes over the sample.
@@ -100,7 +100,7 @@ class Model:
             for at in range(0, len(rows), step):
                 bucket, row = buckets[at : at + step], rows[at : at + step]
                 first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                sums[row[first]] += np.add.reduceat(self.weights[bucket & mask], first, axis=0, dtype=np.float64)
+                sums[row[first]] += np.add.reduceat(self.weights.take(bucket & mask, axis=0).astype(np.float64), first, axis=0)
         return SCALE * sums / np.maximum(total, 1)[:, None] + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
