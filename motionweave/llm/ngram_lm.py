@@ -215,6 +215,7 @@ class Reader:
         return tuple(v[place] for v in self._nodes(level, first[once], last[once], codes))
 
     def _nodes(self, level: int, first: np.ndarray, last: np.ndarray, codes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``nodes``, for different nodes in order."""
         out, code, gamma = np.full(len(first), -1, np.int64), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         hot, offsets = self.levels[level - 1].hot, self.levels[level].offsets
         order, cuts = _dealt(node_shard(first, last, self.model.shards, hot), self.model.shards)
@@ -223,18 +224,23 @@ class Reader:
             arrays = self._arrays(level, s)
             if arrays is None:
                 continue
+            # Nodes come sorted, so each context is looked up once for the run of its nodes.
             at = order[cuts[s] : cuts[s + 1]]
-            rank, known = arrays["contexts"].successor(first[at].astype(np.uint64))
-            at, rank = at[known], rank[known]
+            begin = np.flatnonzero(np.concatenate([[True], first[at[1:]] != first[at[:-1]]]))
+            size = np.diff(np.append(begin, len(at)))
+            rank, known = arrays["contexts"].successor(first[at[begin]].astype(np.uint64))
+            at, size, rank = at[np.repeat(known, size)], size[known], rank[known]
             if not len(at):
                 continue
-            low, high = (v.astype(np.int64) for v in arrays["pointers"].get_pair(rank))
+            low, high = (np.repeat(v.astype(np.int64), size) for v in arrays["pointers"].get_pair(rank))
+            if codes:
+                gamma[at] = np.repeat(arrays["gamma"][rank], size)
+            rank = np.repeat(rank, size)
             place, same = arrays["successors"].successor(rank.astype(np.uint64) * universe + last[at].astype(np.uint64))
             same &= (place >= low) & (place < high)
             out[at[same]] = place[same] + offsets[s]
             if codes:
                 code[at[same]] = arrays["codes"][place[same]]
-                gamma[at] = arrays["gamma"][rank]
         if codes and len(hot):
             at, spread = _among(first, hot)
             gamma[spread] = self.hot_gamma[level][at[spread]]
