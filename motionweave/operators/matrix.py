@@ -7,7 +7,7 @@ kernel that holds pairwise sums, so building a matrix shuffles the samples once
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -170,6 +170,17 @@ def relabel(edges: DataFrame, new_index: DataFrame, on: list[str], keys: list[st
     return moved.select(*keys, F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "w")
 
 
+def relabel_by(edges: DataFrame, facts: DataFrame, on: list[str], keys: list[str], new: Callable[[Column, Column], Column]) -> DataFrame:
+    """Edges under the node numbers ``new(old, facts)``, told from the column ``facts`` per ``on``; i < j is restored.
+
+    Facts are joined as they are, not as a row per node, and always by shuffles: a table of
+    all subjects may be far larger than the estimate that would have Spark broadcast it.
+    """
+    a, b = (facts.select(*on, F.col("facts").alias(name)).hint("merge") for name in ("_a", "_b"))
+    p, q = new(F.col("i"), F.col("_a")), new(F.col("j"), F.col("_b"))
+    return edges.join(a, on).join(b, on).select(*keys, F.least(p, q).alias("i"), F.greatest(p, q).alias("j"), "w")
+
+
 def cycle_statistics(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and population deviation over cycles; a missing value makes both missing."""
     return edges.groupBy(*keys, "i", "j").agg(poisoned_avg("w").alias("avg"), poisoned_std("w").alias("std"), F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionweave.functions.core import r6
@@ -88,13 +88,15 @@ map AS (SELECT label, o AS old, CASE WHEN o = 20 THEN 20 WHEN (o < 14 AND u = 'l
 )
 def affected_side_reorder(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes 2k and 2k+1 are the right and left marker; the less affected side comes first."""
-    side = cohort.more_affected(demographics(spark, sf)).select(F.col("id").alias("label"), "upper_side", "lower_side")
-    old = F.explode(F.sequence(F.lit(0), F.lit(CHANNELS - 1)))
-    left = F.when(F.col("old") < 14, F.col("upper_side")).otherwise(F.col("lower_side")) == "left"
-    new = F.when((F.col("old") < 20) & left, F.col("old") + 1 - 2 * (F.col("old") % 2)).otherwise(F.col("old"))
-    table = side.withColumn("old", old).select("label", "old", new.alias("new"))
+    side = cohort.more_affected(demographics(spark, sf))
+    facts = side.select(F.col("id").alias("label"), F.struct(*[(F.col(f"{part}_side") == "left").alias(part) for part in ("upper", "lower")]).alias("facts"))
+
+    def new(old: Column, facts: Column) -> Column:
+        left = F.when(old < 14, facts["upper"]).otherwise(facts["lower"])
+        return F.when((old < 20) & left, old + 1 - 2 * (old % 2)).otherwise(old)
+
     mean = subject_edges(spark, sf).select("label", "direction", "i", "j", F.col("avg").alias("w"))
-    return _ij(matrix.relabel(mean, table, ["label"], SUBJECT_KEYS)).withColumn("w", r6("w"))
+    return _ij(matrix.relabel_by(mean, facts, ["label"], SUBJECT_KEYS, new)).withColumn("w", r6("w"))
 
 
 @query("cycle_mean_std_matrix", f"WITH {SUBJ} SELECT grp, label, direction, i, j, round(avg, 6) + 0.0 AS avg, round(std, 6) + 0.0 AS std, n FROM subj")

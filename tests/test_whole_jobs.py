@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +10,7 @@ import pytest
 from motionweave.functions import kernels
 from motionweave.operators import paths
 from motionweave.plans import registry
+from tests.oracle import rows_of, spark_rows
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -116,6 +118,30 @@ def test_low_pass_of_all_channels(spark, recordings):
         assert got == pytest.approx(kernels.filtfilt(v[1, :, direction, m], 6.0, 200.0), abs=2e-6)
 
 
+def test_sides_come_from_one_row_a_person(spark, recordings, tmp_path):
+    """No row per node is made of a person, and people, few of whom are recorded, are not broadcast."""
+    folder, v = recordings
+    (tmp_path / "embeddings.parquet").symlink_to(f"{folder}/embeddings.parquet")
+    keys = [k for k in range(3000) if k != 2] + [3, None]  # subject 2 is unknown, subject 3 there twice
+    nations = [None if k == 1 else 4 if n == 2999 else 1 for n, k in enumerate(keys)]
+    people = {"c_custkey": pd.array(keys, "Int64"), "c_nationkey": pd.array(nations, "Int32"), "c_acctbal": 0.0, "c_mktsegment": "BUILDING"}
+    pd.DataFrame(people).to_parquet(tmp_path / "customer.parquet")
+    found = registry.QUERIES["affected_side_reorder"](spark, str(tmp_path))
+    got = spark_rows(found)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate explode" not in plan
+    con = duckdb.connect()
+    for t in ("customer", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = con.execute(registry.SQL["affected_side_reorder"]).fetchall()
+    columns = [d[0] for d in con.description]
+    assert got == (sorted(columns), rows_of(columns, want)) and len(want) == 3 * 210 * (1 + 1 + 2 * 2)
+    # subject 0 (0 points right, 1 left; not right-handed) is affected on the left: 0 and 1 change places, 20 stays
+    moved = {(r.i, r.j): r.w for r in found.filter("label = 0 AND direction = 1").collect()}
+    mean = np.mean([np.corrcoef(x, rowvar=False) for x in v[0, :, 1].reshape(3, 4, 21)], 0)
+    assert [moved[0, 20], moved[1, 20], moved[2, 17]] == pytest.approx([mean[1, 20], mean[0, 20], mean[3, 16]], abs=2e-6)
+
+
 def test_pivot_of_all_edges(spark, recordings):
     folder, v = recordings
     rows = registry.QUERIES["pivot_edge_table"](spark, folder).collect()
