@@ -19,6 +19,7 @@ read, so others may have any name.  Strings of special tokens in a text are ordi
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -34,11 +35,21 @@ from motionweave.llm.common import column, materialise, record, slices, table
 
 CAPACITY, END = 2048, 0
 #: Words, and characters of words, that a Python worker keeps with their ids; beyond that it begins anew.
-KEPT_WORDS, KEPT_CHARS = 200_000, 1 << 23
+KEPT_WORDS, KEPT_CHARS = 500_000, 1 << 23
+#: Plain words that go through the tokenizer as one text.
+JOINED = 500
+#: A mark between a letter and a space is split off alone (lower-cased, U+0130 ends in no letter).
+_MARK = re.compile(r"(?<=[^\W\d_\u0130])([,.;:!?])(?= )")
+#: Below these characters nothing composes, and case has no context.
+_WIDE = re.compile("[\u0130\u0300-\U0010ffff]")
 
 
 class Encoder:
-    """Ids of whole texts, word by word: the tokenizer drops white space and joins nothing over it."""
+    """Ids of whole texts, word by word: the tokenizer drops white space and joins nothing over it.
+
+    Most words are letters below U+0300: their ids are those of the lower-cased letters, which go
+    through the tokenizer many at a time; an id that ends a word tells them apart.
+    """
 
     def __init__(self, path: str, end: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,6 +57,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.end = end
         self.clear()
 
@@ -53,12 +67,36 @@ class Encoder:
         self.index: dict[str | None, int] = {None: 0}
         self.flat, self.ends, self.chars = np.array([self.end], np.uint32), np.array([0, 1]), 0
 
-    def learn(self, words: set[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(list(words), add_special_tokens=False)]
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words))))
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
         self.chars += sum(map(len, words))
-        self.flat = np.concatenate([self.flat, *[np.array(i, np.uint32) for i in ids]])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(i) for i in ids], dtype=np.int64)])
+
+    def _add_each(self, words: list[str]) -> None:
+        ids = self._ids(words)
+        self._add(words, np.array([i for own in ids for i in own], np.uint32), np.array([len(own) for own in ids], np.int64))
+
+    def _add_letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), JOINED * 64):
+            some = words[at : at + JOINED * 64]
+            ids = np.array([i for own in self._ids([" ".join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)]) for i in own], np.uint32)
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                self._add(some, ids, np.diff(stops, prepend=0))
+            else:
+                self._add_each(some)
+
+    def learn(self, words: set[str]) -> None:
+        letters = {w: w.lower() for w in words if w.isalpha() and not _WIDE.search(w)}
+        letters = {w: low for w, low in letters.items() if low.isalpha()}
+        self._add_letters(list(set(letters.values()) - self.index.keys()))
+        self.index.update((w, self.index[low]) for w, low in letters.items())
+        if other := [w for w in words if w not in letters]:
+            self._add_each(other)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and where each text's ids begin (and the end)."""
@@ -66,7 +104,8 @@ class Encoder:
         size = np.empty(len(texts), np.int64)
         for k, text in enumerate(texts):
             before = len(words)
-            words += (text or "").replace("\n", " ").split(" ")
+            text = _MARK.sub(r" \1", (text or "").replace("\n", " "))
+            words += (text if _WIDE.search(text) else text.lower()).split(" ")
             words.append(None)
             size[k] = len(words) - before
         new = set(words) - self.index.keys()

@@ -70,7 +70,7 @@ def test_plan_of_many_pieces_is_short_and_tight():
 def test_words_give_the_ids_of_whole_texts(tokenizer):
     rng, encode = random.Random(6), packing.Encoder(FILE, 0)
     signs = list("ab'sé漢 \t\n\r  ́İΣσ0½.,!<|>") + ["don't", "<|endoftext|>", "é", "\x1c", " ", "  "]
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(400)] + ["", None, "y" * 3000]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(4000)] + ["", None, "y" * 3000]
     ids, first = encode(texts)
     for k, t in enumerate(texts):
         assert ids[first[k] : first[k + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
