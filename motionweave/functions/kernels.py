@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 
 
 def butterworth(cutoff: float, fs: float) -> tuple[np.ndarray, np.ndarray]:
@@ -46,18 +47,103 @@ def filtfilt(x: np.ndarray, cutoff: float, fs: float, pad: int = 9) -> np.ndarra
     return out if x.ndim == 2 else out[:, 0]
 
 
-def cross_correlation(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
-    """(lag, r) of the largest absolute normalised cross-correlation; the first lag on a tie.
+def resample_lists(lists: pa.ListArray, points: int) -> np.ndarray:
+    """Every list linearly resampled to ``points`` values, one after another; missing values are NaN."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.to_numpy(zero_copy_only=False).astype(float)
+    first, last = offsets[:-1, None], np.diff(offsets)[:, None] - 1
+    t = np.arange(points, dtype=float) * last / max(points - 1, 1)
+    low = np.floor(t).astype(np.int64)
+    a, b = values[first + low], values[first + np.minimum(low + 1, last)]
+    return (a + (b - a) * (t - low)).ravel()
 
-    The lag is the frame of ``a`` less the frame of ``b``.  Constant signals give (0, nan).
+
+#: Numbers that the kernels over pairs of channels hold at once.
+BLOCK_CELLS = 4_000_000
+
+
+def cross_correlations(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lag, r) of the largest absolute normalised cross-correlation of every pair of columns; the first lag on a tie.
+
+    Every column is transformed once; pairs are products of spectra, turned back in blocks.  The
+    lag is the frame of ``i`` less the frame of ``j``.  Constant or incomplete signals give (0, NaN).
+    """
+    n = len(m)
+    m = m - m.mean(0)
+    power = (m * m).sum(0)
+    norm = np.sqrt(power[i] * power[j])
+    size = 1 << max(0, 2 * n - 2).bit_length()
+    spectra = np.fft.rfft(m, size, axis=0).T
+    lag, r = np.zeros(len(i), np.int64), np.full(len(i), np.nan)
+    good = np.flatnonzero(norm > 0)
+    step = max(1, BLOCK_CELLS // size)
+    for at in range(0, len(good), step):
+        own = good[at : at + step]
+        full = np.fft.irfft(spectra[i[own]] * spectra[j[own]].conj(), size, axis=1)
+        full = np.concatenate([full[:, size - n + 1 :], full[:, :n]], axis=1) / norm[own, None]
+        best = np.abs(full).round(9).argmax(1)
+        lag[own], r[own] = best - (n - 1), full[np.arange(len(own)), best]
+    return lag, r
+
+
+def distance_row_means(x: np.ndarray) -> np.ndarray:
+    """Mean distance of every value to all, by prefix sums over the sorted values."""
+    order, n = np.argsort(x, kind="stable"), len(x)
+    y = x[order]
+    before = np.cumsum(y) - y
+    out = np.empty(n)
+    out[order] = (y * (2 * np.arange(n) - n) + y.sum() - 2 * before) / n
+    return out
+
+
+def distance_product_sum(x: np.ndarray, y: np.ndarray) -> float:
+    """Sum of |x_a - x_b| |y_a - y_b| over all pairs, in n log n.
+
+    For b before a by x, the product is (x_a - x_b)(y_a - y_b) if y_b is not above y_a, else its
+    negative, so sums of 1, x, y and xy over the b below give it.  They are gathered bit by bit of
+    the rank by x: values lie in order of y within runs of equal higher bits, and an a with the
+    bit takes the prefix sums of the b without it.  A stable partition makes the next bit's runs.
     """
-    a, b = a - a.mean(), b - b.mean()
-    norm = math.sqrt(float((a * a).sum() * (b * b).sum()))
-    if norm == 0:
-        return 0, math.nan
-    r = np.correlate(a, b, "full") / norm
-    k = int(np.round(np.abs(r), 9).argmax())
-    return k - (len(b) - 1), float(r[k])
+    n = len(x)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(x, kind="stable")] = np.arange(n)
+    at = np.argsort(y, kind="stable")
+    below = np.zeros((4, n))
+    terms = np.stack([np.ones(n), x, y, x * y])
+    for bit in reversed(range(max(1, (n - 1).bit_length()))):
+        run, high = rank[at] >> (bit + 1), (rank[at] >> bit) & 1 == 1
+        sums = np.cumsum(np.where(high, 0.0, terms[:, at]), axis=1)
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        start = np.repeat(first, np.diff(first, append=n))
+        base = np.where(start > 0, sums[:, start - 1], 0.0)
+        below[:, at[high]] += (sums - base)[:, high]
+        # Within every run the values without the bit come first, both in order of y.
+        low = np.cumsum(~high)
+        lows = low - np.where(start > 0, low[start - 1], 0)
+        total = np.repeat(lows[np.append(first[1:], n) - 1], np.diff(first, append=n))
+        place = start + np.where(high, total + np.arange(n) - start - lows, lows - 1)
+        moved = np.empty(n, np.int64)
+        moved[place] = at
+        at = moved
+    order = np.argsort(x, kind="stable")
+    all_before = np.empty((4, n))
+    all_before[:, order] = np.cumsum(terms[:, order], axis=1) - terms[:, order]
+    c, sx, sy, sxy = 2 * below - all_before
+    return 2 * float((x * y * c - y * sx - x * sy + sxy).sum())
+
+
+def distance_covariances(m: np.ndarray) -> np.ndarray:
+    """Squared distance covariances (V-statistics) of all pairs of columns, in n log n each."""
+    n, k = m.shape
+    m = m - m[0]  # so that constant columns are zero
+    m -= m.mean(0)
+    rows = np.stack([distance_row_means(m[:, c]) for c in range(k)])
+    out = np.empty((k, k))
+    for a in range(k):
+        for b in range(a, k):
+            total = 2 * n * (m[:, a] ** 2).sum() if a == b else distance_product_sum(m[:, a], m[:, b])
+            out[a, b] = out[b, a] = total / n**2 + rows[a].mean() * rows[b].mean() - 2 * (rows[a] * rows[b]).mean()
+    return out
 
 
 def digest_ranking(seed: str, iteration: int, items: list) -> list[int]:

@@ -21,6 +21,8 @@ from motionweave.functions.core import safe_corr
 
 #: Iterations of a random table that one kernel call takes as a matrix.
 BLOCK = 500
+#: Items that one task of a bootstrap sums up, and numbers that its sums may have.
+ITEMS, STATE_CELLS = 2_000, 2_000_000
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
@@ -132,9 +134,11 @@ def bootstrap(vectors: DataFrame, keys: list[str], group: str, item: str, groups
     """(keys, [share,] iter, rho): rank correlation of two groups' means over samples of their items.
 
     ``vectors`` has keys, group, item and ``v`` (an array of ``size`` values).  Which iterations
-    draw an item is one array per item, so neither values nor items are repeated per
-    iteration; a key's items stream through a kernel that holds the sums of all iterations.
-    With ``shares`` every share is sampled anew.
+    draw an item is one array per item, so neither values nor items are repeated per iteration.
+    Items are dealt over as many tasks as their group needs (``ITEMS`` each); a task holds the
+    sums and counts of all iterations (at most ``STATE_CELLS`` numbers, else the iterations are
+    dealt as well), and these states are merged by blocks of iterations in a second step.  With
+    ``shares`` every share is sampled anew.
     """
     every = shares or [share]
     who = vectors.select(group, item).distinct().withColumn("_share", F.explode(F.array(*[F.lit(x) for x in every])))
@@ -143,25 +147,44 @@ def bootstrap(vectors: DataFrame, keys: list[str], group: str, item: str, groups
     parts = ("iter", "_share", item) if shares else ("iter", item)
     order = Window.partitionBy("iter", "_share", group).orderBy(digest_order(seed, *parts), item)
     drawn = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("_share"))))
-    picks = drawn.groupBy("_share", group, item).agg(F.collect_list("iter").alias("_its"))
-    joined = vectors.join(picks, [group, item])
+    picks = drawn.groupBy("_share", group, item).agg(F.collect_list("iter").alias("_its"), F.first("_n").alias("_n"))
+    stripe = max(BLOCK, STATE_CELLS // size // BLOCK * BLOCK)
+    salt = F.pmod(F.xxhash64(item), F.ceil(F.col("_n") / F.lit(ITEMS)).cast("long"))
+    joined = vectors.join(picks, [group, item]).withColumns({"_salt": salt, "_stripe": F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // stripe)))})
     head = ", ".join(f"{k} {vectors.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts, first = np.zeros((2, iterations, size)), np.zeros((2, iterations, size), np.int32), None
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
         for batch in batches:
-            first = first or [batch.column(k)[0].as_py() for k in [*keys, "_share"]]
+            if sums is None:
+                head, low = [batch.column(k).slice(0, 1) for k in [*keys, "_share"]], batch.column("_stripe")[0].as_py() * stripe
+                own = min(stripe, iterations - low)
+                sums, counts = np.zeros((2, own, size)), np.zeros((2, own, size), np.int32)
             for g, v, its in zip(batch.column(group).to_pylist(), batch.column("v").to_pylist(), batch.column("_its")):
                 if g in groups:
-                    v, at, side = np.array(v, float), its.values.to_numpy() - 1, groups.index(g)
+                    v, at, side = np.array(v, float), its.values.to_numpy() - 1 - low, groups.index(g)
+                    at = at[(at >= 0) & (at < own)]
                     sums[side][at] += np.nan_to_num(v)
                     counts[side][at] += ~np.isnan(v)
+        for at in range(0, own, BLOCK):
+            packed = [pa.array([x[:, at : at + BLOCK].tobytes()], pa.binary()) for x in (sums, counts)]
+            yield pa.RecordBatch.from_arrays([*head, pa.array([low + at], pa.int64()), *packed], names=[*keys, "share", "first", "sums", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, head = 0.0, 0, None
+        for batch in batches:
+            head = head or [batch.column(k).slice(0, 1) for k in [*keys, "share", "first"]]
+            for s, c in zip(batch.column("sums"), batch.column("counts")):
+                sums = sums + np.frombuffer(s.as_buffer()).reshape(2, -1, size)
+                counts = counts + np.frombuffer(c.as_buffer(), np.int32).reshape(2, -1, size)
         with np.errstate(all="ignore"):
-            rho = kernels.spearman_rows(*(np.where(counts > 0, sums / counts, np.nan)))
-        columns = [pa.array([f] * iterations, batch.column(k).type) for k, f in zip([*keys, "_share"], first)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(1, iterations + 1)), pa.array(rho, from_pandas=True)], names=[*keys, "share", "iter", "rho"])
+            rho = kernels.spearman_rows(*np.where(counts > 0, sums / counts, np.nan))
+        first = head.pop()[0].as_py()
+        columns = [pa.array([h[0].as_py()] * len(rho), h.type) for h in head]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(first + 1, first + 1 + len(rho))), pa.array(rho, from_pandas=True)], names=[*keys, "share", "iter", "rho"])
 
-    out = joined.select(*keys, "_share", group, "v", "_its").groupBy(*keys, "_share").applyInArrow(run, f"{head}, share double, iter long, rho double")
+    states = joined.select(*keys, "_share", "_salt", "_stripe", group, "v", "_its").groupBy(*keys, "_share", "_salt", "_stripe").applyInArrow(part, f"{head}, share double, first long, sums binary, counts binary")
+    out = states.groupBy(*keys, "share", "first").applyInArrow(merge, f"{head}, share double, iter long, rho double")
     return out if shares else out.drop("share")
 
 

@@ -6,20 +6,20 @@ kernel that holds pairwise sums, so building a matrix shuffles the samples once
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionweave.functions import kernels
 from motionweave.functions.core import poisoned_avg, poisoned_std
 
-#: Distances held at once by the kernel of distance correlations.
-BLOCK_CELLS = 4_000_000
+#: Samples up to which distance correlations come from distance matrices (in blocks); beyond, from sorted sums.
+SMALL = 256
 
 
 class _Moments:
@@ -108,15 +108,16 @@ def pearson(df: DataFrame, keys: list[str], values: str, n: int, salt: int = 1)
     return parts.groupBy(*keys).applyInArrow(merge, edge_schema)
 
 
-def _pair_kernel(df: DataFrame, keys: list[str], order: str, values: str, schema: str, f) -> DataFrame:
-    """Run ``f(matrix)`` (samples x channels) per group as an Arrow kernel."""
+def _pair_kernel(df: DataFrame, keys: list[str], order: str, values: str, schema: str, f: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """Run ``f`` (samples x channels to columns over pairs) per group as an Arrow kernel."""
     names = [x.split()[0] for x in schema.split(", ")][len(keys) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).sort_by(order)
-        rows = f(np.array(t[values].to_pylist(), float))
-        head = [pa.array([t[k][0].as_py()] * len(rows), t[k].type) for k in keys]
-        yield pa.RecordBatch.from_arrays(head + [pa.array(c) for c in zip(*rows)], names=keys + names)
+        m = t[values].combine_chunks()
+        columns = f(_rows(m, pc.max(pc.list_value_length(m)).as_py()))
+        head = [pa.array([t[k][0].as_py()] * len(columns[0]), t[k].type) for k in keys]
+        yield pa.RecordBatch.from_arrays(head + [pa.array(c, from_pandas=True) for c in columns], names=keys + names)
 
     return df.select(*keys, order, values).groupBy(*keys).applyInArrow(run, schema)
 
@@ -126,38 +127,38 @@ def key_schema(df: DataFrame, keys: list[str]) -> str:
 
 
 def lagged(df: DataFrame, keys: list[str], order: str, values: str) -> DataFrame:
-    """Largest cross-correlation of every pair, its lag, and the lag in percent (half to even)."""
+    """Largest cross-correlation of every pair, its lag, and the lag in percent (half to even).
 
-    def f(m: np.ndarray) -> list[tuple]:
-        out = []
-        for i in range(m.shape[1]):
-            for j in range(i + 1, m.shape[1]):
-                lag, r = kernels.cross_correlation(m[:, i], m[:, j])
-                out.append((i, j, lag, None if np.isnan(r) else r, float(np.round(lag / len(m) * 100))))
-        return out
+    A group's channels are transformed once, and all pairs come from their spectra.
+    """
+
+    def f(m: np.ndarray) -> list[np.ndarray]:
+        i, j = np.triu_indices(m.shape[1], 1)
+        lag, r = kernels.cross_correlations(m, i, j)
+        return [i, j, lag, r, np.round(lag / len(m) * 100)]
 
     return _pair_kernel(df, keys, order, values, key_schema(df, keys) + ", i long, j long, lag long, r double, lag_pct double", f)
 
 
 def distance_correlations(df: DataFrame, keys: list[str], order: str, values: str) -> DataFrame:
-    """Distance correlation of every pair i <= j.
+    """Distance correlation of every pair i <= j; 0 if a channel is constant.
 
-    All pairs come from one product of the centred distances, in blocks of rows, so memory
-    does not grow with the square of the samples.
+    Up to ``SMALL`` samples all pairs come from one product of the centred distances; longer
+    groups take n log n time and n memory a pair.
     """
 
-    def f(m: np.ndarray) -> list[tuple]:
-        n, k = m.shape
-        step = max(1, BLOCK_CELLS // (n * k))
-        blocks = [slice(at, at + step) for at in range(0, n, step)]
-        rows = np.concatenate([np.abs(m[b, None] - m[None]).mean(1) for b in blocks])
-        gram = np.zeros((k, k))
-        for b in blocks:
-            a = (np.abs(m[b, None] - m[None]) - rows[b, None] - rows[None] + rows.mean(0)).reshape(-1, k)
-            gram += a.T @ a
-        gram /= n * n
-        own = np.diag(gram)
-        return [(i, j, 0.0 if own[i] * own[j] <= 0 else math.sqrt(max(0.0, gram[i, j]) / math.sqrt(own[i] * own[j]))) for i in range(k) for j in range(i, k)]
+    def f(m: np.ndarray) -> list[np.ndarray]:
+        if len(m) > SMALL:
+            gram = kernels.distance_covariances(m)
+        else:
+            d = np.abs(m[:, None] - m[None])
+            rows = d.mean(1)
+            d = (d - rows[:, None] - rows[None] + rows.mean(0)).reshape(-1, m.shape[1])
+            gram = d.T @ d / len(m) ** 2
+        i, j = np.triu_indices(m.shape[1])
+        own = np.diag(gram)[i] * np.diag(gram)[j]
+        with np.errstate(all="ignore"):
+            return [i, j, np.where(own > 0, np.sqrt(np.maximum(0.0, gram[i, j]) / np.sqrt(own)), 0.0)]
 
     return _pair_kernel(df, keys, order, values, key_schema(df, keys) + ", i long, j long, dcor double", f)
 

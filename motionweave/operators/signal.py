@@ -7,13 +7,19 @@ zero-phase filter) run as an Arrow kernel per trial.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from motionweave.functions import kernels
 
+#: Curves that the resampling kernel takes at once.
+CURVES = 256
+
 
 def ordered(keys: list[str], order: str | list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
@@ -122,25 +128,49 @@ def cycles_same_side(contacts: DataFrame, keys: list[str]) -> DataFrame:
     return contacts.withColumn("stop", nxt).filter("stop is not null").select(*keys, "side", F.col("frame").alias("start"), "stop")
 
 
-def segment(frames: DataFrame, cycles: DataFrame, keys: list[str], position: str = "frame") -> DataFrame:
-    """Frames of every half-open cycle (cycles overlap): a range join within the trial's hash join."""
-    return frames.join(cycles, keys).filter((F.col(position) >= F.col("start")) & (F.col(position) < F.col("stop")))
+def segment(frames: DataFrame, cycles: DataFrame, keys: list[str], position: str = "frame", width: int | None = None) -> DataFrame:
+    """Frames of every half-open cycle (cycles overlap), joined on (trial, time bin).
 
+    A frame lies in one bin of ``width`` positions; a cycle is dealt to each bin that it touches,
+    so it meets its own length and at most two bins of other frames.  By default the width is the
+    cycles' mean length, found in one aggregation: over all cycles at most three frames are
+    looked at for each position that a cycle covers, and a long trial is many join keys.
+    """
+    if width is None:
+        mean = cycles.agg(F.avg(F.col("stop") - F.col("start"))).first()[0]
+        width = max(1, round(mean or 1))
+    inside = (F.col(position) >= F.col("start")) & (F.col(position) < F.col("stop"))
+    return same_bin(frames, cycles, keys, position, width).filter(inside).drop("_bin")
 
-def resample(segments: DataFrame, keys: list[str], position: str, value: str, points: int) -> DataFrame:
-    """Linear resampling of every group to ``points`` samples; one aggregation, no self-join."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).alias("v"))))
-    grouped = segments.groupBy(*keys).agg(F.transform(rows, lambda r: r["v"]).alias("_v"))
 
-    def at(k: Column) -> Column:
-        t = k.cast("double") * (F.size("_v") - 1) / (points - 1)
-        low = F.floor(t).cast("int")
-        high = F.least(low + 1, F.size("_v") - 1)
-        a, b = F.get("_v", low), F.get("_v", high)
-        return a + (b - a) * (t - low)
+def same_bin(frames: DataFrame, cycles: DataFrame, keys: list[str], position: str, width: int) -> DataFrame:
+    """Frames with the cycles that touch their time bin."""
+    bin_of = lambda c: F.floor(c / F.lit(width)).cast("long")
+    touched = F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("stop") - 1)))
+    dealt = cycles.filter(F.col("start") < F.col("stop")).withColumn("_bin", touched)
+    return frames.withColumn("_bin", bin_of(F.col(position))).join(dealt, [*keys, "_bin"])
 
-    curve = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
-    return grouped.select(*keys, F.posexplode(curve).alias("k", value))
+
+def resample(segments: DataFrame, keys: list[str], position: str, value: str, points: int) -> DataFrame:
+    """Linear resampling of every group to ``points`` samples.
+
+    One aggregation lists a group's samples; an Arrow kernel then resamples all lists of a batch
+    at once, straight from their offsets.  A missing sample makes the points beside it missing.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).cast("double").alias("v"))))
+    grouped = segments.groupBy(*keys).agg(F.transform(rows, lambda r: r["v"]).alias("_v"))
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grouped.select(*keys).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CURVES):
+                batch = whole.slice(at, CURVES)
+                curves = kernels.resample_lists(batch.column("_v"), points)
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), points))
+                numbers = np.tile(np.arange(points, dtype=np.int32), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in keys], pa.array(numbers), pa.array(curves, from_pandas=True)], names=[*keys, "k", value])
+
+    return grouped.mapInArrow(run, f"{head}, k int, {value} double")
 
 
 def low_pass(df: DataFrame, keys: list[str], order: str, value: str, cutoff: float, fs: float, channel: list[str] | None = None) -> DataFrame:
