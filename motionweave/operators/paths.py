@@ -82,60 +82,137 @@ def most_frequent(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-#: Nodes of a component that the exact search takes (four bytes for each of 2^n node sets).
-MOST_NODES = 24
-#: Steps of the walk that looks for a path over a whole component, before the search over node sets.
-WALK_STEPS = 20_000
+#: Steps of the greedy walk that gives the search a length to beat, for each start.
+WALK_STEPS = 400
+#: Ends of the search, (node, nodes within reach), that it remembers not to enter again.
+KNOWN_ENDS = 2_000_000
+
+
+def _bits(s: int) -> Iterator[int]:
+    while s:
+        low = s & -s
+        yield low.bit_length() - 1
+        s ^= low
+
+
+def _reached(near: list[int], at: int, free: int) -> int:
+    """Free nodes that a walk from ``at`` can come to."""
+    found = front = near[at] & free
+    while front:
+        more = 0
+        for k in _bits(front):
+            more |= near[k]
+        front = more & free & ~found
+        found |= front
+    return found
+
+
+def _reach_bound(near: list[int], at: int, free: int) -> int:
+    """No simple path from ``at`` takes more of the free nodes than this.
+
+    A path leaves a block (a part without cut nodes) once, by a cut node, so it follows one chain
+    of the block-cut tree that hangs on ``at``: the heaviest chain of nodes is the bound.  It is
+    exact on trees.
+    """
+    number, low, best = {at: 0}, {at: 0}, {at: 0}
+    stack, path = [], [(at, near[at] & free)]
+    while path:
+        v, left = path[-1]
+        if left:
+            k = (left & -left).bit_length() - 1
+            path[-1] = (v, left & (left - 1))
+            if k in number:
+                low[v] = min(low[v], number[k])
+                continue
+            number[k] = low[k] = len(number)
+            best[k] = 0
+            stack.append(k)
+            path.append((k, near[k] & (free | 1 << at) & ~(1 << v)))
+            continue
+        path.pop()
+        if not path:
+            break
+        u = path[-1][0]
+        low[u] = min(low[u], low[v])
+        if low[v] >= number[u]:  # u cuts off a block
+            size = below = 0
+            while True:
+                k = stack.pop()
+                size, below = size + 1, max(below, best[k])
+                if k == v:
+                    break
+            best[u] = max(best[u], size + below)
+    return best[at]
+
+
+def _greedy_length(near: list[int], start: int, every: int) -> int:
+    """Nodes on the longest path that a walk towards nodes of few free neighbours finds within ``WALK_STEPS``."""
+    order = lambda v, free: sorted(_bits(near[v] & free), key=lambda k: (near[k] & free).bit_count(), reverse=True)
+    free = every & ~(1 << start)
+    path, left, longest = [start], [order(start, free)], 1
+    for _ in range(WALK_STEPS):
+        if not path or not free:
+            break
+        if left[-1]:
+            k = left[-1].pop()
+            free &= ~(1 << k)
+            path.append(k)
+            left.append(order(k, free))
+            longest = max(longest, len(path))
+        else:
+            free |= 1 << path.pop()
+            left.pop()
+    return longest
 
 
 def longest_in(near: dict[int, list[int]]) -> list[int]:
     """Longest simple path of a connected graph (sorted neighbours by node); the first by node order on a tie.
 
-    A depth-first walk in node order ends at once where it covers all nodes.  If it does not
-    within ``WALK_STEPS``, a table over node sets (of every set, the nodes from which a path
-    covers just that set) gives the same answer; neither holds paths.
+    Branch and bound in node order: a partial path is left as soon as the block-cut tree of what
+    it can still reach says that no longer path follows from it, or if the search came to the same
+    node with the same nodes in reach before and got no further.  Greedy walks give the length to
+    beat beforehand, and a path over all nodes ends the search.  Exact at any size; a graph
+    that is neither nearly a tree nor dense may take long, as the problem is NP-hard.
     """
     nodes = sorted(near)
-    n, steps = len(nodes), 0
-    for start in nodes:
-        path, used, left = [start], {start}, [iter(near[start])]
-        while path and steps <= WALK_STEPS:
-            if len(path) == n:
-                return path
-            steps += 1
-            k = next((k for k in left[-1] if k not in used), None)
-            if k is None:
-                used.discard(path.pop())
-                left.pop()
-            else:
+    place = {v: k for k, v in enumerate(nodes)}
+    masks = [sum(1 << place[x] for x in near[v]) for v in nodes]
+    n, every = len(nodes), (1 << len(nodes)) - 1
+    target = 0
+    for start in sorted(range(n), key=lambda k: masks[k].bit_count()):
+        target = max(target, _greedy_length(masks, start, every))
+        if target == n:
+            break
+    best: list[int] = []
+    wanted = target  # a path of so many nodes is known to be there
+    known: dict[tuple[int, int], int] = {}  # nodes that may follow on an end at most
+    for start in range(n):
+        path, left, free = [], [1 << start], every
+        ends: list[tuple[int, int]] = []
+        while left:
+            if left[-1]:
+                k = (left[-1] & -left[-1]).bit_length() - 1
+                left[-1] &= left[-1] - 1
+                free &= ~(1 << k)
                 path.append(k)
-                used.add(k)
-                left.append(iter(near[k]))
-    if n > MOST_NODES:
-        raise ValueError(f"a component of {n} nodes; the exact search takes {MOST_NODES}")
-    at = {v: k for k, v in enumerate(nodes)}
-    adjacent = [sum(1 << at[x] for x in near[v]) for v in nodes]
-    sets = np.arange(1 << n, dtype=np.uint32)
-    size = np.bitwise_count(sets)
-    order = np.argsort(size, kind="stable")
-    cuts = np.searchsorted(size[order], np.arange(n + 2))
-    begin = np.zeros(1 << n, np.uint32)
-    begin[1 << np.arange(n)] = 1 << np.arange(n)
-    for c in range(2, n + 1):
-        layer = sets[order[cuts[c] : cuts[c + 1]]]
-        for k in range(n):
-            bit = np.uint32(1 << k)
-            own = layer[(layer & bit) != 0]
-            begin[own] |= np.where((begin[own ^ bit] & np.uint32(adjacent[k])) != 0, bit, np.uint32(0))
-    longest = int(size[begin != 0].max())
-    live = sets[(size == longest) & (begin != 0)]
-    path, allowed = [], (1 << n) - 1
-    for _ in range(longest):
-        k = next(k for k in range(n) if allowed >> k & 1 and ((begin[live] & np.uint32(1 << k)) != 0).any())
-        live = live[(begin[live] & np.uint32(1 << k)) != 0] ^ np.uint32(1 << k)
-        path.append(nodes[k])
-        allowed = adjacent[k]
-    return path
+                if len(path) >= wanted:
+                    best, wanted = list(path), len(path) + 1
+                    if len(best) == n:
+                        return [nodes[k] for k in best]
+                reached = _reached(masks, k, free)
+                ends.append((k, reached))
+                more = min(reached.bit_count(), known.get(ends[-1], n))
+                if len(path) + more >= wanted:
+                    more = _reach_bound(masks, k, reached)
+                left.append(masks[k] & free if len(path) + more >= wanted else 0)
+            else:
+                left.pop()
+                if path:
+                    if len(known) < KNOWN_ENDS:
+                        known[ends[-1]] = min(known.get(ends[-1], n), wanted - 1 - len(path))
+                    ends.pop()
+                    free |= 1 << path.pop()
+    return [nodes[k] for k in best]
 
 
 def longest_path_exact(edges: DataFrame, keys: list[str]) -> DataFrame:

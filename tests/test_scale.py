@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from motionweave.functions import kernels
-from motionweave.operators import inference, matrix, signal
+from motionweave.operators import inference, matrix, paths, signal
 
 
 def test_interval_join_of_one_long_trial(spark):
@@ -97,3 +97,37 @@ def test_bootstrap_states_merge(spark, monkeypatch):
         out = inference.bootstrap(df, ["d"], "grp", "item", (0, 1), 6, 35, 0.5, "s", [0.3, 0.8])
         found.append({(r.d, r.share, r.iter): r.rho for r in out.collect()})
     assert len(found[0]) == 2 * 2 * 35 and found[0] == pytest.approx(found[1])
+
+
+def _joined(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return {k: sorted(v) for k, v in near.items()}
+
+
+def test_longest_path_of_66_nodes():
+    """A tree (its diameter), cliques in a chain, a dense graph: known lengths beyond any table of node sets."""
+    rng = np.random.default_rng(9)
+    tree = _joined([(k, int(rng.integers(max(0, k - 6), k))) for k in range(1, 66)])
+
+    def far(v):
+        depth, todo = {v: 1}, [v]
+        for k in todo:
+            for x in tree[k]:
+                if x not in depth:
+                    depth[x] = depth[k] + 1
+                    todo.append(x)
+        return depth
+
+    length = max(max(far(v).values()) for v in tree)
+    path = paths.longest_in(tree)
+    assert len(path) == length and path[0] == min(v for v in tree if max(far(v).values()) == length)
+    cliques = _joined([(a, b) for base in range(0, 63, 9) for a in range(base, base + 10) for b in range(a)if b >= base])
+    assert len(paths.longest_in(cliques)) == 64
+    star = _joined([(0, c * 11 + k) for c in range(6) for k in range(1, 11)] + [(c * 11 + a, c * 11 + b) for c in range(6) for a in range(1, 11) for b in range(1, a)])
+    assert len(paths.longest_in(star)) == 21  # two of the six cliques and the node between them
+    dense = _joined([(a, b) for a in range(66) for b in range(a) if rng.random() < 0.4])
+    path = paths.longest_in(dense)
+    assert len(set(path)) == 66 and path[0] == 0 and all(b in dense[a] for a, b in zip(path, path[1:]))
