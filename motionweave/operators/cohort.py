@@ -68,6 +68,29 @@ def more_affected(df: DataFrame) -> DataFrame:
     return df.withColumns({"upper_side": side("upper_right", "upper_left"), "lower_side": side("lower_right", "lower_left")})
 
 
+#: Columns of the scores whose sums tell the affected side of arms and legs.
+SCORES = {
+    "upper_right": ["updrs_3_3_rigidity_rue", "updrs_3_4_finger_taps_r", "updrs_3_5_hand_movement_r", "updrs_3_6_pro_sub_hand_r"],
+    "upper_left": ["updrs_3_3_rigidity_lue", "updrs_3_4_finger_taps_l", "updrs_3_5_hand_movement_l", "updrs_3_6_pro_sub_hand_l"],
+    "lower_right": ["updrs_3_3_rigidity_rle", "updrs_3_7_foot_tap_r", "updrs_3_8_leg_agility_r"],
+    "lower_left": ["updrs_3_3_rigidity_lle", "updrs_3_7_foot_tap_l", "updrs_3_8_leg_agility_l"],
+}
+
+
+def affected_sides(demographics: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(sub_id, upper_side, lower_side) from the scores of each subject's run, or of all its rows without one.
+
+    Missing scores, and scores that the table has no column for, count as zero.
+    """
+    has = set(demographics.columns)
+    total = {name: reduce(Column.__add__, [F.coalesce(F.col(c), F.lit(0)) for c in parts if c in has], F.lit(0)) for name, parts in SCORES.items()}
+    handedness = F.col("handedness") if "handedness" in has else F.lit(None).cast("int")
+    rows = demographics.select(subject_code().alias("sub_id"), F.lower("med_state").alias("_state"), handedness.alias("handedness"), *[v.alias(k) for k, v in total.items()])
+    own = subjects.select("sub_id", F.col("run").alias("_run")).join(rows, "sub_id").filter(F.col("_run").isNull() | (F.col("_run") == F.col("_state")))
+    sums = own.groupBy("sub_id").agg(F.max("handedness").alias("handedness"), *[F.sum(k).alias(k) for k in SCORES])
+    return more_affected(sums).select("sub_id", "upper_side", "lower_side")
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First n rows per key; the ranking keeps n rows per task before its shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -171,15 +171,18 @@ def relabel(edges: DataFrame, new_index: DataFrame, on: list[str], keys: list[st
     return moved.select(*keys, F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "w")
 
 
-def relabel_by(edges: DataFrame, facts: DataFrame, on: list[str], keys: list[str], new: Callable[[Column, Column], Column]) -> DataFrame:
+def relabel_by(edges: DataFrame, facts: DataFrame, on: list[str], keys: list[str], new: Callable[[Column, Column], Column], directed: tuple[str, ...] = ()) -> DataFrame:
     """Edges under the node numbers ``new(old, facts)``, told from the column ``facts`` per ``on``; i < j is restored.
 
-    Facts are joined as they are, not as a row per node, and always by shuffles: a table of
-    all subjects may be far larger than the estimate that would have Spark broadcast it.
+    Facts are joined once, as they are, and always by a shuffle: a table of all subjects may be
+    far larger than the estimate that would have Spark broadcast it.  ``directed`` values change
+    their sign where the two ends change places; other values stay.
     """
-    a, b = (facts.select(*on, F.col("facts").alias(name)).hint("merge") for name in ("_a", "_b"))
-    p, q = new(F.col("i"), F.col("_a")), new(F.col("j"), F.col("_b"))
-    return edges.join(a, on).join(b, on).select(*keys, F.least(p, q).alias("i"), F.greatest(p, q).alias("j"), "w")
+    there = facts.select(*on, F.col("facts").alias("_facts")).hint("merge")
+    moved = edges.join(there, on).withColumns({"_p": new(F.col("i"), F.col("_facts")), "_q": new(F.col("j"), F.col("_facts"))})
+    values = [c for c in edges.columns if c not in (*keys, *on, "i", "j")]
+    turned = [F.when(F.col("_p") > F.col("_q"), -F.col(c)).otherwise(F.col(c)).alias(c) if c in directed else F.col(c) for c in values]
+    return moved.select(*keys, F.least("_p", "_q").alias("i"), F.greatest("_p", "_q").alias("j"), *turned)
 
 
 def cycle_statistics(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -63,11 +63,14 @@ def group_pattern(paths: DataFrame, edges: DataFrame, keys: list[str], group: li
     return dense(mean, group, n, directed=True).select(*group, greedy(F.lit(start), length).alias("pattern"))
 
 
-def score_patterns(patterns: DataFrame, edges: DataFrame, pattern_keys: list[str], graph_keys: list[str]) -> DataFrame:
-    """Sum of a pattern's weights in every graph (NULL if an edge is missing) and its weakest link."""
-    steps = steps_of(patterns, "pattern").select(*pattern_keys, "step", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.size("pattern").alias("_n"))
+def score_patterns(patterns: DataFrame, edges: DataFrame, pattern_keys: list[str], graph_keys: list[str], on: list[str] = []) -> DataFrame:
+    """Sum of a pattern's weights in every graph (NULL if an edge is missing) and its weakest link.
+
+    With ``on``, graph keys that patterns have as well, a pattern is scored in the graphs that share them.
+    """
+    steps = steps_of(patterns, "pattern").select(*on, *pattern_keys, "step", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.size("pattern").alias("_n"))
     low, high = F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j")
-    joined = edges.join(steps.select(*pattern_keys, "step", "u", "v", "_n", low, high), ["i", "j"])
+    joined = edges.join(steps.select(*on, *pattern_keys, "step", "u", "v", "_n", low, high), [*on, "i", "j"])
     link = F.concat_ws("-", F.col("u").cast("string"), F.col("v").cast("string"))
     scored = joined.groupBy(*pattern_keys, *graph_keys, "_n").agg(
         F.sum("w").alias("_s"), F.count("w").alias("_c"), F.min_by(link, F.struct(F.round("w", 9), "step")).alias("weakest_link")

@@ -1,13 +1,14 @@
 """Whole analyses as single lazy plans, over tables in the engine's own layout.
 
-Inputs: ``motion`` (sub_id, task, run, frame, marker, axis, value), ``events`` (sub_id, task,
-run, onset, event_type), ``demographics``, and edge tables (grp, sub_id, task, kin, cycle,
-direction, i, j, w).  The nested loops over subjects, tasks, runs and directions are key
+Inputs: ``motion`` (sub_id, task, run, tracksys, frame, marker, axis, value), ``events`` (the
+same keys, onset, event_type), ``demographics``, and edge tables (grp, sub_id, task, tracksys,
+kin, cycle, direction, i, j, w).  The nested loops over subjects, tasks, runs and directions are key
 columns, so one plan covers them all.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,16 +18,23 @@ from motionweave.functions.core import poisoned_avg, poisoned_std
 from motionweave.operators import cohort, graph, inference, matrix, paths, signal
 from motionweave.sources import catalog
 
-TRIAL = ["sub_id", "task", "run"]
+TRIAL = ["sub_id", "task", "run", "tracksys"]
+#: Keys of a graph that tell its condition; patterns are found and compared within one.
+CONDITION = ("task", "tracksys", "kin", "direction")
 AXES = ("x", "y", "z")
 METHODS = ("pears", "cross", "dcor")
 #: Marker patterns of the clusters that become one midpoint each.
 CLUSTERS = (
-    (r"^([lr])_th\d+$", "_th"), (r"^([lr])_sk\d+$", "_sk"), (r"^m_ster\d+$", "m_ster"), (r"^[lr][bf]_hd$", "hd"), (r"^([lr])_wr[ru]$", "_wrist"),
+    (r"^([lr])_th\d+$", "_th"), (r"^([lr])_sk\d+$", "_sk"), (r"^m_ster\d+$", "ster"), (r"^[lr][bf]_hd$", "head"), (r"^([lr])_wr[ru]$", "_wrist"),
 )
 DROPPED = r"_(ua|frm|heel)\d*$"
 
 
+#: Order of the markers once sides are told by how affected they are: less, then more.
+UPPER, LOWER = ("sho", "elbl", "wrist", "hand"), ("asis", "psis", "th", "sk", "ank", "toe")
+AFFECTED_ORDER = ["head", "ster", *[f"{m}_{side}" for m in (*UPPER, *LOWER) for side in ("la", "ma")]]
+
+
 def cluster_of(marker: Column) -> Column:
     """Midpoint name of a marker; itself if it is in no cluster, null if it is left out."""
     out = F.when(marker.rlike(DROPPED), F.lit(None).cast("string"))
@@ -36,6 +44,42 @@ def cluster_of(marker: Column) -> Column:
     return out.otherwise(marker)
 
 
+def midpoint_names(columns: list[str]) -> set[str]:
+    """Names that the position columns of a recording have after ``cluster_of``."""
+    out = set()
+    for marker in {m[1] for c in columns if (m := re.match(r"^(.*)_POS_[xyz]$", c))}:
+        named = next((re.sub(p, (r"\1" if "([lr])" in p else "") + name, marker) for p, name in CLUSTERS if re.match(p, marker)), marker)
+        out |= set() if re.search(DROPPED, marker) else {named}
+    return out
+
+
+def affected_names(markers: list[str], upper: str, lower: str) -> list[str]:
+    """Names of the markers by affected side, in their own order; ``upper`` and ``lower`` are the more affected sides."""
+    side = {"l": "left", "r": "right"}
+    more = {m: upper for m in UPPER} | {m: lower for m in LOWER}
+    return [f"{m[2:]}_{'ma' if side[m[0]] == more[m[2:]] else 'la'}" if m[1:2] == "_" and m[0] in side and m[2:] in more else m for m in markers]
+
+
+def affected_order(markers: list[str], upper: str = "left", lower: str = "left") -> list[str]:
+    """Names of the nodes after :func:`by_affected_side`: the fixed order first, then any other markers."""
+    place = {m: k for k, m in enumerate(AFFECTED_ORDER)}
+    return sorted(affected_names(markers, upper, lower), key=lambda m: place.get(m, len(place)))
+
+
+def by_affected_side(edges: DataFrame, sides: DataFrame, markers: list[str], full: bool = False) -> DataFrame:
+    """Matrices with their nodes in ``affected_order``; ``sides`` has sub_id, upper_side and lower_side.
+
+    Lags change their sign where the two ends of an edge change places.
+    """
+    where = {(u, w): [affected_order(markers, u, w).index(m) for m in affected_names(markers, u, w)] for u in ("left", "right") for w in ("left", "right")}
+    if full:
+        where = {k: [3 * to + d for to in v for d in range(3)] for k, v in where.items()}
+    moved = F.create_map(*[x for (u, w), v in where.items() for x in (F.lit(f"{u},{w}"), F.array(*map(F.lit, v)))])
+    facts = sides.select("sub_id", F.concat_ws(",", "upper_side", "lower_side").alias("facts"))
+    keys = [c for c in edges.columns if c not in ("i", "j", "w", "lag_pct")]
+    return matrix.relabel_by(edges, facts, ["sub_id"], keys, lambda old, f: F.get(moved[f], old.cast("int")), ("lag_pct",))
+
+
 def preprocess(motion: DataFrame, events: DataFrame, kinematics: str = "acc", *, fs: float = 200.0, max_gap: int = 271, rotate: bool = True) -> DataFrame:
     """Trim, midpoints, gap filling, low-pass, rotation, derivatives: (trial, pos, marker, axis, value).
 
@@ -122,11 +166,16 @@ def build_matrices(signals: DataFrame, events: DataFrame, markers: list[str], *,
     return matrix.pearson(array, group, "v", size)
 
 
-def calculate_matrices(motion: DataFrame, events: DataFrame, markers: list[str], path: str, *, kinematics: list[str] = ["acc"], method: str = "pears", interpol: bool = True, points: int = 500, full: bool = False, **options) -> None:
-    """From recordings to a matrix table at ``path``, partitioned by condition; one plan for each kind of kinematics."""
+def calculate_matrices(motion: DataFrame, events: DataFrame, markers: list[str], path: str, *, kinematics: list[str] = ["acc"], method: str = "pears", interpol: bool = True, points: int = 500, full: bool = False, sides: DataFrame | None = None, **options) -> None:
+    """From recordings to a matrix table at ``path``, partitioned by condition; one plan for each kind of kinematics.
+
+    With ``sides`` every matrix is reordered by its subject's affected side before it is written.
+    """
     parts = []
     for kin in kinematics:
         edges = build_matrices(preprocess(motion, events, kin, **options), events, markers, method=method, interpol=interpol, points=points, full=full)
+        if sides is not None:
+            edges = by_affected_side(edges, sides, markers, full)
         condition = {"kin": kin, "method": method, "full": "full" if full else "split", "interpol": "yes" if interpol else "no"}
         parts.append(edges.withColumns({k: F.lit(v) for k, v in condition.items()}))
     catalog.write_matrices(reduce(DataFrame.unionByName, parts), path)
@@ -134,36 +183,39 @@ def calculate_matrices(motion: DataFrame, events: DataFrame, markers: list[str],
 
 def grouped(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Edge tables with the subjects' groups (``groups``: sub_id, grp) and a number for each cycle."""
-    w = Window.partitionBy("sub_id", "task", "run", *[c for c in ("kin", "direction") if c in edges.columns], "i", "j")
+    w = Window.partitionBy(*[c for c in (*TRIAL, "kin", "direction") if c in edges.columns], "i", "j")
     return edges.join(groups, "sub_id").withColumn("cycle", F.row_number().over(w.orderBy("start")) - 1)
 
 
 def pattern_grid(graphs: DataFrame, keys: list[str], n: int, longest: int = 20, starts: list[int] | None = None) -> DataFrame:
-    """Group patterns of every (length, start): (grp, length, start, pattern).
+    """Group patterns of every (length, start) and condition: (grp, condition, length, start, pattern).
 
     Each graph is walked once per start; shorter paths are prefixes.  Edge means are taken
-    anew for each length, as a longer path adds steps.
+    anew for each length, as a longer path adds steps.  A walk that ends before its length is no
+    pattern of that length and is left out.
     """
+    group = ["grp", *[k for k in keys if k in CONDITION]]
     start = F.explode(F.array(*map(F.lit, starts if starts is not None else range(n))))
     walked = paths.dense(graphs, ["grp", *keys], n).withColumn("start", start)
     walked = walked.select("grp", *keys, "start", paths.greedy(F.col("start"), longest).alias("whole"))
     cut = walked.withColumn("length", F.explode(F.sequence(F.lit(2), F.lit(longest)))).filter("size(whole) >= length")
     steps = paths.steps_of(cut.withColumn("path", F.slice("whole", 1, F.col("length"))).drop("whole"), "path")
-    mean = paths.along(graphs, steps, ["grp", *keys]).groupBy("grp", "length", "start", F.col("u").alias("i"), F.col("v").alias("j")).agg(F.avg("w").alias("w"))
-    m = paths.dense(mean, ["grp", "length", "start"], n, directed=True)
+    mean = paths.along(graphs, steps, ["grp", *keys]).groupBy(*group, "length", "start", F.col("u").alias("i"), F.col("v").alias("j")).agg(F.avg("w").alias("w"))
+    m = paths.dense(mean, [*group, "length", "start"], n, directed=True)
     # The fold runs to the longest length; the slice is the group's own greedy path of that length.
-    return m.select("grp", "length", "start", F.slice(paths.greedy(F.col("start"), longest), 1, F.col("length")).alias("pattern"))
+    found = m.select(*group, "length", "start", F.slice(paths.greedy(F.col("start"), longest), 1, F.col("length")).alias("pattern"))
+    return found.filter(F.size("pattern") == F.col("length"))
 
 
 def analyse_patterns(graphs: DataFrame, keys: list[str], n: int, *, longest: int = 20, starts: list[int] | None = None, pattern_grp: int = 0, groups: tuple[int, int] = (1, 0), two_stage: bool = False) -> DataFrame:
-    """Patterns of one group scored in every graph, both groups compared, p corrected per length."""
+    """Patterns of one group scored in every graph of their condition, both groups compared, p corrected per condition and length."""
     patterns = pattern_grid(graphs, keys, n, longest, starts).filter(F.col("grp") == pattern_grp).drop("grp")
-    scores = paths.score_patterns(patterns, graphs, ["length", "start"], ["grp", *keys])
-    direction = [k for k in keys if k == "direction"]
-    tests = inference.compare_groups(scores, ["length", "start", *direction], "grp", "path_sum", *groups).withColumn("p_value", F.bround("p_value", 3))
+    condition = [k for k in keys if k in CONDITION]
+    scores = paths.score_patterns(patterns, graphs, ["length", "start"], ["grp", *keys], condition)
+    tests = inference.compare_groups(scores, ["length", "start", *condition], "grp", "path_sum", *groups).withColumn("p_value", F.bround("p_value", 3))
     if two_stage:
-        return inference.two_stage(tests, "p_value", ["length"])
-    return tests.withColumn("p_adjusted", inference.bonferroni("p_value", ["length"]))
+        return inference.two_stage(tests, "p_value", ["length", *condition])
+    return tests.withColumn("p_adjusted", inference.bonferroni("p_value", ["length", *condition]))
 
 
 def expand_blocks(blocks: list[int], full: bool) -> list[int]:
@@ -215,8 +267,8 @@ def modular_organisation(
     """Louvain allegiance per subject, communities, fit, modularity and density, with their tests.
 
     ``edges`` has grp, sub_id, the graph keys (one of them ``cycle``) and i, j, w.  The
-    allegiance is built once, as a table at ``path`` that later calls read; all else comes
-    from it.  With ``blocks`` the groups' matrices are also compared by permutation.
+    allegiance is built once for the same edges, keys, nodes and runs, as a table below ``path``
+    that later calls read; all else comes from it.  With ``blocks`` the groups' matrices are also compared by permutation.
     """
     keys = [k for k in graph_keys if k != "cycle"]
 
@@ -224,7 +276,8 @@ def modular_organisation(
         members = graph.louvain_memberships(graph.shifted(edges, ["grp", *graph_keys]), ["grp", *graph_keys], n, runs)
         return graph.allegiance(members.withColumn("_run", F.struct("cycle", "run")), ["grp", *keys], "_run", n)
 
-    own = catalog.cached_table(edges.sparkSession, path, build)
+    key = {"edges": catalog.content_key(edges.select("grp", *graph_keys, "i", "j", "w")), "keys": graph_keys, "nodes": n, "runs": runs}
+    own = catalog.cached_table(edges.sparkSession, path, build, key)
     shared = [k for k in keys if k != "sub_id"]
     mean = graph.group_allegiance(own, ["grp", *keys], ["grp", *shared], n)
 
@@ -254,28 +307,53 @@ def modular_organisation(
     return out
 
 
+def chosen_recordings(spark: SparkSession, recordings: str, logs: str, subjects: DataFrame, markers: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Motion and events of the subjects' recordings, one for each task and tracking system; no other file is read.
+
+    ``subjects`` has sub_id, asked and run.  A marker that no recording has is an error.
+    """
+    chosen = catalog.choose_recordings(catalog.listing(spark, recordings), catalog.listing(spark, logs), subjects)
+    files = chosen.collect()  # a row a recording: the reader takes their paths
+    keys = spark.createDataFrame([(*[r[k] or "" for k in TRIAL], r["name"], r["log"]) for r in files], ", ".join(f"{k} string" for k in TRIAL) + ", name string, log string")
+    paths_, logs_ = sorted({r.path for r in files}), sorted({r.log_path for r in files})
+    seen = set().union(*[midpoint_names(head.split("\t")) for head in catalog.layouts(spark, paths_)])
+    if missing := [m for m in markers if m not in seen]:
+        raise ValueError(f"no recording has {', '.join(missing)}")
+    motion = catalog.read_motion(spark, paths_).join(keys.drop("log"), "name").drop("name")
+    rows = catalog.read_events(spark, logs_).select(F.col("name").alias("log"), "onset", "event_type")
+    return motion, rows.join(keys.drop("name"), "log").drop("log")
+
+
 def analyse(
-    spark: SparkSession, recordings: str, logs: str, demographics: str, markers: list[str], out: str, *, diagnosis: str = "diagnosis_parkinson", run: str = "on", kinematics: str = "acc",
-    task: str | None = None, direction: int | None = None, points: int = 500, longest: int = 20, two_stage: bool = False, **options,
+    spark: SparkSession, recordings: str, logs: str, demographics: str, markers: list[str], out: str, *, diagnosis: str = "diagnosis_parkinson", run: str = "on", on_ids: list[str] = [],
+    kinematics: str = "acc", task: str | None = None, direction: int | None = None, points: int = 500, longest: int = 20, two_stage: bool = False, **options,
 ) -> dict[str, DataFrame]:
     """The whole analysis: recordings to matrices, written below ``out``, to patterns that are tested and corrected.
 
-    ``task`` and ``direction`` choose the condition that is tested (all of it without them).
-    Returns the matrices (as they were written and read back), the groups, and the tests.
+    Files are chosen by subject, task, tracking system and run before any is read: patients have
+    the asked run (``on_ids``: 'on', as their files do not say so), controls the files without
+    one.  Every matrix is reordered by affected side (``affected_order`` names its nodes).  ``task`` and
+    ``direction`` choose the condition that is tested (each by itself without them).  The tests
+    are stored by their input and parameters.  Returns the matrices (as they were written and
+    read back), the groups, and the tests.
     """
-    motion = catalog.file_keys(catalog.read_motion(spark, recordings)).drop("start", "stop")
-    events = catalog.read_events(spark, logs).drop("start", "stop")
-    motion, events = (d.withColumn("run", F.coalesce("run", F.lit(""))) for d in (motion, events))
-    calculate_matrices(motion, events, markers, f"{out}/matrices", kinematics=[kinematics], points=points, **options)
-    matrices = catalog.read_matrices(spark, f"{out}/matrices", kin=kinematics, method="pears")
     people = catalog.read_demographics(spark, demographics)
     patients = cohort.select_subjects(people, [diagnosis], run).count()  # as many controls; demographics are a small table
-    groups = cohort.define_groups(people, diagnosis, run, patients).select("sub_id", F.when(F.col("grp") == "control", 0).otherwise(1).alias("grp"))
-    chosen = F.lit(True)
+    named = cohort.define_groups(people, diagnosis, run, patients)
+    asked = F.when(F.col("sub_id").isin(on_ids), "on").otherwise(run)
+    subjects = cohort.resolve_run(named.withColumns({"run": F.lit(run), "asked": asked}), on_ids).select("sub_id", "asked", "run")
+    motion, events = chosen_recordings(spark, recordings, logs, subjects, markers)
+    sides = cohort.affected_sides(people, subjects)
+    calculate_matrices(motion, events, markers, f"{out}/matrices", kinematics=[kinematics], points=points, sides=sides, **options)
+    matrices = catalog.read_matrices(spark, f"{out}/matrices", kin=kinematics, method="pears")
+    groups = named.select("sub_id", F.when(F.col("grp") == "control", 0).otherwise(1).alias("grp"))
+    wanted = F.lit(True)
     for c, v in (("task", task), ("direction", direction)):
-        chosen = chosen & (F.col(c) == v) if v is not None else chosen
-    edges, keys = grouped(matrices.filter(chosen), groups), ["sub_id", "task", "direction"]
+        wanted = wanted & (F.col(c) == v) if v is not None else wanted
+    edges, keys = grouped(matrices.filter(wanted), groups), ["sub_id", "task", "tracksys", "direction"]
     mean = matrix.cycle_statistics(edges, ["grp", *keys]).select("grp", *keys, "i", "j", F.col("avg").alias("w"))
-    tests = analyse_patterns(graph.shifted(mean, ["grp", *keys]), keys, len(markers), longest=longest, two_stage=two_stage)
+    parameters = {"graphs": catalog.content_key(mean), "nodes": len(markers), "longest": longest, "two_stage": two_stage}
+    build = lambda: analyse_patterns(graph.shifted(mean, ["grp", *keys]), keys, len(markers), longest=longest, two_stage=two_stage)
+    tests = catalog.cached_table(spark, f"{out}/pattern-statistics", build, parameters)
     catalog.write_csv(tests, f"{out}/pattern-tests")
     return {"matrices": matrices, "groups": groups, "tests": tests}

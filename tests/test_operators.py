@@ -190,7 +190,51 @@ def test_matrix_table_prunes(spark, tmp_path):
     catalog.write_matrices(e, path)
     assert catalog.read_matrices(spark, path, task="walk", kin="acc").count() == 1
     assert catalog.read_matrices(spark, path, task="run").count() == 0
-    calls = []
-    for _ in range(2):
-        assert catalog.cached_table(spark, str(tmp_path / "c"), lambda: calls.append(1) or e).count() == 1
-    assert len(calls) == 1
+
+
+def test_matrix_table_keeps_other_conditions(spark, tmp_path):
+    """A second condition leaves the first in place; a large one is written by several tasks."""
+    path, rows = str(tmp_path / "m"), spark.range(60_000).selectExpr("id AS g", "CAST(id % 9 AS INT) AS i", "9 AS j", "rand(3) AS w")
+    parts = lambda kin, df: df.select("*", *[F.lit(v).alias(k) for k, v in zip(catalog.MATRIX_KEYS, ("walk", kin, "pears", "no", "yes"))])
+    catalog.write_matrices(parts("acc", rows.limit(7)), path)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        catalog.write_matrices(parts("vel", rows), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert catalog.read_matrices(spark, path, kin="acc").count() == 7 and catalog.read_matrices(spark, path, kin="vel").count() == 60_000
+    assert len(list((tmp_path / "m").glob("task=walk/kin=vel/**/*.parquet"))) > 2
+    catalog.write_matrices(parts("vel", rows.limit(3)), path)
+    assert catalog.read_matrices(spark, path, kin="acc").count() == 7 and catalog.read_matrices(spark, path, kin="vel").count() == 3
+
+
+def test_cache_is_keyed_by_input_and_parameters(spark, tmp_path):
+    e, path, calls = edges_of(spark, [(0, 1, 0.5), (1, 2, 0.25)]), str(tmp_path / "c"), []
+
+    def read(table, runs):
+        build = lambda: calls.append(runs) or table.withColumn("runs", F.lit(runs))
+        return catalog.cached_table(spark, path, build, {"input": catalog.content_key(table), "runs": runs})
+
+    for table, runs in ((e, 5), (e.orderBy(F.desc("i")), 5), (e, 6), (e.limit(1), 5), (e, 5)):
+        got = read(table, runs)
+        assert got.count() == table.count() and {r.runs for r in got.collect()} == {runs}
+    assert calls == [5, 6, 5]
+    assert not [p for p in (tmp_path / "c").iterdir() if p.name.startswith("_")]
+    # A writer that finds another's table in place leaves it.
+    other = lambda: read(e.limit(0), 7) and e.limit(0)
+    assert catalog.cached_table(spark, path, other, {"input": catalog.content_key(e.limit(0)), "runs": 7}).columns[-1] == "runs"
+
+
+def test_listing_chooses_before_reading(spark, tmp_path):
+    for name in ("sub-pp001_task-walk_run-on_tracksys-omc_motion.tsv", "sub-pp001_task-walk_run-off_tracksys-omc_motion.tsv", "sub-pp002_task-walk_tracksys-omc_motion.tsv", "sub-pp003_task-walk_tracksys-omc_motion.tsv"):
+        (tmp_path / name).write_text("l_sho_POS_x\tr_sho_POS_x\n1\t2\n" if "pp001" in name else "r_sho_POS_x\n3\n")
+    for name in ("sub-pp001_task-walk_run-on_events.tsv", "sub-pp001_task-walk_run-off_events.tsv", "sub-pp002_task-walk_events.tsv"):
+        (tmp_path / name).write_text("onset\tevent_type\n")
+    subjects = spark.createDataFrame([("pp001", "off", "off"), ("pp002", "off", None), ("pp003", "off", None)], "sub_id string, asked string, run string")
+    got = catalog.choose_recordings(catalog.listing(spark, f"{tmp_path}/*motion.tsv"), catalog.listing(spark, f"{tmp_path}/*events.tsv"), subjects)
+    assert {(r.sub_id, r.run, r.name, r.log) for r in got.collect()} == {
+        ("pp001", "off", "sub-pp001_task-walk_run-off_tracksys-omc_motion.tsv", "sub-pp001_task-walk_run-off_events.tsv"),
+        ("pp002", None, "sub-pp002_task-walk_tracksys-omc_motion.tsv", "sub-pp002_task-walk_events.tsv"),
+    }
+    heads = catalog.layouts(spark, [str(p) for p in tmp_path.glob("*motion.tsv")])
+    assert {h: len(f) for h, f in heads.items()} == {"l_sho_POS_x\tr_sho_POS_x": 2, "r_sho_POS_x": 2}
