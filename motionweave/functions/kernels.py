@@ -58,6 +58,63 @@ def resample_lists(lists: pa.ListArray, points: int) -> np.ndarray:
     return (a + (b - a) * (t - low)).ravel()
 
 
+#: Samples that the ends of a signal are extended by before filtering.
+PAD = 9
+
+
+def extended(v: np.ndarray, first: bool = True, last: bool = True, pad: int = PAD) -> np.ndarray:
+    """A signal, or a block of one, with its odd extension at the ends that it has."""
+    head = 2 * v[0] - v[pad:0:-1] if first else v[:0]
+    tail = 2 * v[-1] - v[-2 : -pad - 2 : -1] if last else v[:0]
+    return np.concatenate([head, v, tail])
+
+
+class LowPass:
+    """Second-order Butterworth low-pass of many signals at once, each entered in a state of its own.
+
+    With no input the state moves by the matrix ``step``; what a block adds to it does not depend
+    on the state before, so the states between blocks come from the blocks' own ends.
+    """
+
+    def __init__(self, cutoff: float, fs: float) -> None:
+        self.b, self.a = butterworth(cutoff, fs)
+        self.step = np.array([[-self.a[1], 1.0], [-self.a[2], 0.0]])
+        second = self.b[2] - self.a[2]
+        #: State of a constant input of one.
+        self.steady = np.array([self.b[1] - self.a[1] + second, second])
+
+    def __call__(self, signals: list[np.ndarray], states: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Filtered signals and their last states; ``states`` has a row for each signal."""
+        size = np.array([len(v) for v in signals])
+        order = np.argsort(-size, kind="stable")
+        x = np.zeros((int(size.max(initial=0)), len(signals)))
+        for lane, k in enumerate(order):
+            x[: size[k], lane] = signals[k]
+        active = np.searchsorted(-size[order], -np.arange(len(x)), side="left")
+        s, t = states[order].T.copy()
+        (b0, b1, b2), (_, a1, a2) = self.b, self.a
+        for row, m in zip(x, active):
+            v = row[:m].copy()
+            y = row[:m] = b0 * v + s[:m]
+            s[:m] = b1 * v - a1 * y + t[:m]
+            t[:m] = b2 * v - a2 * y
+        out, last = [np.empty(0)] * len(signals), np.empty_like(states)
+        for lane, k in enumerate(order):
+            out[k] = x[: size[k], lane]
+        last[order] = np.stack([s, t], 1)
+        return out, last
+
+    def both_ways(self, signals: list[np.ndarray]) -> list[np.ndarray]:
+        """Whole signals forward and backward; short or incomplete ones stay as they are."""
+        good = [k for k, v in enumerate(signals) if len(v) > PAD and not np.isnan(v).any()]
+        out, turned = list(signals), [extended(signals[k]) for k in good]
+        for _ in range(2 if good else 0):
+            turned = [v[::-1] for v in self(turned, np.stack([self.steady * v[0] for v in turned]))[0]]
+        for k, v in zip(good, turned):
+            out[k] = v[PAD:-PAD]
+        return out
+
+
 #: Numbers that the kernels over pairs of channels hold at once.
 BLOCK_CELLS = 4_000_000
 

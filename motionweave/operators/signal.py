@@ -2,7 +2,7 @@
 
 Frames are numbered within a trial (``keys``).  All windows of one trial share the same
 partitioning, so Spark sorts a trial once.  The recurrences that SQL has no form for (the
-zero-phase filter) run as an Arrow kernel per trial.
+zero-phase filter) run as Arrow kernels over blocks of a trial.
 """
 
 from __future__ import annotations
@@ -10,15 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from motionweave.functions import kernels
 
-#: Curves that the resampling kernel takes at once.
-CURVES = 256
+#: Curves that the resampling kernel, and signals that the filter takes at once.
+CURVES, SIGNALS = 256, 256
+#: Samples of a block of a long signal.
+BLOCK_FRAMES = 8192
 
 
 def ordered(keys: list[str], order: str | list[str]) -> WindowSpec:
@@ -173,23 +175,108 @@ def resample(segments: DataFrame, keys: list[str], position: str, value: str, po
     return grouped.mapInArrow(run, f"{head}, k int, {value} double")
 
 
-def low_pass(df: DataFrame, keys: list[str], order: str, value: str, cutoff: float, fs: float, channel: list[str] | None = None) -> DataFrame:
-    """Zero-phase second-order Butterworth low-pass of every channel.
+def low_pass(df: DataFrame, keys: list[str], order: str, value: str, cutoff: float, fs: float, channel: list[str] | None = None, block: int = BLOCK_FRAMES) -> DataFrame:
+    """Zero-phase second-order Butterworth low-pass of every channel of a trial.
 
-    A kernel call takes a trial (``keys``); its channels of equal length go through the filter as
-    the columns of one matrix.
+    A signal travels in blocks of ``block`` to twice as many samples.  A short one is a single
+    block and filtered at once, many in one kernel call.  For a long one the blocks first give
+    what they add to the filter's state; composing that gives the state each is entered in, and
+    then every block is filtered by itself, forward and in the same way backward.  No task
+    holds more than some blocks, and the result is that of the whole signal.
     """
-    channel = channel or []
-    names = [*keys, *channel, order, value]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*channel, order], ignore_index=True)
-        size = pdf.groupby(channel, dropna=False, sort=False).size().to_numpy() if channel else np.array([len(pdf)])
-        first, out = np.cumsum(size) - size, pdf[value].to_numpy(float).copy()
-        for n in np.unique(size):
-            at = first[size == n][None, :] + np.arange(n)[:, None]
-            out[at] = kernels.filtfilt(out[at], cutoff, fs)
-        return pdf.assign(**{value: out})
-
-    return df.select(*names).groupBy(*keys).applyInPandas(run, schema)
+    lane = [*keys, *(channel or [])]
+    per_lane = Window.partitionBy(*lane)
+    numbered = df.select(*lane, order, F.col(value).cast("double").alias(value)).withColumns({"_k": F.row_number().over(per_lane.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(per_lane)})
+    own = F.least(F.floor(F.col("_k") / block), F.greatest(F.floor(F.col("_n") / block), F.lit(1)) - 1).cast("int")
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    blocks = numbered.withColumn("_b", own).groupBy(*lane, "_n", "_b").agg(rows.alias("_rows"))
+    lane_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*lane).schema)
+    schema = f"{lane_schema}, {order} {df.schema[order].dataType.simpleString()}, {value} double"
+    single = F.col("_n") < 2 * block
+
+    def signals_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        column = batch.column("_rows")
+        v = pc.struct_field(column.flatten(), "v").to_numpy(zero_copy_only=False).astype(float)
+        return np.split(v, np.cumsum(pc.list_value_length(column).to_numpy())[:-1])
+
+    def samples(batch: pa.RecordBatch, signals: list[np.ndarray]) -> pa.RecordBatch:
+        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(v) for v in signals]))
+        o = pc.struct_field(batch.column("_rows").flatten(), "o")
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in lane], o, pa.array(np.concatenate(signals), from_pandas=True)], names=[*lane, order, value])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SIGNALS):
+                yield batch.slice(at, SIGNALS)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = kernels.LowPass(cutoff, fs)
+        for batch in pieces(batches):
+            yield samples(batch, f.both_ways(signals_of(batch)))
+
+    short = blocks.filter(single).mapInArrow(whole, schema)
+    long = blocks.filter(~single)
+    state = f"{lane_schema}, _n long, _b int, size int, bad boolean, s double, t double"
+
+    def last_block(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("_n").to_numpy() // block - 1
+
+    def parts(batch: pa.RecordBatch) -> list[np.ndarray]:
+        b = batch.column("_b").to_numpy()
+        return [kernels.extended(v, k == 0, k == z) for v, k, z in zip(signals_of(batch), b, last_block(batch))]
+
+    def ends(batch: pa.RecordBatch, signals: list[np.ndarray], first: np.ndarray, f: kernels.LowPass) -> pa.RecordBatch:
+        """What every block adds to the state; the first one of a signal starts from the steady state."""
+        start = np.stack([f.steady * v[0] if k else np.zeros(2) for v, k in zip(signals, first)])
+        _, last = f(signals, start)
+        columns = [pa.array([len(v) for v in signals], pa.int32()), pa.array([bool(np.isnan(v).any()) for v in signals]), *map(pa.array, np.ascontiguousarray(last.T))]
+        return pa.RecordBatch.from_arrays([*[batch.column(k) for k in [*lane, "_n", "_b"]], *columns], names=[*lane, "_n", "_b", "size", "bad", "s", "t"])
+
+    def forward_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = kernels.LowPass(cutoff, fs)
+        for batch in pieces(batches):
+            yield ends(batch, parts(batch), batch.column("_b").to_numpy() == 0, f)
+
+    def entries(found: DataFrame, step: int) -> DataFrame:
+        """The state that every block is entered in, over a signal's blocks in order (``step`` 1) or from the last (-1)."""
+
+        def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(list(batches)).sort_by([("_b", "ascending" if step > 0 else "descending")])
+            f, entry, bad = kernels.LowPass(cutoff, fs), [], any(t["bad"].to_pylist())
+            now = np.zeros(2)
+            for k, (size, s, u) in enumerate(zip(t["size"].to_pylist(), t["s"].to_pylist(), t["t"].to_pylist())):
+                entry.append(now)
+                now = (np.linalg.matrix_power(f.step, size) @ now if k else 0) + np.array([s, u])
+            for name, c in (("s", 0), ("t", 1)):
+                t = t.set_column(t.schema.get_field_index(name), name, pa.array([float(e[c]) for e in entry]))
+            yield from t.set_column(t.schema.get_field_index("bad"), "bad", pa.array([bad] * len(t))).to_batches()
+
+        return found.groupBy(*lane).applyInArrow(compose, state)
+
+    def run_blocks(batch: pa.RecordBatch, signals: list[np.ndarray], first: np.ndarray, f: kernels.LowPass) -> list[np.ndarray]:
+        entry = np.stack([batch.column("s").to_numpy(), batch.column("t").to_numpy()], 1)
+        return f(signals, np.stack([f.steady * v[0] if k else e for v, k, e in zip(signals, first, entry)]))[0]
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = kernels.LowPass(cutoff, fs)
+        for batch in pieces(batches):
+            done = run_blocks(batch, parts(batch), batch.column("_b").to_numpy() == 0, f)
+            back = ends(batch, [v[::-1] for v in done], batch.column("_b").to_numpy() == last_block(batch), f)
+            bad = pc.or_(batch.column("bad"), back.column("bad"))
+            columns = [back.column(k) if k != "bad" else bad for k in back.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("_rows"), pa.array([v.tolist() for v in done], pa.list_(pa.float64()))], names=[*back.schema.names, "_rows", "_y"])
+
+    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = kernels.LowPass(cutoff, fs)
+        for batch in pieces(batches):
+            b, z = batch.column("_b").to_numpy(), last_block(batch)
+            y = np.split(batch.column("_y").flatten().to_numpy(), np.cumsum(pc.list_value_length(batch.column("_y")).to_numpy())[:-1])
+            done = [v[::-1] for v in run_blocks(batch, [v[::-1] for v in y], b == z, f)]
+            kept = [v[kernels.PAD * (k == 0) : len(v) - kernels.PAD * (k == last)] for v, k, last in zip(done, b, z)]
+            yield samples(batch, [raw if bad else v for raw, bad, v in zip(signals_of(batch), batch.column("bad").to_pylist(), kept)])
+
+    on = [*lane, "_n", "_b"]
+    entered = long.join(entries(long.mapInArrow(forward_ends, state), 1).drop("size"), on)
+    done = entered.mapInArrow(forward, f"{state}, _rows {blocks.schema['_rows'].dataType.simpleString()}, _y array<double>")
+    back = entries(done.select(*[c for c in done.columns if c not in ("_rows", "_y")]), -1).drop("size")
+    return short.unionByName(done.select(*on, "_rows", "_y").join(back, on).mapInArrow(backward, schema))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from motionweave.functions.core import r6
 from motionweave.operators import cohort, graph, matrix, paths
 from motionweave.plans.adapters import (
-    CHANNELS, DEMO, DIFF, E, EDGE_KEYS, GRPM, MARKERS, S, SGRAPH, SHIFT, SUBJ, SUBJECT_KEYS, demographics, differences, directed_samples, edges, group_means, query, samples,
+    CHANNELS, DEMO, DIFF, E, EDGE_KEYS, GRPM, MARKERS, S, SGRAPH, SHIFT, SUBJ, SUBJECT_KEYS, channel_rows, demographics, differences, directed_samples, edges, group_means, query, samples,
     shifted_graphs, subject_edges, subject_graphs,
 )
 from motionweave.sources import catalog
@@ -194,15 +194,12 @@ def matrix_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return subject_edges(spark, sf).groupBy("grp", "direction").agg(r6(F.min("avg")).alias("low"), r6(F.max("avg")).alias("high"))
 
 
-@query(
-    "expanded_markers",
-    "SELECT m AS marker, d AS direction, 'm' || m || '_' || ['AP', 'ML', 'V'][d + 1] AS name, m * 3 + d AS idx FROM range(21) x(m), range(3) y(d)",
-)
+@query("expanded_markers", f"WITH {S} SELECT DISTINCT m AS marker, direction, 'm' || m || '_' || ['AP', 'ML', 'V'][direction + 1] AS name, m * 3 + direction AS idx FROM lng")
 def expanded_markers(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.array(F.lit("AP"), F.lit("ML"), F.lit("V"))
-    rows = spark.range(CHANNELS).select(F.col("id").alias("marker"), F.posexplode(names).alias("direction", "_n"))
-    name = F.concat(F.lit("m"), F.col("marker").cast("string"), F.lit("_"), "_n")
-    return rows.select("marker", F.col("direction").cast("long").alias("direction"), name.alias("name"), (F.col("marker") * 3 + F.col("direction")).alias("idx"))
+    """Nodes of a full matrix: every channel that the samples have, in each of its directions."""
+    rows = channel_rows(spark, sf).select(F.col("m").alias("marker"), "direction").distinct()
+    axis = F.element_at(F.array(F.lit("AP"), F.lit("ML"), F.lit("V")), F.col("direction").cast("int") + 1)
+    return rows.select("marker", "direction", F.concat(F.lit("m"), F.col("marker").cast("string"), F.lit("_"), axis).alias("name"), (F.col("marker") * 3 + F.col("direction")).alias("idx"))
 
 
 _EDGES = [(i, j) for i in range(CHANNELS) for j in range(i + 1, CHANNELS)]
@@ -330,8 +327,9 @@ def allegiance_from_memberships(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("group_allegiance", f"{_ALLEG} SELECT label % 2 AS grp, direction, i, j, round(avg(w), 6) + 0.0 AS mean, round(stddev_pop(w), 6) + 0.0 AS std FROM alleg GROUP BY ALL")
 def group_allegiance(spark: SparkSession, sf: str) -> DataFrame:
-    a = _ij(_allegiance(spark, sf)).groupBy((F.col("label") % 2).alias("grp"), "direction", "i", "j")
-    return a.agg(r6(F.avg("w")).alias("mean"), r6(F.stddev_pop("w")).alias("std"))
+    own = _allegiance(spark, sf).withColumn("grp", F.col("label") % 2)
+    mean = graph.group_allegiance(own, ["grp", *SUBJECT_KEYS], ["grp", "direction"], CHANNELS)
+    return _ij(mean).select("grp", "direction", "i", "j", r6("w").alias("mean"), r6("std").alias("std"))
 
 
 _GCOMM = f"""{_ALLEG}, ga AS (SELECT label % 2 AS grp, direction, i, j, avg(w) AS w FROM alleg GROUP BY ALL), ge AS (SELECT grp, direction, i AS a, j AS b FROM ga WHERE w >= 0.6 UNION ALL SELECT grp, direction, j, i FROM ga WHERE w >= 0.6),

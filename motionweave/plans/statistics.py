@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from motionweave.functions.core import r6
 from motionweave.operators import inference
 from motionweave.plans import drivers
-from motionweave.plans.adapters import BLOCKS, CHANNELS, DIFF, GRPM, SUBJ, SUBJECT_KEYS, differences, group_means, query, subject_edges, subject_graphs, table
+from motionweave.plans.adapters import BLOCKS, CHANNELS, DIFF, GRPM, S, SUBJ, SUBJECT_KEYS, channel_rows, differences, group_means, query, subject_edges, subject_graphs, table
 from motionweave.plans.matrices import _ARI, _LAG, _MOD, _SCORE, _fit, _modularity, _scores, _subject_lags
 
 PERMUTATIONS, BOOTSTRAPS, SWEEP = 10_000, 5_000, 1_000
@@ -38,14 +38,12 @@ pt AS (SELECT o.iter, o.node AS old, w.node AS new FROM (SELECT *, row_number()
   JOIN (SELECT *, row_number() OVER (PARTITION BY iter, block ORDER BY md5('perm:' || iter || ':' || node), node) AS k FROM tb) w USING (iter, block, k))"""
 
 
-def _permutations(spark: SparkSession) -> DataFrame:
-    nodes = spark.range(CHANNELS).select(F.col("id").cast("long").alias("node"), (F.col("id") >= 14).cast("int").alias("block"))
-    return inference.permutation_table(nodes, PERMUTATIONS, "perm")
-
-
-@query("permutation_table", f"WITH {_PERM} SELECT iter, old, new FROM pt")
+@query("permutation_table", f"""WITH {S}, {_PERM.replace("range(21) b(n)", "(SELECT DISTINCT m AS n FROM lng) b")} SELECT iter, old, new FROM pt""")
 def permutation_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _permutations(spark).withColumn("iter", F.col("iter").cast("long"))
+    """Labels of the channels that the samples have, shuffled within their blocks."""
+    nodes = channel_rows(spark, sf).select(F.col("m").alias("node")).distinct()
+    table = inference.permutation_table(nodes.withColumn("block", (F.col("node") >= 14).cast("int")), PERMUTATIONS, "perm")
+    return table.withColumn("iter", F.col("iter").cast("long"))
 
 
 @query(

@@ -131,3 +131,21 @@ def test_longest_path_of_66_nodes():
     dense = _joined([(a, b) for a in range(66) for b in range(a) if rng.random() < 0.4])
     path = paths.longest_in(dense)
     assert len(set(path)) == 66 and path[0] == 0 and all(b in dense[a] for a, b in zip(path, path[1:]))
+
+
+@pytest.mark.parametrize("block", [16, 50, 8192])
+def test_filter_by_blocks_is_the_whole_filter(spark, block):
+    """Long signals in blocks, with gaps, of many lengths: equal to the filter of the whole."""
+    rng, rows, want = np.random.default_rng(11), [], {}
+    for k, n in enumerate([1, 9, 10, 15, 16, 31, 32, 33, 100, 333, 1000, 257]):
+        for m in range(2):
+            v = rng.normal(size=n).cumsum()
+            if k == 9 and m:
+                v[200] = np.nan
+            want[k, m] = kernels.filtfilt(v, 6.0, 200.0)
+            rows += [(k, m, f, None if np.isnan(x) else float(x)) for f, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "trial long, m int, frame long, value double").repartition(5)
+    out = signal.low_pass(df, ["trial"], "frame", "value", 6.0, 200.0, ["m"], block).toPandas()
+    assert len(out) == len(rows)
+    for key, own in out.groupby(["trial", "m"]):
+        assert own.sort_values("frame")["value"].to_numpy() == pytest.approx(want[key], abs=1e-9, nan_ok=True)
