@@ -11,9 +11,10 @@
 3. Every page is extracted again from the elements on the host's best-rated path that it
    has (``extract``); a page without any, or without a host, uses its own best container.
 
-Menus, footers, forms, scripts and the like go by their tag or role.  Blocks go by name
-(class or id) alone only if the whole name says so, such as ``ad``, ``cookie-notice`` or
-``comment-list``; a name that merely holds such a word (``share-price``) is a weak signal and
+Menus, footers, scripts and the like go by their tag or role.  Forms, and blocks whose whole
+name (class or id) says so, such as ``ad``, ``cookie-notice`` or ``right-sidebar``, go unless they
+hold most of the page's running text, as a form or a layout class around all of it does; reader
+comments always go.  A name that merely holds such a word (``share-price``) is a weak signal and
 counts only if the block is mostly links, or if its text repeats on ``REPEAT_PAGES`` or more
 and ``SHARE`` of the host's pages.
 
@@ -49,10 +50,10 @@ _OPEN_COMMENT = re.compile(r"<!--.*()()()\Z", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CONTAINER = frozenset("#root body article main section div td center".split())
-_DROP = frozenset("head script style noscript iframe template nav footer aside form button select textarea svg canvas object dialog menu title xmp".split())
-_DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+_DROP = frozenset("head script style noscript iframe template nav footer aside button select textarea svg canvas object dialog menu title xmp".split())
+_DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 #: Words of names that mark boilerplate, and words that say nothing beside them.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promos promotion promotions banner nav navbar navigation menu menus breadcrumb breadcrumbs"
@@ -63,6 +64,9 @@ _PLAIN = frozenset(
     "area aside bar block body bottom box btn button buttons card cell col column container content count desktop element fixed footer form global group head header icon icons inline inner item items"
     " js label left links link list main mobile module outer overlay page panel post posts primary right row secondary section site slot small sticky text title toggle top unit user wrap wrapper".split()
 )
+#: Of the words: those of reader comments, and those that a section of an article may have as its subject.
+_COMMENT_MARKS = frozenset("comment comments commentlist respond disqus reply replies".split())
+_SUBJECTS = frozenset("social promotion promotions menu menus navigation".split())
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Blocks whose text is running text at any length, and the length from which others are.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption".split())
@@ -83,16 +87,30 @@ _P_ENDS = frozenset(
 )
 
 
-def mark_of(names: str) -> int:
-    """2 if one of the names says boilerplate as a whole, 1 if one holds such a word, else 0."""
+def _words(name: str) -> set[str]:
+    return {x.lower() for x in _NAME_PART.findall(name)}
+
+
+def mark_of(names: str, tag: str = "div", in_article: bool = False) -> int:
+    """2 if one of the names says boilerplate as a whole, 1 if one holds such a word, else 0.
+
+    Within an article a page header is no boilerplate, and a section may be about a word of ``_SUBJECTS``.
+    """
     out = 0
-    for name in names.split():
-        parts = [x.lower() for x in _NAME_PART.findall(name)]
-        if not _MARKS.isdisjoint(parts) or {"header"} < set(parts) <= {"site", "page", "header"}:
-            out = max(out, 2 if all(x in _MARKS or x in _PLAIN for x in parts) else 1)
+    for parts in map(_words, names.split()):
+        if marks := _MARKS & parts:
+            whole = parts <= _MARKS | _PLAIN and not (in_article and tag == "section" and marks <= _SUBJECTS)
+            out = max(out, 2 if whole else 1)
+        elif {"header"} < parts <= {"site", "page", "header"} and not in_article:
+            out = max(out, 2)
     return out
 
 
+def says_comments(names: str) -> bool:
+    """Whether one of the names says reader comments as a whole."""
+    return any(parts <= _MARKS | _PLAIN and not _COMMENT_MARKS.isdisjoint(parts) for parts in map(_words, names.split()))
+
+
 def _signed(digest: bytes) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
@@ -108,12 +126,14 @@ class Page:
     grow with the page and not with its depth.
     """
 
-    __slots__ = ("tags", "parents", "dropped", "weak", "in_article", "path", "hashes", "runs", "_hashers", "_numbers", "_open_tags")
+    __slots__ = ("tags", "parents", "dropped", "named", "weak", "in_article", "path", "hashes", "runs", "_hashers", "_numbers", "_open_tags")
 
     def __init__(self, source: str) -> None:
         self.tags, self.parents, self.dropped, self.in_article, self.path = ["#root"], [-1], [False], [False], [0]
         #: Elements with a name that is a weak signal; hashes of all paths by number.
         self.weak: list[int] = []
+        #: Forms, and elements whose names say boilerplate, until it is known how much they hold.
+        self.named: list[int] = []
         self._hashers = [blake2b(digest_size=8)]
         self.hashes = [path_hash("")]
         self._numbers: dict[tuple[int, str], int] = {}
@@ -146,6 +166,7 @@ class Page:
             elif name not in _VOID and not m[3].endswith("/"):
                 stack.append(node)
                 self._open_tags[name] = self._open_tags.get(name, 0) + 1
+        self._settle_named()
         self._drop_link_blocks()
 
     def _open(self, parent: int, name: str, attrs: str) -> int:
@@ -153,19 +174,23 @@ class Page:
         if attrs and not attrs.isspace():
             found = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attrs)}
             kind = found.get("class", "").strip()
-            mark = max(mark_of(kind), mark_of(found.get("id", "")))
+            mark = max(mark_of(found.get(k, ""), name, self.in_article[parent]) for k in ("class", "id"))
             if name in ("body", "html", "article", "main"):
                 drop = drop or (name == "article" and mark == 2 and "comment" in kind.lower())
                 mark = 0
             elif not drop:
                 drop = (
-                    mark == 2
+                    (mark == 2 and (says_comments(kind) or says_comments(found.get("id", ""))))
                     or found.get("role", "").lower() in _DROP_ROLE
                     or found.get("aria-hidden", "").lower() == "true"
                     or "display:none" in found.get("style", "").replace(" ", "").lower()
                 )
             if mark == 1 and not drop:
                 self.weak.append(len(self.tags))
+            elif not drop and (mark == 2 or found.get("role", "").lower() == "form"):
+                self.named.append(len(self.tags))
+        if name == "form" and not drop and len(self.tags) not in self.named[-1:]:
+            self.named.append(len(self.tags))
         if name == "header" and not drop:
             drop = not self.in_article[parent]
         step = name + "." + _DIGITS.sub("N", kind.split()[0].lower()) if kind else name
@@ -188,6 +213,18 @@ class Page:
         for k in range(min(nodes, default=len(self.tags)), len(self.tags)):
             self.dropped[k] = self.dropped[k] or k in nodes or (k > 0 and self.dropped[self.parents[k]])
 
+    def _settle_named(self) -> None:
+        """Leave out forms and elements named as boilerplate, but for those that hold most of the page's running text.
+
+        Where the page has an article or main element with text, that is among what they must hold.
+        """
+        if self.named:
+            _, running, total = self._running()
+            home = [self.tags[k] in ("article", "main") and not self.dropped[k] and running[k] > 0 for k in range(len(self.tags))]
+            for k in range(len(self.tags) - 1, 0, -1):
+                home[self.parents[k]] |= home[k]
+            self._drop({k for k in self.named if 2 * running[k] <= total or home[0] and not home[k]})
+
     def _drop_link_blocks(self) -> None:
         """Leave out the weakly named elements that are mostly links."""
         if self.weak:
@@ -265,8 +302,8 @@ class Page:
             elif tag in stops:
                 return
 
-    def votes(self) -> dict[int, int]:
-        """Rating (millionths) of the path of every container that holds running text, by its hash."""
+    def _running(self) -> tuple[list[int], list[int], int]:
+        """Characters, and those of running text, within every element, and those of running text in all."""
         n, linked = len(self.tags), self._linked()
         text, running = [0] * n, [0] * n
         block: list[tuple[int, int, bool]] = []
@@ -295,9 +332,14 @@ class Page:
         for k in range(n - 1, 0, -1):
             text[self.parents[k]] += text[k]
             running[self.parents[k]] += running[k]
+        return text, running, total
+
+    def votes(self) -> dict[int, int]:
+        """Rating (millionths) of the path of every container that holds running text, by its hash."""
+        text, running, total = self._running()
         homes = self._homes()
         held: dict[int, list[int]] = {}
-        for k in range(n):
+        for k in range(len(self.tags)):
             if running[k] and homes[k] == k and self.tags[k] in _CONTAINER:
                 sums = held.setdefault(self.path[k], [0, 0])
                 sums[0] += running[k]

@@ -349,3 +349,21 @@ def test_shared_folder():
     assert common.shared_dir(alone).startswith("file://") and common.shared_dir(alone) == common.shared_dir(alone)
     with pytest.raises(ValueError):
         common.shared_dir(_Session("spark://host:7077"))
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("<body><form id=aspnetForm><nav>Menu</nav><article><p>One long sentence of the article.</p></article><label>Name</label></form>", "One long sentence of the article."),
+        ("<body><div id=page class=right-sidebar><article><p>One long sentence of the article.</p></article></div>", "One long sentence of the article."),
+        ('<body><div class="wrapper sidebar-left"><article><p>One long sentence of the article.</p></article><div class=sidebar>Side text</div></div>', "One long sentence of the article."),
+        ("<body><article><p>One long sentence of the article.</p><section class=social><p>How people lived together.</p></section></article>", "One long sentence of the article. How people lived together."),
+        ("<body><article><div class=page-header><h1>Title</h1></div><p>One long sentence of the article.</p></article>", "Title One long sentence of the article."),
+        ("<body><article><p>A sentence with an in<img src=x>side picture.</p></article>", "A sentence with an inside picture."),
+        ("<body><article><p>A short article here.</p></article><form><p>Send us your name and address.</p><input></form>", "A short article here."),
+        ("<body><article><p>A short article here.</p></article><div class=comments><p>" + "I like this very much. " * 40 + "</p></div>", "A short article here."),
+        ("<body><article><p>A rather short article is here.</p><div class=newsletter><p>Write to us.</p></div></article><div class=cookie-notice>We use cookies.</div>", "A rather short article is here."),
+    ],
+)
+def test_forms_and_names_keep_the_article(source, want):
+    assert Page(source).text() == want
