@@ -143,6 +143,19 @@ def cross_correlations(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.
     return lag, r
 
 
+def distance_products(m: np.ndarray) -> np.ndarray:
+    """Squared distance covariances of all pairs of columns, by one product of the centred distances in blocks of rows."""
+    n, k = m.shape
+    step = max(1, BLOCK_CELLS // (n * k))
+    blocks = [slice(at, at + step) for at in range(0, n, step)]
+    rows = np.concatenate([np.abs(m[b, None] - m[None]).mean(1) for b in blocks])
+    gram = np.zeros((k, k))
+    for b in blocks:
+        d = (np.abs(m[b, None] - m[None]) - rows[b, None] - rows[None] + rows.mean(0)).reshape(-1, k)
+        gram += d.T @ d
+    return gram / n**2
+
+
 def distance_row_means(x: np.ndarray) -> np.ndarray:
     """Mean distance of every value to all, by prefix sums over the sorted values."""
     order, n = np.argsort(x, kind="stable"), len(x)

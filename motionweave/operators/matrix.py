@@ -151,10 +151,7 @@ def distance_correlations(df: DataFrame, keys: list[str], order: str, values: st
         if len(m) > SMALL:
             gram = kernels.distance_covariances(m)
         else:
-            d = np.abs(m[:, None] - m[None])
-            rows = d.mean(1)
-            d = (d - rows[:, None] - rows[None] + rows.mean(0)).reshape(-1, m.shape[1])
-            gram = d.T @ d / len(m) ** 2
+            gram = kernels.distance_products(m)
         i, j = np.triu_indices(m.shape[1])
         own = np.diag(gram)[i] * np.diag(gram)[j]
         with np.errstate(all="ignore"):
