@@ -8,8 +8,10 @@ score is the mean, over its n-grams, of log(P_target / P_raw); it is kept if the
 pass and the score is at least a fixed threshold.  The ratio tables are rounded to integers
 (millionths), so sums do not depend on order and every run gives the same verdicts.
 
-In a language whose trusted documents have fewer than ``BUCKETS`` n-grams (fewer than the
-pseudo-counts they are smoothed by) the ratios are zero and only the base rules decide.
+Every language is judged by its ratio, however few trusted documents it has: a language's
+ratio is smoothed towards that of the other languages together, and that towards one.  They
+compare the trusted n-grams with those that as many n-grams of the same languages would
+hold, so a language without trusted documents is no evidence against its words.
 
 Very long texts are judged whole; an empty table gives no rows.  Null and empty texts have no words and fail the base rules.  Repeated rows are judged alike
 (each counts in the corpus); only doc_id, text and (to learn the languages) lang are read,
@@ -18,19 +20,21 @@ so extra columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from motionweave.llm import langid
 from motionweave.llm.common import column, materialise, record, slices, table, text_bytes
 from motionweave.llm.tokens import Words, mix
 
 BUCKETS = 1 << 16
+#: Pseudo-counts in every bucket: a bucket of fewer expected n-grams tells little.
+EVIDENCE = 8
 #: Mean log ratio in millionths below which a document is rejected.
 THRESHOLD = -200_000
 #: Text bytes judged at once; their languages take most of the memory.
@@ -42,54 +46,57 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
+def buckets(w: Words, size: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all unigrams and bigrams, and their rows."""
     h = w.hashes()
     pairs, at = w.windows(h, 2)
-    grams = np.concatenate([mix(h, 1), mix(pairs, 2)]) & np.uint64(BUCKETS - 1)
+    grams = np.concatenate([mix(h, 1), mix(pairs, 2)]) & np.uint64(size - 1)
     return grams.astype(np.int64), np.concatenate([w.doc, w.doc[at]])
 
 
-@dataclass
-class Ratios:
-    """log(P_target / P_raw) in millionths of every bucket, in the languages with enough evidence.
+def with_languages(docs: DataFrame, model: langid.Model, name: str) -> DataFrame:
+    """``docs`` with the number of each text's language as ``name`` (the last number: texts of none)."""
+    shared, code = docs.sparkSession.sparkContext.broadcast(model), {x: k for k, x in enumerate(model.languages)}
 
-    ``row`` is each language's row in ``table`` (the last entry: texts of no language); row 0 is zero.
-    """
-
-    model: langid.Model
-    row: np.ndarray
-    table: np.ndarray
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                found = shared.value.predict(column(batch, "text").to_pylist())[0]
+                yield batch.append_column(name, pa.array([code.get(x, len(code)) for x in found], pa.int32()))
 
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, IntegerType())]))
 
-def language_rows(texts: pa.Array, model: langid.Model) -> np.ndarray:
-    """Number of each text's language; the last one for texts of none."""
-    code = {x: k for k, x in enumerate(model.languages)}
-    return np.array([code.get(x, len(code)) for x in model.predict(texts.to_pylist())[0]], np.int64)
 
+def count_grams(docs: DataFrame, trusted: DataFrame, language: str, size: int) -> DataFrame:
+    """Counts over all documents, one row a language: sorted buckets, and target and raw counts, as little-endian int64.
 
-def count_grams(docs: DataFrame, trusted: DataFrame, model: langid.Model) -> DataFrame:
-    """(language, bucket, target, raw) counts over all documents; a task sends one row per cell at most."""
-    marked = docs.select("doc_id", "text").join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left").select("text", "trusted")
+    A task sends one row per language and bucket at most; a row packs at most ``size`` buckets.
+    """
+    marked = docs.select("doc_id", "text", F.col(language).alias("language")).join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left").select("text", "language", "trusted")
     out = pa.schema([("language", pa.int32()), ("bucket", pa.int32()), ("target", pa.int64()), ("raw", pa.int64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 good = np.array([bool(x) for x in column(batch, "trusted").to_pylist()])
-                grams, doc = buckets(Words(column(batch, "text")))
-                language = language_rows(column(batch, "text"), shared.value)
-                for k in np.unique(language).tolist():
-                    held, mine = sums.setdefault(k, np.zeros((2, BUCKETS), np.int64)), language[doc] == k
-                    held[0] += np.bincount(grams[mine & good[doc]], minlength=BUCKETS)
-                    held[1] += np.bincount(grams[mine], minlength=BUCKETS)
+                grams, doc = buckets(Words(column(batch, "text")), size)
+                spoken = column(batch, "language").to_numpy()
+                for k in np.unique(spoken).tolist():
+                    held, mine = sums.setdefault(k, np.zeros((2, size), np.int64)), spoken[doc] == k
+                    held[0] += np.bincount(grams[mine & good[doc]], minlength=size)
+                    held[1] += np.bincount(grams[mine], minlength=size)
         for k, (target, raw) in sums.items():
             at = np.flatnonzero(raw)
             yield record(out, language=np.full(len(at), k, np.int32), bucket=at.astype(np.int32), target=target[at], raw=raw[at])
 
-    return marked.mapInArrow(run, "language int, bucket int, target long, raw long").groupBy("language", "bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bucket")
+        cells = [pa.array([t[c].to_numpy().astype("<i8").tobytes()], pa.binary()) for c in ("bucket", "target", "raw")]
+        return pa.table([pa.array([t["language"][0].as_py()], pa.int32()), *cells], names=["language", "bucket", "target", "raw"])
+
+    cells = marked.mapInArrow(run, "language int, bucket int, target long, raw long").groupBy("language", "bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    return cells.groupBy("language").applyInArrow(pack, "language int, bucket binary, target binary, raw binary")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -98,30 +105,52 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ID_BYTES * ids.count() <= BROADCAST_BYTES else ids
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Ratios:
-    """log(P_target / P_raw) of every bucket within each language.
+def smooth(counts: Callable[[], Iterable[tuple[int, np.ndarray, np.ndarray]]], languages: int, size: int) -> np.ndarray:
+    """log(P_target / P_raw) in millionths, a row for each language, from (language, target, raw) counts in order.
 
-    The raw multinomial has add-one smoothing; the target is smoothed towards the raw one
-    by ``BUCKETS`` pseudo-counts, so a bucket with little evidence stays near zero.
+    A language's raw multinomial q has add-one smoothing, and E = n * q is what its n trusted
+    n-grams would hold by it.  A bucket's ratio in the other languages is (T + EVIDENCE) / (E +
+    EVIDENCE), with T and E summed over them; its ratio in the language itself is (T + EVIDENCE
+    * that) / (E + EVIDENCE), scaled so that P_target sums to one.  A document's own n-grams add
+    at most one to E each time, so that alone does not lower its ratio below the threshold.
+    ``counts`` is gone through twice; one language is held at a time.
     """
+    held, expected = np.zeros(size), np.zeros(size)
+    for _, target, raw in counts():
+        held += target
+        expected += target.sum() * (raw + 1) / (raw.sum() + size)
+    out = np.zeros((languages, size), np.int32)
+    for k, target, raw in counts():
+        q = (raw + 1) / (raw.sum() + size)
+        own = target.sum() * q
+        others = (held - target + EVIDENCE) / (np.maximum(expected - own, 0) + EVIDENCE)
+        ratio = (target + EVIDENCE * others) / (own + EVIDENCE)
+        out[k] = np.rint(1e6 * np.log(ratio / (q * ratio).sum()))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str, np.ndarray]:
+    """The documents with their languages' numbers (written once), that column's name, and the ratios of every language."""
+    name = "_language"
+    while name in map(str.lower, docs.columns):
+        name += "_"
     model = langid.train(docs)
-    counts = materialise(count_grams(docs, trusted_ids(labels), model), "grams")
-    known = [r.language for r in counts.groupBy("language").agg(F.sum("target").alias("n")).filter(F.col("n") >= BUCKETS).orderBy("language").collect()]
-    row, ratios = np.zeros(len(model.languages) + 1, np.int64), np.zeros((len(known) + 1, BUCKETS), np.int32)
-    row[known] = np.arange(1, len(known) + 1)
-    for k in known:  # one language at a time: BUCKETS rows
-        found = counts.filter(F.col("language") == k).toArrow()
-        target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        at = found["bucket"].to_numpy()
-        target[at], raw[at] = found["target"].to_numpy(), found["raw"].to_numpy()
-        q = (raw + 1) / (raw.sum() + BUCKETS)
-        p = (target + BUCKETS * q) / (target.sum() + BUCKETS)
-        ratios[row[k]] = np.rint(1e6 * np.log(p / q))
-    return Ratios(model, row, ratios)
-
-
-def rate(texts: pa.Array, ratios: Ratios) -> dict[str, np.ndarray]:
-    """Base counts, score (millionths) and verdicts of a column of texts."""
+    rows, size = len(model.languages) + 1, min(BUCKETS, langid.bucket_count(len(model.languages) + 1))
+    known = materialise(with_languages(docs, model, name), "languages")
+    packed = materialise(count_grams(known, trusted_ids(labels), name, size).orderBy("language"), "grams")
+
+    def counts() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for r in packed.orderBy("language").toLocalIterator():
+            target, raw = np.zeros(size), np.zeros(size)
+            at = np.frombuffer(r.bucket, "<i8")
+            target[at], raw[at] = np.frombuffer(r.target, "<i8"), np.frombuffer(r.raw, "<i8")
+            yield r.language, target, raw
+
+    return known, name, smooth(counts, rows, size)
+
+
+def rate(texts: pa.Array, language: np.ndarray, ratios: np.ndarray) -> dict[str, np.ndarray]:
+    """Base counts, score and verdicts of a column of texts in the given languages."""
     w = Words(texts)
     n = w.counts
     n_chars = w.per_doc(((w.data[: w.size] & 0xC0) != 0x80) & ~w.space)
@@ -141,9 +170,9 @@ def rate(texts: pa.Array, ratios: Ratios) -> dict[str, np.ndarray]:
     for k in range(5):
         cover[at[twice] + k] = 1
     repeats = np.bincount(w.doc[cover[:-1] > 0], minlength=w.rows)
-    grams, doc = buckets(w)
+    grams, doc = buckets(w, ratios.shape[1])
     # Exact: integers below 2^53 in every document of under 10^9 n-grams.
-    total = np.bincount(doc, ratios.table[ratios.row[language_rows(texts, ratios.model)][doc], grams].astype(np.float64), minlength=w.rows)
+    total = np.bincount(doc, ratios[language[doc], grams].astype(np.float64), minlength=w.rows)
     score = np.floor(total / np.maximum(np.bincount(doc, minlength=w.rows), 1)).astype(np.int64)
     failed = (n < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * n)
     return {
@@ -159,33 +188,35 @@ _OUT = pa.schema(
 _DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 
-def judge(docs: DataFrame, ratios: Ratios) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document with counts, verdict and score."""
+    known, name, ratios = fit(docs.select("doc_id", "text", "lang"), labels)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                yield record(_OUT, doc_id=column(batch, "doc_id").cast(pa.int64()), **rate(column(batch, "text"), shared.value))
+                yield record(_OUT, doc_id=column(batch, "doc_id").cast(pa.int64()), **rate(column(batch, "text"), column(batch, name).to_numpy(), shared.value))
 
-    return docs.select("doc_id", "text").mapInArrow(run, _DDL)
+    return known.select("doc_id", "text", name).mapInArrow(run, _DDL)
 
 
-def keep(docs: DataFrame, ratios: Ratios) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
+    known, name, ratios = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                yield batch.filter(pa.array(rate(column(batch, "text"), shared.value)["kept"]))
+                kept = rate(column(batch, "text"), column(batch, name).to_numpy(), shared.value)["kept"]
+                yield batch.drop_columns([name]).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return known.mapInArrow(run, docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_quality_rules": op8_quality_rules}

@@ -215,16 +215,49 @@ def test_op8_keeps_clean_documents_of_a_thinly_labelled_language(spark, tmp_path
         raw.setdefault(lang, Counter()).update(b)
         target.setdefault(lang, Counter()).update(b if k in good else [])
     size = quality_rules.BUCKETS
+    few = quality_rules.EVIDENCE
+
+    def q(lang, x):
+        return (raw[lang][x] + 1) / (sum(raw[lang].values()) + size)
+
+    def expected(lang, x):
+        return sum(target[lang].values()) * q(lang, x)
+
+    def smoothed(lang, x):
+        others = [k for k in raw if k != lang]
+        prior = (sum(target[k][x] for k in others) + few) / (sum(expected(k, x) for k in others) + few)
+        return (target[lang][x] + few * prior) / (expected(lang, x) + few)
+
+    used = {x for _, b in grams.values() for x in b}
+    # Buckets that no text has are not looked at one by one: they are alike in a language.
+    other = next(x for x in range(size) if x not in used)
+    norm = {lang: sum(q(lang, x) * smoothed(lang, x) for x in used) + (size - len(used)) * q(lang, other) * smoothed(lang, other) for lang in raw}
+    seen = set()
     for k, (lang, b) in grams.items():
-        r, t = raw[lang], target[lang]
-        nr, nt = sum(r.values()), sum(t.values())
 
         def ratio(x):
-            q = (r[x] + 1) / (nr + size)
-            return round(1e6 * math.log((t[x] + size * q) / (nt + size) / q)) if nt >= size else 0
+            return round(1e6 * math.log(smoothed(lang, x) / norm[lang]))
 
         score = math.floor(sum(map(ratio, b)) / len(b))
+        seen.add(score)
         assert abs(got[k].score * 1e6 - score) <= 1 and got[k].kept == (not got[k].base_failed and round(got[k].score * 1e6) >= quality_rules.THRESHOLD)
+    assert 0 not in seen
+
+
+def test_op8_ratios_of_languages_with_and_without_evidence():
+    size = 8
+    trusted, none = np.array([80, 40, 0, 0, 0, 0, 0, 0]), np.zeros(size)
+    raw = np.array([80, 40, 60, 20, 0, 0, 0, 0])
+    foreign = np.array([0, 0, 0, 0, 9, 9, 9, 9])
+    rows = [(0, trusted, raw), (1, none, raw), (2, none, foreign)]
+    r = quality_rules.smooth(lambda: iter(rows), 4, size)
+    assert r[0][0] > 0 > r[0][2]
+    # Without trusted documents of its own, a language takes the others' ratio of the words it shares.
+    assert r[1][0] > 0 > r[1][2]
+    # Words that only such a language has are neither good nor bad.
+    q = (foreign + 1) / (foreign.sum() + size)
+    assert abs((r[2] / 1e6 * q)[4:].sum()) < 0.15
+    assert not r[3].any() and not quality_rules.smooth(lambda: iter([]), 1, size).any()
 
 
 def test_op6_many_languages_share_buckets():
