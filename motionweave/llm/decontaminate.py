@@ -152,14 +152,18 @@ class Benchmark:
         return (place, window, best) if best >= least else None
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
+
+
 def count_blocks(benchmark: DataFrame) -> int:
-    """How many blocks of about ``BLOCK_CHARS`` characters the benchmark has."""
-    return -(-(benchmark.select("text").distinct().agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
+    """How many blocks of about ``BLOCK_CHARS`` characters the benchmark has; a text counts once for every id."""
+    return -(-(_items(benchmark).agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
 
 
 def blocks(benchmark: DataFrame, n: int) -> Iterator[Benchmark]:
     """The benchmark's ``n`` blocks, one after the other; no item is left out."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
+    items = _items(benchmark)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n or 1))
     for k in range(n):
         yield Benchmark([tuple(r) for r in items.filter(block == k).orderBy("item_id", "text").collect()])

@@ -174,20 +174,23 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], languages: list[str])
 def train(docs: DataFrame) -> Model:
     """Fit on a bounded sample of the documents that have a language.
 
-    The shares are thinned by a hash before any ranking, so a ranking task gets about
-    twice the documents that are kept, however large a language is.
+    The shares are thinned by a hash of id and text before any ranking, so a ranking task gets
+    about twice the documents that are kept, however large a language is.  The document of the
+    smallest hash is always in, so no language is left without one.  Repeated rows count once.
     """
     labelled = docs.filter("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
+    draw = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", F.lit("langid"))
+    labelled = labelled.select("text", "lang", draw.alias("draw"))
+    found = labelled.groupBy("lang").agg(F.count("draw").alias("n"), F.min("draw").alias("first")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    sizes = {r.lang: r.n for r in found}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     if not sizes:
         return fit([], [])
     share = max(1, MAX_TRAIN // len(sizes))
-    rates = [(lang, min(1.0, 2 * share / n + 20 / n) * 1_000_000) for lang, n in sizes.items()]
-    rates = F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, rate double"))  # at most MAX_LANGUAGES rows
-    draw = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("langid"))
-    thinned = labelled.select("text", "lang", draw.alias("draw")).join(rates, "lang").filter(F.pmod("draw", F.lit(1_000_000)) < F.col("rate"))
+    rates = [(r.lang, min(1.0, 2 * share / r.n + 20 / r.n) * 1_000_000, r.first) for r in found]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, rate double, first long"))  # at most MAX_LANGUAGES rows
+    thinned = labelled.join(rates, "lang").filter((F.pmod("draw", F.lit(1_000_000)) < F.col("rate")) | (F.col("draw") == F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -201,7 +204,7 @@ def train(docs: DataFrame) -> Model:
                     names=["lang", "draw", "long", "buckets", "counts"],
                 )
 
-    vectors = thinned.select("text", "lang", "draw").mapInArrow(run, "lang string, draw long, long boolean, buckets binary, counts binary")
+    vectors = thinned.select("text", "lang", "draw").mapInArrow(run, "lang string, draw long, long boolean, buckets binary, counts binary").dropDuplicates(["lang", "draw"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "draw"))
     chosen = vectors.withColumn("rank", rank).filter(F.col("rank") <= share).orderBy("draw", "lang").collect()
     return fit([(r.lang, np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4")) for r in chosen], sorted(sizes))

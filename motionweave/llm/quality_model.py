@@ -219,14 +219,15 @@ def _with_features(docs: DataFrame, extra: list[str], ddl: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most ``max_train`` labelled documents."""
+    """Fit on at most ``max_train`` labelled documents; of several texts of an id, the one with the smallest hash."""
     known = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000))
     rate = min(1.0, 1.5 * max_train / max(1, known.select("doc_id").distinct().count()) + 0.001)
     thinned = known.withColumn("draw", draw).filter(F.col("draw") < rate * 1_000_000)
     chosen = thinned.groupBy("doc_id", "draw").agg(F.min("quality").alias("quality")).orderBy("draw", "doc_id").limit(max_train).drop("draw")
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = _with_features(joined, ["doc_id", "quality"], "doc_id long, quality int").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).join(F.broadcast(chosen), "doc_id")
+    rows = _with_features(joined, ["doc_id", "quality", "hash"], "doc_id long, quality int, hash long")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("hash", "features"))["features"].alias("features")).orderBy("doc_id").collect()
     x = np.array([r.features for r in rows]).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([min(1, max(0, r.quality)) for r in rows], float))
 

@@ -4,11 +4,12 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyarrow import fs
 
-from motionweave.llm import bpe, common, decontaminate, elias_fano, golay, quality_model, shards, simhash, warc
+from motionweave.llm import bpe, common, decontaminate, elias_fano, golay, langid, quality_model, shards, simhash, warc
 from motionweave.llm.components import connected, stars
 from motionweave.llm.html import Page, mark_of, path_hash
 
@@ -120,6 +121,62 @@ def test_decontamination_in_blocks(spark, small, monkeypatch):
     assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()) == kept
 
 
+def test_decontamination_blocks_count_a_text_for_every_id(spark, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(100))
+    bench = spark.createDataFrame([(k, text) for k in range(100)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + text + " after"), (2, "something else"), (None, text)], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 5 * len(text))
+    n = decontaminate.count_blocks(bench)
+    assert n == 20
+    sizes = [len(b.items) for b in decontaminate.blocks(bench, n)]
+    assert sum(sizes) == 100 and max(sizes) < 20
+    found = decontaminate.find_overlaps(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.doc_token) for r in found) == sorted([(0, k, 0) for k in range(100)] + [(1, k, 1) for k in range(100)])
+
+
+def test_language_draw_leaves_no_language_out(spark):
+    words = {"de": "der die und das nicht", "fr": "le la et les pas"}
+    # Rows without an id, and one id repeated for all rows of a language.
+    no_ids = [(None, f"{w} {k}", lang) for lang, w in words.items() for k in range(6000)]
+    one_id = [(7 if lang == "de" else 8, w, lang) for lang, w in words.items() for _ in range(6000)]
+    for rows in (no_ids, one_id):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+        model = langid.train(docs)
+        assert model.languages == ["de", "fr"]
+        assert model.predict(["der die und nicht", "le la pas et"])[0] == ["de", "fr"]
+        assert np.array_equal(langid.train(docs.repartition(3)).weights, model.weights)
+
+
+def test_language_training_step_by_hand():
+    """One row with one n-gram: the first step of the regularised leader, and scores as a softmax."""
+    one = np.array([5], "<i4")
+    samples = [("a", one, one * 0 + 1), ("b", one + 1, one * 0 + 1)]
+    model = langid.fit(samples, ["a", "b"])
+    assert model.weights[5, 0] > model.weights[5, 1] and model.weights[6, 1] > model.weights[6, 0]
+    used = np.flatnonzero(np.abs(model.weights).sum(axis=1))
+    assert set(used.tolist()) == {5, 6}
+    texts = ["some text", "другой", None, ""]
+    p = np.exp(model.logits(texts) / model.temperature)
+    p /= p.sum(axis=1, keepdims=True)
+    lang, score = model.predict(texts)
+    assert np.allclose(score[:2], p.max(axis=1)[:2]) and lang[2:] == ["und", "und"] and score[2:].tolist() == [0, 0]
+
+
+def test_quality_model_takes_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k} " + "word " * (k % 9)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    texts = [r.text for r in docs.limit(50).collect()]
+    x = quality_model.features(pa.array(texts))
+    scores = [quality_model.train(docs.repartition(n), labels).score(x) for n in (1, 3, 7)]
+    assert all(np.array_equal(scores[0], s) for s in scores[1:])
+    # The same as the model of the chosen texts alone.
+    best = {}
+    for r in docs.selectExpr("doc_id", "text", "xxhash64(text) h").collect():
+        best[r.doc_id] = min(best.get(r.doc_id, (r.h, r.text)), (r.h, r.text))
+    own = quality_model.fit(quality_model.features(pa.array([best[k][1] for k in range(40)])), np.array([k % 2 for k in range(40)], float))
+    assert np.array_equal(own.score(x), scores[0])
+
+
 def test_bpe_pieces_give_the_same_ids():
     import public_tokenizers
 
