@@ -102,24 +102,34 @@ def group_allegiance(own: DataFrame, keys: list[str], group: list[str], n: int)
     return valid.groupBy(*group, "i", "j").agg(F.avg("w").alias("w"), F.stddev_pop("w").alias("std"))
 
 
+#: Louvain runs of a graph that one task makes.
+RUN_BLOCK = 25
+
+
 def louvain_memberships(edges: DataFrame, keys: list[str], n: int, runs: int) -> DataFrame:
-    """(keys, run, node, community) of seeded Louvain runs: seeds come from the graph's key."""
+    """(keys, run, node, community) of seeded Louvain runs: seeds come from the graph's key and the run.
+
+    A graph's runs are dealt over tasks in blocks, so few graphs use many tasks as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         w = np.zeros((n, n))
         i, j = t["i"].to_numpy(), t["j"].to_numpy()
         w[i, j] = w[j, i] = np.nan_to_num(t["w"].to_numpy(zero_copy_only=False).astype(float))
-        out = [kernels.louvain(w, np.random.default_rng([t["_seed"][0].as_py() & (1 << 63) - 1, k])) for k in range(runs)]
-        size = runs * n
+        block = t["_block"][0].as_py() * RUN_BLOCK
+        mine = range(block, min(runs, block + RUN_BLOCK))
+        out = [kernels.louvain(w, np.random.default_rng([t["_seed"][0].as_py() & (1 << 63) - 1, k])) for k in mine]
+        size = len(mine) * n
         yield pa.RecordBatch.from_arrays(
             [pa.array([t[k][0].as_py()] * size, t[k].type) for k in keys]
-            + [pa.array(np.repeat(np.arange(runs), n)), pa.array(np.tile(np.arange(n), runs)), pa.array(np.concatenate(out).astype(np.int64))],
+            + [pa.array(np.repeat(np.array(mine), n)), pa.array(np.tile(np.arange(n), len(mine))), pa.array(np.concatenate(out).astype(np.int64))],
             names=[*keys, "run", "node", "community"],
         )
 
-    seeded = edges.withColumn("_seed", F.xxhash64(*keys)).select(*keys, "_seed", "i", "j", "w")
-    return seeded.groupBy(*keys).applyInArrow(run, key_schema(edges, keys) + ", run long, node long, community long")
+    block = F.explode(F.sequence(F.lit(0), F.lit((runs - 1) // RUN_BLOCK))).alias("_block")
+    seeded = edges.withColumn("_seed", F.xxhash64(*keys)).select(*keys, "_seed", "i", "j", "w", block)
+    return seeded.groupBy(*keys, "_block").applyInArrow(run, key_schema(edges, keys) + ", run long, node long, community long")
 
 
 def modularity(edges: DataFrame, members: DataFrame, keys: list[str], self_loop: float = 1.0, alone: bool = False) -> DataFrame:

@@ -57,10 +57,17 @@ def greedy(start: Column, length: int, strongest: bool = True) -> Column:
 
 
 def group_pattern(paths: DataFrame, edges: DataFrame, keys: list[str], group: list[str], n: int, start: int, length: int) -> DataFrame:
-    """Per group: mean weight of each directed step over all members' paths, then a greedy walk."""
+    """Per group: mean weight of each directed step over all members' paths, then a greedy walk.
+
+    Where no step of the group's paths touches ``start``, the walk begins at the smallest node that one touches.
+    """
     steps = along(edges, steps_of(paths, "path"), keys)
     mean = steps.groupBy(*group, F.col("u").alias("i"), F.col("v").alias("j")).agg(F.avg("w").alias("w"))
-    return dense(mean, group, n, directed=True).select(*group, greedy(F.lit(start), length).alias("pattern"))
+    whole = dense(mean, group, n, directed=True)
+    touched = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.exists(F.get("matrix", k), lambda w: w.isNotNull()) | F.exists("matrix", lambda row: F.get(row, k).isNotNull()))
+    whole = whole.withColumn("_t", touched)
+    begin = F.when(F.get("_t", F.lit(start)), F.lit(start)).otherwise(F.array_position("_t", True) - 1)
+    return whole.select(*group, greedy(begin, length).alias("pattern"))
 
 
 def score_patterns(patterns: DataFrame, edges: DataFrame, pattern_keys: list[str], graph_keys: list[str], on: list[str] = []) -> DataFrame:

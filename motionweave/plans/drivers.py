@@ -262,14 +262,16 @@ def time_lags(edges: DataFrame, keys: list[str], *, first=0, second=1) -> dict[s
 
 
 def modular_organisation(
-    edges: DataFrame, graph_keys: list[str], n: int, path: str, *, runs: int = 100, threshold: float = 0.6, first=1, second=0, blocks: list[int] | None = None, permutations: int = 5_000
+    edges: DataFrame, graph_keys: list[str], n: int, path: str, *, runs: int = 100, threshold: float = 0.6, first=1, second=0, blocks: list[int] | None = None, permutations: int = 5_000, full: bool = False
 ) -> dict[str, DataFrame]:
     """Louvain allegiance per subject, communities, fit, modularity and density, with their tests.
 
     ``edges`` has grp, sub_id, the graph keys (one of them ``cycle``) and i, j, w.  The
     allegiance is built once for the same edges, keys, nodes and runs, as a table below ``path``
     that later calls read; all else comes from it.  With ``blocks`` the groups' matrices are also compared by permutation.
+    ``n`` and ``blocks`` are by marker; ``full`` matrices have three nodes for each.
     """
+    n *= 3 if full else 1
     keys = [k for k in graph_keys if k != "cycle"]
 
     def build() -> DataFrame:
@@ -303,7 +305,7 @@ def modular_organisation(
     }
     if blocks:
         pairs = _sides(mean.withColumnRenamed("w", "avg"), shared, first, second)
-        out["permutation"] = inference.permutation_test(pairs, shared, blocks, permutations, "allegiance")
+        out["permutation"] = inference.permutation_test(pairs, shared, expand_blocks(blocks, full), permutations, "allegiance")
     return out
 
 

@@ -3,9 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from motionweave.functions import kernels
-from motionweave.operators import inference, matrix, paths, signal
+from motionweave.operators import graph, inference, matrix, paths, signal
+from motionweave.plans import drivers
 
 
 def test_interval_join_of_one_long_trial(spark):
@@ -149,3 +151,72 @@ def test_filter_by_blocks_is_the_whole_filter(spark, block):
     assert len(out) == len(rows)
     for key, own in out.groupby(["trial", "m"]):
         assert own.sort_values("frame")["value"].to_numpy() == pytest.approx(want[key], abs=1e-9, nan_ok=True)
+
+
+def _partitions(n):
+    """All partitions of n nodes, as labels."""
+    def grow(labels, k):
+        if len(labels) == n:
+            yield labels
+            return
+        for c in range(k + 1):
+            yield from grow([*labels, c], max(k, c + 1))
+
+    return grow([0], 1)
+
+
+def _newman(w, labels):
+    """Modularity of a matrix whose diagonal are self-loops."""
+    labels = np.array(labels)
+    loops = np.diag(w)
+    degree = w.sum(1) + loops
+    same = labels[:, None] == labels[None, :]
+    return ((w + np.diag(loops)) * same).sum() / degree.sum() - sum((degree[labels == c].sum() / degree.sum()) ** 2 for c in set(labels.tolist()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_louvain_reaches_the_best_partition(seed):
+    rng = np.random.default_rng(seed)
+    w = rng.uniform(0, 0.4, (8, 8))
+    group = np.array([0, 0, 0, 1, 1, 1, 2, 2])
+    w += 0.6 * (group[:, None] == group[None, :]) * rng.uniform(0.5, 1, (8, 8))
+    w = np.triu(w, 1)
+    w += w.T + np.eye(8) * rng.uniform(0, 0.2, 8)
+    best = max(_newman(w, p) for p in _partitions(8))
+    found = [_newman(w, kernels.louvain(w, np.random.default_rng(k))) for k in range(20)]
+    assert abs(max(found) - best) < 1e-9 and min(found) > 0.8 * best
+
+
+def test_louvain_runs_are_the_same_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(g, i, j, float(rng.uniform(0, 1))) for g in range(3) for i in range(7) for j in range(i + 1, 7)]
+    edges = spark.createDataFrame(rows, "g long, i long, j long, w double")
+    found = []
+    for size in (100, 4):
+        monkeypatch.setattr(graph, "RUN_BLOCK", size)
+        found.append(sorted(map(tuple, graph.louvain_memberships(edges, ["g"], 7, 10).collect())))
+    assert found[0] == found[1] and len(found[0]) == 3 * 10 * 7
+
+
+def test_group_pattern_begins_elsewhere_without_its_start(spark):
+    edges = spark.createDataFrame([(k, i, j, 1.0 + i + j) for k in range(2) for i in range(5) for j in range(i + 1, 5)], "k long, i long, j long, w double")
+    walks = spark.createDataFrame([(0, 0, [3, 1, 2]), (1, 0, [3, 1, 4])], "k long, grp long, path array<int>")
+    from_edges = edges.withColumn("grp", F.lit(0).cast("long"))
+
+    def pattern(start):
+        return [r.pattern for r in paths.group_pattern(walks, from_edges, ["k", "grp"], ["grp"], 5, start, 3).collect()]
+
+    assert pattern(3) == [[3, 1, 4]]
+    assert pattern(0) == [[1, 4]]  # no path touches node 0
+    assert pattern(4) == [[4]]  # reached, but no step leaves it
+
+
+def test_whole_allegiance_has_three_nodes_a_marker(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(s % 2, s, "walk", 0, i, j, float(0.2 + 0.7 * (i // 3 == j // 3) + 0.05 * rng.uniform())) for s in range(6) for i in range(9) for j in range(i + 1, 9)]
+    edges = spark.createDataFrame(rows, "grp long, sub_id long, task string, cycle long, i long, j long, w double")
+    out = drivers.modular_organisation(edges, ["sub_id", "task", "cycle"], 3, str(tmp_path / "a"), runs=3, blocks=[0, 0, 0], permutations=50, full=True)
+    mean = {(r.grp, r.i, r.j): r.w for r in out["group_allegiance"].collect()}
+    assert len(mean) == 2 * 36 and all(w == float(i // 3 == j // 3) for (_, i, j), w in mean.items())
+    assert [r.community for r in out["group_communities"].filter("grp = 0").orderBy("node").collect()] == [0, 0, 0, 3, 3, 3, 6, 6, 6]
+    assert out["permutation"].count() == 1
