@@ -60,6 +60,8 @@ def resample_lists(lists: pa.ListArray, points: int) -> np.ndarray:
 
 #: Samples that the ends of a signal are extended by before filtering.
 PAD = 9
+#: Samples of a piece of a long signal.
+PIECE = 256
 
 
 def extended(v: np.ndarray, first: bool = True, last: bool = True, pad: int = PAD) -> np.ndarray:
@@ -82,6 +84,8 @@ class LowPass:
         second = self.b[2] - self.a[2]
         #: State of a constant input of one.
         self.steady = np.array([self.b[1] - self.a[1] + second, second])
+        #: Samples over which a state decays by more than the range of a double: by 2 ** -1100, times a small polynomial.
+        self.memory = math.ceil(1100 * math.log(2) / (-math.log(self.a[2]) / 2))
 
     def __call__(self, signals: list[np.ndarray], states: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Filtered signals and their last states; ``states`` has a row for each signal."""
@@ -114,6 +118,60 @@ class LowPass:
             out[k] = v[PAD:-PAD]
         return out
 
+    def long(self, v: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One long signal and its last state: pieces side by side, each entered in the state that those before leave."""
+        pieces = np.split(v, np.arange(PIECE, len(v), PIECE))
+        entry = np.zeros((len(pieces), 2))
+        _, added = self(pieces, entry)
+        step = np.linalg.matrix_power(self.step, PIECE)
+        entry[0] = state
+        for k in range(1, len(pieces)):
+            entry[k] = step @ entry[k - 1] + added[k - 1]
+        done, last = self(pieces, entry)
+        return np.concatenate(done), last[-1]
+
+
+class Stream:
+    """Zero-phase filter of one signal that arrives in parts.
+
+    The state forward is carried on.  A sample is settled once ``memory`` later ones are there:
+    the filter backward has forgotten all beyond those, so it can start there.
+    """
+
+    def __init__(self, f: LowPass) -> None:
+        self.f, self.raw, self.state, self.pending = f, np.empty(0), None, np.empty(0)
+
+    def push(self, v: np.ndarray) -> np.ndarray:
+        """The samples that are settled now, in order."""
+        if self.state is None:
+            v = np.concatenate([self.raw, v])
+            if len(v) <= PAD:
+                self.raw = v
+                return v[:0]
+            head = extended(v[: PAD + 1], True, False)[:PAD]
+            _, state = self.f([head], np.stack([self.f.steady * head[0]]))
+            self.state = state[0]
+        if len(v):
+            self.raw = np.concatenate([self.raw, v])[-PAD - 1 :] if len(v) <= PAD else v[-PAD - 1 :]
+            done, self.state = self.f.long(v, self.state)
+            self.pending = np.concatenate([self.pending, done])
+        return self._back(len(self.pending) - self.f.memory) if len(self.pending) > 2 * self.f.memory else v[:0]
+
+    def finish(self) -> np.ndarray:
+        """The rest; a signal that is too short for the extension comes back unchanged."""
+        if self.state is None:
+            return self.raw
+        tail = extended(self.raw, False, True)[len(self.raw) :]
+        n = len(self.pending)
+        self.pending = np.concatenate([self.pending, self.f([tail], np.stack([self.state]))[0][0]])
+        return self._back(n)
+
+    def _back(self, n: int) -> np.ndarray:
+        y = self.pending[::-1]
+        done = self.f.long(y, self.f.steady * y[0])[0][::-1][:n]
+        self.pending = self.pending[n:]
+        return done
+
 
 #: Numbers that the kernels over pairs of channels hold at once.
 BLOCK_CELLS = 4_000_000

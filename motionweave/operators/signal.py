@@ -2,7 +2,7 @@
 
 Frames are numbered within a trial (``keys``).  All windows of one trial share the same
 partitioning, so Spark sorts a trial once.  The recurrences that SQL has no form for (the
-zero-phase filter) run as Arrow kernels over blocks of a trial.
+zero-phase filter) run as Arrow kernels over the sorted rows, many trials or a part of one at once.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from motionweave.functions import kernels
 
-#: Curves that the resampling kernel, and signals that the filter takes at once.
-CURVES, SIGNALS = 256, 256
-#: Samples of a block of a long signal.
-BLOCK_FRAMES = 8192
+#: Curves that the resampling kernel takes at once.
+CURVES = 256
+#: Rows that the filter takes at once; a trial of more is filtered in parts.
+BLOCK_FRAMES = 1 << 16
 
 
 def ordered(keys: list[str], order: str | list[str]) -> WindowSpec:
@@ -48,16 +48,24 @@ def longest_gap(df: DataFrame, keys: list[str], order: str, value: str) -> DataF
     return runs.groupBy(*keys).agg(F.max("gap").alias("longest_gap"))
 
 
-def fill_gaps(df: DataFrame, keys: list[str], order: str, value: str, limit: int) -> DataFrame:
-    """Linear interpolation of inner gaps of up to ``limit`` samples."""
-    w = ordered(keys, order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
-    df = df.withColumns({"_p": F.last(known, True).over(back), "_n": F.first(known, True).over(ahead)})
-    width = F.col("_n.at") - F.col("_p.at")
-    share = (F.col(order) - F.col("_p.at")) / F.nullif(width, F.lit(0))
-    line = F.when(width - 1 <= limit, F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * share)
-    return df.withColumn(value, F.coalesce(F.col(value), line)).drop("_p", "_n")
+def fill_gaps(df: DataFrame, keys: list[str], order: str, value: str | list[str], limit: int) -> DataFrame:
+    """Linear interpolation of inner gaps of up to ``limit`` samples, of one column or several.
+
+    The next known sample is the last one of the window turned round: a frame that runs to the
+    end of a trial would be walked anew from every row.
+    """
+    columns = [value] if isinstance(value, str) else value
+    ahead, back = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(order).desc(), F.col(order)))
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("at"), F.col(c).alias("v"))) for c in columns}
+    found = df.withColumns({f"_n_{c}": F.last(k, True).over(ahead) for c, k in known.items()}).withColumns({f"_p_{c}": F.last(k, True).over(back) for c, k in known.items()})
+
+    def line(c: str) -> Column:
+        p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
+        width = n["at"] - p["at"]
+        share = (F.col(order) - p["at"]) / F.nullif(width, F.lit(0))
+        return F.when(width - 1 <= limit, p["v"] + (n["v"] - p["v"]) * share)
+
+    return found.withColumns({c: F.coalesce(F.col(c), line(c)) for c in columns}).select(df.columns)
 
 
 def fill_from_cluster(df: DataFrame, keys: list[str], order: str, markers: list[str], last: int = 5) -> DataFrame:
@@ -178,105 +186,97 @@ def resample(segments: DataFrame, keys: list[str], position: str, value: str, po
 def low_pass(df: DataFrame, keys: list[str], order: str, value: str, cutoff: float, fs: float, channel: list[str] | None = None, block: int = BLOCK_FRAMES) -> DataFrame:
     """Zero-phase second-order Butterworth low-pass of every channel of a trial.
 
-    A signal travels in blocks of ``block`` to twice as many samples.  A short one is a single
-    block and filtered at once, many in one kernel call.  For a long one the blocks first give
-    what they add to the filter's state; composing that gives the state each is entered in, and
-    then every block is filtered by itself, forward and in the same way backward.  No task
-    holds more than some blocks, and the result is that of the whole signal.
+    Signals with missing values, and those of up to nine samples, come back unchanged.
     """
     lane = [*keys, *(channel or [])]
-    per_lane = Window.partitionBy(*lane)
-    numbered = df.select(*lane, order, F.col(value).cast("double").alias(value)).withColumns({"_k": F.row_number().over(per_lane.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(per_lane)})
-    own = F.least(F.floor(F.col("_k") / block), F.greatest(F.floor(F.col("_n") / block), F.lit(1)) - 1).cast("int")
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    blocks = numbered.withColumn("_b", own).groupBy(*lane, "_n", "_b").agg(rows.alias("_rows"))
-    lane_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*lane).schema)
-    schema = f"{lane_schema}, {order} {df.schema[order].dataType.simpleString()}, {value} double"
-    single = F.col("_n") < 2 * block
-
-    def signals_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-        column = batch.column("_rows")
-        v = pc.struct_field(column.flatten(), "v").to_numpy(zero_copy_only=False).astype(float)
-        return np.split(v, np.cumsum(pc.list_value_length(column).to_numpy())[:-1])
-
-    def samples(batch: pa.RecordBatch, signals: list[np.ndarray]) -> pa.RecordBatch:
-        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(v) for v in signals]))
-        o = pc.struct_field(batch.column("_rows").flatten(), "o")
-        return pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in lane], o, pa.array(np.concatenate(signals), from_pandas=True)], names=[*lane, order, value])
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SIGNALS):
-                yield batch.slice(at, SIGNALS)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = kernels.LowPass(cutoff, fs)
-        for batch in pieces(batches):
-            yield samples(batch, f.both_ways(signals_of(batch)))
-
-    short = blocks.filter(single).mapInArrow(whole, schema)
-    long = blocks.filter(~single)
-    state = f"{lane_schema}, _n long, _b int, size int, bad boolean, s double, t double"
-
-    def last_block(batch: pa.RecordBatch) -> np.ndarray:
-        return batch.column("_n").to_numpy() // block - 1
-
-    def parts(batch: pa.RecordBatch) -> list[np.ndarray]:
-        b = batch.column("_b").to_numpy()
-        return [kernels.extended(v, k == 0, k == z) for v, k, z in zip(signals_of(batch), b, last_block(batch))]
-
-    def ends(batch: pa.RecordBatch, signals: list[np.ndarray], first: np.ndarray, f: kernels.LowPass) -> pa.RecordBatch:
-        """What every block adds to the state; the first one of a signal starts from the steady state."""
-        start = np.stack([f.steady * v[0] if k else np.zeros(2) for v, k in zip(signals, first)])
-        _, last = f(signals, start)
-        columns = [pa.array([len(v) for v in signals], pa.int32()), pa.array([bool(np.isnan(v).any()) for v in signals]), *map(pa.array, np.ascontiguousarray(last.T))]
-        return pa.RecordBatch.from_arrays([*[batch.column(k) for k in [*lane, "_n", "_b"]], *columns], names=[*lane, "_n", "_b", "size", "bad", "s", "t"])
-
-    def forward_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = kernels.LowPass(cutoff, fs)
-        for batch in pieces(batches):
-            yield ends(batch, parts(batch), batch.column("_b").to_numpy() == 0, f)
-
-    def entries(found: DataFrame, step: int) -> DataFrame:
-        """The state that every block is entered in, over a signal's blocks in order (``step`` 1) or from the last (-1)."""
-
-        def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(list(batches)).sort_by([("_b", "ascending" if step > 0 else "descending")])
-            f, entry, bad = kernels.LowPass(cutoff, fs), [], any(t["bad"].to_pylist())
-            now = np.zeros(2)
-            for k, (size, s, u) in enumerate(zip(t["size"].to_pylist(), t["s"].to_pylist(), t["t"].to_pylist())):
-                entry.append(now)
-                now = (np.linalg.matrix_power(f.step, size) @ now if k else 0) + np.array([s, u])
-            for name, c in (("s", 0), ("t", 1)):
-                t = t.set_column(t.schema.get_field_index(name), name, pa.array([float(e[c]) for e in entry]))
-            yield from t.set_column(t.schema.get_field_index("bad"), "bad", pa.array([bad] * len(t))).to_batches()
-
-        return found.groupBy(*lane).applyInArrow(compose, state)
-
-    def run_blocks(batch: pa.RecordBatch, signals: list[np.ndarray], first: np.ndarray, f: kernels.LowPass) -> list[np.ndarray]:
-        entry = np.stack([batch.column("s").to_numpy(), batch.column("t").to_numpy()], 1)
-        return f(signals, np.stack([f.steady * v[0] if k else e for v, k, e in zip(signals, first, entry)]))[0]
-
-    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = kernels.LowPass(cutoff, fs)
-        for batch in pieces(batches):
-            done = run_blocks(batch, parts(batch), batch.column("_b").to_numpy() == 0, f)
-            back = ends(batch, [v[::-1] for v in done], batch.column("_b").to_numpy() == last_block(batch), f)
-            bad = pc.or_(batch.column("bad"), back.column("bad"))
-            columns = [back.column(k) if k != "bad" else bad for k in back.schema.names]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("_rows"), pa.array([v.tolist() for v in done], pa.list_(pa.float64()))], names=[*back.schema.names, "_rows", "_y"])
-
-    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = kernels.LowPass(cutoff, fs)
-        for batch in pieces(batches):
-            b, z = batch.column("_b").to_numpy(), last_block(batch)
-            y = np.split(batch.column("_y").flatten().to_numpy(), np.cumsum(pc.list_value_length(batch.column("_y")).to_numpy())[:-1])
-            done = [v[::-1] for v in run_blocks(batch, [v[::-1] for v in y], b == z, f)]
-            kept = [v[kernels.PAD * (k == 0) : len(v) - kernels.PAD * (k == last)] for v, k, last in zip(done, b, z)]
-            yield samples(batch, [raw if bad else v for raw, bad, v in zip(signals_of(batch), batch.column("bad").to_pylist(), kept)])
-
-    on = [*lane, "_n", "_b"]
-    entered = long.join(entries(long.mapInArrow(forward_ends, state), 1).drop("size"), on)
-    done = entered.mapInArrow(forward, f"{state}, _rows {blocks.schema['_rows'].dataType.simpleString()}, _y array<double>")
-    back = entries(done.select(*[c for c in done.columns if c not in ("_rows", "_y")]), -1).drop("size")
-    return short.unionByName(done.select(*on, "_rows", "_y").join(back, on).mapInArrow(backward, schema))
+    v = F.col(value).cast("double")
+    raw = F.max(v.isNull() | F.isnan(v)).over(Window.partitionBy(*lane))
+    return _zero_phase(df.withColumn("_raw", raw), lane, order, [value], cutoff, fs, block)
+
+
+def low_pass_columns(df: DataFrame, keys: list[str], order: str, columns: list[str], cutoff: float, fs: float, block: int = BLOCK_FRAMES) -> DataFrame:
+    """The same of every one of ``columns``, whose missing samples are skipped and stay missing."""
+    return _zero_phase(df.withColumn("_raw", F.lit(False)), keys, order, columns, cutoff, fs, block)
+
+
+class _LongTrial:
+    """Rows of a trial that arrives in parts; each goes out when all its samples are settled."""
+
+    def __init__(self, f: kernels.LowPass, columns: int) -> None:
+        self.streams, self.rows, self.v, self.open = [kernels.Stream(f) for _ in range(columns)], None, np.empty((0, columns)), np.empty((0, columns), bool)
+
+    def push(self, rows: pa.Table, v: np.ndarray, signal: np.ndarray, last: bool) -> tuple[pa.Table, np.ndarray]:
+        self.rows = pa.concat_tables([self.rows, rows]) if self.rows else rows
+        self.v, self.open = np.concatenate([self.v, v]), np.concatenate([self.open, signal])
+        for c, stream in enumerate(self.streams):
+            done = stream.push(v[signal[:, c], c])
+            if last:
+                done = np.concatenate([done, stream.finish()])
+            at = np.flatnonzero(self.open[:, c])[: len(done)]
+            self.v[at, c], self.open[at, c] = done, False
+        wait = self.open.any(1)
+        out = self.rows.filter(pa.array(~wait)), self.v[~wait]
+        self.rows, self.v, self.open = self.rows.filter(pa.array(wait)).combine_chunks(), self.v[wait], self.open[wait]
+        return out
+
+
+def _whole_trials(f: kernels.LowPass, v: np.ndarray, signal: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Trials that end before ``ends``, all columns of all of them in one call of the kernel."""
+    at = [np.flatnonzero(own) for own in signal.T]
+    parts = [p for c, own in enumerate(at) for p in np.split(v[own, c], np.searchsorted(own, ends[:-1]))]
+    done = f.both_ways(parts)
+    for c, own in enumerate(at):
+        v[own, c] = np.concatenate(done[c * len(ends) : (c + 1) * len(ends)])
+    return v
+
+
+def _zero_phase(df: DataFrame, keys: list[str], order: str, columns: list[str], cutoff: float, fs: float, block: int) -> DataFrame:
+    """Rows with their ``columns`` filtered along ``order``, but for missing samples and rows marked ``_raw``.
+
+    One window sorts the trials and marks the last row of each.  The kernel then takes ``block``
+    rows or some more at a time: the trials that end in them are filtered together; one that
+    does not is filtered in parts, with the filter's state carried on, so that no task holds
+    more of it than a part and what the filter can remember.  The result is that of the whole.
+    """
+    marked = df.select(*keys, order, *[F.col(c).cast("double").alias(c) for c in columns], "_raw", F.lead(F.lit(True)).over(ordered(keys, order)).isNull().alias("_last"))
+    names = [*keys, order]
+    schema = ", ".join([*[f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names], *[f"`{c}` double" for c in columns]])
+
+    def out(rows: pa.Table, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(v):
+            yield from pa.table([*rows.columns, *[pa.array(x, from_pandas=True) for x in np.ascontiguousarray(v.T)]], [*names, *columns]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, trial = kernels.LowPass(cutoff, fs), None
+        for t in _at_least(block, batches):
+            v = np.stack([t[c].to_numpy().astype(float) for c in columns], 1)
+            signal = ~(np.isnan(v) | t["_raw"].to_numpy()[:, None])
+            ends, rows, at = np.flatnonzero(t["_last"].to_numpy()) + 1, t.select(names), 0
+            if trial is not None:
+                at, closed = (int(ends[0]), True) if len(ends) else (len(v), False)
+                yield from out(*trial.push(rows[:at], v[:at], signal[:at], closed))
+                trial, ends = None if closed else trial, ends[1:]
+            if len(ends):
+                z = int(ends[-1])
+                yield from out(rows[at:z], _whole_trials(f, v[at:z], signal[at:z], ends - at))
+                at = z
+            if at < len(v):
+                trial = _LongTrial(f, len(columns))
+                yield from out(*trial.push(rows[at:], v[at:], signal[at:], False))
+
+    return marked.sortWithinPartitions(*names).mapInArrow(run, schema)
+
+
+def _at_least(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of ``rows`` rows or more that end with a trial's last one, unless ``rows`` of the same trial came before it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            ends = np.flatnonzero(t["_last"].to_numpy()) + 1
+            z = int(ends[-1]) if len(ends) and len(t) - ends[-1] < rows else len(t)
+            yield t[:z]
+            held = t[z:].to_batches()
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks()

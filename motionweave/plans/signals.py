@@ -320,9 +320,7 @@ def butter_lowpass(spark: SparkSession, sf: str) -> DataFrame:
 def preprocess_acceleration(spark: SparkSession, sf: str) -> DataFrame:
     """The whole chain on all channels: gap filling, low-pass, two derivatives of complete frames, low-pass."""
     names, key = ["q", "p", "d", "t"], ["l_suppkey"]
-    long = supply_frames(spark, sf).select(*key, "frame", *names).unpivot([*key, "frame"], names, "channel", "value")
-    filled = signal.fill_gaps(long, [*key, "channel"], "frame", "value", 271).filter("value is not null")
-    smooth = signal.low_pass(filled, key, "frame", "value", 6.0, 200.0, ["channel"])
-    wide = smooth.groupBy(*key, "frame").pivot("channel", names).agg(F.first("value"))
-    a = signal.acceleration(wide, key, ["frame"], names, 200.0).unpivot([*key, "frame"], names, "channel", "value")
-    return signal.low_pass(a, key, "frame", "value", 4.0, 200.0, ["channel"]).withColumn("value", F.round("value", 4))
+    filled = signal.fill_gaps(supply_frames(spark, sf).select(*key, "frame", *names), key, "frame", names, 271)
+    smooth = signal.low_pass_columns(filled.dropna("all", subset=names), key, "frame", names, 6.0, 200.0)
+    a = signal.low_pass_columns(signal.acceleration(smooth, key, ["frame"], names, 200.0), key, "frame", names, 4.0, 200.0)
+    return a.unpivot([*key, "frame"], names, "channel", "value").select(*key, "channel", "frame", F.round("value", 4).alias("value"))

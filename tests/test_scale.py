@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motionweave.functions import kernels
 from motionweave.operators import graph, inference, matrix, paths, signal
-from motionweave.plans import drivers
+from motionweave.plans import drivers, registry
 
 
 def test_interval_join_of_one_long_trial(spark):
@@ -153,6 +153,76 @@ def test_filter_by_blocks_is_the_whole_filter(spark, block):
         assert own.sort_values("frame")["value"].to_numpy() == pytest.approx(want[key], abs=1e-9, nan_ok=True)
 
 
+def test_filter_of_a_trial_that_arrives_in_parts():
+    """A signal of many times what the filter remembers, some parts empty or tiny: equal to the filter of the whole, and held in bounds."""
+    rng, f = np.random.default_rng(12), kernels.LowPass(20.0, 200.0)
+    v = rng.normal(size=60_000).cumsum()
+    stream, got, at, most = kernels.Stream(f), [], 0, 0
+    for size in [0, 3, 4, 2, 1, 0, 700, *[2500] * 24]:
+        got.append(stream.push(v[at : at + size]))
+        at += size
+        most = max(most, len(stream.pending))
+    got.append(stream.finish())
+    assert at >= len(v) and len(got[12]) > 0 and most <= 2 * f.memory + 2500
+    assert np.concatenate(got) == pytest.approx(kernels.filtfilt(v, 20.0, 200.0), abs=1e-9)
+
+
+@pytest.mark.parametrize("block", [300, 1 << 16])
+def test_columns_are_filtered_without_their_missing_samples(spark, block):
+    """Rows of a trial longer than the filter's memory go out once, each column by its own samples."""
+    rng, rows, want = np.random.default_rng(13), [], {}
+    for k, n in enumerate([1, 12, 299, 9000, 40, 0, 700]):
+        v = rng.normal(size=(n, 3)).cumsum(0)
+        v[rng.random((n, 3)) < 0.2] = np.nan
+        v[100:4000, 1] = np.nan
+        rows += [(k, f, *[None if np.isnan(x) else float(x) for x in own]) for f, own in enumerate(v)]
+        for c in range(3):
+            v[~np.isnan(v[:, c]), c] = kernels.filtfilt(v[~np.isnan(v[:, c]), c], 40.0, 200.0)
+        want[k] = v
+    df = spark.createDataFrame(rows, "trial long, frame long, a double, b double, c double").repartition(5)
+    out = signal.low_pass_columns(df, ["trial"], "frame", ["a", "b", "c"], 40.0, 200.0, block).toPandas()
+    assert len(out) == len(rows)
+    for k, own in out.groupby("trial"):
+        own = own.sort_values("frame")
+        assert own["frame"].tolist() == list(range(len(want[k])))
+        assert own[["a", "b", "c"]].to_numpy() == pytest.approx(want[k], abs=1e-9, nan_ok=True)
+
+
+def test_preprocessing_reads_its_frames_once(spark):
+    """Frames are read once for the whole chain, and no window walks to the end of a trial from every row."""
+    plan = registry.QUERIES["preprocess_acceleration"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "unboundedfollowing" not in plan.lower()
+
+
+def _fill(x, limit):
+    at, out = np.flatnonzero(~np.isnan(x)), x.copy()
+    for a, z in zip(at, at[1:]):
+        if z - a - 1 <= limit:
+            out[a : z + 1] = np.where(np.isnan(x[a : z + 1]), x[a] + (x[z] - x[a]) * (np.arange(z - a + 1) / (z - a)), x[a : z + 1])
+    return out
+
+
+def test_preprocessing_is_the_chain_of_its_steps(spark):
+    got = registry.QUERIES["preprocess_acceleration"](spark, "/root/testdata/sf0.001").toPandas()
+    t = pd.read_parquet("/root/testdata/sf0.001/lineitem.parquet").sort_values(["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
+    total = 0
+    for key, own in t.groupby("l_suppkey"):
+        q, p = own.l_quantity.where(own.l_discount > 0.02), own.l_extendedprice.where(own.l_tax > 0.01)
+        x = np.stack([_fill(c.to_numpy(float), 271) for c in (q, p, own.l_discount, own.l_tax)], 1)
+        for c in range(4):
+            x[~np.isnan(x[:, c]), c] = kernels.filtfilt(x[~np.isnan(x[:, c]), c], 6.0, 200.0)
+        frame = np.arange(len(x))
+        for factor in (200.0 / 1000, 200.0):
+            x = np.diff(x, axis=0, prepend=np.nan) * factor
+            whole = ~np.isnan(x).any(1)
+            x, frame = x[whole], frame[whole]
+        x = kernels.filtfilt(x, 4.0, 200.0)
+        mine = got[got.l_suppkey == key].pivot(index="frame", columns="channel", values="value")
+        assert mine.index.tolist() == frame.tolist() and mine[["q", "p", "d", "t"]].to_numpy() == pytest.approx(x, abs=2e-4)
+        total += len(x) * 4
+    assert total == len(got) > 0
+
+
 def _partitions(n):
     """All partitions of n nodes, as labels."""
     def grow(labels, k):
