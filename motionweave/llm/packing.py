@@ -26,24 +26,58 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motionweave.llm.common import column, materialise, record, slices, table
+from motionweave.llm.tokens import LOWER
 
 CAPACITY, END = 2048, 0
 #: Words, and characters of words, that a Python worker keeps with their ids; beyond that it begins anew.
 KEPT_WORDS, KEPT_CHARS = 500_000, 1 << 23
 #: Plain words that go through the tokenizer as one text.
 JOINED = 500
-#: A mark between a letter and a space is split off alone (lower-cased, U+0130 ends in no letter).
-_MARK = re.compile(r"(?<=[^\W\d_\u0130])([,.;:!?])(?= )")
+#: Bytes that part words, marks that are split off a letter before white space, and letters.
+_SPACE, _IS_MARK, _LETTER = np.zeros((3, 256), bool)
+_SPACE[[10, 32]], _IS_MARK[list(b",.;:!?")], _LETTER[[*range(65, 91), *range(97, 123)]] = True, True, True
 #: Below these characters nothing composes, and case has no context.
 _WIDE = re.compile("[\u0130\u0300-\U0010ffff]")
 
 
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of a column of texts (null: none), the number of each word in order, and how many a text has.
+
+    Words are runs of bytes between spaces and line feeds; a mark after a letter is a word of
+    its own.  A-Z are lower-cased in texts in which nothing composes.
+    """
+    col = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    size, offsets = int(ends[-1] - ends[0]), ends - ends[0]
+    if not size:
+        return [], np.zeros(0, np.int64), np.zeros(len(col), np.int64)
+    raw = np.frombuffer(col.buffers()[2], np.uint8, size, int(ends[0]))
+    wide = raw >= 0xCC
+    wide[:-1] |= (raw[:-1] == 0xC4) & (raw[1:] == 0xB0)
+    data = LOWER[raw]
+    if wide.any():
+        sums = np.concatenate([[0], np.cumsum(wide)])
+        composed = np.repeat(sums[offsets[1:]] > sums[offsets[:-1]], np.diff(offsets))
+        data = np.where(composed, raw, data)
+    space = _SPACE[raw]
+    edge = np.ones(size + 1, bool)  # a word may start here
+    edge[1:size] = space[:-1]
+    edge[1 : size - 1] |= _IS_MARK[raw[1:-1]] & _LETTER[raw[:-2]] & space[2:]
+    edge[offsets] = True
+    starts = np.flatnonzero(edge[:-1] & ~space)
+    stops = np.flatnonzero(~space & (edge[1:] | np.append(space[1:], True))) + 1
+    at = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[~space])]).dictionary_encode()
+    return words.dictionary.cast(pa.string()).to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), np.diff(np.searchsorted(starts, offsets))
+
+
 class Encoder:
     """Ids of whole texts, word by word: the tokenizer drops white space and joins nothing over it.
 
@@ -53,10 +87,13 @@ class Encoder:
 
     def __init__(self, path: str, end: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
+        #: For lower-cased words of letters that do not compose, which the file's own normalizer and pattern leave as they are.
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -67,9 +104,6 @@ class Encoder:
         self.index: dict[str | None, int] = {None: 0}
         self.flat, self.ends, self.chars = np.array([self.end], np.uint32), np.array([0, 1]), 0
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.index.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words))))
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
@@ -77,47 +111,48 @@ class Encoder:
         self.chars += sum(map(len, words))
 
     def _add_each(self, words: list[str]) -> None:
-        ids = self._ids(words)
-        self._add(words, np.array([i for own in ids for i in own], np.uint32), np.array([len(own) for own in ids], np.int64))
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._add(words, np.array([i for ids in own for i in ids], np.uint32), np.array([len(ids) for ids in own], np.int64))
 
     def _add_letters(self, words: list[str]) -> None:
         for at in range(0, len(words), JOINED * 64):
             some = words[at : at + JOINED * 64]
-            ids = np.array([i for own in self._ids([" ".join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)]) for i in own], np.uint32)
+            joined = self.plain.encode_batch_fast([" ".join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)], add_special_tokens=False)
+            ids = np.array([i for e in joined for i in e.ids], np.uint32)
             stops = np.flatnonzero(self.last[ids]) + 1
             if len(stops) == len(some) and stops[-1] == len(ids):
                 self._add(some, ids, np.diff(stops, prepend=0))
             else:
                 self._add_each(some)
 
-    def learn(self, words: set[str]) -> None:
-        letters = {w: w.lower() for w in words if w.isalpha() and not _WIDE.search(w)}
+    def learn(self, words: list[str]) -> None:
+        """Add words that are not there yet."""
+        self._add_letters([w for w in words if w.isascii() and w.isalpha() and w.islower()])
+        rest = [w for w in words if w not in self.index]
+        letters = {w: w.lower() for w in rest if w.isalpha() and not _WIDE.search(w)}
         letters = {w: low for w, low in letters.items() if low.isalpha()}
         self._add_letters(list(set(letters.values()) - self.index.keys()))
-        self.index.update((w, self.index[low]) for w, low in letters.items())
-        if other := [w for w in words if w not in letters]:
+        self.index.update((w, self.index[low]) for w, low in letters.items() if w != low)
+        if other := [w for w in rest if w not in letters]:
             self._add_each(other)
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and where each text's ids begin (and the end)."""
-        words: list[str | None] = []
-        size = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            before = len(words)
-            text = _MARK.sub(r" \1", (text or "").replace("\n", " "))
-            words += (text if _WIDE.search(text) else text.lower()).split(" ")
-            words.append(None)
-            size[k] = len(words) - before
-        new = set(words) - self.index.keys()
+        words, number, size = words_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        new = [w for w in words if w not in self.index]
         if new and (len(self.index) + len(new) > KEPT_WORDS or self.chars > KEPT_CHARS):
             self.clear()
-            new = set(words) - self.index.keys()
+            new = words
         self.learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        stops = np.cumsum(size + 1)
+        word = np.ones(len(number) + len(size), bool)
+        word[stops - 1] = False
+        at = np.zeros(len(word), np.int64)  # 0 is the end of a text
+        at[word] = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[number]
         begin, length = self.ends[at], self.ends[at + 1] - self.ends[at]
-        stops = np.cumsum(length)
-        ids = self.flat[np.repeat(begin - (stops - length), length) + np.arange(stops[-1])]
-        return ids, np.concatenate([[0], stops[np.cumsum(size) - 1]])
+        last = np.cumsum(length)
+        ids = self.flat[np.repeat(begin - (last - length), length) + np.arange(last[-1])]
+        return ids, np.concatenate([[0], last[stops - 1]])
 
 
 @lru_cache(maxsize=2)
@@ -152,7 +187,7 @@ def cut(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end: int
         encode, task, seen = encoder(tokenizer_file, end), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for whole in batches:
             for batch in slices(whole, text_col):
-                ids, first = encode(column(batch, text_col).to_pylist())
+                ids, first = encode(column(batch, text_col))
                 tokens = np.diff(first)
                 pieces = -(-tokens // capacity)
                 doc = np.repeat(np.arange(len(tokens)), pieces)

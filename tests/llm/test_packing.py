@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,3 +110,11 @@ def test_sequences_hold_the_ids(spark, tokenizer):
     for k, t in enumerate(texts):
         assert sum((ids for _, ids in sorted(found[k])), []) == tokenizer.encode(t, add_special_tokens=False).ids + [0]
     assert sum(map(len, bins.values())) == sum(r.length for r in rows) and max(map(len, bins.values())) <= 16
+
+
+def test_words_are_found_in_the_buffer():
+    """Words of a slice with nulls and empty texts: each once, marks off letters, capitals kept where something composes."""
+    texts = pa.array(["skipped", "Two  words, and\nmore. 3, x;y É, end.", None, "", "Ω Big, İx", " , a", ", b"], pa.string())[1:]
+    words, number, size = packing.words_of(texts)
+    assert len(set(words)) == len(words) and size.tolist() == [10, 0, 0, 4, 2, 2]
+    assert [words[k] for k in number] == ["two", "words", ",", "and", "more", ".", "3,", "x;y", "É,", "end.", "Ω", "Big", ",", "İx", ",", "a", ",", "b"]
