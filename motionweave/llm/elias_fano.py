@@ -62,7 +62,7 @@ def encode(values: np.ndarray, universe: int, for_get: bool = True, for_successo
 
 def _place(word: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Position of the lowest set bit of ``w`` in its word."""
-    return (word << 6) + np.bitwise_count((w & (~w + _1)) - _1)
+    return (word << 6) + np.bitwise_count(~w & (w - _1))
 
 
 class EliasFano:
@@ -89,7 +89,7 @@ class EliasFano:
         w &= ~np.uint64(0) << (at.astype(np.uint64) & _63)
         left = k & ((1 << _STEP) - 1)
         for t in range((1 << _STEP) - 1):
-            w = np.where(left > t, w & (w - _1), w)
+            w &= w - (left > t)
             self._ahead(word, w, ones)
         return word, w
 
@@ -123,9 +123,8 @@ class EliasFano:
         """Position of the first value that is not below each ``x``, and whether it equals ``x``."""
         x = np.asarray(x, np.uint64)
         h = (x >> np.uint64(self.width)).astype(np.int64)
-        at = np.zeros(len(x), np.int64)
-        late = np.flatnonzero(h > 0)
-        at[late] = self._select(h[late] - 1, False) + 1
+        at = self._select(np.maximum(h - 1, 0), False) + 1
+        at[h == 0] = 0
         lo = at - h
         # The run of set bits from there on is the bucket; a long one ends at the next clear bit.
         word, off = at >> 6, at.astype(np.uint64) & _63
@@ -133,18 +132,21 @@ class EliasFano:
         run = np.bitwise_count(w & ~(w + _1)).astype(np.int64)
         full = np.flatnonzero(w == ~np.uint64(0))
         run[full] = self._select(h[full], False) - at[full]
-        hi = lo + run
-        end, want = hi.copy(), x & self.mask
-        go = np.flatnonzero(lo < hi)
+        same = np.zeros(len(x), bool)
+        # Binary search in the buckets that are not empty; ``met`` is the value at ``b``, once one is known to be there.
+        go = np.flatnonzero(run)
+        a, want = lo[go], x[go] & self.mask
+        b, met = a + run[go], ~want
         while len(go):
-            mid = (lo[go] + hi[go]) >> 1
-            below = self._low(mid) < want[go]
-            lo[go] = np.where(below, mid + 1, lo[go])
-            hi[go] = np.where(below, hi[go], mid)
-            go = go[lo[go] < hi[go]]
-        same = lo < end
-        at = np.flatnonzero(same)
-        same[at] = self._low(lo[at]) == want[at]
+            mid = (a + b) >> 1
+            low = self._low(mid)
+            below = low < want
+            a, b, met = np.where(below, mid + 1, a), np.where(below, b, mid), np.where(below, met, low)
+            more = a < b
+            done = np.flatnonzero(~more)
+            lo[go[done]], same[go[done]] = a[done], met[done] == want[done]
+            more = np.flatnonzero(more)
+            go, a, b, met, want = go[more], a[more], b[more], met[more], want[more]
         return lo, same
 
 

@@ -6,9 +6,9 @@ their own n-grams first and send them on packed.
 Level 1 holds the word hashes in Elias-Fano code and the exact counts.  A node of level
 n > 1 is the pair (id of its first n-1 words, id of its last n-1 words) in level n-1: the
 successor of a context is named by its own id in the shorter context.  Each shard of a
-level codes its sorted contexts, the monotone pointers to their successors, and the
-successors (made monotone by adding the context's rank times the universe); a query
-finds the context, takes the pointer range and searches the successor in it.  Shards are
+level codes its sorted contexts and their successors, made monotone by adding the context's
+rank times the universe; a query finds the context and searches the successor, whose code
+tells its context too, so that no pointers to a context's range are needed.  Shards are
 dealt by a hash of the context; contexts that occur ``HOT`` times or more (their number
 is bounded by the tokens over ``HOT``) are dealt by the whole n-gram, so a frequent one is
 spread over all shards.  Where shards are is a written table, which workers read; neither
@@ -173,7 +173,7 @@ class Reader:
                 self.open.clear()
             path = self.levels[level].path(shard)
             arrays = load(path) if path else None
-            self.open[key] = arrays and arrays | {p: pick(p, arrays) for p in ("words", "contexts", "pointers", "successors") if f"{p}.meta" in arrays}
+            self.open[key] = arrays and arrays | {p: pick(p, arrays) for p in ("words", "contexts", "successors") if f"{p}.meta" in arrays}
         return self.open[key]
 
     @cached_property
@@ -232,15 +232,14 @@ class Reader:
             at, size, rank = at[np.repeat(known, size)], size[known], rank[known]
             if not len(at):
                 continue
-            low, high = (np.repeat(v.astype(np.int64), size) for v in arrays["pointers"].get_pair(rank))
             if codes:
                 gamma[at] = np.repeat(arrays["gamma"][rank], size)
             rank = np.repeat(rank, size)
             place, same = arrays["successors"].successor(rank.astype(np.uint64) * universe + last[at].astype(np.uint64))
-            same &= (place >= low) & (place < high)
-            out[at[same]] = place[same] + offsets[s]
+            at, place = at[same], place[same]
+            out[at] = place + offsets[s]
             if codes:
-                code[at[same]] = arrays["codes"][place[same]]
+                code[at] = arrays["codes"][place]
         if codes and len(hot):
             at, spread = _among(first, hot)
             gamma[spread] = self.hot_gamma[level][at[spread]]
@@ -471,7 +470,6 @@ def _count_nodes(docs: DataFrame, model: Model, last: bool, frequent: int) -> Mo
             save(
                 f"{out}/shard-{level}-{s}-{suffix}",
                 nested("contexts", encode(a[first], universe, for_get=False))
-                | nested("pointers", encode(np.append(first, len(a)), len(a) + 1, for_successor=False))
                 | nested("successors", encode(rank * np.uint64(universe) + b, len(first) * universe, for_get=False))
                 | {"codes": quantise(np.minimum(p, 1)), "gamma": gamma}
                 | ({} if last else {"counts": _narrow(c)}),
